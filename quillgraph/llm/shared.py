@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def scratch(spark: SparkSession) -> str:
     """Folder every executor can reach, from spark.checkpoint.dir.
@@ -42,6 +44,7 @@ def chunked(docs: DataFrame, n_bytes: int, *, chunk_bytes: int, by: str = "doc_i
 
     The number depends on the row alone, so a recomputed task deals its rows alike.
     """
+    ship_package(docs.sparkSession)
     n = max(1, -(-n_bytes // chunk_bytes))
     return docs.withColumn("chunk", F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(n)).cast("int"))
 
