@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import url_filters
+from .language_id import identify_languages
 from .ngram_jaccard import jaccard_components
 from .positional_index import contamination
 from .substring_dedup import dedup_substrings
@@ -56,3 +57,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op3_url_filters"] = url_filters.sql()
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
