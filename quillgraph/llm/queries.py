@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import url_filters
+from .html_extraction import extract_main_text
 from .language_id import identify_languages
 from .ngram_jaccard import jaccard_components
 from .positional_index import contamination
@@ -62,3 +63,8 @@ ORACLE_SQL["op3_url_filters"] = url_filters.sql()
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
