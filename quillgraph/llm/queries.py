@@ -12,7 +12,9 @@ from .html_extraction import extract_main_text
 from .language_id import identify_languages
 from .ngram_jaccard import jaccard_components
 from .positional_index import contamination
+from .sentencepiece_codec import encode_texts
 from .substring_dedup import dedup_substrings
+from .token_counts import count_tokens
 from .url_filters import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
