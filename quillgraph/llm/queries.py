@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filters
+from . import hamming_topk, url_filters
+from .hamming_topk import nearest_by_hamming
 from .html_extraction import extract_main_text
 from .language_id import identify_languages
+from .license_scan import scan_licenses
 from .ngram_jaccard import jaccard_components
 from .positional_index import contamination
 from .sentencepiece_codec import encode_texts
@@ -80,3 +82,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_hamming(table(spark, sf_dir, "embeddings"), k=10, every=50)
+
+
+ORACLE_SQL["op7_hamming_topk"] = hamming_topk.sql()
