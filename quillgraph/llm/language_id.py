@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 
@@ -198,11 +199,34 @@ def identify_languages(docs: DataFrame, *, model: ByteCnn | None = None, **optio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sent = spark.sparkContext.broadcast(fit(docs, **options) if model is None else model)  # some 100 KB
 
+    return tagged(docs.select("doc_id", held_out().alias("held_out"), "text"), sent).drop("text")
+
+
+def tagged(docs: DataFrame, sent, *, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs, whatever its columns, with the prediction from its text; sent: a broadcast model."""
+    if taken := {label.lower(), score.lower()}.intersection(c.lower() for c in docs.columns):
+        raise ValueError(f"docs has columns named {sorted(taken)} already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                labels, score = predict(sent.value, part["text"].to_pylist())
-                yield pa.record_batch([part["doc_id"], part["held_out"], pa.array(labels, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                labels, scores = predict(sent.value, part["text"].to_pylist())
+                yield pa.record_batch([*part.columns, pa.array(labels, pa.string()), pa.array(scores)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def keep_identified(docs: DataFrame, *, min_score: float = 0.4, model: ByteCnn | None = None, **options) -> DataFrame:
+    """The rows of docs, all columns, whose language is identified.
+
+    Rejected are texts without a letter, nulls, and texts whose best label scores below
+    min_score. Rows are judged one by one: equal rows fare alike; an empty table stays empty.
+    """
+    ship_package(docs.sparkSession)
+    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(learn, **options) if model is None else model)
+    names = [n if n not in docs.columns else f"{n}_" for n in ("predicted language", "predicted language score")]
+    out = tagged(docs, sent, label=names[0], score=names[1])
+    return out.filter((F.col(f"`{names[0]}`") != UNKNOWN) & (F.col(f"`{names[1]}`") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .ngram_jaccard import _bounds
 from .shared import chunked, text_bytes
@@ -137,10 +139,10 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 _OUT_DDL = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
 
 
-def _removed(width: int):
+def _removed(width: int, keep_untouched: bool, out: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _OUT.empty_table()
+            return out.empty_table()
         left = _ordered(left)
         words = Words(left["text"], separators=BLANK, lower=False)
         values, whole = windows(words.hashes(), width), whole_window(words.first, width)
@@ -177,7 +179,12 @@ def _removed(width: int):
             f = int(words.first[o])
             spans[o].append({"start": b - f, "end": e - f})
         taken = np.concatenate([[0], np.cumsum(gone)])
-        return pa.table([left["doc_id"], pa.array(words.counts), pa.array(taken[words.first[1:]] - taken[words.first[:-1]]), pa.array(texts, pa.string()), pa.array(spans, _OUT.field(4).type)], schema=_OUT)
+        n_removed = taken[words.first[1:]] - taken[words.first[:-1]]
+        if keep_untouched:
+            own = left["text"].to_pylist()
+            texts = [t if n else o for t, n, o in zip(texts, n_removed.tolist(), own, strict=True)]
+        columns = [left["doc_id"], pa.array(words.counts), pa.array(n_removed), pa.array(texts, pa.string()), pa.array(spans, _OUT.field(4).type)]
+        return pa.table(columns + [left[name] for name in out.names[len(_OUT) :]], schema=out)
 
     return run
 
@@ -187,6 +194,8 @@ def dedup_substrings(
     *,
     min_words: int = 20,
     base_words: int = 10,
+    carry: bool = False,
+    keep_untouched: bool = False,
     chunk_bytes: int = CHUNK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
@@ -195,6 +204,8 @@ def dedup_substrings(
     min_words   length of a window; base_words times a power of two
     kept_text   the kept words, joined by one space
     removed     word spans [start, end) that went, in order
+    carry       with a column `carried` more: a struct of the row's other columns
+    keep_untouched  kept_text is the text itself (null for null) where nothing went
 
     Null and blank texts have no words: kept_text is empty. Texts of fewer than min_words
     words are kept whole. Rows with one doc_id count as successive documents, in the order of
@@ -206,7 +217,12 @@ def dedup_substrings(
         width, levels = width * 2, levels + 1
     if width != min_words or not levels:
         raise ValueError("min_words must be base_words times a power of two, 2 at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("carried")] if others else []))
+    schema, ddl = _OUT, _OUT_DDL
+    if others:
+        schema = _OUT.append(pa.field("carried", to_arrow_type(docs.schema["carried"].dataType)))
+        ddl = T.StructType([*T.StructType.fromDDL(_OUT_DDL).fields, docs.schema["carried"]])
     n_bytes = text_bytes(docs)
     n_buckets = max(24, -(-n_bytes // bucket_bytes))
     parts = chunked(docs, n_bytes, chunk_bytes=chunk_bytes)
@@ -218,4 +234,4 @@ def dedup_substrings(
         asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_next_level(width, n_buckets, level == levels - 1), "bucket int, chunk int, blob binary")
         width *= 2
     told = asked.groupBy("bucket").applyInArrow(_later, "chunk int, blob binary")
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_removed(min_words), _OUT_DDL)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_removed(min_words, keep_untouched, schema), ddl)
