@@ -28,6 +28,7 @@ from .wordcols import mix, powers
 SPACE = "▁"
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+_LEAD = 18  # leading bits of a hash that index the sorted keys
 LONG = 128  # units of more characters go one by one
 
 _BASE = np.uint64(0xC6A4A7935BD1E995 | 1)
@@ -96,8 +97,13 @@ class PieceModel:
         self.keys, self.key_ids = keys[order], usable[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("piece hashes collide")
+        heads = (self.keys >> np.uint64(64 - _LEAD)).astype(np.int64)
+        self.starts = np.minimum(np.searchsorted(heads, np.arange(1 << _LEAD)), max(0, len(heads) - 1)).astype(np.int32)
+        self.crowd = max(2, int(np.bincount(heads).max(initial=0)))
+        self.keys = np.append(self.keys, np.uint64(2**64 - 1))  # so that one past the last can be read
         ranks = np.unique(-self.scores[usable], return_inverse=True)[1].astype(np.int32)
-        self.key_ranks = ranks[order]
+        self.key_ranks = np.append(ranks[order], _NONE).astype(np.int32)
+        self.key_ids = np.append(self.key_ids, self.unk)
         breaks = "" if any("\n" in t and len(t) > 1 for t in texts) else "\n"
         self.unit = re.compile(rf"{breaks + '|' if breaks else ''}{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+")
         self.unk_score = float(self.scores[usable].min()) - 10.0 if len(usable) else -10.0
@@ -144,7 +150,10 @@ class PieceModel:
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Place among the sorted keys, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        # the leading bits give the place in the sorted keys, or a few before it
+        at = self.starts[hashes >> np.uint64(64 - _LEAD)]
+        for _ in range(self.crowd - 1):
+            at = at + (self.keys[at] < hashes)
         return np.where(self.keys[at] == hashes, at, -1)
 
     def outside(self, char: str) -> list[int]:
@@ -274,7 +283,7 @@ class PieceModel:
 
     def _vocabulary(self) -> dict[str, tuple[int, int]]:
         if not hasattr(self, "_by_text"):
-            self._by_text = {self.pieces[i]: (int(r), int(i)) for i, r in zip(self.key_ids, self.key_ranks, strict=True)}
+            self._by_text = {self.pieces[i]: (int(r), int(i)) for i, r in zip(self.key_ids[:-1], self.key_ranks[:-1], strict=True)}
         return self._by_text
 
     def _one(self, text: str) -> list[int]:

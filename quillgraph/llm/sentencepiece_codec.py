@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,31 +15,39 @@ from .pieces import PieceModel
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ROWS = 400  # texts at a time
-CACHE = 200_000  # encoded units that a task keeps
+CACHE = 600_000  # encoded units that a task keeps
 
 
 class Encoder:
-    """Encodes texts, keeping the ids of units it has met."""
+    """Encodes texts, keeping the ids of units it has met: a number a unit, and flat ids by number."""
 
     def __init__(self, model: PieceModel, cache: int = CACHE):
-        self.model, self.cache, self.limit = model, {}, cache
+        self.model, self.limit = model, cache
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, units: set[str]) -> None:
+        new = list(units.difference(self.number))
+        if len(self.number) + len(new) > self.limit:
+            self._forget()
+            new = list(units)
+        ids = self.model.encode_units(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each text's begin (one more entry than texts)."""
         units = [self.model.units(t) if t else [] for t in texts]
-        new = list({u for us in units for u in us}.difference(self.cache))
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = list({u for us in units for u in us})
-        self.cache.update(zip(new, self.model.encode_units(new), strict=True))
-        known = self.cache
-        flat: list[int] = []
-        first = [0]
-        for us in units:
-            for u in us:
-                flat += known[u]
-            first.append(len(flat))
-        return np.array(flat, np.int32), np.array(first)
+        self._learn(set().union(*units))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64)
+        size = self.ends[which + 1] - self.ends[which]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.ends[which] - begin[:-1], size) + np.arange(begin[-1])]
+        return ids, begin[np.concatenate([[0], np.cumsum([len(us) for us in units])])]
 
 
 def read_model(path: str) -> PieceModel:
