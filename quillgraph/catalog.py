@@ -1,4 +1,9 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries on the driver's tables, and the SQL that gives the same rows.
+
+Inputs are derived from whole tables: propositions by relational mapping (customers are located
+in nations, nations are part of regions, suppliers supply parts; a document a region),
+engine replies from customers, texts from documents, surface variants from parts.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,629 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.taxonomy import TYPE_COLOR
+from .functions.text import file_title, norm_key, sanitize_title, slug_title, xml_escape, yaml_string
+from .operators import chunking, extraction, graph, guard, inspect, resolution
+from .operators.components import components
+from .plans.engines import RuleEngine
+from .plans.pipeline import outcomes_of_replies, run_pipeline
+from .session import saved, scratch
+from .sinks import export, persist
+from .sources.ingest import join_pages
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- texts ---------------------------------------------------------------------
+
+_LAID_OUT = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(10) || '# ') ELSE text END"
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with blank lines in every third text and headings in every third."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_LAID_OUT).alias("text"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS INTEGER) AS token_estimate FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.with_token_estimate(table(spark, sf_dir, "documents")).select("doc_id", "token_estimate")
+
+
+@query("SELECT doc_id, ceil(length(text) / 4.0) > 9000 AS over_limit, ceil(length(text) / 4.0) > 900 AS over_chunk FROM documents")
+def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = guard.over_limit(table(spark, sf_dir, "documents"))
+    return guard.over_limit(docs.withColumnRenamed("over_limit", "was"), limit=900).select("doc_id", F.col("was").alias("over_limit"), F.col("over_limit").alias("over_chunk"))
+
+
+@query("SELECT doc_id, substr(text, 1, 3600) AS text FROM documents")
+def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.truncate(table(spark, sf_dir, "documents"), limit=900).select("doc_id", "text")
+
+
+_BLOCKS = rf"""
+t AS (SELECT doc_id, {_LAID_OUT} AS text FROM documents),
+m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '(?m)^(#{{1,6}}\s)', chr(1) || '\1', 'g') AS text FROM t),
+b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS bs FROM m),
+blocks AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_index, bs[i] AS block FROM (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS i FROM b))"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_index, block FROM blocks")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_document_blocks(laid_out(spark, sf_dir))
+
+
+@query(
+    rf"""WITH {_BLOCKS}, s AS (SELECT doc_id, block_index, regexp_extract_all(block, '[^.!?]+[.!?]+["'')\]]*\s*|[^.!?]+$') AS ss FROM blocks)
+SELECT doc_id, block_index, CAST(i - 1 AS INTEGER) AS sentence_index, ss[i] AS sentence FROM (SELECT doc_id, block_index, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)"""
+)
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_document_sentences(laid_out(spark, sf_dir))
+
+
+@query()
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(laid_out(spark, sf_dir))
+
+
+@query()
+def chunks_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20)
+
+
+@query()
+def chunks_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20, native=True)
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1] AS line FROM conversations),
+u AS (SELECT conv_id, turn, regexp_replace(line, '^["''“”‘’#*\s]+|["''“”‘’.!*\s]+$', '', 'g') AS line FROM t)
+SELECT conv_id, turn, nullif(regexp_replace(substr(line, 1, 80), '^\s+|\s+$', '', 'g'), '') AS title FROM u"""
+)
+def title_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sanitize_title("text").alias("title"))
+
+
+@query(
+    r"""SELECT conv_id AS doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE t <> ''), '') AS text
+FROM (SELECT conv_id, turn, trim(regexp_replace(role || ' ' || text, '\s+', ' ', 'g')) AS t FROM conversations) GROUP BY conv_id"""
+)
+def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return join_pages(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.array("role", "text").alias("items")))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]+$', '') AS title FROM pages")
+def file_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", file_title("url").alias("title"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(
+    f"""SELECT page_id, {_ESCAPED} AS xml, '"' || replace(replace(url, '\\', '\\\\'), '"', '\\"') || '"' AS yaml,
+coalesce(nullif(trim(regexp_replace(coalesce(nullif(url, ''), 'graph'), '[\\\\/:*?"<>|]', '_', 'g')), ''), 'graph') AS slug FROM pages"""
+)
+def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", xml_escape("url").alias("xml"), yaml_string("url").alias("yaml"), slug_title("url").alias("slug"))
+
+
+# -- replies -------------------------------------------------------------------
+
+# A reply of every kind, by the customer's key: the same text in Spark and DuckDB.
+_ITEM = """'{"id":"q' || c_custkey || '","text":" ' || c_name || ' is in it. ","subject":{"name":"' || c_name || ' ","type":"person"},"predicate":" is in","object":{"name":"' || c_mktsegment || '","type":"' || (CASE c_custkey % 3 WHEN 0 THEN 'concept' WHEN 1 THEN 'planet' ELSE 'other' END) || '"}}'"""
+_BAD = """'{"id":"","text":"x","subject":{"name":7,"type":"person"},"predicate":"is","object":{"name":"y","type":"other"}}'"""
+_NO_ID = """'{"text":"t","subject":{"name":"' || c_name || '"},"predicate":"has","object":{"name":"account","type":"concept"},"confidence":' || (CASE c_custkey % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '1.5' WHEN 2 THEN '"0.5"' ELSE '1' END) || '}'"""
+_REPLY = f"""CASE (c_custkey + attempt) % 9
+WHEN 0 THEN '{{"propositions":[' || {_ITEM} || ']}}'
+WHEN 1 THEN 'Here it is: ```json {{"propositions":[' || {_ITEM} || ',' || {_NO_ID} || ']}} ``` as asked'
+WHEN 2 THEN 'I cannot do that.'
+WHEN 3 THEN '{{"propositions":[' || {_ITEM} || ']}} done'
+WHEN 4 THEN '{{"propositions":[' || {_BAD} || ',' || {_NO_ID} || ']}}'
+WHEN 5 THEN '{{"propositions":{{"a":1}}}}'
+WHEN 6 THEN '{{"propositions":[]}}'
+WHEN 7 THEN '{{"propositions":[' || {_ITEM}
+ELSE '  {{"other":1,"propositions":[3,' || {_NO_ID} || ',null]}}  ' END"""
+_REPLY_COLUMNS = ("CAST(c_nationkey AS BIGINT) AS doc_id", "CAST(c_custkey AS INTEGER) AS chunk_index", "attempt", f"{_REPLY} AS reply")
+_REPLIES_SQL = f"replies AS (SELECT {', '.join(_REPLY_COLUMNS)} FROM customer CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS attempt))"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).selectExpr(*_REPLY_COLUMNS)
+
+
+_VALID = rf"""c AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM replies),
+j AS (SELECT *, nullif(CASE WHEN starts_with(t, '{{') THEN t ELSE regexp_extract(t, '(?s)\{{.*\}}') END, '') AS cand FROM c),
+v AS (SELECT *, CASE WHEN cand IS NOT NULL AND json_valid(cand) THEN CASE WHEN json_type(cand, '$.propositions') = 'ARRAY' THEN json_extract(cand, '$.propositions') END END AS ps FROM j),
+e AS (SELECT doc_id, chunk_index, attempt, i - 1 AS i, json_extract(ps, '$[' || (i - 1) || ']') AS p FROM (SELECT *, unnest(range(1, CAST(json_array_length(ps) AS BIGINT) + 1)) AS i FROM v WHERE ps IS NOT NULL)),
+f AS (SELECT doc_id, chunk_index, attempt, i,
+  CASE WHEN json_type(p, '$.id') = 'VARCHAR' AND json_extract_string(p, '$.id') <> '' THEN json_extract_string(p, '$.id') ELSE 'p' || (i + 1) END AS local_id,
+  CASE WHEN json_type(p, '$.text') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.text')), '') END AS text,
+  CASE WHEN json_type(p, '$.predicate') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.predicate')), '') END AS predicate,
+  CASE WHEN json_type(p, '$.subject.name') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.subject.name')), '') END AS s_name,
+  CASE WHEN json_type(p, '$.object.name') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.object.name')), '') END AS o_name,
+  CASE WHEN json_extract_string(p, '$.subject.type') IN {tuple(TYPE_COLOR)} THEN json_extract_string(p, '$.subject.type') ELSE 'other' END AS s_type,
+  CASE WHEN json_extract_string(p, '$.object.type') IN {tuple(TYPE_COLOR)} THEN json_extract_string(p, '$.object.type') ELSE 'other' END AS o_type,
+  CASE WHEN json_type(p, '$.confidence') NOT IN ('VARCHAR') AND CAST(json_extract_string(p, '$.confidence') AS DOUBLE) BETWEEN 0 AND 1 THEN CAST(json_extract_string(p, '$.confidence') AS DOUBLE) END AS confidence
+  FROM e),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, chunk_index, attempt ORDER BY i) - 1 AS INTEGER) AS pos FROM f WHERE text IS NOT NULL AND predicate IS NOT NULL AND s_name IS NOT NULL AND o_name IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID},
+n AS (SELECT doc_id, chunk_index, attempt, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, chunk_index, attempt, ps IS NOT NULL AS usable, CAST(CASE WHEN ps IS NOT NULL THEN coalesce(n, 0) END AS INTEGER) AS kept FROM v LEFT JOIN n USING (doc_id, chunk_index, attempt)"""
+)
+def parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = extraction.parse_replies(replies(spark, sf_dir))
+    return parsed.select("doc_id", "chunk_index", "attempt", F.col("propositions").isNotNull().alias("usable"), F.when(F.col("propositions").isNotNull(), F.size("propositions")).alias("kept"))
+
+
+_FIRST = """, a AS (SELECT doc_id, chunk_index, CAST(count(*) AS INTEGER) AS attempts, CAST(min(attempt) FILTER (WHERE ps IS NOT NULL) AS INTEGER) AS attempt FROM v WHERE attempt <= 3 GROUP BY ALL)"""
+
+
+@query(f"WITH {_REPLIES_SQL}, {_VALID}{_FIRST} SELECT * FROM a")
+def first_valid_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.first_valid_attempts(extraction.parse_replies(replies(spark, sf_dir))).select("doc_id", "chunk_index", "attempts", "attempt")
+
+
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID}{_FIRST}
+SELECT g.doc_id, g.chunk_index, pos, local_id, text, s_name, s_type, predicate, o_name, o_type, confidence FROM g JOIN a ON g.doc_id = a.doc_id AND g.chunk_index = a.chunk_index AND g.attempt = a.attempt"""
+)
+def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extraction.proposition_rows(outcomes_of_replies(replies(spark, sf_dir)))
+    return rows.select(
+        "doc_id", "chunk_index", "pos", "local_id", "text", F.col("subject.name").alias("s_name"), F.col("subject.type").alias("s_type"), "predicate", F.col("object.name").alias("o_name"), F.col("object.type").alias("o_type"), "confidence"
+    )
+
+
+# Chunk states with failures by key: the engine failed for good at every 29th customer.
+_OUTCOMES = """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS INTEGER) AS chunk_index, c_custkey % 7 <> 3 AND c_custkey % 29 <> 17 AS ok,
+CASE WHEN c_custkey % 29 = 17 THEN 'fatal ' || c_custkey WHEN c_custkey % 7 = 3 THEN 'soft ' || c_custkey END AS error, c_custkey % 29 = 17 AS fatal"""
+_STATUS_SQL = f"""o AS ({_OUTCOMES} FROM customer), x AS (SELECT *, min(chunk_index) FILTER (WHERE fatal) OVER (PARTITION BY doc_id) AS cut FROM o),
+s AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index > cut THEN 'skipped' WHEN ok THEN 'ok' ELSE 'dropped' END AS state, CASE WHEN coalesce(chunk_index <= cut, true) AND NOT ok THEN error END AS error FROM x)"""
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.chunk_status(spark.sql(f"{_OUTCOMES} FROM {{customer}}", customer=table(spark, sf_dir, "customer")))
+
+
+@query(f"WITH {_STATUS_SQL} SELECT * FROM s")
+def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_STATUS_SQL} SELECT doc_id, count(*) AS chunks, coalesce(string_agg(chunk_index, ',' ORDER BY chunk_index) FILTER (WHERE state <> 'ok'), '') AS dropped_chunks,
+arg_max(error, chunk_index) FILTER (WHERE error IS NOT NULL) AS drop_error FROM s GROUP BY doc_id"""
+)
+def drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.drop_report(_status(spark, sf_dir)).withColumn("dropped_chunks", F.array_join(F.col("dropped_chunks").cast("array<string>"), ","))
+
+
+# -- mapped propositions -----------------------------------------------------------
+
+_PROPS = """
+SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 0 AS chunk_index, CAST(c_custkey AS INTEGER) AS pos, 'p1' AS local_id, c_name AS s_name, 'person' AS s_type, 'is located in' AS predicate, n_name AS o_name, 'location' AS o_type
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), 1, n_nationkey, 'p2', n_name, 'location', 'is part of', r_name, 'location' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(2 + k % 14 AS INTEGER), CAST(k * 8 + l AS INTEGER), 'p' || l, s_name, 'organization', 'supplies', p_name, 'artifact'
+FROM (SELECT l_orderkey AS k, l_linenumber AS l, min(l_suppkey) AS s, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber) t
+JOIN {supplier} ON s_suppkey = s JOIN {part} ON p_partkey = p JOIN {nation} ON s_nationkey = n_nationkey"""
+_TABLES = ("customer", "nation", "region", "lineitem", "supplier", "part")
+_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^(the|a|an)\s+', ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def mapped_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_PROPS, **{t: table(spark, sf_dir, t) for t in _TABLES})
+    text = F.concat("s_name", F.lit(" "), "predicate", F.lit(" "), "o_name", F.lit("."))
+    mention = lambda e: F.struct(F.col(f"{e}_name").alias("name"), F.col(f"{e}_type").alias("type"))
+    return rows.select("doc_id", "chunk_index", "pos", "local_id", text.alias("text"), mention("s").alias("subject"), "predicate", mention("o").alias("object"), F.lit(None).cast("double").alias("confidence"))
+
+
+_GRAPH = f"""
+props AS MATERIALIZED (SELECT *, s_name || ' ' || predicate || ' ' || o_name || '.' AS text, (CAST(chunk_index AS BIGINT) << 32) + pos AS ord, 'c' || chunk_index || '-' || local_id || '-' || pos AS gid FROM ({_PROPS.format(**{t: t for t in _TABLES})})),
+ment AS (SELECT doc_id, (CAST(chunk_index AS BIGINT) << 32) + pos * 2 AS seq, chunk_index, s_name AS name, s_type AS type FROM props UNION ALL SELECT doc_id, (CAST(chunk_index AS BIGINT) << 32) + pos * 2 + 1, chunk_index, o_name, o_type FROM props),
+keyed AS (SELECT *, {_KEY.format("name")} AS key FROM ment),
+ents AS (SELECT *, 'n' || (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1) AS id FROM (SELECT doc_id, key, type, min(seq) AS first_seq, arg_min(name, seq) AS label, count(*) AS mentions, list_sort(list(DISTINCT chunk_index)) AS source_chunks FROM keyed GROUP BY doc_id, key, type)),
+sup AS (SELECT p.*, s.id AS source, t.id AS target FROM props p JOIN ents s ON s.doc_id = p.doc_id AND s.key = {_KEY.format("s_name")} AND s.type = s_type JOIN ents t ON t.doc_id = p.doc_id AND t.key = {_KEY.format("o_name")} AND t.type = o_type),
+edg AS MATERIALIZED (SELECT *, 'e' || (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1) AS id FROM (SELECT doc_id, source, target, predicate AS label, min(ord) AS first, count(*) AS weight, list(gid ORDER BY ord) AS propositions FROM sup GROUP BY doc_id, source, target, predicate)),
+deg AS (SELECT doc_id, id, count(*) AS degree FROM (SELECT doc_id, source AS id FROM edg UNION ALL SELECT doc_id, target FROM edg) GROUP BY doc_id, id),
+nod AS MATERIALIZED (SELECT e.*, coalesce(degree, 0) AS degree, mentions / 1000.0 AS rank, CAST(substr(e.id, 2) AS BIGINT) AS num FROM ents e LEFT JOIN deg d ON d.doc_id = e.doc_id AND d.id = e.id)"""
+
+
+def mapped_graph(spark: SparkSession, sf_dir: str) -> graph.KnowledgeGraph:
+    """Exact merge only; a thousandth of the mentions stands in for the rank, which has a query of its own."""
+    g = graph.assemble_graph(mapped_propositions(spark, sf_dir), fuzzy=False, rank=False)
+    g.nodes = saved(g.nodes.withColumn("rank", F.col("mentions") / 1000.0), "mapped-nodes")
+    return g
+
+
+def _joined(column: str) -> F.Column:
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, label, type, mentions, degree, array_to_string(source_chunks, ',') AS source_chunks FROM nod")
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_graph(spark, sf_dir).nodes.select("doc_id", "id", "label", "type", "mentions", "degree", _joined("source_chunks"))
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, source, target, label, weight FROM edg")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_graph(spark, sf_dir).edges.select("doc_id", "id", "source", "target", "label", "weight")
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, array_to_string(propositions, ',') AS propositions FROM edg")
+def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_graph(spark, sf_dir).edges.select("doc_id", "id", _joined("propositions"))
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, degree FROM nod")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return graph.degrees(g.nodes, g.edges)
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, gid AS id, text, chunk_index AS source_chunk FROM props")
+def proposition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.proposition_records(mapped_propositions(spark, sf_dir))
+
+
+def _rank_sql(rounds: int) -> str:
+    parts = [
+        "flat AS (SELECT doc_id, source, target, CAST(sum(weight) AS DOUBLE) AS w FROM edg GROUP BY ALL)",
+        "tot AS (SELECT doc_id, source, sum(w) AS t FROM flat GROUP BY ALL)",
+        "shr AS MATERIALIZED (SELECT f.doc_id, f.source, target, w / t AS share FROM flat f JOIN tot USING (doc_id, source))",
+        "r0 AS (SELECT n.doc_id, n.id, count(*) OVER (PARTITION BY n.doc_id) AS n, t.source IS NULL AS loose, 1.0 / count(*) OVER (PARTITION BY n.doc_id) AS rank FROM nod n LEFT JOIN tot t ON t.doc_id = n.doc_id AND t.source = n.id)",
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(
+            f"""r{k} AS MATERIALIZED (SELECT r.doc_id, r.id, r.n, r.loose, 0.15 / r.n + 0.85 * (coalesce(g.got, 0) + s.spread / r.n) AS rank FROM r{k - 1} r
+LEFT JOIN (SELECT r.doc_id, target AS id, sum(rank * share) AS got FROM r{k - 1} r JOIN shr ON shr.doc_id = r.doc_id AND shr.source = r.id GROUP BY ALL) g ON g.doc_id = r.doc_id AND g.id = r.id
+JOIN (SELECT doc_id, sum(CASE WHEN loose THEN rank ELSE 0 END) AS spread FROM r{k - 1} GROUP BY doc_id) s ON s.doc_id = r.doc_id)"""
+        )
+    return f"WITH {_GRAPH}, " + ", ".join(parts) + f" SELECT doc_id, id, round(rank, 8) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(8))
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return graph.pagerank(g.nodes, g.edges, rounds=8, exact_rounds=True).withColumn("rank", F.round("rank", 8))
+
+
+@query(_rank_sql(6))
+def pagerank_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return graph.pagerank_rounds(g.nodes, g.edges, rounds=6, exact_rounds=True).withColumn("rank", F.round("rank", 8))
+
+
+@query(
+    f"""WITH {_GRAPH}, seen AS (SELECT doc_id, name, min((chunk_index, pos, side)) AS f FROM (SELECT doc_id, chunk_index, pos, 0 AS side, s_name AS name FROM props UNION ALL SELECT doc_id, chunk_index, pos, 1, o_name FROM props) GROUP BY doc_id, name),
+ch AS (SELECT DISTINCT doc_id, chunk_index FROM props),
+cand AS (SELECT ch.doc_id, ch.chunk_index, name, f, row_number() OVER (PARTITION BY ch.doc_id, ch.chunk_index ORDER BY f DESC) AS back FROM ch JOIN seen ON seen.doc_id = ch.doc_id AND seen.f[1] < ch.chunk_index)
+SELECT ch.doc_id, ch.chunk_index, coalesce(p, '') AS prior_entities FROM ch LEFT JOIN (SELECT doc_id, chunk_index, string_agg(name, ',' ORDER BY f) AS p FROM cand WHERE back <= 20 GROUP BY doc_id, chunk_index) q ON q.doc_id = ch.doc_id AND q.chunk_index = ch.chunk_index"""
+)
+def prior_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapped_propositions(spark, sf_dir)
+    return extraction.prior_entities(rows.select("doc_id", "chunk_index"), rows).withColumn("prior_entities", F.array_join("prior_entities", ","))
+
+
+# -- resolution ----------------------------------------------------------------------
+
+_VARIANT = "CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', ' -  ') || '!' ELSE p_name END"
+_MENTIONS = f"SELECT CAST(p_size % 5 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS seq, CAST(p_partkey % 16 AS INTEGER) AS chunk_index, {_VARIANT} AS name, CASE WHEN p_partkey % 10 < 7 THEN 'artifact' ELSE 'concept' END AS type"
+_KEYED = f"mentions AS ({_MENTIONS} FROM part), keyed AS (SELECT *, {_KEY.format('name')} AS key FROM mentions)"
+
+
+def variant_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"{_MENTIONS} FROM {{part}}", part=table(spark, sf_dir, "part"))
+
+
+@query(f"WITH {_KEYED} SELECT seq, key FROM keyed")
+def norm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_mentions(spark, sf_dir).select("seq", norm_key("name").alias("key"))
+
+
+@query(f"WITH {_KEYED} SELECT doc_id, key, type, min(seq) AS first_seq, count(*) AS mentions FROM keyed WHERE key <> '' GROUP BY ALL")
+def exact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.surface_clusters(variant_mentions(spark, sf_dir))
+
+
+@query(f"WITH {_KEYED} SELECT doc_id, key, type, name AS form, count(*) AS n, min(seq) AS form_seq FROM keyed WHERE key <> '' GROUP BY ALL")
+def form_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.form_counts(variant_mentions(spark, sf_dir))
+
+
+_ENTITIES = f"""{_KEYED}, cl AS (SELECT doc_id, key, type, min(seq) AS first_seq FROM keyed WHERE key <> '' GROUP BY ALL),
+fo AS (SELECT k.doc_id, k.key, k.type, name AS form, count(*) AS n, min(seq) AS form_seq FROM keyed k WHERE key <> '' GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_ENTITIES}, num AS (SELECT *, 'n' || (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1) AS id FROM cl),
+lab AS (SELECT f.*, row_number() OVER (PARTITION BY doc_id, key, type ORDER BY n DESC, length(form) DESC, form_seq) AS r FROM fo f),
+ag AS (SELECT doc_id, key, type, max(form) FILTER (WHERE r = 1) AS label, coalesce(string_agg(form, '|' ORDER BY form_seq) FILTER (WHERE r > 1), '') AS aliases, CAST(sum(n) AS BIGINT) AS mentions FROM lab GROUP BY ALL),
+so AS (SELECT doc_id, key, type, array_to_string(list_sort(list(DISTINCT chunk_index)), ',') AS source_chunks FROM keyed GROUP BY ALL)
+SELECT doc_id, id, label, type, aliases, mentions, source_chunks FROM num JOIN ag USING (doc_id, key, type) JOIN so USING (doc_id, key, type)"""
+)
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolution.resolve_entities(variant_mentions(spark, sf_dir), fuzzy=False).entities
+    return found.select("doc_id", "id", "label", "type", F.array_join("aliases", "|").alias("aliases"), "mentions", _joined("source_chunks"))
+
+
+def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, and as plurals in one word, in one document."""
+    rows = spark.sql("SELECT p_partkey, p_name AS w FROM {part} UNION ALL SELECT p_partkey, replace(p_name, ' ', '') || 's' FROM {part}", part=table(spark, sf_dir, "part"))
+    # the plural forms come after all others
+    return rows.groupBy("w").agg(F.min(F.col("p_partkey") * 2 + F.when(F.endswith("w", F.lit("s")), 1).otherwise(0)).alias("first_seq")).select(F.lit(0).cast("long").alias("doc_id"), "first_seq", F.col("w").alias("key"), F.lit("artifact").alias("type"))
+
+
+_JW = """
+words AS MATERIALIZED (SELECT w AS key, min(p_partkey * 2 + CASE WHEN ends_with(w, 's') THEN 1 ELSE 0 END) AS seq FROM (SELECT p_partkey, p_name AS w FROM part UNION ALL SELECT p_partkey, replace(p_name, ' ', '') || 's' FROM part) GROUP BY w),
+prs AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b, a.key AS x, b.key AS y, length(a.key) AS lx, length(b.key) AS ly, greatest(0, greatest(length(a.key), length(b.key)) // 2 - 1) AS win FROM words a JOIN words b ON a.seq < b.seq),
+st AS (SELECT a, b, 0 AS i, CAST([] AS INTEGER[]) AS mi, CAST([] AS INTEGER[]) AS us FROM prs
+  UNION ALL SELECT q.a, q.b, q.i, CASE WHEN q.j IS NULL THEN q.mi ELSE list_append(q.mi, q.i) END, CASE WHEN q.j IS NULL THEN q.us ELSE list_append(q.us, q.j) END FROM (
+    SELECT s.a, s.b, s.i + 1 AS i, s.mi, s.us, list_filter(range(CAST(greatest(1, s.i + 1 - win) AS BIGINT), CAST(least(ly, s.i + 1 + win) + 1 AS BIGINT)), lambda j: substr(y, j, 1) = substr(x, s.i + 1, 1) AND NOT list_contains(s.us, CAST(j AS INTEGER)))[1] AS j
+    FROM st s JOIN prs p ON p.a = s.a AND p.b = s.b WHERE s.i < lx) q),
+fin AS (SELECT s.a, s.b, x, y, lx, ly, mi, list_sort(us) AS us, len(mi) AS m FROM st s JOIN prs p ON p.a = s.a AND p.b = s.b WHERE s.i = lx),
+tra AS (SELECT *, len(list_filter(range(1, m + 1), lambda k: substr(x, mi[k], 1) <> substr(y, us[k], 1))) AS tr, CASE WHEN left(x, 1) <> left(y, 1) THEN 0 WHEN left(x, 2) <> left(y, 2) OR least(lx, ly) < 2 THEN 1 WHEN left(x, 3) <> left(y, 3) OR least(lx, ly) < 3 THEN 2 WHEN left(x, 4) <> left(y, 4) OR least(lx, ly) < 4 THEN 3 ELSE 4 END AS pre FROM fin),
+jar AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE (m / lx + m / ly + (m - tr / 2) / m) / 3 END AS jaro FROM tra),
+sim AS MATERIALIZED (SELECT a, b, x AS key_a, y AS key_b, jaro + pre * 0.1 * (1 - jaro) AS similarity FROM jar)"""
+
+
+@query(f"WITH RECURSIVE {_JW} SELECT a, b, key_a, key_b, round(similarity, 8) AS similarity FROM sim WHERE similarity >= 0.92")
+def jw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.jaro_winkler_pairs(word_clusters(spark, sf_dir)).select("a", "b", "key_a", "key_b", F.round("similarity", 8).alias("similarity"))
+
+
+@query(
+    f"""WITH RECURSIVE {_JW}, lk AS (SELECT a, b FROM sim WHERE similarity >= 0.92 UNION SELECT b, a FROM sim WHERE similarity >= 0.92),
+re AS (SELECT a AS node, a AS other FROM lk UNION SELECT re.node, lk.b FROM re JOIN lk ON lk.a = re.other) SELECT node, min(other) AS component FROM re GROUP BY node"""
+)
+def jw_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = resolution.jaro_winkler_pairs(word_clusters(spark, sf_dir))
+    return components(pairs, by=["doc_id"]).select("node", "component")
+
+
+_COSINE = "prs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+
+
+def _vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("doc_id"), F.col("vec_id").alias("first_seq"), F.col("vec_id").cast("string").alias("key"), F.col("label").cast("string").alias("type"), "embedding")
+
+
+@query(f"WITH {_COSINE} SELECT a, b, round(similarity, 6) AS similarity FROM prs WHERE similarity >= 0.35")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.cosine_pairs(_vector_clusters(spark, sf_dir), threshold=0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH RECURSIVE {_COSINE}, lk AS (SELECT a, b FROM prs WHERE similarity >= 0.35 UNION SELECT b, a FROM prs WHERE similarity >= 0.35),
+re AS (SELECT a AS node, a AS other FROM lk UNION SELECT re.node, lk.b FROM re JOIN lk ON lk.a = re.other) SELECT node, min(other) AS component FROM re GROUP BY node"""
+)
+def cosine_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(resolution.cosine_pairs(_vector_clusters(spark, sf_dir), threshold=0.35), by=["doc_id"]).select("node", "component")
+
+
+# -- graph queries -------------------------------------------------------------------
+
+_SEEDS = "seeds AS (SELECT doc_id, id AS seed FROM nod WHERE type = 'location')"
+
+
+@query(
+    f"""WITH {_GRAPH}, {_SEEDS}, inc AS (SELECT e.doc_id, seed, e.source, e.target FROM edg e JOIN seeds s ON s.doc_id = e.doc_id AND (seed = source OR seed = target))
+SELECT doc_id, seed, seed AS id FROM seeds UNION SELECT doc_id, seed, source FROM inc UNION SELECT doc_id, seed, target FROM inc"""
+)
+def ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return inspect.ego_network(g, g.nodes.filter("type = 'location'"))[0]
+
+
+@query(f"WITH {_GRAPH}, {_SEEDS} SELECT DISTINCT e.doc_id, seed, e.id AS edge_id FROM edg e JOIN seeds s ON s.doc_id = e.doc_id AND (seed = source OR seed = target)")
+def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return inspect.ego_network(g, g.nodes.filter("type = 'location'"))[1]
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id AS edge_id, source AS id FROM edg WHERE label = 'supplies' UNION SELECT doc_id, id, target FROM edg WHERE label = 'supplies'")
+def edge_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    return inspect.edge_neighbourhood(g, g.edges.filter("label = 'supplies'"))
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT e.doc_id, e.source AS id, e.id AS edge_id, '→ ' || e.label || ' ' || t.label AS relation FROM edg e JOIN nod t ON t.doc_id = e.doc_id AND t.id = e.target
+UNION ALL SELECT e.doc_id, e.target, e.id, '← ' || s.label || ' ' || e.label FROM edg e JOIN nod s ON s.doc_id = e.doc_id AND s.id = e.source WHERE e.source <> e.target"""
+)
+def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.node_detail(mapped_graph(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT doc_id, id, label, type || ' · ' || mentions || ' mention' || CASE WHEN mentions = 1 THEN '' ELSE 's' END || ' · degree ' || degree || ' · rank ' || printf('%.4f', CAST(rank AS DOUBLE)) AS header, '' AS also, array_to_string(source_chunks, ', ') AS chunks FROM nod"""
+)
+def node_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.node_header(mapped_graph(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_GRAPH}, cl AS (SELECT doc_id, source, target, predicate, string_agg(text, '|' ORDER BY ord) AS claims FROM sup GROUP BY ALL)
+SELECT e.doc_id, e.id, s.label AS source_label, e.label, t.label AS target_label, weight, CAST(len(propositions) AS INTEGER) AS supporting, claims
+FROM edg e JOIN nod s ON s.doc_id = e.doc_id AND s.id = e.source JOIN nod t ON t.doc_id = e.doc_id AND t.id = e.target JOIN cl c ON c.doc_id = e.doc_id AND c.source = e.source AND c.target = e.target AND c.predicate = e.label"""
+)
+def edge_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.edge_detail(mapped_graph(spark, sf_dir)).withColumn("claims", F.array_join("claims", "|"))
+
+
+_COLOR = "CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in TYPE_COLOR.items()) + f" ELSE '{TYPE_COLOR['other']}' END"
+_LINES = "mentions || ' mention' || CASE WHEN mentions = 1 THEN '' ELSE 's' END"
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, CASE WHEN length(label) > 12 THEN left(label, 11) || '…' ELSE label END AS label, round(5 + sqrt(mentions) * 3, 6) AS size, {_COLOR} AS color FROM nod")
+def visual_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.visual_nodes(mapped_graph(spark, sf_dir).nodes, max_label=12).withColumn("size", F.round("size", 6))
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, id, round(CAST(least(1 + weight * 0.7, 5.0) AS DOUBLE), 6) AS width FROM edg")
+def visual_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.visual_edges(mapped_graph(spark, sf_dir).edges).withColumn("width", F.round(F.col("width").cast("double"), 6))
+
+
+_CIRCLE = "pos AS MATERIALIZED (SELECT doc_id, id, cos(2 * pi() * num / count(*) OVER (PARTITION BY doc_id)) AS x, sin(2 * pi() * num / count(*) OVER (PARTITION BY doc_id)) AS y FROM nod)"
+
+
+@query(f"WITH {_GRAPH}, {_CIRCLE} SELECT doc_id, id, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM pos")
+def circular_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.circular_layout(mapped_graph(spark, sf_dir).nodes).select("doc_id", "id", (F.round("x", 6) + 0).alias("x"), (F.round("y", 6) + 0).alias("y"))
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT d.doc_id, 'region ' || d.doc_id AS title, nodes, edges, chunk_count FROM (SELECT doc_id, count(*) AS nodes FROM nod GROUP BY doc_id) d
+JOIN (SELECT doc_id, count(*) AS edges FROM edg GROUP BY doc_id) e USING (doc_id) JOIN (SELECT doc_id, CAST(count(DISTINCT chunk_index) AS INTEGER) AS chunk_count FROM props GROUP BY doc_id) c USING (doc_id)"""
+)
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    counted = g.propositions.groupBy("doc_id").agg(F.countDistinct("source_chunk").cast("int").alias("chunk_count"))
+    g.meta = counted.select("doc_id", F.concat(F.lit("region "), F.col("doc_id").cast("string")).alias("title"), "chunk_count")
+    return inspect.run_summary(g)
+
+
+# -- exports -------------------------------------------------------------------------
+
+_CANVAS = f"""WITH {_GRAPH}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, num) - 1 AS ord FROM nod)
+SELECT doc_id, id, CAST(ord AS INTEGER) AS ord, '**' || label || '**' || chr(10) || '_' || type || ' · ' || {_LINES} || '_' AS text,
+CAST(floor(340 * sqrt(ord + 0.5) * cos(ord * pi() * (3 - sqrt(5))) + 0.5) AS BIGINT) AS x, CAST(floor(340 * sqrt(ord + 0.5) * sin(ord * pi() * (3 - sqrt(5))) + 0.5) AS BIGINT) AS y,
+CAST(least(360, greatest(200, 120 + length(label) * 8)) AS INTEGER) AS width, CAST(60 + least(60, greatest(0, (mentions - 1) * 6)) AS INTEGER) AS height, {_COLOR} AS color FROM o"""
+
+
+@query(_CANVAS)
+def canvas_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.canvas_nodes(mapped_graph(spark, sf_dir).nodes)
+
+
+_NAMES = rf"""nm AS (SELECT *, CASE WHEN k > 1 THEN base || ' (' || k || ')' ELSE base END AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(base) ORDER BY num) AS k FROM
+(SELECT doc_id, id, num, label, coalesce(nullif(trim(regexp_replace(regexp_replace(label, '[\\/:*?"<>|#^\[\]]', ' ', 'g'), '\s+', ' ', 'g')), ''), 'untitled') AS base FROM nod)))"""
+
+
+def _cut_labels(g: graph.KnowledgeGraph) -> graph.KnowledgeGraph:
+    """Labels cut to ten characters, so that names collide."""
+    g.nodes = g.nodes.withColumn("label", F.substring("label", 1, 10))
+    return g
+
+
+_CUT = _GRAPH.replace("nod AS MATERIALIZED (SELECT e.*,", "nod AS MATERIALIZED (SELECT e.* REPLACE (left(label, 10) AS label),")
+
+
+@query(f"WITH {_CUT}, {_NAMES} SELECT doc_id, id, name FROM nm")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.unique_names(_cut_labels(mapped_graph(spark, sf_dir)).nodes)
+
+
+@query(
+    f"""WITH {_CUT}, {_NAMES} SELECT e.doc_id, e.source AS id, CAST(substr(e.id, 2) AS BIGINT) AS ord, '- ' || e.label || ' ' || CASE WHEN m.label = m.name THEN '[[' || m.name || ']]' ELSE '[[' || m.name || '|' || m.label || ']]' END AS line
+FROM edg e JOIN nm m ON m.doc_id = e.doc_id AND m.id = e.target"""
+)
+def vault_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _cut_labels(mapped_graph(spark, sf_dir))
+    return export.vault_relations(g, export.unique_names(g.nodes))
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, source AS id, gid, '- ' || text AS line FROM sup")
+def vault_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    by_place = g.edges.select("doc_id", F.col("source").alias("id"), F.substring("id", 2, 20).cast("long").alias("e"), F.posexplode("propositions").alias("k", "gid"))
+    lines = export.vault_claims(g).select("doc_id", "id", F.col("ord.e").alias("e"), F.col("ord.k").alias("k"), "line")
+    return lines.join(by_place, ["doc_id", "id", "e", "k"]).select("doc_id", "id", "gid", "line")
+
+
+_NOTES = f"""WITH {_CUT}, {_NAMES},
+rel AS (SELECT e.doc_id, e.source AS id, string_agg('- ' || e.label || ' ' || CASE WHEN m.label = m.name THEN '[[' || m.name || ']]' ELSE '[[' || m.name || '|' || m.label || ']]' END, chr(10) ORDER BY CAST(substr(e.id, 2) AS BIGINT)) AS t FROM edg e JOIN nm m ON m.doc_id = e.doc_id AND m.id = e.target GROUP BY ALL),
+cla AS (SELECT s.doc_id, s.source AS id, string_agg('- ' || text, chr(10) ORDER BY CAST(substr(e.id, 2) AS BIGINT), ord) AS t FROM sup s JOIN edg e ON e.doc_id = s.doc_id AND e.source = s.source AND e.target = s.target AND e.label = s.predicate GROUP BY ALL)
+SELECT n.doc_id, n.id, m.name || '.md' AS path, '---' || chr(10) || CASE WHEN n.label <> m.name THEN 'aliases:' || chr(10) || '  - "' || n.label || '"' || chr(10) ELSE '' END || 'type: ' || type || chr(10) || 'mentions: ' || mentions || chr(10) || 'degree: ' || degree || chr(10) || 'rank: ' || regexp_replace(regexp_replace(printf('%.15f', CAST(rank AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || chr(10) || '---' || chr(10) || chr(10) || '# ' || n.label || chr(10) || chr(10) || '> Type: ' || type || ' · Mentions: ' || mentions || ' · Degree: ' || degree || chr(10)
+|| coalesce(chr(10) || '## Relationships' || chr(10) || chr(10) || rel.t, '') || chr(10) || coalesce(chr(10) || '## Supporting claims' || chr(10) || chr(10) || cla.t, '') || chr(10) AS content
+FROM nod n JOIN nm m ON m.doc_id = n.doc_id AND m.id = n.id LEFT JOIN rel ON rel.doc_id = n.doc_id AND rel.id = n.id LEFT JOIN cla ON cla.doc_id = n.doc_id AND cla.id = n.id"""
+
+
+@query(_NOTES)
+def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.vault_notes(_cut_labels(mapped_graph(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT doc_id, num AS ord, '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '      <data key="type">' || type || '</data>' || chr(10) || '      <data key="mentions">' || mentions || '</data>' || chr(10) || '      <data key="rank">' || regexp_replace(regexp_replace(printf('%.15f', CAST(rank AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '</data>' || chr(10) || '    </node>' AS xml FROM nod"""
+)
+def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.graphml_nodes(mapped_graph(spark, sf_dir).nodes)
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT doc_id, CAST(substr(id, 2) AS BIGINT) AS ord, '    <edge id="' || id || '" source="' || source || '" target="' || target || '">' || chr(10) || '      <data key="elabel">' || label || '</data>' || chr(10) || '      <data key="weight">' || weight || '</data>' || chr(10) || '    </edge>' AS xml FROM edg"""
+)
+def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.graphml_edges(mapped_graph(spark, sf_dir).edges)
+
+
+_DRAWN = f"""{_GRAPH}, {_CIRCLE}, bx AS (SELECT doc_id, least(min(x), 0) AS lx, greatest(max(x), 1) AS hx, greatest(max(y), 1) AS hy FROM pos GROUP BY doc_id),
+dr AS MATERIALIZED (SELECT n.doc_id, n.id, num, label, mentions, type, 60 + (x - lx) * 1080 / greatest(hx - lx, 1e-6) AS cx, 60 + (hy - y) * 1080 / greatest(hx - lx, 1e-6) AS cy FROM nod n JOIN pos p ON p.doc_id = n.doc_id AND p.id = n.id JOIN bx ON bx.doc_id = n.doc_id)"""
+
+
+@query(f"WITH {_DRAWN} SELECT doc_id, id, num AS ord, round(cx, 4) AS cx, round(cy, 4) AS cy, round(5 + sqrt(greatest(mentions, 1)) * 3, 4) AS r, {_COLOR} AS fill, label FROM dr")
+def svg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = mapped_graph(spark, sf_dir).nodes
+    drawn = export.svg_nodes(n, inspect.circular_layout(n))
+    return drawn.select("doc_id", "id", "ord", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "r")], "fill", "label")
+
+
+@query(
+    f"""WITH {_DRAWN} SELECT e.doc_id, CAST(substr(e.id, 2) AS BIGINT) AS ord, round(s.cx, 4) AS x1, round(s.cy, 4) AS y1, round(t.cx, 4) AS x2, round(t.cy, 4) AS y2, round(CAST(least(1 + weight * 0.7, 5.0) AS DOUBLE), 6) AS width, e.label
+FROM edg e JOIN dr s ON s.doc_id = e.doc_id AND s.id = e.source JOIN dr t ON t.doc_id = e.doc_id AND t.id = e.target"""
+)
+def svg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mapped_graph(spark, sf_dir)
+    drawn = export.svg_nodes(g.nodes, inspect.circular_layout(g.nodes))
+    rows = export.svg_edges(g.edges, drawn)
+    return rows.select("doc_id", "ord", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], F.round(F.col("width").cast("double"), 6).alias("width"), "label")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT doc_id, '→' || source || ' ' || label || ' ' || target AS edge, weight FROM edg"""
+)
+def saved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph that was saved, listed and loaded again."""
+    store = f"{scratch(spark)}/graphs"
+    graph_id = persist.save_graph(mapped_graph(spark, sf_dir), store)
+    assert persist.list_graphs(spark, store).filter(F.col("graph_id") == graph_id).count() == 1
+    loaded = persist.load_graph(spark, store, graph_id)
+    return loaded.edges.select("doc_id", F.concat(F.lit("→"), "source", F.lit(" "), "label", F.lit(" "), "target").alias("edge"), "weight")
+
+
+# -- the whole run -----------------------------------------------------------------------
+
+
+@query()
+def rule_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to graph with the rule engine: edges of every document."""
+    g = run_pipeline(laid_out(spark, sf_dir), RuleEngine(), rank=False, created_at="2000-01-01T00:00:00.000Z")
+    return g.edges.select("doc_id", "id", "source", "target", "label", "weight")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """Edges of the documents' knowledge graphs, heaviest first."""
+    return rule_graph(spark, sf_dir).orderBy(F.desc("weight"), "doc_id", F.substring("id", 2, 20).cast("long"))
+
