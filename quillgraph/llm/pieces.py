@@ -17,13 +17,15 @@ Characters outside the vocabulary become byte pieces, or the unknown piece witho
 from __future__ import annotations
 
 import heapq
-import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .wordcols import mix, powers
+from .wordcols import joined, mix, powers, span_hashes
 
 SPACE = "▁"
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -84,7 +86,7 @@ class PieceModel:
     key_ids: np.ndarray = field(init=False)
     key_ranks: np.ndarray = field(init=False)  # by score, best first; equal scores, equal ranks
     longest: int = field(init=False)
-    unit: re.Pattern = field(init=False)
+    line_breaks: bool = field(init=False)
 
     def __post_init__(self):
         usable = np.flatnonzero((self.kinds == NORMAL) | (self.kinds == USER))
@@ -104,8 +106,7 @@ class PieceModel:
         ranks = np.unique(-self.scores[usable], return_inverse=True)[1].astype(np.int32)
         self.key_ranks = np.append(ranks[order], _NONE).astype(np.int32)
         self.key_ids = np.append(self.key_ids, self.unk)
-        breaks = "" if any("\n" in t and len(t) > 1 for t in texts) else "\n"
-        self.unit = re.compile(rf"{breaks + '|' if breaks else ''}{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+")
+        self.line_breaks = not any("\n" in t and len(t) > 1 for t in texts)  # a line break is a unit of its own
         self.unk_score = float(self.scores[usable].min()) - 10.0 if len(usable) else -10.0
         self.piece_bytes = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNK else p.replace(SPACE, " ").encode()
@@ -159,10 +160,35 @@ class PieceModel:
     def outside(self, char: str) -> list[int]:
         return self.byte_ids[list(char.encode("utf-8", "replace"))].tolist() if self.byte_ids is not None else [self.unk]
 
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.unit.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
+    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(raw, start, end, first): units as byte spans of raw; those of text i are first[i]:first[i + 1].
+
+        The blank before each text stands for the leading space that the model adds.
+        """
+        texts = pc.replace_substring(texts, SPACE, " ")
+        raw, blanks = joined(texts)
+        if not len(raw):
+            return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(blanks), np.int64)
+        space, line = raw == 0x20, (raw == 0x0A) if self.line_breaks else np.zeros(len(raw), bool)
+        begins = line.copy()
+        begins[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
+        begins[blanks[:-1]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        at_head = np.zeros(len(raw), bool)
+        at_head[blanks[:-1]] = True
+        head = at_head[start]
+        if not self.dummy_prefix:
+            start = start + head
+        empty = np.zeros(len(raw), bool)
+        empty[blanks[:-1][np.diff(blanks) == 1]] = True  # texts without characters have no units
+        keep = (end > start) & ~(head & empty[np.minimum(start, len(raw) - 1)])
+        start, end = start[keep], end[keep]
+        return raw, start, end, np.searchsorted(start, blanks)
+
+    @staticmethod
+    def unit(raw: np.ndarray, start: int, end: int) -> str:
+        return raw[start:end].tobytes().decode("utf-8", "replace").replace(" ", SPACE)
 
     # -- encoding --------------------------------------------------------------
 
@@ -342,3 +368,40 @@ class PieceModel:
         cut = begin[first].tolist()
         out = [data[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
         return [t[1:] if self.dummy_prefix and t.startswith(" ") else t for t in out]
+
+
+class UnitCache:
+    """What is known of units met so far, by their 64-bit hash: a flat run of int32 values each.
+
+    learn gives the values of new units. Above `limit` units all are forgotten.
+    """
+
+    def __init__(self, model: PieceModel, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.model, self.learn, self.limit = model, learn, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of all units in order, first): values of slot s are flat[ends[s]:ends[s + 1]]."""
+        raw, start, end, first = self.model.spans(texts)
+        unique, place, inverse = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        known = np.zeros(len(unique), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            known = self.keys[at] == unique
+        if not known.all():
+            if len(self.keys) + (~known).sum() > self.limit:
+                self._forget()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            values, sizes = self.learn([self.model.unit(raw, a, b) for a, b in zip(start[place[new]].tolist(), end[place[new]].tolist(), strict=True)])
+            slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+            self.flat = np.concatenate([self.flat, values])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+            keys, slot = np.concatenate([self.keys, unique[new]]), np.concatenate([self.slot, slots])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], slot[order]
+        return self.slot[np.searchsorted(self.keys, unique)][inverse], first

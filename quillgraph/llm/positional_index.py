@@ -29,7 +29,7 @@ from ..session import ship_package
 from .shared import saved
 from .wordcols import NOT_ALNUM, Words, pack, unpack, whole_window
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 QUERY_BYTES = 32 << 20
 
 _INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("terms", pa.binary()), ("places", pa.binary())])

@@ -7,47 +7,35 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .pieces import PieceModel
+from .pieces import PieceModel, UnitCache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 400  # texts at a time
+ROWS = 500  # texts at a time
 CACHE = 600_000  # encoded units that a task keeps
 
 
 class Encoder:
-    """Encodes texts, keeping the ids of units it has met: a number a unit, and flat ids by number."""
+    """Encodes texts, keeping the ids of units it has met."""
 
     def __init__(self, model: PieceModel, cache: int = CACHE):
-        self.model, self.limit = model, cache
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, units: set[str]) -> None:
-        new = list(units.difference(self.number))
-        if len(self.number) + len(new) > self.limit:
-            self._forget()
-            new = list(units)
-        ids = self.model.encode_units(new)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        def learn(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = model.encode_units(units)
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids], np.int64)
+
+        self.cache = UnitCache(model, learn, cache)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each text's begin (one more entry than texts)."""
-        units = [self.model.units(t) if t else [] for t in texts]
-        self._learn(set().union(*units))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64)
-        size = self.ends[which + 1] - self.ends[which]
+        slots, first = self.cache.look_up(texts)
+        ends = self.cache.ends
+        size = ends[slots + 1] - ends[slots]
         begin = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.ends[which] - begin[:-1], size) + np.arange(begin[-1])]
-        return ids, begin[np.concatenate([[0], np.cumsum([len(us) for us in units])])]
+        return self.cache.flat[np.repeat(ends[slots] - begin[:-1], size) + np.arange(begin[-1])], begin[first]
 
 
 def read_model(path: str) -> PieceModel:
@@ -77,12 +65,9 @@ def encode_texts(docs: DataFrame, *, model: str = MODEL, rows: int = ROWS) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                texts = part["text"].to_pylist()
-                ids, first = encode(texts)
-                back = sent.value.decode_batch(ids, first)
-                null = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids), mask=null)
-                exact = pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_())
+                ids, first = encode(part["text"])
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids), mask=part["text"].is_null())
+                exact = pc.equal(part["text"], pa.array(sent.value.decode_batch(ids, first), pa.string()))
                 yield pa.record_batch([part["doc_id"], lists, pa.array(np.diff(first)), exact], names=["doc_id", "ids", "n_ids", "exact"])
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, exact boolean")

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .pieces import PieceModel, _codes, mix
+from .pieces import PieceModel, UnitCache, _codes, mix
 from .sentencepiece_codec import CACHE, MODEL, read_model
 from .wordcols import powers
 
-ROWS = 1000  # texts at a time
+ROWS = 500  # texts at a time
 CELLS = 6_000_000  # pre-tokens times characters of one trie
 
 _BASE = np.uint64(0xC6A4A7935BD1E995 | 1)
@@ -112,16 +112,13 @@ def count_tokens(docs: DataFrame, *, model: str = MODEL, rows: int = ROWS, cache
     sent = spark.sparkContext.broadcast(read_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        model = sent.value
+        known = UnitCache(model, lambda units: (trie_counts(model, units).astype(np.int32), np.ones(len(units), np.int64)), cache)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                units = [sent.value.units(t) if t else [] for t in part["text"].to_pylist()]
-                new = list({u for us in units for u in us}.difference(known))
-                if len(known) + len(new) > cache:
-                    known.clear()
-                    new = list({u for us in units for u in us})
-                known.update(zip(new, trie_counts(sent.value, new).tolist(), strict=True))
-                yield pa.record_batch([part["doc_id"], pa.array([sum(map(known.__getitem__, us)) for us in units], pa.int64()), pa.array([len(us) for us in units], pa.int64())], names=["doc_id", "n_tokens", "n_pretokens"])
+                slots, first = known.look_up(part["text"])
+                total = np.concatenate([[0], np.cumsum(known.flat[known.ends[slots]], dtype=np.int64)])
+                yield pa.record_batch([part["doc_id"], pa.array(np.diff(total[first])), pa.array(np.diff(first))], names=["doc_id", "n_tokens", "n_pretokens"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long")

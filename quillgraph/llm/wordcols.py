@@ -43,7 +43,7 @@ _cache: dict[str, np.ndarray] = {}
 def _powers(kind: str, n: int) -> np.ndarray:
     got = _cache.get(kind)
     if got is None or len(got) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         got = _cache[kind] = powers(_BASE if kind == "up" else _BASE_INVERSE, size)
     return got[:n]
 
@@ -57,6 +57,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def joined(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, a blank before each, and the places of those blanks and of the end. Nulls are empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    n = len(texts)
+    wide = pa.types.is_large_string(texts.type)
+    if n:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+    else:
+        offsets, flat = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    raw = np.full(len(flat) + n, 0x20, np.uint8)
+    if len(flat):
+        raw[np.arange(len(flat)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = flat
+    return raw, offsets + np.arange(n + 1)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[raw] * _powers("up", len(raw)), out=total[1:])
+    return mix((total[end] - total[start]) * _powers("down", len(raw))[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -66,34 +96,15 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray, *, separators: np.ndarray, lower: bool):
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        if isinstance(texts, pa.ChunkedArray):  # no or several chunks
-            texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-        if texts.null_count:
-            texts = texts.fill_null("")
-        n = len(texts)
-        wide = pa.types.is_large_string(texts.type)
-        if n:
-            offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
-            data = texts.buffers()[2]
-            flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-            offsets = offsets - offsets[0]
-        else:
-            offsets, flat = np.zeros(1, np.int64), np.zeros(0, np.uint8)
-        raw = np.full(len(flat) + n + 1, 0x20, np.uint8)
-        # text i moves right by i + 1, which leaves one blank before each text
-        lengths = np.diff(offsets)
-        if len(flat):
-            raw[np.arange(len(flat)) + np.repeat(np.arange(1, n + 1), lengths)] = flat
+        raw, blanks = joined(texts)
         self.raw = _LOWER[raw] if lower else raw
         inside = ~separators[self.raw]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         if len(self.end) < len(self.start):
             self.end = np.append(self.end, len(raw))
-        self.first = np.searchsorted(self.start, np.append(offsets[:-1] + np.arange(1, n + 1), len(raw))).astype(np.int64)
-        self.n_texts = n
+        self.first = np.searchsorted(self.start, blanks).astype(np.int64)
+        self.n_texts = len(blanks) - 1
 
     @property
     def counts(self) -> np.ndarray:
@@ -104,11 +115,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash a word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.raw] * _powers("up", len(self.raw)), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _powers("down", len(self.raw))[self.start])
+        return span_hashes(self.raw, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]].tobytes()
