@@ -22,7 +22,7 @@ from ..session import ship_package
 SENTENCES: dict[str, tuple[str, ...]] = {
     "apache-2-line": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0"),
     "apache-2-head": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',),
-    "apache-2-copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    "apache-2-copy": ("You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
     "apache-2-basis": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
     "apache-2-see": ("See the License for the specific language governing permissions and limitations under the License",),
     "mit-line": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"),
@@ -87,8 +87,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _MARKS = re.compile(r"\n[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem\b)[ \t]?", re.IGNORECASE)
-# a stop before white space, a blank line, or a colon or semicolon at the end of a line
-_END = re.compile(r"(?<=[.!?])\s+|\n[ \t]*\n\s*|(?<=[:;])[ \t]*\n")
+# a stop before white space, a blank line, or a colon at the end of a line
+_END = re.compile(r"(?<=[.!?])\s+|\n[ \t]*\n\s*|(?<=:)[ \t]*\n")
 _OTHER = re.compile(r"[^a-z0-9*]+")
 
 

@@ -31,7 +31,7 @@ from ..session import ship_package
 
 # The default place rules and block patterns.
 PLACES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-PATTERNS = ("-pills.", "^casino^", "^poker^", "^viagra^", "^porn^", "^xxx^", "^payday-loans^", "||ads.*^", "/popunder/", "@@^edu^")
+PATTERNS = ("-pills.", "^casino^", "^poker^", "^viagra^", "^porn^", "^xxx^", "^payday-loans^", "||ads.*^", "/popunder/", "@@||edu^")
 
 _TOKEN = re.compile("[a-z0-9]+")
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}

@@ -1,0 +1,5 @@
+"""The brute-force versions, for the pipeline's test."""
+
+from test_pairs_and_passages import brute_components, brute_dedup, brute_hits
+
+__all__ = ["brute_components", "brute_dedup", "brute_hits"]
