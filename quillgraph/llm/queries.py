@@ -23,6 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = rf"regexp_extract_all(coalesce({_LOWER_SQL}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,12 +42,34 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+ORACLE_SQL["op5_ngram_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_BLANK_WORDS.format(_LOWER_SQL)} AS ws FROM documents),
+f AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT w.doc_id, coalesce(x.n, 0) AS n FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) x ON x.doc_id = w.doc_id),
+k AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.h = b.h AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, component_id, coalesce(l, 0) AS n_links FROM n JOIN c ON c.node = n.doc_id LEFT JOIN (SELECT a, count(*) AS l FROM e GROUP BY a) x ON x.a = n.doc_id"""
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), min_words=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL["op6_substring_dedup"] = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_BLANK_WORDS.format("text")} AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM v) WHERE r > 1),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM g),
+a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.i) AS kept FROM a ANTI JOIN c ON c.doc_id = a.doc_id AND c.i = a.i GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) m ON m.doc_id = w.doc_id"""
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
@@ -56,6 +83,18 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+ORACLE_SQL["op8_benchmark_decontamination"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM_WORDS} AS ws FROM benchmark),
+p AS MATERIALIZED (SELECT DISTINCT item, least(len(ws), 13) AS size, array_to_string(ws[i:i + 12], ' ') AS t FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+w AS MATERIALIZED (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+v AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS t FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT DISTINCT size FROM p) WHERE len(ws) >= size)),
+h AS MATERIALIZED (SELECT v.doc_id, v.i, v.size, p.item FROM v JOIN p ON p.size = v.size AND p.t = v.t),
+n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
+
+
 @query
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
