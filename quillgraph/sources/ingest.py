@@ -84,7 +84,7 @@ def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: S
 
     read = kinds.mapInArrow(decode, "path string, text string, error string")
     if strict:
-        read = read.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("text")))
+        read = read.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("text")))
     docs = read.filter("text IS NOT NULL").select(F.xxhash64("path").alias("doc_id"), "path", file_title("path").alias("title"), "text")
     return docs, read.filter("error IS NOT NULL").select("path", "error")
 
