@@ -359,7 +359,7 @@ def exact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_KEYED} SELECT doc_id, key, type, name AS form, count(*) AS n, min(seq) AS form_seq FROM keyed WHERE key <> '' GROUP BY ALL")
 def form_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.form_counts(variant_mentions(spark, sf_dir))
+    return resolution.form_counts(variant_mentions(spark, sf_dir)).drop("chunks")
 
 
 _ENTITIES = f"""{_KEYED}, cl AS (SELECT doc_id, key, type, min(seq) AS first_seq FROM keyed WHERE key <> '' GROUP BY ALL),

@@ -46,11 +46,11 @@ def build_edges(propositions: DataFrame, resolution: Resolution) -> DataFrame:
     support. Propositions with an unresolved end make no edge. Self-loops stay.
     """
     ends = with_global_ids(propositions).select("doc_id", "gid", "ord", "predicate", "subject", "object")
-    ends = resolution.ids_for(ends, name="subject.name", type="subject.type", into="source")
-    ends = resolution.ids_for(ends, name="object.name", type="object.type", into="target")
+    for end, into in (("subject", "source"), ("object", "target")):
+        ids = resolution.form_map.select("doc_id", F.col("form").alias("_form"), F.col("type").alias("_type"), F.col("id").alias(into))
+        ends = ends.withColumn("_form", F.col(f"{end}.name")).withColumn("_type", F.col(f"{end}.type")).join(ids, ["doc_id", "_form", "_type"]).drop("_form", "_type", end)
     edges = (
-        ends.filter("source IS NOT NULL AND target IS NOT NULL")
-        .groupBy("doc_id", "source", "target", F.col("predicate").alias("label"))
+        ends.groupBy("doc_id", "source", "target", F.col("predicate").alias("label"))
         .agg(F.min("ord").alias("first"), F.count("*").alias("weight"), F.array_sort(F.collect_list(F.struct("ord", "gid"))).alias("support"))
     )
     edges = numbered(edges, by=["doc_id"], order=["first"], name="number")
@@ -143,7 +143,7 @@ def assemble_graph(propositions: DataFrame, meta: DataFrame | None = None, *, ve
     """The graph of each document's propositions; without propositions all relations are empty."""
     propositions = saved(propositions, "propositions")
     resolution = resolve_entities(mentions_of(propositions), vectors=vectors, **resolution_options)
-    resolution = Resolution(saved(resolution.entities, "entities"), saved(resolution.id_map, "entity-ids"))
+    resolution = Resolution(saved(resolution.entities, "entities"), resolution.id_map, saved(resolution.form_map, "form-ids"))
     edges = saved(build_edges(propositions, resolution), "edges")
     nodes = resolution.entities.join(degrees(resolution.entities, edges), ["doc_id", "id"])
     ranks = pagerank(resolution.entities, edges) if rank else resolution.entities.select("doc_id", "id", F.lit(0.0).alias("rank"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, utf16_length
-from ..session import ship_package
+from ..session import saved, ship_package
 from .chunking import _utf16
 from .components import components
 from .numbering import numbered
@@ -81,16 +81,19 @@ def mentions_of(propositions: DataFrame) -> DataFrame:
     return sides.select("doc_id", seq.alias("seq"), "chunk_index", "m.name", "m.type")
 
 
-def surface_clusters(mentions: DataFrame) -> DataFrame:
-    """(doc_id, key, type, first_seq, mentions): mentions of equal key and type; empty keys are left out."""
+def form_counts(mentions: DataFrame) -> DataFrame:
+    """(doc_id, key, type, form, n, form_seq, chunks): occurrences, first place and chunks of each raw form; empty keys are left out."""
     keyed = mentions.withColumn("key", norm_key("name")).filter("key <> ''")
-    return keyed.groupBy("doc_id", "key", "type").agg(F.min("seq").alias("first_seq"), F.count("*").alias("mentions"))
+    return keyed.groupBy("doc_id", "key", "type", F.col("name").alias("form")).agg(F.count("*").alias("n"), F.min("seq").alias("form_seq"), F.collect_set("chunk_index").alias("chunks"))
 
 
-def form_counts(mentions: DataFrame) -> DataFrame:
-    """(doc_id, key, type, form, n, form_seq): occurrences of each raw form."""
-    keyed = mentions.withColumn("key", norm_key("name")).filter("key <> ''")
-    return keyed.groupBy("doc_id", "key", "type", F.col("name").alias("form")).agg(F.count("*").alias("n"), F.min("seq").alias("form_seq"))
+def clusters_of_forms(forms: DataFrame) -> DataFrame:
+    """(doc_id, key, type, first_seq, mentions): forms of equal key and type."""
+    return forms.groupBy("doc_id", "key", "type").agg(F.min("form_seq").alias("first_seq"), F.sum("n").alias("mentions"))
+
+
+def surface_clusters(mentions: DataFrame) -> DataFrame:
+    return clusters_of_forms(form_counts(mentions))
 
 
 def _pairs(clusters: DataFrame, more: list[str]) -> DataFrame:
@@ -120,10 +123,13 @@ def cosine_pairs(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) ->
 
 @dataclass
 class Resolution:
-    """entities(doc_id, id, label, type, aliases, mentions, source_chunks, first_seq) and id_map(doc_id, key, type, id)."""
+    """entities(doc_id, id, label, type, aliases, mentions, source_chunks, first_seq), id_map(doc_id, key, type, id) and
+    the same for the raw forms met, form_map(doc_id, form, type, id), which needs no normalising.
+    """
 
     entities: DataFrame
     id_map: DataFrame
+    form_map: DataFrame
 
     def ids_for(self, names: DataFrame, *, name: str = "name", type: str = "type", into: str = "id") -> DataFrame:
         """names with the id of the entity that each name and type resolves to, or null."""
@@ -157,7 +163,8 @@ def resolve_entities(
     vectors  (key, embedding): unit vectors of normalised names, from any embedder
     fuzzy    False stops after the exact merge
     """
-    clusters = surface_clusters(mentions)
+    forms = saved(form_counts(mentions), "forms")  # one pass over the mentions; the rest works on distinct forms
+    clusters = clusters_of_forms(forms)
     if fuzzy:
         links = fuzzy_links(clusters, vectors, cosine_threshold=cosine_threshold, jaro_winkler_threshold=jaro_winkler_threshold)
         merged = components(links, by=["doc_id"]).select("doc_id", F.col("node").alias("first_seq"), F.col("component"))
@@ -166,16 +173,18 @@ def resolve_entities(
         placed = clusters.withColumn("entity_seq", F.col("first_seq"))
     heads = numbered(placed.filter("entity_seq = first_seq").select("doc_id", "entity_seq"), by=["doc_id"], order=["entity_seq"], name="number")
     placed = placed.join(heads, ["doc_id", "entity_seq"]).withColumn("id", F.concat(F.lit("n"), F.col("number").cast("string"))).drop("number")
-    id_map = placed.select("doc_id", "key", "type", "id", "entity_seq", "first_seq")
-    forms = form_counts(mentions).join(id_map, ["doc_id", "key", "type"])
+    id_map = saved(placed.select("doc_id", "key", "type", "id", "entity_seq", "first_seq"), "entity-ids")
+    placed_forms = forms.join(id_map, ["doc_id", "key", "type"])
     # the label leads: most frequent, then longest, then first
     rank = F.struct(-F.col("n"), -utf16_length("form"), F.col("first_seq"), F.col("form_seq"))
     in_order = F.struct("first_seq", "form_seq", "form")
-    by_entity = forms.groupBy("doc_id", "id", "type", "entity_seq").agg(
-        F.min_by("form", rank).alias("label"), F.array_sort(F.collect_list(in_order)).alias("forms"), F.sum("n").alias("mentions")
+    by_entity = placed_forms.groupBy("doc_id", "id", "type", "entity_seq").agg(
+        F.min_by("form", rank).alias("label"),
+        F.array_sort(F.collect_list(in_order)).alias("forms"),
+        F.sum("n").alias("mentions"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("source_chunks"),
     )
-    chunks = mentions.withColumn("key", norm_key("name")).join(id_map, ["doc_id", "key", "type"]).groupBy("doc_id", "id").agg(F.array_sort(F.collect_set("chunk_index")).alias("source_chunks"))
-    entities = by_entity.join(chunks, ["doc_id", "id"]).select(
+    entities = by_entity.select(
         "doc_id",
         "id",
         "label",
@@ -185,4 +194,4 @@ def resolve_entities(
         "source_chunks",
         F.col("entity_seq").alias("first_seq"),
     )
-    return Resolution(entities, id_map.select("doc_id", "key", "type", "id"))
+    return Resolution(entities, id_map.select("doc_id", "key", "type", "id"), placed_forms.select("doc_id", "form", "type", "id"))
