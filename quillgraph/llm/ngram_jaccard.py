@@ -27,11 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunked, components, saved, text_bytes
+from .shared import chunked, components, exchange_sizes, saved, text_bytes
 from .wordcols import BLANK, Words, mix, pack, unpack, whole_window, windows
 
-CHUNK_BYTES = 2 << 20  # text of a chunk
-BUCKET_BYTES = 4 << 20  # text whose shingles one bucket gets
 BLOCK_SETS = 4096  # sets of a piece of a block
 _SHIFT = np.uint64(16)  # document counts are kept by the top 48 bits
 
@@ -245,8 +243,8 @@ def jaccard_components(
     *,
     width: int = 5,
     percent: int = 75,
-    chunk_bytes: int = CHUNK_BYTES,
-    bucket_bytes: int = BUCKET_BYTES,
+    chunk_bytes: int | None = None,
+    bucket_bytes: int | None = None,
     block_sets: int = BLOCK_SETS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs(doc_id, text).
@@ -261,6 +259,7 @@ def jaccard_components(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bytes = text_bytes(docs)
+    chunk_bytes, bucket_bytes = exchange_sizes(n_bytes, chunk_bytes, bucket_bytes)
     n_buckets = max(24, -(-n_bytes // bucket_bytes))
     parts = chunked(docs, n_bytes, chunk_bytes=chunk_bytes)
     asked = parts.groupBy("chunk").applyInArrow(_requests(width, n_buckets), "bucket int, chunk int, blob binary")

@@ -17,6 +17,7 @@ blocks of that size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .wordcols import NOT_ALNUM, Words, pack, unpack, whole_window
 SEGMENT_BYTES = 2 << 20
 QUERY_BYTES = 32 << 20
 
-_INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("terms", pa.binary()), ("places", pa.binary())])
+_INDEX = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("terms", pa.binary()), ("places", pa.binary())])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], segment_bytes: int) -> Iterator[pa.Table]:
@@ -68,6 +69,7 @@ def _indexed(segment_bytes: int):
             gaps = np.diff(places, prepend=0)
             gaps[new] = places[new]  # each list starts at its own first place
             yield pa.record_batch([
+                pa.array([uuid.uuid4().hex]),
                 pa.array([table["doc_id"].to_numpy(zero_copy_only=False)] if not table["doc_id"].null_count else [table["doc_id"].to_pylist()], pa.list_(pa.int64())),
                 pa.array([words.first], pa.list_(pa.int64())),
                 pa.array([pack(ordered[new], counts)], pa.binary()),
@@ -85,7 +87,7 @@ def build_index(docs: DataFrame, *, segment_bytes: int = SEGMENT_BYTES) -> DataF
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(docs.mapInArrow(_indexed(segment_bytes), "doc_ids array<long>, doc_first array<long>, terms binary, places binary"), "positional-index")
+    return saved(docs.mapInArrow(_indexed(segment_bytes), "segment string, doc_ids array<long>, doc_first array<long>, terms binary, places binary"), "positional-index")
 
 
 class Segment:
@@ -231,8 +233,8 @@ def proximity_matches(index: DataFrame, terms: str, *, span: int) -> DataFrame:
     return index.mapInArrow(run, "doc_id long, start long, end long")
 
 
-_HITS = pa.schema([("segment", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-_HITS_DDL = "segment long, row int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_HITS = pa.schema([("segment", pa.string()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_HITS_DDL = "segment string, row int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def _hits(query, ids: list[str | None]):
@@ -266,7 +268,7 @@ def _hits(query, ids: list[str | None]):
                 doc = int(np.searchsorted(s.first, b, side="right")) - 1
                 spans[doc].append({"start": int(b - s.first[doc]), "end": int(e - s.first[doc])})
             yield pa.record_batch([
-                pa.array(np.full(n_docs, row["segment"])), pa.array(np.arange(n_docs, dtype=np.int32)), pa.array(s.doc_ids, pa.int64()), pa.array(np.diff(s.first)),
+                pa.array([row["segment"]] * n_docs, pa.string()), pa.array(np.arange(n_docs, dtype=np.int32)), pa.array(s.doc_ids, pa.int64()), pa.array(np.diff(s.first)),
                 pa.array(total[s.first[1:]] - total[s.first[:-1]]), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, _HITS.field("spans").type),
             ], schema=_HITS)
 
@@ -295,7 +297,6 @@ def contamination(
     """
     spark = docs.sparkSession
     index = build_index(docs, segment_bytes=segment_bytes) if index is None else index
-    numbered = index.withColumn("segment", F.monotonically_increasing_id())  # over a stored table
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-size // query_bytes))
@@ -305,7 +306,7 @@ def contamination(
         phrases, owners = item_phrases([r["text"] for r in rows], window)
         counts = term_counts(index, np.concatenate([p.ravel() for p in phrases])) if phrases else {}
         query = spark.sparkContext.broadcast((phrases, _ranked(phrases, counts), owners))
-        parts.append(numbered.mapInArrow(_hits(query, [r["item_id"] for r in rows]), _HITS_DDL))
+        parts.append(index.mapInArrow(_hits(query, [r["item_id"] for r in rows]), _HITS_DDL))
     if n_blocks == 1:
         return parts[0].drop("segment", "row")
     whole = parts[0]

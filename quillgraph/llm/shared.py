@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
+from ..operators.components import components
+from ..session import saved, scratch, ship_package
 
-def scratch(spark: SparkSession) -> str:
-    """Folder every executor can reach, from spark.checkpoint.dir.
-
-    Where the setting is absent (tests, one machine) a temporary folder is made;
-    on a cluster that would lose data, so there it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["chunked", "components", "exchange_sizes", "saved", "scratch", "text_bytes"]
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CHUNK_BYTES, MAX_CHUNK_BYTES = 2 << 20, 32 << 20
+BUCKET_BYTES, MAX_BUCKET_BYTES = 4 << 20, 128 << 20
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -39,6 +19,18 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"])
 
 
+def exchange_sizes(n_bytes: int, chunk_bytes: int | None, bucket_bytes: int | None) -> tuple[int, int]:
+    """Bytes of text of a chunk, and of the text whose hashes one bucket gets.
+
+    Every chunk sends a blob to every bucket, so with fixed sizes blobs would shrink as the
+    input grows. Both sizes follow the root of the input instead, which keeps a blob at some
+    60 hashes or more, up to bounds that a worker's memory sets: beyond a few TB blobs get
+    shorter again and cost a few bytes more a hash.
+    """
+    grown = max(1.0, 6 * 64 * n_bytes / (CHUNK_BYTES * BUCKET_BYTES)) ** 0.5
+    return chunk_bytes or min(MAX_CHUNK_BYTES, int(CHUNK_BYTES * grown)), bucket_bytes or min(MAX_BUCKET_BYTES, int(BUCKET_BYTES * grown))
+
+
 def chunked(docs: DataFrame, n_bytes: int, *, chunk_bytes: int, by: str = "doc_id") -> DataFrame:
     """docs with a `chunk` number: about chunk_bytes of text each, dealt by a hash of the id.
 
@@ -47,23 +39,3 @@ def chunked(docs: DataFrame, n_bytes: int, *, chunk_bytes: int, by: str = "doc_i
     ship_package(docs.sparkSession)
     n = max(1, -(-n_bytes // chunk_bytes))
     return docs.withColumn("chunk", F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(n)).cast("int"))
-
-
-def components(edges: DataFrame, *, src: str = "a", dst: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges, for every node on an edge.
-
-    Minimum labels spread along edges, then each label jumps to its label's label, so a
-    path of n nodes takes O(log n) rounds. Every round ends in the shared folder.
-    """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).union(edges.select(F.col(dst), F.col(src))).distinct()
-    both = saved(both, "cc-edges")
-    labels = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "cc-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "m").alias("l"), F.col("component").alias("was"))
-        hop = step.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        new = saved(step.join(hop, "l").select("node", F.col("ll").alias("component"), "was"), "cc-labels")
-        changed = new.filter("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels

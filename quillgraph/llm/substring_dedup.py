@@ -25,11 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .ngram_jaccard import _bounds
-from .shared import chunked, text_bytes
+from .shared import chunked, exchange_sizes, text_bytes
 from .wordcols import BLANK, Words, pack, unpack, whole_window, windows
 
-CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 4 << 20
 _SHIFT = np.uint64(16)
 _NO_ID = np.iinfo(np.int64).max  # null ids come after all others
 
@@ -196,8 +194,8 @@ def dedup_substrings(
     base_words: int = 10,
     carry: bool = False,
     keep_untouched: bool = False,
-    chunk_bytes: int = CHUNK_BYTES,
-    bucket_bytes: int = BUCKET_BYTES,
+    chunk_bytes: int | None = None,
+    bucket_bytes: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, removed) for each row of docs(doc_id, text).
 
@@ -224,6 +222,7 @@ def dedup_substrings(
         schema = _OUT.append(pa.field("carried", to_arrow_type(docs.schema["carried"].dataType)))
         ddl = T.StructType([*T.StructType.fromDDL(_OUT_DDL).fields, docs.schema["carried"]])
     n_bytes = text_bytes(docs)
+    chunk_bytes, bucket_bytes = exchange_sizes(n_bytes, chunk_bytes, bucket_bytes)
     n_buckets = max(24, -(-n_bytes // bucket_bytes))
     parts = chunked(docs, n_bytes, chunk_bytes=chunk_bytes)
     by_chunk = parts.groupBy("chunk")
