@@ -10,12 +10,20 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Arrow batches between the JVM and Python, unless the application sets its own: rows here are
+# whole documents, and batches of the default size take hundreds of MB outside the heap.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once a Spark context.
+    """Send this package's sources to the executors, once a Spark context, and bound the Arrow batches of the session.
 
     Python workers then find it wherever the driver was started from.
     """
     context = spark.sparkContext
+    for key, value in ARROW_BATCH.items():
+        if not context.getConf().contains(key):
+            spark.conf.set(key, value)
     if getattr(context, "_quillgraph_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
