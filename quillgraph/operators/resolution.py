@@ -7,6 +7,7 @@ first mention. All of it is carried in columns, so no result depends on partitio
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -121,6 +122,35 @@ def cosine_pairs(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) ->
     return _pairs(clusters, ["embedding"]).withColumn("similarity", cosine_column(F.col("embedding_a"), F.col("embedding_b"))).filter(F.col("similarity") >= threshold).drop("embedding_a", "embedding_b")
 
 
+def borderline_pairs(clusters: DataFrame, *, low: float = 0.78, threshold: float = COSINE_THRESHOLD) -> DataFrame:
+    """Pairs that just miss the cosine threshold, for a closer look by other means; they are not merged."""
+    return cosine_pairs(clusters, threshold=low).filter(F.col("similarity") < threshold)
+
+
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
+def embed_keys(clusters: DataFrame, make_embedder: Callable[[], Embedder | None]) -> DataFrame:
+    """(key, embedding) of the distinct keys of clusters, with an embedder made once a worker.
+
+    It is given batches of keys and returns unit vectors. Where there is none, or it fails,
+    keys get no vector, and their documents compare by text.
+    """
+    ship_package(clusters.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedder = make_embedder()
+        for batch in batches:
+            try:
+                vectors = embedder(batch["key"].tolist()) if embedder else []
+            except Exception:  # noqa: BLE001  text similarity takes over
+                vectors = []
+            if len(vectors) == len(batch):
+                yield pd.DataFrame({"key": batch["key"], "embedding": [list(map(float, v)) for v in vectors]})
+
+    return clusters.select("key").distinct().mapInPandas(run, "key string, embedding array<double>")
+
+
 @dataclass
 class Resolution:
     """entities(doc_id, id, label, type, aliases, mentions, source_chunks, first_seq), id_map(doc_id, key, type, id) and
@@ -154,6 +184,7 @@ def resolve_entities(
     mentions: DataFrame,
     *,
     vectors: DataFrame | None = None,
+    make_embedder: Callable[[], Embedder | None] | None = None,
     cosine_threshold: float = COSINE_THRESHOLD,
     jaro_winkler_threshold: float = JARO_WINKLER_THRESHOLD,
     fuzzy: bool = True,
@@ -161,11 +192,14 @@ def resolve_entities(
     """Entities of mentions(doc_id, seq, chunk_index, name, type), document by document.
 
     vectors  (key, embedding): unit vectors of normalised names, from any embedder
+    make_embedder  makes the embedder that gives vectors where none are passed; see embed_keys
     fuzzy    False stops after the exact merge
     """
     forms = saved(form_counts(mentions), "forms")  # one pass over the mentions; the rest works on distinct forms
     clusters = clusters_of_forms(forms)
     if fuzzy:
+        if vectors is None and make_embedder is not None:
+            vectors = saved(embed_keys(clusters, make_embedder), "vectors")
         links = fuzzy_links(clusters, vectors, cosine_threshold=cosine_threshold, jaro_winkler_threshold=jaro_winkler_threshold)
         merged = components(links, by=["doc_id"]).select("doc_id", F.col("node").alias("first_seq"), F.col("component"))
         placed = clusters.join(merged, ["doc_id", "first_seq"], "left").withColumn("entity_seq", F.coalesce("component", "first_seq")).drop("component")

@@ -99,6 +99,15 @@ def test_vectors_and_fallback(spark):
     assert {(r["doc_id"], r["label"]) for r in found.collect()} == {(1, "automobile"), (1, "banana"), (2, "cars")}  # doc 2 has no vector for cars
 
 
+def test_embedders(spark):
+    data = mentions(spark, ("cat", "other", 0), ("dog", "other", 0), ("dogs", "other", 0))
+    labels = lambda make: {r["label"] for r in R.resolve_entities(data, make_embedder=make, jaro_winkler_threshold=0.9).entities.collect()}
+    assert len(labels(lambda: lambda keys: [[1.0, 0.0, 0.0]] * len(keys))) == 1
+    assert labels(lambda: None) == labels(lambda: lambda keys: 1 / 0) == {"cat", "dogs"}
+    near = R.surface_clusters(data).withColumn("embedding", F.when(F.col("key") == "cat", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("key") == "dog", F.array(F.lit(0.8), F.lit(0.6))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    assert [(r["key_a"], r["key_b"]) for r in R.borderline_pairs(near).collect()] == [("cat", "dog")]
+
+
 def test_resolution_ignores_partitioning(spark):
     r = random.Random(5)
     rows = [(d, i, i % 7, r.choice(["The Cat", "cat", "Cats", "dog", "Dog.", "a dog", "bird"]), r.choice(["other", "concept"])) for d in range(4) for i in range(40)]
