@@ -95,7 +95,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(width: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first_at", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first_at", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -126,7 +126,8 @@ def _prefixes(width: int, percent: int):
         take = np.where(alive, np.minimum(length - alone, np.diff(ends)), 0)
         prefix = [by_df[ends[i] : ends[i] + take[i]] if alive[i] else None for i in range(rows)]
         shared = [v[ends[i] : ends[i + 1]].tobytes() if alive[i] else None for i in range(rows)]
-        return pa.table([left["doc_id"], pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(alone, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=schema)
+        uid = pa.array(np.arange(rows) + (left["chunk"][0].as_py() << 32))
+        return pa.table([uid, left["doc_id"], pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(alone, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=schema)
 
     return run
 
@@ -254,7 +255,7 @@ def jaccard_components(
 
     n_links counts the other rows that a row links with, copies included. Null and blank
     texts have no shingles, link with nothing and name their own class. Equal rows link like
-    any two equal texts. A null doc_id never names a class that has another id. Other columns
+    any two equal texts; rows of one doc_id with different texts share what their id's class is. A null doc_id never names a class that has another id. Other columns
     of docs are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -265,19 +266,18 @@ def jaccard_components(
     asked = parts.groupBy("chunk").applyInArrow(_requests(width, n_buckets), "bucket int, chunk int, blob binary")
     told = asked.groupBy("bucket").applyInArrow(_answers, "chunk int, blob binary")
     row = parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        _prefixes(width, percent), "doc_id long, n long, k1 long, k2 long, first_at int, prefix array<long>, shared binary"
+        _prefixes(width, percent), "uid long, doc_id long, n long, k1 long, k2 long, first_at int, prefix array<long>, shared binary"
     )
     row = saved(row, "jaccard-rows")
 
-    sets = (
-        row.filter("shared is not null")
-        .groupBy("k1", "k2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("first_at").alias("first_at"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared"))
-    )
-    sets = saved(sets.filter("rep is not null").withColumn("pk", F.xxhash64("prefix", "first_at")), "jaccard-sets")
-    groups = sets.groupBy("n", "pk").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    groups = saved(groups, "jaccard-groups")
-    listed = groups.select("gid", F.explode("prefix").alias("t"))
+    # one row a set, without its shingles: those are fetched once, by the row that stands for the set
+    alive = row.filter("shared is not null")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "uid"))
+    sets = alive.withColumn("pk", F.xxhash64("prefix", "first_at")).groupBy("k1", "k2", "n").agg(F.min(named).alias("m"), F.count("*").alias("copies"), F.first("pk").alias("pk"))
+    sets = saved(sets.filter("m is not null").select("k1", "k2", "n", "pk", "copies", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid")), "jaccard-sets")
+    groups = sets.groupBy("n", "pk").agg(F.min(F.struct("rep", "uid")).alias("m"), F.count("*").alias("members"))
+    groups = saved(groups.select("n", "pk", "members", F.col("m.rep").alias("gid"), F.col("m.uid").alias("uid")), "jaccard-groups")
+    listed = alive.select("uid", "prefix").join(groups.select("uid", "gid"), "uid").select("gid", F.explode("prefix").alias("t"))
     leaders = listed.groupBy("t").agg(F.min("gid").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
     seats = listed.join(leaders, "t").select("gid", "leader").union(groups.filter("members > 1").select("gid", F.col("gid").alias("leader"))).distinct()
     seats = saved(seats, "jaccard-seats")
@@ -285,10 +285,11 @@ def jaccard_components(
     pieces = F.ceil(F.col("size") / block_sets).cast("int")
     placed = seats.join(sizes.select("leader", pieces.alias("pieces")), "leader")
     own_list = seats.groupBy("gid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    full = sets.join(groups.select("n", "pk", "gid"), ["n", "pk"]).join(own_list, "gid").join(placed, "gid")
-    full = full.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    members = sets.join(groups.select("n", "pk", "gid"), ["n", "pk"]).join(own_list, "gid").join(placed, "gid")
+    members = members.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    dealt = full.withColumn("o", other).withColumn("pa", F.least("piece", "o")).withColumn("pb", F.greatest("piece", "o"))
+    dealt = members.withColumn("o", other).withColumn("pa", F.least("piece", "o")).withColumn("pb", F.greatest("piece", "o")).drop("n", "k1", "k2", "pk")
+    dealt = dealt.join(alive.select("uid", "n", "first_at", "prefix", "shared"), "uid")
     found = dealt.select("leader", "pa", "pb", "piece", "rep", "n", "first_at", "copies", "prefix", "shared", "leaders").groupBy("leader", "pa", "pb").applyInArrow(_linked(percent), "a long, b long, links long")
     found = saved(found, "jaccard-links")
 
