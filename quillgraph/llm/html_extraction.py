@@ -1,11 +1,16 @@
 """HTML extraction: repeated runs of a host's pages, by suffix array, with the page's own structure.
 
-Pages are grouped by host; a host of many pages is dealt over groups of about `group_pages`,
-so no task holds an unbounded host. A group's pages are cut into blocks of text, and the
-blocks' words, page after page, form one token stream. A suffix array of the stream, ordered
-to a depth of `min_tokens` by prefix doubling, puts equal runs next to each other; runs of
-two or more distinct pages are covered, and a block whose every word is covered is
-boilerplate. Blocks with words of their own stay whole.
+Pages are cut into blocks of text and grouped by host; a host of many pages is dealt over
+groups of about `group_pages`, so no task holds an unbounded host. The words of a group's
+blocks, page after page, form one token stream. A suffix array of the stream, ordered to a
+depth of `min_tokens` by prefix doubling, puts equal runs next to each other; runs of two or
+more distinct pages are covered, and a block whose every word is covered is boilerplate.
+Blocks with words of their own stay whole.
+
+The groups of a dealt host also learn which of their runs other groups have. Each sends the
+first bits of the hashes of its distinct runs to hash buckets, which answer with a bit for
+each, set where it occurs twice; of these alone it then sends the whole hashes, and those
+answered with a set bit are covered as well. So how a host is dealt changes no result.
 
 Structure then has the last word. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go, by element, role, class or id, however rare their
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +32,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .shared import saved
-from .wordcols import BLANK, Words
+from .wordcols import BLANK, Words, pack, unpack, windows
 
 GROUP_PAGES = 256
 MIN_TOKENS = 8
+BUCKET_BYTES = 4 << 20
 
 # Elements by what they do to the text around and inside them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -168,29 +176,159 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, depth: int) -> np.ndar
     tails = np.append(heads[1:], len(array)) - 1
     several = page[array[heads]] != page[array[tails]] if len(array) else np.zeros(0, bool)
     hits = array[several[run]] if len(array) else array
+    return covered_by(hits, n, depth)
+
+
+def covered_by(starts: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """True for those of n tokens that runs of depth tokens from these starts cover."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + depth, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + depth, -1)
     return np.cumsum(edge)[:n] > 0
 
 
+_PARSED = "page_id {kind}, url string, host string, part int, bits int, buckets int, texts binary, marks binary"
+_ASKED = "host string, bucket int, part int, blob binary"
+_TOLD = "host string, part int, level int, bucket int, known binary"
+_ROW = "page_id {kind}, url string, text string, n_chars long, n_blocks int, n_repeated int"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as their blocks: the texts, compressed, and a byte each, 1 where structure drops it and 2 inside the article."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            blocks = [page_blocks(p) for p in part["html"].to_pylist()]
+            texts = pa.array([zlib.compress("\n".join(b[0] for b in p).encode()) for p in blocks], pa.binary())
+            marks = pa.array([bytes(b[1] | b[2] << 1 for b in p) for p in blocks], pa.binary())
+            names = ["page_id", "url", "host", "part", "bits", "buckets"]
+            yield pa.record_batch([*(part[c] for c in names), texts, marks], names=[*names, "texts", "marks"])
+
+
+class _Group:
+    """The word stream of a group's pages, and its runs of depth words."""
+
+    def __init__(self, table: pa.Table, depth: int):
+        self.depth = depth
+        # blocks are never empty and have no line ends
+        self.texts = [t.split("\n") if t else [] for t in (zlib.decompress(b).decode() for b in table["texts"].to_pylist())]
+        self.words = Words(pa.array([t for page in self.texts for t in page], pa.string()), separators=BLANK, lower=False)
+        self.hashes = self.words.hashes()
+        self.page = np.repeat(np.repeat(np.arange(len(self.texts)), [len(t) for t in self.texts]), self.words.counts)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of each run within a page."""
+        values = windows(self.hashes, self.depth)
+        at = np.arange(len(values))
+        at = at[self.page[at] == self.page[at + self.depth - 1]]
+        return values[at], at
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of runs, ascending, and the pages here that have each, 2 for more."""
+        values, at = self.runs()
+        if not len(values):
+            return values, np.zeros(0, np.uint8)
+        page = self.page[at]
+        order = np.lexsort((page, values))
+        values, page = values[order], page[order]
+        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        tails = np.append(heads[1:], len(values)) - 1
+        return values[heads], np.where(page[heads] != page[tails], 2, 1).astype(np.uint8)
+
+
+def _coarse(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct first bits of the values, their counts (2 at most), and which of them each value has."""
+    unique, inverse = np.unique(values >> np.uint64(64 - bits), return_inverse=True)
+    return unique, np.minimum(np.bincount(inverse, weights=counts, minlength=len(unique)), 2).astype(np.uint8), inverse
+
+
+def _asked(table: pa.Table, values: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
+    """A row for each bucket that gets some of the values, which are ascending and of so many bits."""
+    n = table["buckets"][0].as_py()
+    edges = np.array([(b << bits) // n for b in range(1, n)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+    full = np.flatnonzero(np.diff(cut))
+    return pa.table({
+        "host": pa.array([table["host"][0].as_py()] * len(full), pa.string()),
+        "bucket": pa.array(full, pa.int32()),
+        "part": pa.array([table["part"][0].as_py()] * len(full), pa.int32()),
+        "blob": pa.array([pack(values[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
+    })
+
+
+_NOTHING = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]).empty_table()
+
+
+def _coarse_asked(depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        if (bits := table["bits"][0].as_py()) is None:
+            return _NOTHING
+        unique, total, _ = _coarse(*_Group(table, depth).distinct(), bits)
+        return _asked(table, unique, total, bits)
+
+    return run
+
+
+def _told(level: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each part: a bit for each value it sent, set where the host has it on two pages or more."""
+        got = [unpack(b.as_py(), "u8", "u1") for b in table["blob"]]
+        cuts = np.cumsum([len(g[0]) for g in got])[:-1]
+        values, counts = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        order = np.argsort(values)
+        values, counts = values[order], counts[order]
+        # twice: it counts two itself, or has an equal neighbour
+        equal = np.append(values[1:] == values[:-1], False)
+        found = np.zeros(len(order), bool)
+        found[order] = (counts > 1) | equal | np.append(False, equal[:-1])
+        twice = np.split(found, cuts)
+        known = pa.array([zlib.compress(np.packbits(t).tobytes()) + bytes([-len(t) % 8]) for t in twice], pa.binary())
+        return pa.table({"host": table["host"], "part": table["part"], "level": pa.array([level] * len(got), pa.int32()), "bucket": table["bucket"], "known": known})
+
+    return run
+
+
+def _known(told: pa.Table, level: int) -> np.ndarray:
+    """The bits told at a level, in the order in which the values were sent."""
+    rows = sorted((b, k) for x, b, k in zip(*(told[c].to_pylist() for c in ("level", "bucket", "known")), strict=True) if x == level)
+    bits = [np.unpackbits(np.frombuffer(zlib.decompress(k[:-1]), np.uint8)) for _, k in rows]
+    return np.concatenate([np.zeros(0, bool), *(b[: len(b) - k[-1]].astype(bool) for b, (_, k) in zip(bits, rows, strict=True))])
+
 
-def _extracted(min_tokens: int):
-    def run(pages: list[str | None]) -> list[tuple[str, int, int, int]]:
-        blocks = [page_blocks(p) for p in pages]
-        words = Words(pa.array([b[0] for p in blocks for b in p], pa.string()), separators=BLANK, lower=False)
-        page_of = np.repeat(np.arange(len(pages)), [len(p) for p in blocks])
-        covered = repeated_tokens(words.hashes(), np.repeat(page_of, words.counts), min_tokens)
+def _candidates(group: _Group, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs that other groups may have too, and their counts."""
+    values, counts = group.distinct()
+    may = _known(told, 1)[_coarse(values, counts, bits)[2]]
+    return values[may], counts[may]
+
+
+def _exact_asked(depth: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if (bits := left["bits"][0].as_py()) is None or not right.num_rows:
+            return _NOTHING
+        return _asked(left, *_candidates(_Group(left, depth), right, bits), 64)
+
+    return run
+
+
+def _extracted(depth: int):
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        group = _Group(table, depth)
+        covered = repeated_tokens(group.hashes, group.page, depth)
+        if told.num_rows:
+            known = _candidates(group, told, table["bits"][0].as_py())[0][_known(told, 2)]
+            values, at = group.runs()
+            covered |= covered_by(at[np.isin(values, known)], len(covered), depth)
         total = np.concatenate([[0], np.cumsum(covered)])
+        words = group.words
         repeated = total[words.first[1:]] - total[words.first[:-1]] == words.counts
-        out, at = [], 0
-        for p in blocks:
-            marked = any(b[2] and not b[1] for b in p)
-            texts = [b[0] for k, b in enumerate(p) if not b[1] and (b[2] if marked else not repeated[at + k])]
-            text = "\n".join(texts)
-            out.append((text, len(text), len(p), int(repeated[at : at + len(p)].sum())))
-            at += len(p)
-        return out
+        texts_out, counts, at = [], [], 0
+        for texts, marks in zip(group.texts, table["marks"].to_pylist(), strict=True):
+            marked = 2 in marks
+            texts_out.append("\n".join(t for k, t in enumerate(texts) if not marks[k] & 1 and (marks[k] & 2 if marked else not repeated[at + k])))
+            counts.append(int(repeated[at : at + len(texts)].sum()))
+            at += len(texts)
+        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts_out, pa.string()), "n_chars": pa.array([len(t) for t in texts_out], pa.int64()), "n_blocks": pa.array([len(t) for t in group.texts], pa.int32()), "n_repeated": pa.array(counts, pa.int32())})
 
     return run
 
@@ -200,6 +338,7 @@ def extract_main_text(
     *,
     group_pages: int = GROUP_PAGES,
     min_tokens: int = MIN_TOKENS,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_repeated) for each row of pages(page_id, url, html).
 
@@ -209,22 +348,28 @@ def extract_main_text(
     Null or empty html has no text. Null urls, and urls without a host, form a host of their
     own. Equal rows of one host repeat each other, so without an article they count as
     boilerplate of that host. The key may be null or repeat; other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. group_pages and bucket_bytes (of html, whose run
+    hashes one task compares; up to 16 times that on the largest hosts) change no result.
     """
     ship_package(pages.sparkSession)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
     pages = pages.withColumn("host", host)
-    counts = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * group_pages)
-    # stored, so Spark knows its size and broadcasts it only below its threshold
-    hot = saved(counts.select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("parts")), "hot-hosts")
-    salted = pages.join(hot, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int"))
-    work = _extracted(min_tokens)
-
-    def run(table: pa.Table) -> pa.Table:
-        got = work(table["html"].to_pylist())
-        columns = list(zip(*got, strict=True)) if got else [[]] * 4
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(columns[0], pa.string()), "n_chars": pa.array(columns[1], pa.int64()), "n_blocks": pa.array(columns[2], pa.int32()), "n_repeated": pa.array(columns[3], pa.int32())})
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).filter(F.col("n") > 2 * group_pages)
+    hot = counts.select(
+        "host",
+        F.ceil(F.col("n") / group_pages).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(F.col("b") / F.greatest(F.lit(bucket_bytes), F.least(F.lit(16 * bucket_bytes), F.col("b") / 64)))).cast("int").alias("buckets"),
+        # bits that tell most of the host's runs apart
+        F.least(F.lit(60), F.greatest(F.lit(16), F.ceil(F.log2(F.col("b") + 1)) + 3)).cast("int").alias("bits"),
+    )
+    hot = saved(hot, "hot-hosts")  # stored, so Spark knows its size and broadcasts it only below its threshold
 
-    return salted.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_blocks int, n_repeated int")
+    dealt = pages.join(hot, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int"))
+    dealt = dealt.select("page_id", "url", "host", "part", "bits", "buckets", "html").mapInArrow(_parsed, _PARSED.format(kind=kind))
+    groups = dealt.groupBy("host", "part")
+    first = groups.applyInArrow(_coarse_asked(min_tokens), _ASKED).groupBy("host", "bucket").applyInArrow(_told(1), _TOLD)
+    asked = groups.cogroup(first.groupBy("host", "part")).applyInArrow(_exact_asked(min_tokens), _ASKED)
+    second = asked.groupBy("host", "bucket").applyInArrow(_told(2), _TOLD)
+    return groups.cogroup(first.union(second).groupBy("host", "part")).applyInArrow(_extracted(min_tokens), _ROW.format(kind=kind))

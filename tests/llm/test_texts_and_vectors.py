@@ -279,6 +279,21 @@ def test_a_hot_host_is_dealt_over_groups(spark):
     assert sum(r["text"].startswith("page") for r in got) > 35
 
 
+def test_dealing_a_hot_host_changes_no_row(spark):
+    r = random.Random(5)
+    words = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(40)) for _ in range(n))
+    notices = [words(n) for n in (8, 9, 12, 20, 7)] + [words(30) for _ in range(20)]
+    blocks = [[words(25), *r.sample(notices, 2), " ".join(notices[5].split()[k % 9 : k % 9 + 12])] for k in range(60)]
+    blocks[11].append(twice := words(15))  # on two pages of the host
+    blocks[47].append(twice)
+    values = [("http://hot.example/", "".join(f"<p>{b}</p>" for b in page)) for page in blocks] + [("http://cold.example/", f"<p>{twice}</p>"), ("http://hot.example/", None)]
+    values += values[:2]
+    seen = lambda **how: {r["page_id"]: tuple(r) for r in html_extraction.extract_main_text(html_pages(spark, values), **how).collect()}
+    whole, dealt = seen(), seen(group_pages=3, bucket_bytes=4000)
+    assert len(whole) == len(values) and dealt == whole
+    assert all(twice not in dealt[k][2] for k in (11, 47)) and dealt[60][2] == twice
+
+
 def test_repeated_tokens_by_brute_force():
     r = random.Random(2)
     for _ in range(30):
