@@ -2,7 +2,8 @@
 
 A text is cut into sentences; comment marks, case, punctuation and white space are
 normalised away. Each sentence is looked up among the known licence sentences, which gives
-its identifier. The identifiers, in order, are matched against the licence rules, ordered
+its identifier; where it isn't one itself, every run of its lines that is gives one, as lines
+without a stop are one sentence. The identifiers, in order, are matched against the licence rules, ordered
 themselves: the first rule takes its identifiers first. Between two identifiers of a match
 at most `gap` sentences may stand that are not known.
 """
@@ -87,8 +88,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _MARKS = re.compile(r"\n[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem\b)[ \t]?", re.IGNORECASE)
-# a stop before white space, a blank line, or a colon at the end of a line
-_END = re.compile(r"(?<=[.!?])\s+|\n[ \t]*\n\s*|(?<=:)[ \t]*\n")
+# a stop before white space, but for "v. 2.0" and the like; a blank line, or a colon at the end of a line
+_END = re.compile(r"(?<=[.!?])(?:(?<!\b[vV]\.)(?<!\b[vV]er\.)(?<!\b[vV]ers\.)|(?!\s+\d))\s+|\n[ \t]*\n\s*|(?<=:)[ \t]*\n")
 _OTHER = re.compile(r"[^a-z0-9*]+")
 
 
@@ -107,38 +108,46 @@ class Recogniser:
                     self.open.append((name, re.compile(" ".join("[a-z0-9]+(?: [a-z0-9]+)*" if p == "*" else re.escape(p) for p in t.split()))))
                 else:
                     self.exact[t] = name
-        starts = {t.split()[0] for t in self.exact} | {p.pattern.replace("\\", "").split()[0] for _, p in self.open}
-        self.start = re.compile(rf"(?:{'|'.join(sorted(map(re.escape, starts)))})\b")
-
-    def known(self, sentence: str) -> str | None:
-        """Identifier of a sentence; if it has lines, of a run of its lines up to its end or of one line."""
-        clean = normalise(sentence).replace("*", "").strip()
-        if got := self._look(clean):
-            return got
-        if "\n" in sentence:
-            lines = sentence.split("\n")
-            for k in range(1, len(lines)):
-                if got := self._look(normalise(" ".join(lines[k:])).replace("*", "").strip()):
-                    return got
-            for line in lines[:-1]:
-                if got := self._look(normalise(line).replace("*", "").strip()):
-                    return got
-        return None
+        # by first word and longest first: known sentences as whole lines of a text
+        self.lines: dict[str, list[tuple[str, re.Pattern]]] = {}
+        for t, name in sorted(((t, name) for name, texts in sentences.items() for t in map(normalise, texts)), key=lambda x: -len(x[0])):
+            words = [r"[a-z0-9]+(?:[ \n][a-z0-9]+)*?" if w == "*" else re.escape(w) for w in t.split()]
+            self.lines.setdefault(t.split()[0], []).append((name, re.compile(r"[ \n]".join(words) + r"(?=\n|\Z)")))
+
+    def known(self, sentence: str) -> list[str]:
+        """Identifier of a sentence; if it isn't known, those of its runs of lines that are, in order and without overlap."""
+        lines = [" ".join(normalise(x).replace("*", "").split()) for x in sentence.split("\n")]
+        lines = [x for x in lines if x]
+        if got := self._look(" ".join(lines)):
+            return [got]
+        if len(lines) < 2:
+            return []
+        text, out, at = "\n".join(lines), [], 0
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            for name, pattern in self.lines.get(text[at:end].split(" ", 1)[0], ()):
+                if m := pattern.match(text, at):
+                    out.append(name)
+                    end = m.end()
+                    break
+            at = end + 1
+        return out
 
     def _look(self, clean: str) -> str | None:
-        if not self.start.match(clean):
+        if clean.split(" ", 1)[0] not in self.lines:
             return None
         if got := self.exact.get(clean):
             return got
         return next((name for name, p in self.open if p.fullmatch(clean)), None)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int]]]:
-        """Sentences, the known ones by place, and (licence, first place, last place) of the matches in text order."""
+        """Sentences, the known ones in them by place, and (licence, first place, last place) of the matches in text order."""
         if not text:
             return 0, [], []
         body = _MARKS.sub("\n", f"\n{text}")
         sentences = [s for s in _END.split(body) if s.strip()]
-        found = [(k, name) for k, s in enumerate(sentences) if (name := self.known(s))]
+        found = [(k, name) for k, s in enumerate(sentences) for name in self.known(s)]
         free = [True] * len(found)
         matches = []
         for licence, ids in self.rules if found else ():
@@ -147,8 +156,8 @@ class Recogniser:
                 if all(free[b] and found[b][1] == ids[b - a] for b in run) and all(found[b + 1][0] - found[b][0] <= 1 + self.gap for b in run[:-1]):
                     for b in run:
                         free[b] = False
-                    matches.append((licence, found[a][0], found[run[-1]][0]))
-        return len(sentences), found, sorted(matches, key=lambda m: (m[1], m[0]))
+                    matches.append((a, licence, found[a][0], found[run[-1]][0]))
+        return len(sentences), found, [m[1:] for m in sorted(matches)]
 
 
 _OUT = pa.schema([

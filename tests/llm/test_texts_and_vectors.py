@@ -50,6 +50,18 @@ def test_license_gap_and_order():
     assert seen("Two. One.", 5) == ["A"] and seen("One. Two. One.", 0) == ["AB", "A"]
 
 
+def test_every_licence_of_a_sentence_of_lines():
+    scanner = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, 2)
+    licences = lambda text: [m[0] for m in scanner.scan(text)[2]]
+    assert licences("Released under the MIT License\nLicensed under CC BY 4.0\nsome text") == ["MIT", "CC-BY-4.0"]
+    assert licences("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: Apache-2.0\nint x") == ["MIT", "Apache-2.0"]
+    assert licences("foo\nThis work is licensed under the GNU\nGeneral Public License,\nversion 3\nand text without a stop") == ["GPL-3.0-only"]
+    names = license_scan.SENTENCES["bsd-names"][0].replace("*", "Acme\nand Sons").replace("be used", "be\nused")
+    assert scanner.scan(f"x\n{names}\ny\nAll rights reserved\nz")[1] == [(0, "bsd-names"), (0, "all-rights")]
+    header = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    assert licences(header) == ["MPL-2.0"] and scanner.scan("See v. Then more.")[0] == 2
+
+
 def test_license_query_against_lines(spark, sf_dir):
     """The documents hold one-line licences only: the scan finds those lines and no others."""
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
