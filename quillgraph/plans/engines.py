@@ -102,16 +102,20 @@ def extract_with_retries(ask: Callable[[list[dict]], str], chunk: str, context:
 
 # -- engines -------------------------------------------------------------------
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]")
+_SENTENCE = re.compile(r"[^.!?]+[.!?]?")
 _WORD = re.compile(r"[^\s,;:()\"“”]+")
 
 
 class RuleEngine:
-    """A proposition a sentence: first word, the words between as predicate, last word. Deterministic and offline."""
+    """A proposition a sentence: first word, the words between as predicate, last word. Deterministic and offline.
+
+    Sentences of fewer than three words have no proposition; max_words, if given, leaves out
+    longer ones. The last sentence of a chunk needs no stop.
+    """
 
     id, model = "rule", "first-last"
 
-    def __init__(self, max_words: int = 12):
+    def __init__(self, max_words: int | None = None):
         self.max_words = max_words
 
     def availability(self) -> str:
@@ -124,8 +128,8 @@ class RuleEngine:
     def extract(self, chunk: str, context: ChunkContext) -> list[dict]:
         out = []
         for sentence in _SENTENCE.findall(chunk):
-            words = _WORD.findall(sentence[:-1])
-            if 3 <= len(words) <= self.max_words:
+            words = _WORD.findall(sentence.rstrip(".!?"))
+            if len(words) >= 3 and (self.max_words is None or len(words) <= self.max_words):
                 out.append({"local_id": f"p{len(out) + 1}", "text": " ".join(sentence.split()), "subject": {"name": words[0], "type": "concept"}, "predicate": " ".join(words[1:-1]), "object": {"name": words[-1], "type": "concept"}, "confidence": None})
         return out
 

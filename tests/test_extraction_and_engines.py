@@ -214,5 +214,9 @@ def test_replay_and_rule_engines(spark):
     chunks = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, "z")], "doc_id long, chunk_index int, text string")
     got = {r["chunk_index"]: (r["ok"], r["error"]) for r in extract_chunks(chunks, engine).collect()}
     assert got[0] == (True, None) and got[1] == (False, "down") and got[2][1].startswith("chunk 2: no valid JSON after 3")
+    long = " ".join(f"w{k}" for k in range(40))
+    every = E.RuleEngine().extract(f"{long}. One two three! Four five. And the last one", E.ChunkContext(0))
+    assert [(p["text"], p["subject"]["name"], p["object"]["name"]) for p in every] == [(f"{long}.", "w0", "w39"), ("One two three!", "One", "three"), ("And the last one", "And", "one")]
+    assert [p["local_id"] for p in E.RuleEngine(max_words=12).extract(f"{long}. One two three", E.ChunkContext(0))] == ["p1"]
     (p,) = E.RuleEngine().extract("Ada wrote the first notes. Yes.", E.ChunkContext(0))
     assert (p["subject"]["name"], p["predicate"], p["object"]["name"]) == ("Ada", "wrote the first", "notes")
