@@ -52,35 +52,52 @@ _MARKUP = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Parts of a class or id that tell of another element's presence, absence or display.
+STATES = frozenset("free has have hide hides no non not show shows with without".split())
 _NAME_PART = re.compile(r"[a-z]+")
 
 
-def _drops(name: str, attrs: str) -> bool:
+def _names_dropped(value: str) -> bool:
+    """True if a class token or an id is a listed word, or starts or ends with one: ad-slot, page_footer, not no-sidebar."""
+    for token in value.split():
+        parts = _NAME_PART.findall(token)
+        if parts and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES) and STATES.isdisjoint(parts):
+            return True
+    return False
+
+
+def _drops(name: str, attrs: str) -> int:
+    """2 if the element goes, 1 if it goes by its class or id alone, else 0."""
     if name in DROPPED:
-        return True
+        return 2
     if not attrs or not attrs.strip(" /\n\t\r"):
-        return False
+        return 0
+    named = 0
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
-            # ad-slot and page_footer name their parts; camelCase does not survive lower-casing
-            if name not in ("html", "body") and not DROPPED_NAMES.isdisjoint(_NAME_PART.findall(value)):
-                return True
+            # camelCase does not survive lower-casing
+            if name not in ("html", "body") and _names_dropped(value):
+                named = 1
         elif key == "role" and value.strip() in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+            return 2
+    return named
 
 
-def page_blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, dropped by structure, inside the article) of each block with text, in page order."""
+def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str, bool, bool]]:
+    """(text, dropped by structure, inside the article) of each block with text, in page order.
+
+    No class or id drops an article or main element, unless it is inside another. keep_around:
+    nor what is around one, which is so where the page would have no article left otherwise.
+    """
     out: list[tuple[str, bool, bool]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # name, drops, article
+    stack: list[tuple[str, int, bool]] = []  # name, drops, article
     kept: list[str] = []
     lost: list[str] = []
     dropping = inside = 0
-    was_inside = False
+    was_inside = missed = False
 
     def flush() -> None:
         for parts, dropped in ((kept, False), (lost, True)):
@@ -97,7 +114,7 @@ def page_blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         nonlocal dropping, inside
         while len(stack) > to:
             _, d, c = stack.pop()
-            dropping -= d
+            dropping -= d > 0
             inside -= c
 
     at, end = 0, len(page)
@@ -141,10 +158,19 @@ def page_blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
         d, c = _drops(name, attrs), name in CONTENT
+        if c:
+            if d == 1 and not inside:
+                d = 0
+            if keep_around:
+                dropping -= sum(x[1] == 1 for x in stack)
+                stack = [(x[0], x[1] & 2, x[2]) for x in stack]
+            missed |= dropping > 0
         stack.append((name, d, c and not dropping and not d))
-        dropping += d
+        dropping += d > 0
         inside += stack[-1][2]
     flush()
+    if missed and not keep_around and not any(b[2] and not b[1] for b in out):
+        return page_blocks(page, True)
     return out
 
 

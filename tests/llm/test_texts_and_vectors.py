@@ -275,6 +275,15 @@ three&#33;<p>Four<ul><li>a<li>b</ul><aside>Side</aside><form><p>Mail</form><p cl
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in got} == {0: (want, len(want)), 1: ("", 0), 2: ("", 0), 3: (("w " * 50_000).strip(), 99_999)}
 
 
+def test_names_that_only_mention_a_listed_word():
+    main = lambda page: [t for t, dropped, inside in html_extraction.page_blocks(page) if inside and not dropped]
+    for page in ("<div class='content no-sidebar'><article><p>a</p></article></div>", "<main class='has-comments'>a</main>", "<article id='ad-free-guide'>a</article>", "<div class='layout-sidebar'><div>x</div><main class=sidebar>a</main></div>"):
+        assert main(page) == ["a"]
+    assert main("<article>a<div class='related'><article>b</article></div><article class='comment'>c</article><p class='ad-slot'>d<p id='page_footer'>e<p class='x sidebar-2'>f</article><div class='related'><article>g</article></div>") == ["a"]
+    assert main("<noscript><div class=ad><article>a</article></div></noscript><template><article>b</article></template>") == []
+    assert html_extraction.page_blocks("<div class='with-menu'>a</div><div class='top menu'>b</div>") == [("a", False, False), ("b", True, False)]
+
+
 def test_repeated_runs_decide_for_unmarked_pages(spark):
     menu = "<p>home about news contact jobs press legal imprint help</p>"
     body = lambda k: f"<html><body>{menu}<p>own words of page number {k} with its text {k * k}</p><p>{' '.join(f'r{k}x{j}' for j in range(20))}</p></body></html>"
