@@ -255,7 +255,8 @@ def jaccard_components(
 
     n_links counts the other rows that a row links with, copies included. Null and blank
     texts have no shingles, link with nothing and name their own class. Equal rows link like
-    any two equal texts; rows of one doc_id with different texts share what their id's class is. A null doc_id never names a class that has another id. Other columns
+    any two equal texts; rows of one doc_id with different texts share what their id's class is. Rows with a
+    null doc_id link, count and bridge like others, but never name a class: without another id it is null. Other columns
     of docs are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -273,8 +274,9 @@ def jaccard_components(
     # one row a set, without its shingles: those are fetched once, by the row that stands for the set
     alive = row.filter("shared is not null")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "uid"))
-    sets = alive.withColumn("pk", F.xxhash64("prefix", "first_at")).groupBy("k1", "k2", "n").agg(F.min(named).alias("m"), F.count("*").alias("copies"), F.first("pk").alias("pk"))
-    sets = saved(sets.filter("m is not null").select("k1", "k2", "n", "pk", "copies", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid")), "jaccard-sets")
+    sets = alive.withColumn("pk", F.xxhash64("prefix", "first_at")).groupBy("k1", "k2", "n").agg(F.min(named).alias("m"), F.min("uid").alias("uid"), F.count("*").alias("copies"), F.first("pk").alias("pk"))
+    # rep stands for a set, whether its rows have ids or not; ids only name classes
+    sets = saved(sets.select("k1", "k2", "n", "pk", "copies", F.col("m.doc_id").alias("name"), F.col("uid").alias("rep"), "uid"), "jaccard-sets")
     groups = sets.groupBy("n", "pk").agg(F.min(F.struct("rep", "uid")).alias("m"), F.count("*").alias("members"))
     groups = saved(groups.select("n", "pk", "members", F.col("m.rep").alias("gid"), F.col("m.uid").alias("uid")), "jaccard-groups")
     listed = alive.select("uid", "prefix").join(groups.select("uid", "gid"), "uid").select("gid", F.explode("prefix").alias("t"))
@@ -288,18 +290,21 @@ def jaccard_components(
     members = sets.join(groups.select("n", "pk", "gid"), ["n", "pk"]).join(own_list, "gid").join(placed, "gid")
     members = members.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    dealt = members.withColumn("o", other).withColumn("pa", F.least("piece", "o")).withColumn("pb", F.greatest("piece", "o")).drop("n", "k1", "k2", "pk")
+    dealt = members.withColumn("o", other).withColumn("pa", F.least("piece", "o")).withColumn("pb", F.greatest("piece", "o")).drop("n", "k1", "k2", "pk", "name")
     dealt = dealt.join(alive.select("uid", "n", "first_at", "prefix", "shared"), "uid")
     found = dealt.select("leader", "pa", "pb", "piece", "rep", "n", "first_at", "copies", "prefix", "shared", "leaders").groupBy("leader", "pa", "pb").applyInArrow(_linked(percent), "a long, b long, links long")
     found = saved(found, "jaccard-links")
 
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(found.filter("a <> b").select("a", "b"))
+    first = sets.groupBy("name").agg(F.min("rep").alias("b"), F.count("*").alias("c")).filter("c > 1 and name is not null")
+    same = sets.join(first, "name").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+    classes = components(found.filter("a <> b").select("a", "b").union(same)).withColumnRenamed("node", "rep")
+    names = classes.join(sets.select("rep", "name"), "rep").groupBy("component").agg(F.min("name").alias("class"))
     of_set = (
-        sets.select("k1", "k2", "n", "rep", "copies")
+        sets.select("k1", "k2", "n", "rep", "name", "copies")
         .join(links, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", "n", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .join(classes.join(names, "component").select("rep", "class"), "rep", "left")
+        .select("k1", "k2", "n", F.coalesce("class", "name").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     return row.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2", "n"], "left").select(
         "doc_id",

@@ -98,6 +98,16 @@ def test_jaccard_edges(spark):
     assert sorted(got, key=str) == sorted([(5, 26, 5, 2), (5, 26, 5, 2), (None, 26, 5, 2), (7, 0, 7, 0), (None, 0, None, 0)], key=str)
 
 
+def test_jaccard_rows_without_an_id_link_and_bridge(spark):
+    words = [f"b{k}" for k in range(80)]
+    a, b, c = (" ".join(words[k : k + 60]) for k in (0, 6, 12))
+    lone, near = " ".join(f"l{k}" for k in range(40)), " ".join(f"l{k}" for k in range(42))
+    rows = [(4, a), (None, b), (3, c), (None, lone), (None, lone), (None, near), (8, "x y z"), (8, "p q r")]
+    got = [(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_components(frame(spark, rows)).collect()]
+    want = [(4, 3, 1), (None, 3, 2), (3, 3, 1), (None, None, 2), (None, None, 2), (None, None, 2), (8, 8, 0), (8, 8, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_jaccard_threshold_is_inclusive(spark):
     base = [f"a{k}" for k in range(11)]  # 7 shingles
     near = base[:10] + ["z"]  # 6 of 8 shared: exactly 75 percent
