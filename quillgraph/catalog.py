@@ -325,6 +325,13 @@ def pagerank_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank_rounds(g.nodes, g.edges, rounds=6, exact_rounds=True).withColumn("rank", F.round("rank", 8))
 
 
+@query()
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank with the operator's own rounds and tolerance."""
+    g = mapped_graph(spark, sf_dir)
+    return graph.pagerank(g.nodes, g.edges)
+
+
 @query(
     f"""WITH {_GRAPH}, seen AS (SELECT doc_id, name, min((chunk_index, pos, side)) AS f FROM (SELECT doc_id, chunk_index, pos, 0 AS side, s_name AS name FROM props UNION ALL SELECT doc_id, chunk_index, pos, 1, o_name FROM props) GROUP BY doc_id, name),
 ch AS (SELECT DISTINCT doc_id, chunk_index FROM props),

@@ -4,6 +4,7 @@ import os
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -110,3 +111,23 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 def test_native_and_batched_chunks_agree(spark, sf_dir):
     rows = lambda f: sorted(map(tuple, f(spark, sf_dir).select("doc_id", "chunk_index", "text", "token_estimate").collect()))
     assert rows(catalog.chunks_small) == rows(catalog.chunks_native)
+
+
+def test_converged_ranks(spark, sf_dir):
+    g = catalog.mapped_graph(spark, sf_dir)
+    ids, links, want = {}, {}, {}
+    for r in g.nodes.select("doc_id", "id").collect():
+        ids.setdefault(r["doc_id"], []).append(r["id"])
+    for r in g.edges.select("doc_id", "source", "target", "weight").collect():
+        links.setdefault(r["doc_id"], []).append((r["source"], r["target"], r["weight"]))
+    for d, names in ids.items():
+        place = {v: i for i, v in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        for s, t, w in links.get(d, ()):
+            m[place[t], place[s]] += w
+        total = m.sum(0)
+        m = np.where(total > 0, m / np.where(total > 0, total, 1), 1 / len(names))
+        exact = np.linalg.solve(np.eye(len(names)) - 0.85 * m, np.full(len(names), 0.15 / len(names)))
+        want |= {(d, v): x for v, x in zip(names, exact, strict=True)}
+    got = {(r["doc_id"], r["id"]): r["rank"] for r in entry.queries()["pagerank_converged"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
