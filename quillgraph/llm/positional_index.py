@@ -6,19 +6,20 @@ row by row and no posting list is ever held whole in one place.
 
 A phrase is looked up in every segment on its own: the positions of its rarest term (by
 counts over the whole index), moved back by that term's offset, are the candidate starts;
-they are intersected with the offset-adjusted lists of the other terms, rarest first, until
-all terms stand. What stays is an exact occurrence. Proximity asks for all terms within a
-span, in any order.
+they are intersected with the offset-adjusted lists of the other terms, rarest first, by
+binary search in those lists, until all terms stand. What stays is an exact occurrence.
+Proximity asks for all terms within a span, in any order.
 
 Test items become phrases of `window` words. They are a stated query set: up to
-`query_bytes` of their text is sent to the executors at once; a larger set is worked off in
-blocks of that size.
+`query_bytes` of their text is sent to the executors at once, as some 20 bytes a word; a
+larger set is worked off in blocks of that size, whose hits are merged segment by segment.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .shared import saved
-from .wordcols import NOT_ALNUM, Words, pack, unpack, whole_window
+from .wordcols import NOT_ALNUM, Words, pack, unpack, whole_window, windows
 
 SEGMENT_BYTES = 2 << 20
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 8 << 20
 
 _INDEX = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("terms", pa.binary()), ("places", pa.binary())])
 
@@ -90,6 +91,53 @@ def build_index(docs: DataFrame, *, segment_bytes: int = SEGMENT_BYTES) -> DataF
     return saved(docs.mapInArrow(_indexed(segment_bytes), "segment string, doc_ids array<long>, doc_first array<long>, terms binary, places binary"), "positional-index")
 
 
+@dataclass
+class Phrases:
+    """Phrases as runs of a word sequence.
+
+    terms   distinct term hashes, ascending, with their counts over the index
+    words   the word sequence, each word as its place among the terms
+    groups  (length, starts) of the distinct phrases of each length
+    owners  for each group, ascending (phrase number, text number) pairs
+    """
+
+    terms: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    groups: list[tuple[int, np.ndarray]]
+    owners: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[str | None], window: int) -> Phrases:
+        """The runs of `window` words of each text, or all of a text of fewer words; without counts."""
+        found = Words(pa.array(texts, pa.string()), separators=NOT_ALNUM, lower=True)
+        hashes, first = found.hashes(), found.first
+        sizes = np.diff(first)
+        terms, words = np.unique(hashes, return_inverse=True)
+        groups, owners = [], []
+        for length in range(1, window + 1):
+            if length < window:
+                texts_of = np.flatnonzero(sizes == length)
+                starts = first[:-1][texts_of]
+            else:
+                starts = np.flatnonzero(whole_window(first, window))
+                texts_of = np.searchsorted(first, starts, side="right") - 1
+            if len(starts):
+                _, one, number = np.unique(windows(hashes, length)[starts], return_index=True, return_inverse=True)
+                groups.append((length, starts[one].astype(np.int32)))
+                pairs = np.unique(number.astype(np.uint64) << np.uint64(32) | texts_of.astype(np.uint64))
+                owners.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int32))
+        return cls(terms, np.zeros(len(terms), np.int64), words.astype(np.int32), groups, owners)
+
+    def counted(self, index: DataFrame) -> Phrases:
+        """With the counts of the terms over the whole index."""
+        if len(self.terms):
+            known, counts = term_counts(index, self.terms)
+            self.counts = np.zeros(len(self.terms), np.int64)
+            self.counts[np.searchsorted(self.terms, known)] = counts
+        return self
+
+
 class Segment:
     """One row of the index, unpacked."""
 
@@ -101,8 +149,9 @@ class Segment:
         total = np.cumsum(gaps)
         base = np.concatenate([[0], total])[self.ends[:-1]]
         self.places = total - np.repeat(base, counts)
-        self.term_at = np.empty(len(self.places), np.int64)
-        self.term_at[self.places] = np.repeat(np.arange(len(self.terms)), counts)
+        self.size = len(self.places)
+        # the lists one after another, each moved past the one before: ascending as a whole
+        self.lists = np.repeat(np.arange(len(self.terms)) * (self.size + 1), counts) + self.places
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for terms that the segment lacks."""
@@ -111,28 +160,38 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def phrases(self, phrases: list[np.ndarray], order: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(phrase numbers, starts) for each array of equal-length phrases; order ranks each phrase's offsets rarest first."""
-        found = []
-        for terms, ranks in zip(phrases, order, strict=True):
-            numbers = self.find(terms)
-            rows = np.flatnonzero((numbers >= 0).all(1))
-            rarest = ranks[rows, 0]
-            lead = numbers[rows, rarest]
+    def holds(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """True where a term's list has the place; both arrays are of one length."""
+        wanted = terms * (self.size + 1) + places
+        at = np.minimum(np.searchsorted(self.lists, wanted), max(0, self.size - 1))
+        return self.lists[at] == wanted if self.size else np.zeros(len(wanted), bool)
+
+    def phrases(self, query: Phrases) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(phrase numbers, starts) of the occurrences, for each group of equal-length phrases."""
+        numbers = self.find(query.terms)
+        lacking = np.concatenate([[0], np.cumsum(numbers[query.words] < 0)])
+        out = []
+        for length, starts in query.groups:
+            rows = np.flatnonzero(lacking[starts + length] == lacking[starts])  # all terms are here
+            words = query.words[starts[rows, None] + np.arange(length)]
+            order = np.argsort(query.counts[words], axis=1, kind="stable")  # rarest first
+            lists = numbers[words]
+            every = np.arange(len(rows))
+            lead = lists[every, order[:, 0]] if len(rows) else np.zeros(0, np.int64)
             size = self.ends[lead + 1] - self.ends[lead]
-            which = np.repeat(rows, size)
+            which = np.repeat(every, size)
             begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-            start = self.places[np.repeat(self.ends[lead] - begin, size) + np.arange(int(size.sum()))] - np.repeat(rarest, size)
-            ok = (start >= 0) & (start + terms.shape[1] <= len(self.term_at))
-            which, start = which[ok], start[ok]
-            for k in range(1, terms.shape[1]):
-                offset = ranks[which, k]
-                ok = self.term_at[start + offset] == numbers[which, offset]
-                which, start = which[ok], start[ok]
-            doc = np.searchsorted(self.first, start, side="right")
-            ok = start + terms.shape[1] <= self.first[np.minimum(doc, len(self.first) - 1)]
-            found.append((which[ok], start[ok]))
-        return found
+            at = self.places[np.repeat(self.ends[lead] - begin, size) + np.arange(int(size.sum()))] - order[which, 0]
+            ok = (at >= 0) & (at + length <= self.size)
+            which, at = which[ok], at[ok]
+            for k in range(1, length):
+                offset = order[which, k]
+                ok = self.holds(lists[which, offset], at + offset)
+                which, at = which[ok], at[ok]
+            doc = np.searchsorted(self.first, at, side="right")
+            ok = at + length <= self.first[np.minimum(doc, len(self.first) - 1)]
+            out.append((rows[which[ok]], at[ok]))
+        return out
 
     def near(self, terms: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(first place, last place) of the shortest runs of at most span words with all terms."""
@@ -160,11 +219,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences in the whole index of each of the given term hashes."""
-    wanted = np.unique(terms)
+def term_counts(index: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the given distinct ascending term hashes that the index has, and their occurrences in all of it."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
+        wanted = sent.value
         for batch in batches:
             for blob in batch["terms"]:
                 have, counts = unpack(blob.as_py(), "u8", "u4")
@@ -173,45 +233,19 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
                     ok = have[at] == wanted
                     yield pa.record_batch([pa.array(wanted[ok].view(np.int64)), pa.array(counts[at[ok]].astype(np.int64))], names=["t", "n"])
 
-    rows = index.select("terms").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()  # at most the terms asked for
-    return {r["t"] % (1 << 64): r["n"] for r in rows}
-
-
-def _hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(pa.array(texts, pa.string()), separators=NOT_ALNUM, lower=True)
-    return words.hashes(), words.first
-
-
-def _ranked(phrases: list[np.ndarray], counts: dict[int, int]) -> list[np.ndarray]:
-    return [np.argsort(np.array([counts.get(int(t), 0) for t in p.ravel()]).reshape(p.shape), axis=1, kind="stable") for p in phrases]
-
-
-def item_phrases(texts: list[str | None], window: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct phrases of the texts, an array for each length, and (phrase, text number) pairs for each."""
-    hashes, first = _hash_words(texts)
-    counts = np.diff(first)
-    phrases, owners = [], []
-    groups = [(k, first[:-1][counts == k], np.flatnonzero(counts == k)) for k in range(1, window)]
-    starts = np.flatnonzero(whole_window(first, window))
-    groups.append((window, starts, np.searchsorted(first, starts, side="right") - 1))
-    for length, starts, texts_of in groups:
-        if len(starts):
-            unique, inverse = np.unique(hashes[starts[:, None] + np.arange(length)], axis=0, return_inverse=True)
-            phrases.append(unique)
-            owners.append(np.unique(np.stack([inverse.ravel(), texts_of], 1), axis=0))
-    return phrases, owners
+    rows = index.select("terms").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    found = rows.toArrow()  # at most the terms asked for
+    return found["t"].to_numpy().view(np.uint64), found["n"].to_numpy()
 
 
 def phrase_matches(index: DataFrame, phrase: str) -> DataFrame:
     """(doc_id, start): the word offset of every occurrence of the phrase. A phrase without words occurs nowhere."""
-    hashes, _ = _hash_words([phrase])
-    phrases = [hashes[None, :]] if len(hashes) else []
-    order = _ranked(phrases, term_counts(index, hashes)) if phrases else []
+    query = Phrases.of([phrase], max(1, len(phrase))).counted(index)
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            for _, start in s.phrases(phrases, order):
+            for _, start in s.phrases(query):
                 doc = np.searchsorted(s.first, start, side="right") - 1
                 yield pa.record_batch([pa.array([s.doc_ids[d] for d in doc], pa.int64()), pa.array(start - s.first[doc], pa.int64())], names=["doc_id", "start"])
 
@@ -220,7 +254,7 @@ def phrase_matches(index: DataFrame, phrase: str) -> DataFrame:
 
 def proximity_matches(index: DataFrame, terms: str, *, span: int) -> DataFrame:
     """(doc_id, start, end): the shortest runs of at most span words that hold all the terms, in any order."""
-    hashes = np.unique(_hash_words([terms])[0])
+    hashes = Phrases.of([terms], 1).terms
 
     def run(batches):
         for row in _rows(batches):
@@ -237,17 +271,19 @@ _HITS = pa.schema([("segment", pa.string()), ("row", pa.int32()), ("doc_id", pa.
 _HITS_DDL = "segment string, row int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _hits(query, ids: list[str | None]):
+def _hits(query, ids: list[str | None], every: bool):
+    """A row for each document, or, unless `every`, for each with hits."""
+
     def run(batches):
-        phrases, order, owners = query.value
+        asked = query.value
         for row in _rows(batches):
             s = Segment(row)
-            n, n_docs = len(s.term_at), len(s.doc_ids)
+            n, n_docs = s.size, len(s.doc_ids)
             depth = np.zeros(n + 1, np.int64)
             pairs = []
-            for (which, start), terms, own in zip(s.phrases(phrases, order), phrases, owners, strict=True):
+            for (which, start), (length, _), own in zip(s.phrases(asked), asked.groups, asked.owners, strict=True):
                 np.add.at(depth, start, 1)
-                np.add.at(depth, start + terms.shape[1], -1)
+                np.add.at(depth, start + length, -1)
                 doc = np.searchsorted(s.first, start, side="right") - 1
                 seen = np.unique(np.stack([doc, which], 1), axis=0)
                 lo, hi = np.searchsorted(own[:, 0], seen[:, 1]), np.searchsorted(own[:, 0], seen[:, 1], side="right")
@@ -255,6 +291,7 @@ def _hits(query, ids: list[str | None]):
                 pairs.append(np.stack([np.repeat(seen[:, 0], hi - lo), own[at, 1]], 1))
             hit = np.cumsum(depth)[:n] > 0
             total = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = total[s.first[1:]] - total[s.first[:-1]]
             items: list[set] = [set() for _ in range(n_docs)]
             for doc, item in np.concatenate(pairs).tolist() if pairs else []:
                 if ids[item] is not None:
@@ -267,14 +304,36 @@ def _hits(query, ids: list[str | None]):
             for b, e in zip(begins, ends, strict=True):
                 doc = int(np.searchsorted(s.first, b, side="right")) - 1
                 spans[doc].append({"start": int(b - s.first[doc]), "end": int(e - s.first[doc])})
-            yield pa.record_batch([
+            out = pa.table([
                 pa.array([row["segment"]] * n_docs, pa.string()), pa.array(np.arange(n_docs, dtype=np.int32)), pa.array(s.doc_ids, pa.int64()), pa.array(np.diff(s.first)),
-                pa.array(total[s.first[1:]] - total[s.first[:-1]]), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, _HITS.field("spans").type),
+                pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, _HITS.field("spans").type),
             ], schema=_HITS)
+            yield from (out if every else out.filter(pa.array(n_hit > 0))).to_batches()
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The rows of one segment, one a document: hits of all blocks together."""
+    rows: dict[int, dict] = {}
+    for r in table.to_pylist():
+        if one := rows.get(r["row"]):
+            one["items"] = one["items"] + r["items"]
+            one["spans"] = one["spans"] + r["spans"]
+        else:
+            rows[r["row"]] = r
+    for r in rows.values():
+        r["items"] = sorted(set(r["items"]))
+        spans: list[dict] = []
+        for x in sorted(r["spans"], key=lambda x: x["start"]):
+            if spans and x["start"] <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], x["end"])
+            else:
+                spans.append(dict(x))
+        r["spans"], r["n_hit"] = spans, sum(x["end"] - x["start"] for x in spans)
+    return pa.Table.from_pylist(list(rows.values()), schema=_HITS)
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -303,20 +362,11 @@ def contamination(
     parts = []
     for block in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).filter("text is not null").collect()  # about query_bytes
-        phrases, owners = item_phrases([r["text"] for r in rows], window)
-        counts = term_counts(index, np.concatenate([p.ravel() for p in phrases])) if phrases else {}
-        query = spark.sparkContext.broadcast((phrases, _ranked(phrases, counts), owners))
-        parts.append(index.mapInArrow(_hits(query, [r["item_id"] for r in rows]), _HITS_DDL))
-    if n_blocks == 1:
-        return parts[0].drop("segment", "row")
+        query = spark.sparkContext.broadcast(Phrases.of([r["text"] for r in rows], window).counted(index))
+        parts.append(index.mapInArrow(_hits(query, [r["item_id"] for r in rows], not block), _HITS_DDL))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
-    places = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1))))
-    merged = whole.groupBy("segment", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(places).alias("at")
-    )
-    begins = F.filter("at", lambda p: ~F.array_contains("at", p - 1))
-    ends = F.filter("at", lambda p: ~F.array_contains("at", p + 1))
-    spans = F.zip_with(begins, ends, lambda b, e: F.struct(b.cast("int").alias("start"), (e + 1).cast("int").alias("end")))
-    return merged.select("doc_id", "n_words", F.size("at").cast("long").alias("n_hit"), "items", spans.alias("spans"))
+    if n_blocks > 1:
+        whole = whole.groupBy("segment").applyInArrow(_merged, _HITS_DDL)
+    return whole.drop("segment", "row")
