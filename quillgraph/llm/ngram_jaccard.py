@@ -13,7 +13,8 @@ link when |A & B| / |A | B| >= threshold. The join never meets all pairs:
 3. groups  Equal sets become one, and sets of equal prefix and size one group. Groups are
            dealt to blocks by the smallest group of each prefix shingle's list; groups that
            share a prefix shingle meet in that shingle's block. A block of more than
-           `block_sets` sets is cut into pieces and each two pieces meet in a task of their own.
+           `block_sets` sets, or `block_bytes` of shingles, is cut into pieces and each two
+           pieces meet in a task of their own.
 4. verify  In a block, group pairs pass size and position filters, then expand to
            members, whose overlap is counted exactly. A link is counted in the first block
            that both members share. Blocks return a spanning forest and link counts, not pairs.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .shared import chunked, components, exchange_sizes, saved, text_bytes
 from .wordcols import BLANK, Words, mix, pack, unpack, whole_window, windows
 
-BLOCK_SETS = 4096  # sets of a piece of a block
+BLOCK_SETS = 192  # sets of a piece of a block
+BLOCK_BYTES = 4 << 20  # of its shingles
 _SHIFT = np.uint64(16)  # document counts are kept by the top 48 bits
 
 
@@ -247,6 +249,7 @@ def jaccard_components(
     chunk_bytes: int | None = None,
     bucket_bytes: int | None = None,
     block_sets: int = BLOCK_SETS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs(doc_id, text).
 
@@ -283,8 +286,9 @@ def jaccard_components(
     leaders = listed.groupBy("t").agg(F.min("gid").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
     seats = listed.join(leaders, "t").select("gid", "leader").union(groups.filter("members > 1").select("gid", F.col("gid").alias("leader"))).distinct()
     seats = saved(seats, "jaccard-seats")
-    sizes = seats.join(groups.select("gid", "members"), "gid").groupBy("leader").agg(F.sum("members").alias("size"))
-    pieces = F.ceil(F.col("size") / block_sets).cast("int")
+    sizes = seats.join(groups.select("gid", "n", "members"), "gid").groupBy("leader").agg(F.sum("members").alias("size"), F.sum(8 * F.col("n") * F.col("members")).alias("bytes"))
+    # no more pieces than sets: a single set may be larger than block_bytes
+    pieces = F.least(F.col("size"), F.greatest(F.ceil(F.col("size") / block_sets), F.ceil(F.col("bytes") / block_bytes))).cast("int")
     placed = seats.join(sizes.select("leader", pieces.alias("pieces")), "leader")
     own_list = seats.groupBy("gid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
     members = sets.join(groups.select("n", "pk", "gid"), ["n", "pk"]).join(own_list, "gid").join(placed, "gid")
