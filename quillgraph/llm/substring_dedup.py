@@ -4,13 +4,15 @@ A window is `min_words` consecutive words of one document. A word goes when some
 over it also starts earlier: in a smaller doc_id, or earlier in the same document. Windows
 are judged on the input, never on what other removals left.
 
-Levels run base_words, 2 * base_words, ... min_words. At the first, each chunk of documents
-sends the hashes of its distinct windows (48 bits, gap-coded) to hash buckets, which answer
-with those that occur twice. A window of twice the length is a candidate only where both of
-its halves were repeated; the others are never hashed again. Levels end at min_words, as a
-longer repeat is covered by its own windows of min_words, or before it when no candidate
-survives. At the last level the hash has all 64 bits and each chunk sends its earliest place
-of it; buckets answer every chunk but the one with the earliest place.
+Levels run base_words, 2 * base_words, ... min_words: 5, 10 and 20. At the first, each chunk of
+documents sends the hashes of its distinct windows (their first `bits`, gap-coded) to hash
+buckets, which answer with those that occur twice. A window of twice the length is a candidate
+only where both of its halves were repeated; the others are never hashed again. A chunk without
+candidates takes no part in any further level, and with none anywhere a level is empty. Levels
+end at min_words, as a longer repeat is the union of its own windows of min_words. At that last
+level the hash has all 64 bits and each chunk sends its earliest place of it; buckets answer
+every chunk but the one with the earliest place. A hash of few bits may let a window through
+that isn't repeated: it costs a candidate, never a word.
 
 A hot passage is one entry a chunk at every level, however many documents hold it.
 """
@@ -24,20 +26,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .ngram_jaccard import _bounds
 from .shared import chunked, exchange_sizes, text_bytes
 from .wordcols import BLANK, Words, pack, unpack, whole_window, windows
 
-_SHIFT = np.uint64(16)
 _NO_ID = np.iinfo(np.int64).max  # null ids come after all others
 
 
+def level_bits(n_bytes: int) -> int:
+    """Bits of a hash that tell most windows of so many bytes of text apart."""
+    return min(48, max(24, int(n_bytes).bit_length() + 4))
+
+
+def _bounds(n_buckets: int, bits: int) -> np.ndarray:
+    """First value of each bucket after the first."""
+    return np.array([(i << bits) // n_buckets for i in range(1, n_buckets)], np.uint64)
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _sent(values: np.ndarray, keys: np.ndarray, chunk: int, bounds: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    """Rows (bucket, chunk, blob) of ascending values; keys are the 48 bits that choose the bucket."""
+    """Rows (bucket, chunk, blob) of ascending values; keys, ascending too, choose the bucket."""
     cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
     full = np.flatnonzero(np.diff(cut))
     return pa.table({
@@ -47,12 +57,12 @@ def _sent(values: np.ndarray, keys: np.ndarray, chunk: int, bounds: np.ndarray,
     })
 
 
-def _first_level(width: int, n_buckets: int):
-    bounds = _bounds(n_buckets)
+def _first_level(width: int, n_buckets: int, bits: int):
+    bounds = _bounds(n_buckets, bits)
 
     def run(table: pa.Table) -> pa.Table:
         words = Words(table["text"], separators=BLANK, lower=False)
-        values = windows(words.hashes(), width)[whole_window(words.first, width)] >> _SHIFT
+        values = windows(words.hashes(), width)[whole_window(words.first, width)] >> np.uint64(64 - bits)
         values, counts = np.unique(values, return_counts=True)
         return _sent(values, values, table["chunk"][0].as_py(), bounds, np.minimum(counts, 2).astype(np.uint8))
 
@@ -79,20 +89,20 @@ def _members(values: np.ndarray, blobs: pa.ChunkedArray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _candidates(words: Words, width: int, blobs: pa.ChunkedArray) -> np.ndarray:
+def _candidates(words: Words, width: int, blobs: pa.ChunkedArray, bits: int) -> np.ndarray:
     """Starts of windows of 2 * width words whose halves were both repeated."""
     hashes = words.hashes()
     half = windows(hashes, width)
     hit = np.zeros(len(hashes) + width, bool)
-    hit[: len(half)] = _members(half >> _SHIFT, blobs) & whole_window(words.first, width)
+    hit[: len(half)] = _members(half >> np.uint64(64 - bits), blobs) & whole_window(words.first, width)
     whole = whole_window(words.first, 2 * width)
     n = len(whole)
     return np.flatnonzero(whole & hit[:n] & hit[width : width + n])
 
 
-def _next_level(width: int, n_buckets: int, last: bool):
+def _next_level(width: int, n_buckets: int, bits: int, last: bool):
     """Sends windows of 2 * width words; at the last level with the chunk's earliest place."""
-    bounds = _bounds(n_buckets)
+    bounds = _bounds(n_buckets, bits)
     empty = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())]).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -100,18 +110,18 @@ def _next_level(width: int, n_buckets: int, last: bool):
             return empty
         left = _ordered(left)
         words = Words(left["text"], separators=BLANK, lower=False)
-        at = _candidates(words, width, right["blob"])
+        at = _candidates(words, width, right["blob"], bits)
         if not len(at):
             return empty
         chunk = left["chunk"][0].as_py()
         values = windows(words.hashes(), 2 * width)[at]
         if not last:
-            values, counts = np.unique(values >> _SHIFT, return_counts=True)
+            values, counts = np.unique(values >> np.uint64(64 - bits), return_counts=True)
             return _sent(values, values, chunk, bounds, np.minimum(counts, 2).astype(np.uint8))
         values, first = np.unique(values, return_index=True)  # the first in order is the earliest
         owner = np.searchsorted(words.first, at[first], side="right") - 1
         ids = left["doc_id"].fill_null(_NO_ID).to_numpy()[owner].astype(np.int64)
-        return _sent(values, values >> _SHIFT, chunk, bounds, ids, (at[first] - words.first[owner]).astype(np.uint32))
+        return _sent(values, values >> np.uint64(64 - bits), chunk, bounds, ids, (at[first] - words.first[owner]).astype(np.uint32))
 
     return run
 
@@ -191,7 +201,7 @@ def dedup_substrings(
     docs: DataFrame,
     *,
     min_words: int = 20,
-    base_words: int = 10,
+    base_words: int = 5,
     carry: bool = False,
     keep_untouched: bool = False,
     chunk_bytes: int | None = None,
@@ -225,12 +235,12 @@ def dedup_substrings(
     chunk_bytes, bucket_bytes = exchange_sizes(n_bytes, chunk_bytes, bucket_bytes)
     n_buckets = max(24, -(-n_bytes // bucket_bytes))
     parts = chunked(docs, n_bytes, chunk_bytes=chunk_bytes)
-    by_chunk = parts.groupBy("chunk")
-    asked = by_chunk.applyInArrow(_first_level(base_words, n_buckets), "bucket int, chunk int, blob binary")
+    by_chunk, bits = parts.groupBy("chunk"), level_bits(n_bytes)
+    asked = by_chunk.applyInArrow(_first_level(base_words, n_buckets, bits), "bucket int, chunk int, blob binary")
     width = base_words
     for level in range(levels):
         told = asked.groupBy("bucket").applyInArrow(_repeated, "chunk int, blob binary")
-        asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_next_level(width, n_buckets, level == levels - 1), "bucket int, chunk int, blob binary")
+        asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_next_level(width, n_buckets, bits, level == levels - 1), "bucket int, chunk int, blob binary")
         width *= 2
     told = asked.groupBy("bucket").applyInArrow(_later, "chunk int, blob binary")
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_removed(min_words, keep_untouched, schema), ddl)
