@@ -6,12 +6,15 @@ once; units of equal length advance together, as rows of a matrix of code points
 substring's hash comes from two prefix sums and is looked up among the sorted piece keys.
 
   unigram models  Viterbi: at each end position the maximum over piece lengths, with the
-                  winning length stored as backpointer
+                  winning length stored as backpointer. The vocabulary of a BPE model can be
+                  read as one too (`read` with as_unigram).
   BPE models      the same rows, hashes and keys, but merges instead of path sums, as the
                   best path over BPE scores isn't what BPE encodes: every round, each row
                   joins its best-scored neighbouring pair, leftmost on ties
 
-Characters outside the vocabulary become byte pieces, or the unknown piece without those.
+A unit of more than LONG characters is looked up whole, all positions of a piece length at
+once, and then takes the recurrence over the pieces found. Characters outside the vocabulary
+become byte pieces, or the unknown piece without those.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _LEAD = 18  # leading bits of a hash that index the sorted keys
 LONG = 128  # units of more characters go one by one
+LEAST_SCORE = -40000.0  # of a BPE model's pieces read as unigrams: some are stored with -1e9, which single precision can't add up
 
 _BASE = np.uint64(0xC6A4A7935BD1E995 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -119,7 +123,8 @@ class PieceModel:
         return int(mix(np.atleast_1d((codes * powers(_BASE, len(codes))).sum(dtype=np.uint64) + np.uint64(len(codes))))[0])
 
     @classmethod
-    def read(cls, data: bytes) -> PieceModel:
+    def read(cls, data: bytes, *, as_unigram: bool = False) -> PieceModel:
+        """The model of a file. as_unigram: a BPE model's vocabulary and scores, no score below LEAST_SCORE, as a unigram model."""
         pieces, scores, kinds, kind, dummy, charsmap, trim = [], [], [], UNIGRAM, True, b"", True
         for number, value in _fields(data):
             if number == 1:
@@ -143,6 +148,8 @@ class PieceModel:
             raise ValueError("only models with the identity normaliser that keep all white space are supported")
         if kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
+        if as_unigram and kind == BPE:
+            kind, scores = UNIGRAM, [max(v, LEAST_SCORE) for v in scores]
         kinds_ = np.array(kinds)
         byte = {int(pieces[i][3:5], 16): i for i in np.flatnonzero(kinds_ == BYTE)}
         return cls(pieces, np.array(scores), kinds_, kind, dummy, int(np.flatnonzero(kinds_ == UNK)[0]), np.array([byte[b] for b in range(256)]) if len(byte) == 256 else None)
@@ -312,47 +319,68 @@ class PieceModel:
             self._by_text = {self.pieces[i]: (int(r), int(i)) for i, r in zip(self.key_ids[:-1], self.key_ranks[:-1], strict=True)}
         return self._by_text
 
+    def best_path(self, text: str) -> list[int]:
+        """Viterbi over one unit of any length: pieces are looked up a length at a time, then taken by their ends."""
+        codes, n = _codes([text]), len(text)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes.astype(np.uint64) * powers(_BASE, n), out=total[1:])
+        down = powers(_INVERSE, n)
+        ends, sizes, ids = [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            at = self.probe(mix((total[size:] - total[:-size]) * down[: n - size + 1] + np.uint64(size)))
+            # a single character outside the vocabulary has a score too
+            here = np.flatnonzero(at >= 0) if size > 1 else np.arange(n)
+            ends.append(here + size)
+            sizes.append(np.full(len(here), size, np.int32))
+            ids.append(np.where(at[here] >= 0, self.key_ids[at[here]], -1))
+        ends, sizes, ids = (np.concatenate(x) for x in (ends, sizes, ids))
+        order = np.lexsort((-sizes, ends))  # of equal paths the one with the longest last piece
+        ends, sizes, ids = ends[order], sizes[order], ids[order]
+        scores = np.where(ids >= 0, self.scores[ids], self.unk_score)
+        best, back = [0.0] * (n + 1), [0] * (n + 1)
+        top, last, won = -np.inf, 1, 0
+        for k, (end, size, score) in enumerate(zip(ends.tolist(), sizes.tolist(), scores.tolist(), strict=True)):
+            if end != last:
+                best[last], back[last] = top, won
+                top, last = -np.inf, end
+            if (path := best[end - size] + score) > top:
+                top, won = path, k
+        best[last], back[last] = top, won
+        out, at, sizes, ids = [], n, sizes.tolist(), ids.tolist()
+        while at:
+            out.append((ids[back[at]], at))
+            at -= sizes[back[at]]
+        return [q for x, end in reversed(out) for q in ([x] if x >= 0 else self.outside(text[end - 1]))]
+
     def _one(self, text: str) -> list[int]:
-        """A unit of any length: a heap of pairs (BPE), or the plain recurrence."""
-        known, n = self._vocabulary(), len(text)
+        """A unit of any length: the recurrence, or a heap of pairs (BPE)."""
         if self.kind == UNIGRAM:
-            best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-            for end in range(1, n + 1):
-                for size in range(min(self.longest, end), 0, -1):
-                    got = known.get(text[end - size : end])
-                    score = float(self.scores[got[1]]) if got else self.unk_score if size == 1 else -np.inf
-                    if best[end - size] + score > best[end]:
-                        best[end], back[end] = best[end - size] + score, size
-            parts, at = [], n
-            while at:
-                parts.append(text[at - back[at] : at])
-                at -= back[at]
-            parts.reverse()
-        else:
-            end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heap: list[tuple[int, int, int]] = []
-
-            def offer(a: int) -> None:
-                if a >= 0 and end[a] < n and (got := known.get(text[a : end[end[a]]])):
-                    heapq.heappush(heap, (got[0], a, end[end[a]]))
-
-            for a in range(n - 1):
-                offer(a)
-            dead = [False] * n
-            while heap:
-                _, a, stop = heapq.heappop(heap)
-                if dead[a] or end[a] >= n or end[end[a]] != stop:
-                    continue
-                dead[end[a]] = True
-                end[a] = stop
-                if stop < n:
-                    before[stop] = a
-                offer(a)
-                offer(before[a])
-            parts, at = [], 0
-            while at < n:
-                parts.append(text[at : end[at]])
-                at = end[at]
+            return self.best_path(text)
+        known, n = self._vocabulary(), len(text)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(a: int) -> None:
+            if a >= 0 and end[a] < n and (got := known.get(text[a : end[end[a]]])):
+                heapq.heappush(heap, (got[0], a, end[end[a]]))
+
+        for a in range(n - 1):
+            offer(a)
+        dead = [False] * n
+        while heap:
+            _, a, stop = heapq.heappop(heap)
+            if dead[a] or end[a] >= n or end[end[a]] != stop:
+                continue
+            dead[end[a]] = True
+            end[a] = stop
+            if stop < n:
+                before[stop] = a
+            offer(a)
+            offer(before[a])
+        parts, at = [], 0
+        while at < n:
+            parts.append(text[at : end[at]])
+            at = end[at]
         return [q for p in parts for q in ([known[p][1]] if p in known else self.outside(p))]
 
     # -- decoding ----------------------------------------------------------------

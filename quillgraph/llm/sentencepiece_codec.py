@@ -38,18 +38,23 @@ class Encoder:
         return self.cache.flat[np.repeat(ends[slots] - begin[:-1], size) + np.arange(begin[-1])], begin[first]
 
 
-def read_model(path: str) -> PieceModel:
+def read_model(path: str, reading: str = "unigram") -> PieceModel:
+    if reading not in ("unigram", "stored"):
+        raise ValueError("reading is 'unigram' or 'stored'")
     with open(path, "rb") as f:
-        return PieceModel.read(f.read())
+        return PieceModel.read(f.read(), as_unigram=reading == "unigram")
 
 
-def encode_texts(docs: DataFrame, *, model: str = MODEL, rows: int = ROWS) -> DataFrame:
+def encode_texts(docs: DataFrame, *, model: str = MODEL, reading: str = "unigram", rows: int = ROWS) -> DataFrame:
     """(doc_id, ids, n_ids, exact) for each row of docs(doc_id, text).
 
-    model  path of a SentencePiece model file, read on the driver and broadcast (some MB)
-    ids    piece ids as the SentencePiece library gives them, without control pieces
-    exact  whether decoding the ids gives the text again. It does for every text without
-           U+2581, which SentencePiece itself turns into a space.
+    model    path of a SentencePiece model file, read on the driver and broadcast (some MB)
+    reading  "unigram": the best path over the pieces' scores, by Viterbi; the ids are those
+             of the SentencePiece library for that vocabulary as a unigram model. "stored":
+             as the model's own kind asks, so for a BPE model the ids that its merges give
+    ids      piece ids, without control pieces
+    exact    whether decoding the ids gives the text again. It does for every text without
+             U+2581, which SentencePiece itself turns into a space.
 
     A null text gives null ids, n_ids 0 and a null exact; an empty text gives no ids. Equal
     texts get equal ids; a doc_id may be null or repeat; other columns are ignored; an empty
@@ -58,7 +63,7 @@ def encode_texts(docs: DataFrame, *, model: str = MODEL, rows: int = ROWS) -> Da
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(read_model(model))
+    sent = spark.sparkContext.broadcast(read_model(model, reading))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(sent.value)

@@ -5,11 +5,11 @@ distinct prefix. Nodes of one depth are scored together: a node's best path scor
 maximum, over the piece that ends there, of the score of the ancestor where the piece begins
 plus the piece's own; a prefix that many pre-tokens share is scored once. A node where a
 pre-token ends keeps the token count of its best path. Texts then add up the counts of their
-pre-tokens.
+pre-tokens. A pre-token of more than LONG characters shares no prefix worth keeping; it is
+scored alone, all its pieces looked up at once.
 
-Scores are those stored in the model file. For a BPE model this is the unigram reading of
-its vocabulary: the fewest and most frequent pieces, not the library's merges (for the ids of
-those see `sentencepiece_codec`).
+A BPE model's vocabulary is read as a unigram model, so the counts are the lengths of the ids
+that `sentencepiece_codec.encode_texts` gives by default.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .pieces import PieceModel, UnitCache, _codes, mix
+from .pieces import LONG, PieceModel, UnitCache, _codes, mix
 from .sentencepiece_codec import CACHE, MODEL, read_model
 from .wordcols import powers
 
@@ -41,8 +41,11 @@ def trie_counts(model: PieceModel, units: list[str]) -> np.ndarray:
     order = np.argsort(lengths, kind="stable")
     at = 0
     while at < len(order):
-        n = 1
-        top = min(len(order), at + max(1, CELLS // max(1, int(lengths[order[at]]))))
+        if lengths[order[at]] > LONG:
+            for i in order[at:].tolist():
+                out[i] = len(model.best_path(units[i]))
+            break
+        top = min(int(np.searchsorted(lengths[order], LONG, side="right")), at + max(1, CELLS // max(1, int(lengths[order[at]]))))
         while top - at > 1 and (top - at) * int(lengths[order[top - 1]]) > CELLS:
             top = at + (top - at) // 2
         n = top - at
