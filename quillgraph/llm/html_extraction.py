@@ -3,14 +3,16 @@
 Pages are cut into blocks of text and grouped by host; a host of many pages is dealt over
 groups of about `group_pages`, so no task holds an unbounded host. The words of a group's
 blocks, page after page, form one token stream. A suffix array of the stream, ordered to a
-depth of `min_tokens` by prefix doubling, puts equal runs next to each other; runs of two or
-more distinct pages are covered, and a block whose every word is covered is boilerplate.
-Blocks with words of their own stay whole.
+depth of `min_tokens` by prefix doubling, puts equal runs next to each other; runs that two
+or more distinct contents have are covered, and a block whose every word is covered is
+boilerplate. Blocks with words of their own stay whole. A content is what a page's blocks say,
+so a page served at several urls is one content and doesn't erase itself.
 
 The groups of a dealt host also learn which of their runs other groups have. Each sends the
-first bits of the hashes of its distinct runs to hash buckets, which answer with a bit for
-each, set where it occurs twice; of these alone it then sends the whole hashes, and those
-answered with a set bit are covered as well. So how a host is dealt changes no result.
+first bits of the hashes of its distinct runs, with the content that has each where it is
+one alone, to hash buckets, which answer with a bit for each, set where two contents have it;
+of these alone it then sends the whole hashes, and those answered with a set bit are covered
+as well. So how a host is dealt changes no result.
 
 Structure then has the last word. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go, by element, role, class or id, however rare their
@@ -24,6 +26,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 DROPPED = frozenset("aside button datalist dialog footer form head header menu nav noscript object search select template".split())
 CONTENT = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# names of boilerplate on their own, and those that also stand for it as the first or last part of a longer name
 DROPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+DROPPED_PARTS = frozenset("ad ads advert adverts advertisement advertising breadcrumbs comments cookie cookies footer navbar navigation newsletter sidebar sponsored".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
@@ -58,10 +63,10 @@ _NAME_PART = re.compile(r"[a-z]+")
 
 
 def _names_dropped(value: str) -> bool:
-    """True if a class token or an id is a listed word, or starts or ends with one: ad-slot, page_footer, not no-sidebar."""
+    """True if a class token or an id is a listed word, or starts or ends with one that is clear: ad-slot, page_footer, not no-sidebar or topic-social."""
     for token in value.split():
         parts = _NAME_PART.findall(token)
-        if parts and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES) and STATES.isdisjoint(parts):
+        if len(parts) == 1 and parts[0] in DROPPED_NAMES or parts and not DROPPED_PARTS.isdisjoint((parts[0], parts[-1])) and STATES.isdisjoint(parts):
             return True
     return False
 
@@ -174,8 +179,8 @@ def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str,
     return out
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, depth: int) -> np.ndarray:
-    """True for tokens covered by a run of depth tokens, within a page, that a distinct page also has.
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, content: np.ndarray, depth: int) -> np.ndarray:
+    """True for tokens covered by a run of depth tokens, within a page, that a page of another content also has.
 
     rank[i] orders the suffixes by their first `reach` tokens; each round doubles the reach,
     the last one only up to depth.
@@ -194,13 +199,13 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, depth: int) -> np.ndar
         reach += step
     start = np.arange(n - depth + 1)
     start = start[page[start] == page[start + depth - 1]]
-    array = start[np.lexsort((page[start], rank[start]))]  # the suffix array, to this depth
+    array = start[np.lexsort((content[start], rank[start]))]  # the suffix array, to this depth
     first = np.ones(len(array), bool)
     first[1:] = rank[array[1:]] != rank[array[:-1]]
     run = np.cumsum(first) - 1
     heads = np.flatnonzero(first)
     tails = np.append(heads[1:], len(array)) - 1
-    several = page[array[heads]] != page[array[tails]] if len(array) else np.zeros(0, bool)
+    several = content[array[heads]] != content[array[tails]] if len(array) else np.zeros(0, bool)
     hits = array[several[run]] if len(array) else array
     return covered_by(hits, n, depth)
 
@@ -214,7 +219,7 @@ def covered_by(starts: np.ndarray, n: int, depth: int) -> np.ndarray:
 
 
 _PARSED = "page_id {kind}, url string, host string, part int, bits int, buckets int, texts binary, marks binary"
-_ASKED = "host string, bucket int, part int, blob binary"
+_ASKED = "host string, bucket int, part int, blob binary, contents binary"
 _TOLD = "host string, part int, level int, bucket int, known binary"
 _ROW = "page_id {kind}, url string, text string, n_chars long, n_blocks int, n_repeated int"
 
@@ -232,15 +237,22 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Group:
-    """The word stream of a group's pages, and its runs of depth words."""
+    """The word stream of a group's pages, and its runs of depth words.
+
+    content numbers the distinct contents among the pages; names has a 64-bit hash of each.
+    """
 
     def __init__(self, table: pa.Table, depth: int):
         self.depth = depth
         # blocks are never empty and have no line ends
-        self.texts = [t.split("\n") if t else [] for t in (zlib.decompress(b).decode() for b in table["texts"].to_pylist())]
+        texts = [zlib.decompress(b) for b in table["texts"].to_pylist()]
+        digests = np.array([int.from_bytes(blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+        self.names, number = np.unique(digests, return_inverse=True)
+        self.texts = [t.decode().split("\n") if t else [] for t in texts]
         self.words = Words(pa.array([t for page in self.texts for t in page], pa.string()), separators=BLANK, lower=False)
         self.hashes = self.words.hashes()
         self.page = np.repeat(np.repeat(np.arange(len(self.texts)), [len(t) for t in self.texts]), self.words.counts)
+        self.content = number[self.page]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each run within a page."""
@@ -250,25 +262,27 @@ class _Group:
         return values[at], at
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of runs, ascending, and the pages here that have each, 2 for more."""
+        """Distinct hashes of runs, ascending, and the content that has each, counted from 1, or 0 where several have it."""
         values, at = self.runs()
-        if not len(values):
-            return values, np.zeros(0, np.uint8)
-        page = self.page[at]
-        order = np.lexsort((page, values))
-        values, page = values[order], page[order]
-        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        tails = np.append(heads[1:], len(values)) - 1
-        return values[heads], np.where(page[heads] != page[tails], 2, 1).astype(np.uint8)
+        return _owners(values, self.content[at].astype(np.uint32) + 1)
+
 
+def _owners(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the one owner of each, or 0 if there are several or one is 0 itself."""
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    heads = np.flatnonzero(np.append(len(values) > 0, values[1:] != values[:-1]))
+    tails = np.append(heads[1:], len(values)) - 1
+    if not len(values):
+        return values, owner
+    return values[heads], np.where(owner[heads] == owner[tails], owner[heads], 0).astype(owner.dtype)
 
-def _coarse(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct first bits of the values, their counts (2 at most), and which of them each value has."""
-    unique, inverse = np.unique(values >> np.uint64(64 - bits), return_inverse=True)
-    return unique, np.minimum(np.bincount(inverse, weights=counts, minlength=len(unique)), 2).astype(np.uint8), inverse
 
+def _coarse(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(64 - bits)
 
-def _asked(table: pa.Table, values: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
+
+def _asked(table: pa.Table, values: np.ndarray, owner: np.ndarray, names: np.ndarray, bits: int) -> pa.Table:
     """A row for each bucket that gets some of the values, which are ascending and of so many bits."""
     n = table["buckets"][0].as_py()
     edges = np.array([(b << bits) // n for b in range(1, n)], np.uint64)
@@ -278,36 +292,35 @@ def _asked(table: pa.Table, values: np.ndarray, counts: np.ndarray, bits: int) -
         "host": pa.array([table["host"][0].as_py()] * len(full), pa.string()),
         "bucket": pa.array(full, pa.int32()),
         "part": pa.array([table["part"][0].as_py()] * len(full), pa.int32()),
-        "blob": pa.array([pack(values[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
+        "blob": pa.array([pack(values[cut[b] : cut[b + 1]], owner[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
+        "contents": pa.array([names.tobytes()] * len(full), pa.binary()),
     })
 
 
-_NOTHING = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]).empty_table()
+_NOTHING = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("contents", pa.binary())]).empty_table()
 
 
 def _coarse_asked(depth: int):
     def run(table: pa.Table) -> pa.Table:
         if (bits := table["bits"][0].as_py()) is None:
             return _NOTHING
-        unique, total, _ = _coarse(*_Group(table, depth).distinct(), bits)
-        return _asked(table, unique, total, bits)
+        group = _Group(table, depth)
+        values, owner = group.distinct()
+        return _asked(table, *_owners(_coarse(values, bits), owner), group.names, bits)
 
     return run
 
 
 def _told(level: int):
     def run(table: pa.Table) -> pa.Table:
-        """For each part: a bit for each value it sent, set where the host has it on two pages or more."""
-        got = [unpack(b.as_py(), "u8", "u1") for b in table["blob"]]
+        """For each part: a bit for each value it sent, set where two contents of the host or more have it."""
+        got = [unpack(b.as_py(), "u8", "u4") for b in table["blob"]]
         cuts = np.cumsum([len(g[0]) for g in got])[:-1]
-        values, counts = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        order = np.argsort(values)
-        values, counts = values[order], counts[order]
-        # twice: it counts two itself, or has an equal neighbour
-        equal = np.append(values[1:] == values[:-1], False)
-        found = np.zeros(len(order), bool)
-        found[order] = (counts > 1) | equal | np.append(False, equal[:-1])
-        twice = np.split(found, cuts)
+        # contents by their hashes over the whole host; 0 stays 0
+        names = [np.concatenate([np.zeros(1, np.uint64), np.frombuffer(b.as_py(), np.uint64)]) for b in table["contents"]]
+        values = np.concatenate([g[0] for g in got])
+        unique, owner = _owners(values, np.concatenate([n[g[1]] for n, g in zip(names, got, strict=True)]))
+        twice = np.split(owner[np.searchsorted(unique, values)] == 0, cuts)
         known = pa.array([zlib.compress(np.packbits(t).tobytes()) + bytes([-len(t) % 8]) for t in twice], pa.binary())
         return pa.table({"host": table["host"], "part": table["part"], "level": pa.array([level] * len(got), pa.int32()), "bucket": table["bucket"], "known": known})
 
@@ -322,17 +335,19 @@ def _known(told: pa.Table, level: int) -> np.ndarray:
 
 
 def _candidates(group: _Group, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs that other groups may have too, and their counts."""
-    values, counts = group.distinct()
-    may = _known(told, 1)[_coarse(values, counts, bits)[2]]
-    return values[may], counts[may]
+    """The distinct runs that other contents of the host may have too, and their owners here."""
+    values, owner = group.distinct()
+    coarse = _coarse(values, bits)
+    may = _known(told, 1)[np.searchsorted(np.unique(coarse), coarse)]
+    return values[may], owner[may]
 
 
 def _exact_asked(depth: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if (bits := left["bits"][0].as_py()) is None or not right.num_rows:
             return _NOTHING
-        return _asked(left, *_candidates(_Group(left, depth), right, bits), 64)
+        group = _Group(left, depth)
+        return _asked(left, *_candidates(group, right, bits), group.names, 64)
 
     return run
 
@@ -340,7 +355,7 @@ def _exact_asked(depth: int):
 def _extracted(depth: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         group = _Group(table, depth)
-        covered = repeated_tokens(group.hashes, group.page, depth)
+        covered = repeated_tokens(group.hashes, group.page, group.content, depth)
         if told.num_rows:
             known = _candidates(group, told, table["bits"][0].as_py())[0][_known(told, 2)]
             values, at = group.runs()
@@ -372,9 +387,9 @@ def extract_main_text(
     n_chars   its code points; n_blocks: blocks of the page; n_repeated: those that repeat
 
     Null or empty html has no text. Null urls, and urls without a host, form a host of their
-    own. Equal rows of one host repeat each other, so without an article they count as
-    boilerplate of that host. The key may be null or repeat; other columns are ignored; an
-    empty table gives an empty result. group_pages and bucket_bytes (of html, whose run
+    own. Pages of one host that say the same are one content: they don't make each other
+    boilerplate. The key may be null or repeat; other columns are ignored; an empty table
+    gives an empty result. group_pages and bucket_bytes (of html, whose run
     hashes one task compares; up to 16 times that on the largest hosts) change no result.
     """
     ship_package(pages.sparkSession)

@@ -8,8 +8,8 @@ language probabilities, and a text's score is the softmax of its windows' mean l
 weighted by their bytes.
 
 Training is on the driver, on a bounded sample: at most `per_label` documents of each label
-and `sample_chars` characters of each. Prediction reads whole texts on the executors, in
-blocks of `block` windows, so memory doesn't grow with a text.
+and `sample_chars` characters of each. Prediction reads whole texts on the executors, cut into
+some `block` windows at a time, so beside the text itself memory doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -113,51 +113,67 @@ def train(
     pools = [p for p in pools if len(p)]
     if not pools:
         return net
-    grads = [np.full(p.shape, 1e-6, np.float32) for p in (*net.tables, net.bias, net.out, net.out_bias)]
+    params = (*net.tables, net.bias, net.out, net.out_bias)
+    squares = [np.full(p.shape, 1e-6, np.float32) for p in params]
     for _ in range(steps):
         take = np.concatenate([p[rng.randint(0, len(p), -(-batch // len(pools)))] for p in pools])
-        xb, yb = x[take], y[take]
-        pooled, active, where = net.pooled(xb, places=True)
-        d = softmax(pooled @ net.out + net.out_bias)
-        d[np.arange(len(yb)), yb] -= 1
-        d /= len(yb)
-        g_out, g_ob = pooled.T @ d, d.sum(0)
-        g_pool = (d @ net.out.T) * active
-        steps_of = []
-        for k, at in enumerate(where):
-            g = np.zeros_like(net.tables[k])
-            part = g_pool[:, k * filters : (k + 1) * filters]
-            column = np.broadcast_to(np.arange(filters), at.shape)
-            for tap in range(len(g)):
-                np.add.at(g[tap], (np.take_along_axis(xb, at + tap, 1), column), part)
-            steps_of.append(g)
-        for p, a, g in zip((*net.tables, net.bias, net.out, net.out_bias), grads, (*steps_of, g_pool.sum(0), g_out, g_ob), strict=True):
+        for p, a, g in zip(params, squares, gradients(net, x[take], y[take]), strict=True):
             a += g * g
             p -= rate * g / np.sqrt(a)
     return net
 
 
+def gradients(net: ByteCnn, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross entropy, by each table, the bias, the linear layer and its bias."""
+    pooled, active, where = net.pooled(x, places=True)
+    d = softmax(pooled @ net.out + net.out_bias)
+    d[np.arange(len(y)), y] -= 1
+    d /= len(y)
+    at_pool = (d @ net.out.T) * active
+    of_tables, first = [], 0
+    for table, at in zip(net.tables, where, strict=True):
+        width, _, filters = table.shape
+        g = np.zeros_like(table)
+        part = at_pool[:, first : first + filters]
+        column = np.broadcast_to(np.arange(filters), at.shape)
+        for tap in range(width):
+            np.add.at(g[tap], (np.take_along_axis(x, at + tap, 1), column), part)
+        of_tables.append(g)
+        first += filters
+    return [*of_tables, at_pool.sum(0), pooled.T @ d, d.sum(0)]
+
+
 def predict(net: ByteCnn, texts: list[str | None], *, block: int = 512) -> tuple[list[str], np.ndarray]:
     """Label and score of each text; `und` and 0 for texts that are null or have no letter."""
     ok = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if net.labels else []
     out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not ok:
         return out, score
-    # whole texts, some at a time
-    group, size = [], 0
+    total, weights = np.zeros((len(ok), len(net.labels))), np.zeros(len(ok))
+    size = block * net.length
+    held: list[tuple[int, bytes]] = []  # (place in ok, part of a text, whole windows but for its last)
+
+    def spend() -> None:
+        x, weight, owner = cut([t for _, t in held], net.length)
+        place = np.array([j for j, _ in held])[owner]
+        np.add.at(total, place, net.logits(x).astype(np.float64) * weight[:, None])
+        np.add.at(weights, place, weight)
+        held.clear()
+
+    filled = 0
     for j, i in enumerate(ok):
-        group.append((i, texts[i].encode()))
-        size += len(group[-1][1])
-        if size < block * net.length * 8 and j + 1 < len(ok):
-            continue
-        x, weight, owner = cut([t for _, t in group], net.length)
-        z = np.concatenate([net.logits(x[k : k + block]) for k in range(0, len(x), block)]).astype(np.float64)
-        first = np.searchsorted(owner, np.arange(len(group)))
-        mean = np.add.reduceat(z * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
-        p = softmax(mean)
-        for (i, _), row in zip(group, p, strict=True):
-            out[i], score[i] = net.labels[int(row.argmax())], row.max()
-        group, size = [], 0
+        data = texts[i].encode()
+        for at in range(0, len(data), size):
+            held.append((j, data[at : at + size]))
+            filled += len(held[-1][1]) + net.length
+            if filled >= size:
+                spend()
+                filled = 0
+    if held:
+        spend()
+    p = softmax(total / weights[:, None])
+    for i, row in zip(ok, p, strict=True):
+        out[i], score[i] = net.labels[int(row.argmax())], row.max()
     return out, score
 
 
@@ -166,18 +182,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, max_labels: int = 256, **options) -> ByteCnn:
+def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, max_labels: int = 1000, **options) -> ByteCnn:
     """Train on a sample of the labelled documents outside the held-out part.
 
     per_label     at most so many documents of a label, those of the smallest id hashes below
                   a threshold set from the label's count over all documents
     sample_chars  at most so many leading characters of each (of the sample only)
-    max_labels    at most so many labels, the most frequent
+    max_labels    more distinct labels are an error: no language is left out silently
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
+    counts = usable.groupBy("lang").count().limit(max_labels + 1).collect()
     if not counts:
         return train([], [], **options)
+    if len(counts) > max_labels:
+        raise ValueError(f"lang has more than max_labels={max_labels} values")
     space = 1 << 30
     limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, int(space * per_label / r["count"]) + 1))])
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(space))

@@ -3,9 +3,11 @@
 A text is cut into sentences; comment marks, case, punctuation and white space are
 normalised away. Each sentence is looked up among the known licence sentences, which gives
 its identifier; where it isn't one itself, every run of its lines that is gives one, as lines
-without a stop are one sentence. The identifiers, in order, are matched against the licence rules, ordered
-themselves: the first rule takes its identifiers first. Between two identifiers of a match
-at most `gap` sentences may stand that are not known.
+without a stop are one sentence. The identifiers, in order, are matched against the licence
+rules, ordered themselves: the first rule takes its identifiers first. Between two identifiers
+of a match at most `gap` sentences may stand that are not known. Work grows with a text, not
+with its square: lines are normalised once, and a known sentence is tried where its first word
+begins a line.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-# Licence sentences by identifier. `*` stands for any words, one at least.
+WILD_WORDS = 40  # that a `*` stands for at most
+
+# Licence sentences by identifier. `*` stands for any words, one at least and WILD_WORDS at most.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "apache-2-line": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0"),
     "apache-2-head": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',),
@@ -105,13 +109,13 @@ class Recogniser:
         for name, texts in sentences.items():
             for t in map(normalise, texts):
                 if "*" in t:
-                    self.open.append((name, re.compile(" ".join("[a-z0-9]+(?: [a-z0-9]+)*" if p == "*" else re.escape(p) for p in t.split()))))
+                    self.open.append((name, re.compile(" ".join(rf"[a-z0-9]+(?: [a-z0-9]+){{0,{WILD_WORDS - 1}}}" if p == "*" else re.escape(p) for p in t.split()))))
                 else:
                     self.exact[t] = name
         # by first word and longest first: known sentences as whole lines of a text
         self.lines: dict[str, list[tuple[str, re.Pattern]]] = {}
         for t, name in sorted(((t, name) for name, texts in sentences.items() for t in map(normalise, texts)), key=lambda x: -len(x[0])):
-            words = [r"[a-z0-9]+(?:[ \n][a-z0-9]+)*?" if w == "*" else re.escape(w) for w in t.split()]
+            words = [rf"[a-z0-9]+(?:[ \n][a-z0-9]+){{0,{WILD_WORDS - 1}}}?" if w == "*" else re.escape(w) for w in t.split()]
             self.lines.setdefault(t.split()[0], []).append((name, re.compile(r"[ \n]".join(words) + r"(?=\n|\Z)")))
 
     def known(self, sentence: str) -> list[str]:

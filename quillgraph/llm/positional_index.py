@@ -127,14 +127,14 @@ class Phrases:
                 groups.append((length, starts[one].astype(np.int32)))
                 pairs = np.unique(number.astype(np.uint64) << np.uint64(32) | texts_of.astype(np.uint64))
                 owners.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int32))
-        return cls(terms, np.zeros(len(terms), np.int64), words.astype(np.int32), groups, owners)
+        return cls(terms, np.zeros(len(terms), np.int32), words.astype(np.int32), groups, owners)
 
     def counted(self, index: DataFrame) -> Phrases:
         """With the counts of the terms over the whole index."""
         if len(self.terms):
             known, counts = term_counts(index, self.terms)
-            self.counts = np.zeros(len(self.terms), np.int64)
-            self.counts[np.searchsorted(self.terms, known)] = counts
+            self.counts = np.zeros(len(self.terms), np.int32)
+            self.counts[np.searchsorted(self.terms, known)] = np.minimum(counts, np.iinfo(np.int32).max)  # they only rank terms
         return self
 
 

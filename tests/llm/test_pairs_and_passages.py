@@ -1,17 +1,22 @@
 """N-gram Jaccard join, substring dedup and benchmark decontamination against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import queries
+from quillgraph.llm import substring_dedup as dedup
 from quillgraph.llm.ngram_jaccard import jaccard_components
-from quillgraph.llm.positional_index import build_index, contamination, phrase_matches, proximity_matches
+from quillgraph.llm.positional_index import Phrases, build_index, contamination, phrase_matches, proximity_matches
 from quillgraph.llm.substring_dedup import dedup_substrings
+from quillgraph.llm.wordcols import BLANK, Words, unpack, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk int, n long, rep string, segment long"
 
@@ -84,7 +89,7 @@ def brute_components(rows, width=5, percent=75):
     return {i: (len(sets[i]), label[i], links[i]) for i in ids}
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"chunk_bytes": 3000, "bucket_bytes": 500}), (3, {"block_sets": 4}), (4, {"block_sets": 1, "percent": 60}), (5, {"width": 2, "percent": 90})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"chunk_bytes": 3000, "bucket_bytes": 500}), (3, {"block_sets": 4}), (4, {"block_sets": 1, "percent": 60}), (4, {"block_bytes": 1500}), (5, {"width": 2, "percent": 90})])
 def test_jaccard_join(spark, seed, options):
     rows = made_up(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_components(frame(spark, rows), **options).collect()}
@@ -137,7 +142,7 @@ def brute_dedup(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"chunk_bytes": 2000, "bucket_bytes": 300}), (3, {"base_words": 5, "chunk_bytes": 900}), (4, {"min_words": 8, "base_words": 1})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"chunk_bytes": 2000, "bucket_bytes": 300}), (3, {"base_words": 5, "chunk_bytes": 900}), (4, {"min_words": 8, "base_words": 1}), (5, {"min_words": 40, "chunk_bytes": 3000})])
 def test_substring_dedup(spark, seed, options):
     rows = [(i, t) for i, t in made_up(seed)]
     want = brute_dedup([(i, t or "") for i, t in rows], options.get("min_words", 20))
@@ -150,6 +155,46 @@ def test_substring_dedup(spark, seed, options):
         assert (r["n_words"], r["n_removed"], r["kept_text"], cover) == (n, removed, kept, gone)
 
 
+def test_levels_go_on_while_candidates_survive():
+    """5, 10, 20, 40, ... words: what survives a level equals the windows of that length that occur twice, until there are none."""
+    rows = [(i, t or "") for i, t in made_up(3) if len(blanks(t)) < 500]
+    chunks = [pa.table({"doc_id": [i for i, _ in part], "text": [t for _, t in part], "chunk": pa.array([k] * len(part), pa.int32())}) for k in range(3) if (part := rows[k::3])]
+    asked, width, levels = [dedup._first_level(5, 4, 48)(t) for t in chunks], 5, []
+    while any(t.num_rows for t in asked):
+        whole = pa.concat_tables(asked)
+        told = pa.concat_tables([dedup._repeated(whole.filter(pc.equal(whole["bucket"], b))) for b in pc.unique(whole["bucket"]).to_pylist()])
+        told = [told.filter(pc.equal(told["chunk"], k)) for k in range(3)]
+        kept = {int(v) for t in told for blob in t["blob"].to_pylist() for v in unpack(blob, "u8")[0]}
+        seen = Counter(tuple(w[k : k + width]) for _, t in rows for w in [blanks(t)] for k in range(len(w) - width + 1))
+        twice = [w for w, n in seen.items() if n > 1]
+        hashes = {int(v) >> 16 for w in twice for v in windows(Words(pa.array([" ".join(w)]), separators=BLANK, lower=False).hashes(), width)}
+        assert kept == hashes and len(hashes) == len(twice)
+        levels.append(width)
+        asked = [dedup._next_level(width, 4, 48, False)(c, t) for c, t in zip(chunks, told, strict=True)]
+        width *= 2
+    assert levels[:4] == [5, 10, 20, 40] and not any(n > 1 for n in Counter(tuple(w[k : k + width]) for _, t in rows for w in [blanks(t)] for k in range(len(w) - width + 1)).values())
+
+
+def test_a_hash_of_few_bits_costs_no_word(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "level_bits", lambda n: 9)
+    rows = [(i, t or "") for i, t in made_up(6)]
+    want = brute_dedup(rows)
+    assert all((r["n_removed"], r["kept_text"]) == want[r["doc_id"]][1:3] for r in dedup_substrings(frame(spark, rows)).collect())
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(1)
+    text = " ".join(f"w{r.randrange(300)}" for _ in range(60_000))
+    rows = [(1, text), (2, f"head {text} tail"), (3, "w" * 400_000), (4, "x" + "w" * 400_000)]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: (60_000, 0), 2: (60_002, 60_000), 3: (1, 0), 4: (1, 0)}
+    classes = {x["doc_id"]: x["component_id"] for x in jaccard_components(frame(spark, rows)).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 4: 4}
+    items = spark.createDataFrame([(7, " ".join(text.split()[100:140])), (8, "w" * 400_000)], "item_id long, text string")
+    hits = {x["doc_id"]: (x["n_hit"], x["items"]) for x in contamination(frame(spark, rows), items).collect()}
+    assert hits == {1: (40, ["7"]), 2: (40, ["7"]), 3: (1, ["8"]), 4: (0, [])}
+
+
 def test_substring_dedup_edges(spark):
     assert dedup_substrings(frame(spark, [])).collect() == []
     text = " ".join(f"v{k}" for k in range(25))
@@ -211,6 +256,13 @@ def test_contamination(spark, seed, options):
         assert (x["n_words"], x["n_hit"], x["items"], cover) == (n, hits, found, hit)
 
 
+def test_a_query_block_stays_small():
+    """What goes to the executors is less than five bytes a byte of benchmark text."""
+    r = random.Random(2)
+    texts = [" ".join(f"{r.randrange(10**6):x}" for _ in range(400)) for _ in range(500)]
+    assert len(pickle.dumps(Phrases.of(texts, 13))) < 5 * sum(map(len, texts))
+
+
 def test_contamination_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(frame(spark, []), none).collect() == []

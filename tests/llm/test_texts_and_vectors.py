@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -70,6 +71,87 @@ def test_license_query_against_lines(spark, sf_dir):
         assert r["licenses"] == sorted({v for k, v in lines.items() if k in docs[r["doc_id"]]}), r["doc_id"]
 
 
+def brute_scan(text, sentences, rules, gap):
+    """Sentences character by character, all runs of lines, longest first, and the rules one after another."""
+    clean = lambda t: " ".join(re.sub("[^a-z0-9*]", " ", t.lower()).split())
+    known = [(clean(t).split(), name) for name, ts in sentences.items() for t in ts]
+    body = re.sub(r"(?i)\n[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem\b)[ \t]?", "\n", "\n" + text)
+    parts, held, i = [], "", 0
+    while i < len(body):
+        rest = body[i:]
+        blank = re.match(r"\n[ \t]*\n\s*", rest) or (re.match(r"[ \t]*\n", rest) if held.endswith(":") else None)
+        stop = re.match(r"\s+", rest) if held[-1:] in (".", "!", "?") and held else None
+        if stop and re.search(r"(?i)\b(v|ver|vers)\.$", held) and rest[stop.end() :][:1].isdigit():
+            stop = None
+        if got := stop or blank:
+            parts.append(held)
+            held, i = "", i + got.end()
+        else:
+            held, i = held + body[i], i + 1
+    parts = [p for p in [*parts, held] if p.strip()]
+
+    def fits(words, pattern):
+        if not pattern:
+            return not words
+        if pattern[0] == "*":
+            return any(fits(words[n:], pattern[1:]) for n in range(1, min(len(words), 40) + 1))
+        return bool(words) and words[0] == pattern[0] and fits(words[1:], pattern[1:])
+
+    found = []
+    for k, p in enumerate(parts):
+        lines = [x for x in (clean(x.replace("*", " ")) for x in p.split("\n")) if x]
+        whole = [name for pattern, name in known if fits(" ".join(lines).split(), pattern)]
+        if whole:
+            found.append((k, whole[0]))
+            continue
+        a = 0
+        while a < len(lines) and len(lines) > 1:
+            runs = [(len(" ".join(pattern)), -b, name) for b in range(a + 1, len(lines) + 1) for pattern, name in known if fits(" ".join(lines[a:b]).split(), pattern)]
+            if runs:
+                found.append((k, max(runs)[2]))
+                a = -max(runs)[1]
+            else:
+                a += 1
+    matches, free = [], [True] * len(found)
+    for licence, ids in rules:
+        for a in range(len(found) - len(ids) + 1):
+            run = list(range(a, a + len(ids)))
+            if [found[b][1] for b in run] == list(ids) and all(free[b] for b in run) and all(found[c][0] - found[b][0] <= gap + 1 for b, c in zip(run, run[1:], strict=False)):
+                matches.append((a, licence))
+                for b in run:
+                    free[b] = False
+    return len(parts), [n for _, n in found], [m for _, m in sorted(matches)]
+
+
+def test_license_query_by_brute_force(spark, sf_dir, tmp_path):
+    r = random.Random(8)
+    lines = [t for ts in license_scan.SENTENCES.values() for t in ts]
+    made = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 7)):
+            t = r.choice(lines).replace("*", r.choice(["Acme", "the Foo\nand Bar Org", "x"]))
+            if r.random() < 0.4:
+                t = "\n".join(filter(None, (t[: t.find(" ", len(t) // 2)], t[t.find(" ", len(t) // 2) + 1 :]))) if " " in t else t
+            parts.append(t + r.choice([". ", ".\n", "\n", "\n\n", ":\n", ".\n// ", " more\n", "\nother words\n"]))
+        made.append("".join(parts))
+    folder = str(tmp_path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.limit(150).unionByName(docs.limit(1).crossJoin(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "i long, t string")).drop("doc_id", "text").withColumnsRenamed({"i": "doc_id", "t": "text"})).write.parquet(f"{folder}/documents.parquet")
+    texts_by = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for x in queries.op1_license_scan(spark, folder).collect():
+        want = brute_scan(texts_by[x["doc_id"]], license_scan.SENTENCES, license_scan.RULES, 2)
+        assert (x["n_sentences"], x["sentence_ids"], [m["license"] for m in x["matches"]]) == want, texts_by[x["doc_id"]][:500]
+
+
+@pytest.mark.parametrize("unit", ["word ", "released under this\n", "neither the name of the\n", "x", "// ", "\n", " ", " \n", "All rights reserved\n"])
+def test_license_scan_of_a_long_text_without_stops(unit):
+    scanner = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, 2)
+    began = time.process_time()
+    scanner.scan(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 5
+
+
 # -- SentencePiece ------------------------------------------------------------------
 
 
@@ -83,7 +165,7 @@ def strange_texts(seed=3, n=120):
 def test_encoding_equals_the_library(spark, sf_dir):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     values = strange_texts() + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    rows = {r["doc_id"]: r for r in encode_texts(texts(spark, [*values, None])).collect()}
+    rows = {r["doc_id"]: r for r in encode_texts(texts(spark, [*values, None]), reading="stored").collect()}
     assert [rows[i]["ids"] for i in range(len(values))] == [library.encode(t) for t in values]
     assert [rows[i]["exact"] for i in range(len(values))] == ["▁" not in t for t in values]
     last = rows[len(values)]
@@ -94,7 +176,7 @@ def test_encoding_equals_the_library(spark, sf_dir):
 
 
 def test_encoder_forgets_and_stays_right():
-    model = read_model(MODEL)
+    model = read_model(MODEL, "stored")
     small, large = Encoder(model, cache=20), Encoder(model)
     for t in strange_texts(4, 40):
         assert small(pa.array([t]))[0].tolist() == large(pa.array([t]))[0].tolist()
@@ -102,8 +184,7 @@ def test_encoder_forgets_and_stays_right():
 
 def as_unigram():
     model = read_model(MODEL)
-    assert model.kind == BPE
-    model.kind = UNIGRAM
+    assert model.kind == UNIGRAM and read_model(MODEL, "stored").kind == BPE
     return model
 
 
@@ -164,14 +245,34 @@ def proto(pieces, kind):
     return data + field(2, bytes([0x18, kind]) + b"\x98\x02\x01") + field(3, field(1, b"identity") + b"\x18\x01\x20\x00")
 
 
-def test_viterbi_equals_the_library(spark, sf_dir):
-    """The same vocabulary as a unigram model. Its 15 space runs score -1e9, which swamps the library's single-precision sums, so here they get -40000."""
-    model = read_model(MODEL)
+def unigram_library():
+    """The library on the same vocabulary as a unigram model. Its 15 space runs score -1e9, which swamps single-precision sums, so they get -40000."""
+    model = read_model(MODEL, "stored")
     data = proto([(p, max(s, -40000.0), k) for p, s, k in zip(model.pieces, model.scores, model.kinds, strict=True)], UNIGRAM)
-    library, ours = sentencepiece.SentencePieceProcessor(model_proto=data), PieceModel.read(data)
-    values = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    ids, first = Encoder(ours)(pa.array(values))
-    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == library.encode(values)
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def test_viterbi_query_equals_the_library(spark, sf_dir):
+    library = unigram_library()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op2_sentencepiece(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == dict(zip(docs, library.encode(list(docs.values())), strict=True))
+    assert all(r["exact"] == ("▁" not in docs[r["doc_id"]]) and r["n_ids"] == len(r["ids"]) for r in rows)
+    counts = {r["doc_id"]: r["n_tokens"] for r in queries.op4_token_counts(spark, sf_dir).collect()}
+    assert counts == {r["doc_id"]: r["n_ids"] for r in rows}
+
+
+def test_long_units_equal_the_library(spark):
+    r = random.Random(6)
+    values = [*strange_texts(8, 100), "".join(r.choice("abcde thin日") for _ in range(3000)), "the" * 3000, "".join(r.choice("QWERTYabcdef0123456789+/") for _ in range(20_000)), " " * 700, "日" * 500]
+    library = unigram_library()
+    got = {r["doc_id"]: r["ids"] for r in encode_texts(texts(spark, values)).collect()}
+    assert [got[i] for i in range(len(values))] == library.encode(values)
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(texts(spark, values)).collect()}
+    assert [counts[i] for i in range(len(values))] == [len(got[i]) for i in range(len(values))]
+    began = time.process_time()
+    trie_counts(as_unigram(), ["".join(r.choice("QWERTYabcdef0123456789+/") for _ in range(300_000))])
+    assert time.process_time() - began < 10  # linear: some microseconds a character
 
 
 def test_token_counts(spark):
@@ -186,7 +287,9 @@ def test_token_counts(spark):
 
 # -- URLs -----------------------------------------------------------------------------
 
+LONG_URL = "http://h.example.org/" + "a/" * 200_000 + "?casino=" + "x" * 100_000
 URLS = [
+    LONG_URL, "http://" + "a." * 100_000 + "net/es/",
     "http://www.example.com/en/1", "https://example.com/en/", "http://example.com/en", "http://a.www.EXAMPLE.com/en/x?y#z", "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/fr", "http://net/fr/",
     "http://x.org/", "http://cheap-pills.org/buy", "http://cheap-pills.edu/x", "http://ads.foo.org/", "http://foo.org/casino", "http://foo.org/casinos", "HTTP://FOO.ORG/POPUNDER/", "no scheme com/", "", None, "://", "http://", "http://h", "ftp://h?a/b", "http://h#f", "http://com/", "http://foo.com?x=/", "http://ünï.com/", "a://b://c.com/en/",
 ]
@@ -216,7 +319,7 @@ def test_urls_against_all_rules(spark, sf_dir):
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(values)))
     assert {r[0]: r[1:] for r in con.execute(url_filters.sql()).fetchall()} == got
-    assert got[3][2:] == ("www.example.com/en/", "allow") and got[9][3] == "block" and got[10][3] == "allow" and got[13][3] == "allow"
+    assert got[5][2:] == ("www.example.com/en/", "allow") and got[11][3] == "block" and got[12][3] == "allow" and got[15][3] == "allow"
     assert url_filters.filter_urls(pages(spark, [])).collect() == []
 
 
@@ -282,6 +385,8 @@ def test_names_that_only_mention_a_listed_word():
     assert main("<article>a<div class='related'><article>b</article></div><article class='comment'>c</article><p class='ad-slot'>d<p id='page_footer'>e<p class='x sidebar-2'>f</article><div class='related'><article>g</article></div>") == ["a"]
     assert main("<noscript><div class=ad><article>a</article></div></noscript><template><article>b</article></template>") == []
     assert html_extraction.page_blocks("<div class='with-menu'>a</div><div class='top menu'>b</div>") == [("a", False, False), ("b", True, False)]
+    for name in ("topic-social", "related-work", "notice-board", "content no-sidebar", "has-sticky-header", "header-image"):
+        assert html_extraction.page_blocks(f"<div class='{name}' id='{name}'>a</div>") == [("a", False, False)], name
 
 
 def test_repeated_runs_decide_for_unmarked_pages(spark):
@@ -294,10 +399,13 @@ def test_repeated_runs_decide_for_unmarked_pages(spark):
     assert html_extraction.extract_main_text(html_pages(spark, [])).collect() == []
 
 
-def test_a_hot_host_is_dealt_over_groups(spark):
-    values = [("http://hot.example/", f"<p>the same menu of nine words on all pages</p><p>page {k} alone says {k}</p>") for k in range(40)]
-    got = html_extraction.extract_main_text(html_pages(spark, values), group_pages=5).collect()
-    assert sum(r["text"].startswith("page") for r in got) > 35
+def test_pages_of_one_content_keep_their_text(spark):
+    menu = "<div>home about news contact jobs press legal imprint help</div>"
+    own = lambda k: f"<p>{' '.join(f'own{k}x{j}' for j in range(30))}</p>"
+    values = [(f"http://h.example/{k}?s={c}", menu + own(k)) for k in range(5) for c in range(1 + 4 * (k == 0))]
+    for size in (1, 2, 256):
+        got = html_extraction.extract_main_text(html_pages(spark, values), group_pages=size).collect()
+        assert all(r["text"] == re.sub("<[^>]*>", "", own(0 if r["page_id"] < 5 else r["page_id"] - 4)) for r in got)
 
 
 def test_dealing_a_hot_host_changes_no_row(spark):
@@ -311,7 +419,7 @@ def test_dealing_a_hot_host_changes_no_row(spark):
     values += values[:2]
     seen = lambda **how: {r["page_id"]: tuple(r) for r in html_extraction.extract_main_text(html_pages(spark, values), **how).collect()}
     whole, dealt = seen(), seen(group_pages=3, bucket_bytes=4000)
-    assert len(whole) == len(values) and dealt == whole
+    assert len(whole) == len(values) and dealt == whole == seen(group_pages=7) == seen(group_pages=1, bucket_bytes=900)
     assert all(twice not in dealt[k][2] for k in (11, 47)) and dealt[60][2] == twice
 
 
@@ -320,12 +428,47 @@ def test_repeated_tokens_by_brute_force():
     for _ in range(30):
         n, depth = r.randrange(1, 60), r.randrange(1, 6)
         tokens, page = [r.randrange(4) for _ in range(n)], sorted(r.randrange(4) for _ in range(n))
+        content = [0 if p == 3 else p for p in page]  # the first and the last page are one content
         want = [False] * n
-        runs = [(tuple(tokens[i : i + depth]), page[i], i) for i in range(n - depth + 1) if page[i] == page[i + depth - 1]]
+        runs = [(tuple(tokens[i : i + depth]), content[i], i) for i in range(n - depth + 1) if page[i] == page[i + depth - 1]]
         for t, p, i in runs:
             if any(t == u and p != q for u, q, _ in runs):
                 want[i : i + depth] = [True] * depth
-        assert html_extraction.repeated_tokens(np.array(tokens, np.uint64), np.array(page), depth).tolist() == want
+        assert html_extraction.repeated_tokens(np.array(tokens, np.uint64), np.array(page), np.array(content), depth).tolist() == want
+
+
+def test_html_query_by_brute_force_without_articles(spark, sf_dir, tmp_path):
+    """The given pages with their article marks, menus and adverts as plain divisions: runs of 8 words of two contents of the host decide."""
+    import html
+
+    pages = {r["page_id"]: (r["url"], re.sub("<(/?)(?:article|nav|footer)>", r"<\1div>", r["html"]).replace(' class="ad"', "")) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    twin = min(pages)
+    pages[10**6] = (pages[twin][0] + "&twin", pages[twin][1])
+    spark.createDataFrame([(i, u, h) for i, (u, h) in pages.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    blocks = {}
+    for i, (_, h) in pages.items():
+        body = re.sub("(?s)<head>.*?</head>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->", "", h)
+        cut = re.split("</?(?:p|h1|div|ul|li|body|html|!DOCTYPE)[^>]*>", body)
+        blocks[i] = [t for t in (" ".join(html.unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b)).split()) for b in cut) if t]
+    host = {i: re.search("://([^/?#]*)", u)[1].lower() for i, (u, _) in pages.items()}
+    having = {}
+    for i, bs in blocks.items():
+        words = " ".join(bs).split()
+        for k in range(len(words) - 7):
+            having.setdefault((host[i], tuple(words[k : k + 8])), set()).add("\n".join(bs))
+    for row in queries.op9_html_extraction(spark, str(tmp_path)).collect():
+        i = row["page_id"]
+        words, at, want = " ".join(blocks[i]).split(), 0, []
+        covered = [False] * len(words)
+        for k in range(len(words) - 7):
+            if len(having[host[i], tuple(words[k : k + 8])]) > 1:
+                covered[k : k + 8] = [True] * 8
+        for b in blocks[i]:
+            n = len(b.split())
+            if not all(covered[at : at + n]):
+                want.append(b)
+            at += n
+        assert (row["text"], row["n_chars"]) == ("\n".join(want), len("\n".join(want))), i
 
 
 def test_html_query(spark, sf_dir):
@@ -366,16 +509,72 @@ def test_language_edges(spark):
     assert {r["doc_id"] for r in kept.filter("doc_id >= 100").collect()} == {103, 104}
 
 
+def small_net(seed=1):
+    net = language_id.train(["abab" * 8, "cdcd" * 8, "efgh" * 8] * 3, ["x", "y", "z"] * 3, steps=3, filters=3, widths=(2, 3), length=16, seed=seed)
+    for p in (*net.tables, net.bias, net.out, net.out_bias):
+        p += np.random.RandomState(seed).randn(*p.shape).astype(np.float32) * 0.3
+    net.tables, net.bias, net.out, net.out_bias = [t.astype(np.float64) for t in net.tables], net.bias.astype(np.float64), net.out.astype(np.float64), net.out_bias.astype(np.float64)
+    return net
+
+
 def test_network_gradient():
-    """Training steps follow the loss: a numeric derivative of one table entry agrees."""
-    net = language_id.train(["abab" * 8, "cdcd" * 8] * 3, ["x", "y"] * 3, steps=3, filters=2, widths=(2,), length=16)
-    x, _, _ = language_id.cut([b"abab" * 4, b"cdcd" * 4], 16)
-    y = np.array([0, 1])
-    loss = lambda: -np.log(language_id.softmax(net.logits(x).astype(np.float64))[np.arange(2), y]).mean()
-    before = loss()
-    trained = language_id.train(["abab" * 8, "cdcd" * 8] * 3, ["x", "y"] * 3, steps=60, filters=2, widths=(2,), length=16)
-    net = trained
-    assert loss() < before
+    """Every gradient agrees with the numeric derivative of the loss."""
+    net = small_net()
+    x, _, _ = language_id.cut([b"abcd" * 4, b"cdcd" * 4, b"efga" * 3], 16)
+    y = np.array([0, 1, 2])
+    loss = lambda: -np.log(language_id.softmax(net.logits(x))[np.arange(3), y]).mean()
+    r = np.random.RandomState(3)
+    for p, g in zip((*net.tables, net.bias, net.out, net.out_bias), language_id.gradients(net, x, y), strict=True):
+        used = np.flatnonzero(g.ravel())
+        for at in {*r.choice(used, 8), *r.randint(0, p.size, 4)}:
+            was = p.flat[at]
+            p.flat[at] = was + 1e-6
+            above = loss()
+            p.flat[at] = was - 1e-6
+            below = loss()
+            p.flat[at] = was
+            assert abs((above - below) / 2e-6 - g.flat[at]) < 1e-6
+
+
+def plain_score(net, text):
+    """The forward pass by loops: windows, filters, maxima, linear layer, softmax of the mean weighted by bytes."""
+    data, sums, weight = text.encode(), [0.0] * len(net.labels), 0
+    for at in range(0, len(data), net.length):
+        window = [*data[at : at + net.length]]
+        n = len(window)
+        window += [language_id.PAD] * (net.length - n)
+        pooled = []
+        for table in net.tables:
+            for f in range(table.shape[2]):
+                pooled.append(max(sum(float(table[k][window[i + k]][f]) for k in range(len(table))) for i in range(net.length - len(table) + 1)))
+        pooled = [max(0.0, v + float(b)) for v, b in zip(pooled, net.bias, strict=True)]
+        for j in range(len(net.labels)):
+            sums[j] += n * (float(net.out_bias[j]) + sum(v * float(w) for v, w in zip(pooled, net.out[:, j], strict=True)))
+        weight += n
+    z = np.array(sums) / weight
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return net.labels[int(p.argmax())], float(p.max())
+
+
+def test_language_query_by_plain_loops(spark, sf_dir):
+    """The query's predictions equal a forward pass by loops with the model that it fits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = language_id.fit(docs.select("doc_id", "text", "lang"))
+    text = {r["doc_id"]: r["text"] for r in docs.filter("length(text) < 1500").collect()}
+    rows = [r for r in queries.op10_language_id(spark, sf_dir).collect() if r["doc_id"] in text][:12]
+    for r in rows:
+        label, score = plain_score(net, text[r["doc_id"]])
+        assert r["lang_pred"] == label and abs(r["score"] - score) < 1e-4
+    net = small_net(2)
+    values = ["abcé" * 50, "cd", "efgh" * 4, "x" * 17, "abab" * 100]
+    for block in (1, 2, 512):
+        labels, scores = language_id.predict(net, values, block=block)
+        assert [(a, round(b, 6)) for a, b in zip(labels, scores, strict=True)] == [(a, round(b, 6)) for a, b in (plain_score(net, v) for v in values)]
+
+
+def test_too_many_labels_are_an_error(spark):
+    with pytest.raises(ValueError, match="max_labels"):
+        language_id.fit(frame(spark, [(i, "some text", f"l{i % 5}") for i in range(40)]), max_labels=4)
 
 
 # -- pipeline ---------------------------------------------------------------------------------
@@ -396,7 +595,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hits = brute_hits(list(rows.items()), items)
     rows = {i: t for i, t in rows.items() if not (hits[i][1] > 0 and 20 * hits[i][1] >= hits[i][0])}
-    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    library = unigram_library()
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {i: library.encode(t) for i, t in rows.items()}
 
