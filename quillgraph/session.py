@@ -29,12 +29,14 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_quillgraph_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="quillgraph-src-"), "quillgraph-src.zip")
+    folder = tempfile.mkdtemp(prefix="quillgraph-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "quillgraph-src.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
+        for inside, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(inside, name)
                     z.write(path, os.path.join("quillgraph", os.path.relpath(path, root)))
     context.addPyFile(target)
     context._quillgraph_shipped = True
@@ -61,4 +63,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved_tables(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
+def saved_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that `saved` wrote in this application and `release` hasn't removed, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quillgraph_saved"):
+        context._quillgraph_saved = []
+    return context._quillgraph_saved
+
+
+def release(spark: SparkSession, *, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the saved tables from place `since` on, but for the one that `keep` is.
+
+    Results that read them must have been written or collected before.
+    """
+    paths = saved_tables(spark)
+    kept = getattr(keep, "_quillgraph_path", None)
+    for path in paths[since:]:
+        if path != kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths[since:] = [kept] if kept in paths[since:] else []
