@@ -14,9 +14,9 @@ from .numbering import numbered
 from .resolution import Resolution, mentions_of, resolve_entities
 
 DAMPING = 0.85
-TOLERANCE = 1e-6
+TOLERANCE = 1e-6  # of a document's total rank, which is 1: it has settled once a round moves less
 MAX_ROUNDS = 100
-LOCAL_EDGES = 200_000  # a graph of more edges is ranked by distributed rounds
+LOCAL_EDGES = 200_000  # a graph of more edges is ranked by distributed rounds, which give the same ranks
 
 
 @dataclass
@@ -64,7 +64,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rank_arrays(n: int, source: np.ndarray, target: np.ndarray, weight: np.ndarray, *, damping: float, tolerance: float, rounds: int, exact_rounds: bool) -> np.ndarray:
-    """PageRank of one graph in memory."""
+    """PageRank of one graph in memory: rounds until one moves less than tolerance in all, whatever the graph's size."""
     if not n:
         return np.zeros(0)
     out = np.bincount(source, weights=weight, minlength=n)
@@ -75,15 +75,16 @@ def rank_arrays(n: int, source: np.ndarray, target: np.ndarray, weight: np.ndarr
         new = (1 - damping) / n + damping * (np.bincount(target, weights=rank[source] * share, minlength=n) + loose / n)
         moved = np.abs(new - rank).sum()
         rank = new
-        if not exact_rounds and moved < tolerance * n:
+        if not exact_rounds and moved < tolerance:
             break
     return rank
 
 
-def pagerank_rounds(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS, exact_rounds: bool = False, weighted: bool = True, store_every: int = 5) -> DataFrame:
+def pagerank_rounds(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS, exact_rounds: bool = False, weighted: bool = True) -> DataFrame:
     """(doc_id, id, rank) by rounds of one join and one aggregation; the rank of nodes without an exit is spread evenly.
 
-    Ranks are stored in the shared folder every few rounds, where convergence is tested too.
+    Every round ends in the shared folder. A document that has settled, by the rule of
+    rank_arrays, leaves the rounds with the ranks of that round, however long others go on.
     """
     weight = F.sum("weight") if weighted else F.count("*")
     flat = edges.groupBy("doc_id", "source", "target").agg(weight.cast("double").alias("w"))
@@ -92,24 +93,30 @@ def pagerank_rounds(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMP
     counted = nodes.select("doc_id", "id").join(nodes.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
     leaves = counted.join(total.select("doc_id", F.col("source").alias("id"), F.lit(True).alias("exit")), ["doc_id", "id"], "left").withColumn("loose", F.col("exit").isNull()).drop("exit")
     rank = saved(leaves.withColumn("rank", 1.0 / F.col("n")), "ranks")
-    for k in range(1, rounds + 1):
+    done: DataFrame | None = None
+    for k in range(rounds):
         sent = rank.join(share, ["doc_id", "id"]).groupBy("doc_id", F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         spread = rank.groupBy("doc_id").agg(F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0)).alias("spread"))
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("spread") / F.col("n"))
-        was = rank
-        step = was.join(sent, ["doc_id", "id"], "left").join(spread, "doc_id").select("doc_id", "id", "n", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
-        if k % store_every and k != rounds:
-            rank = step.drop("moved")
-            continue
+        step = rank.join(sent, ["doc_id", "id"], "left").join(spread, "doc_id").select("doc_id", "id", "n", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
         step = saved(step, "ranks")
         rank = step.drop("moved")
-        if not exact_rounds and not step.groupBy("doc_id").agg(F.sum("moved").alias("moved"), F.first("n").alias("n")).filter(F.col("moved") >= tolerance * F.col("n")).limit(1).count():
+        if exact_rounds or k + 1 == rounds:
+            continue
+        settled = step.groupBy("doc_id").agg(F.sum("moved").alias("moved")).filter(F.col("moved") < tolerance).select("doc_id")
+        if not settled.limit(1).count():
+            continue
+        out = rank.join(settled, "doc_id", "left_semi").select("doc_id", "id", "rank")
+        done = out if done is None else done.union(out)
+        rank = rank.join(settled, "doc_id", "left_anti")
+        if not rank.limit(1).count():
             break
-    return rank.select("doc_id", "id", "rank")
+    rest = rank.select("doc_id", "id", "rank")
+    return rest if done is None else done.union(rest)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS, exact_rounds: bool = False, weighted: bool = True, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(doc_id, id, rank): graphs of up to local_edges edges whole in a worker each, larger ones by distributed rounds."""
+    """(doc_id, id, rank): graphs of up to local_edges edges whole in a worker each, larger ones by distributed rounds. Both stop by one rule."""
     ship_package(nodes.sparkSession)
     options = {"damping": damping, "tolerance": tolerance, "rounds": rounds, "exact_rounds": exact_rounds}
     size = saved(edges.groupBy("doc_id").agg(F.count("*").alias("m")).filter(F.col("m") > local_edges).select("doc_id"), "large-graphs")

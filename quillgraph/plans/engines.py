@@ -97,7 +97,7 @@ def extract_with_retries(ask: Callable[[list[dict]], str], chunk: str, context:
         if (got := parse_reply(reply)) is not None:
             return got
         talk = [*talk, {"role": "assistant", "content": reply}, {"role": "user", "content": RETRY_PROMPT}]
-    raise ValueError(f"chunk {context.index}: no valid JSON after {attempts} attempts: {reply[:120]}")
+    raise ValueError(f"no usable reply for chunk {context.index} in {attempts} tries; the last one begins {reply[:80]!r}")
 
 
 # -- engines -------------------------------------------------------------------
@@ -231,7 +231,7 @@ class ChatEngine:
             elif got.status in (401, 402, 429):
                 raise FatalEngineError({401: "the key was rejected (401)", 402: "credits are used up (402)", 429: "still rate limited after waiting (429)"}[got.status])
             elif not 200 <= got.status < 300:
-                raise RuntimeError(f"error {got.status}: {got.body[:160]}")
+                raise RuntimeError(f"the endpoint refused with status {got.status}, saying {got.body[:400]!r}")
             else:
                 choices = json.loads(got.body).get("choices") or [{}]
                 return (choices[0].get("message") or {}).get("content") or ""

@@ -75,7 +75,7 @@ def outcomes_of_replies(replies: DataFrame) -> DataFrame:
     """The same relation from stored replies(doc_id, chunk_index, attempt, reply)."""
     chosen = first_valid_attempts(parse_replies(replies))
     ok = F.col("propositions").isNotNull()
-    error = F.concat(F.lit("no valid JSON after "), F.col("attempts").cast("string"), F.lit(" attempts"))
+    error = F.concat(F.lit("no usable reply in "), F.col("attempts").cast("string"), F.lit(" tries"))
     return chosen.select("doc_id", "chunk_index", ok.alias("ok"), F.when(~ok, error).alias("error"), F.lit(False).alias("fatal"), "propositions")
 
 

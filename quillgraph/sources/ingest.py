@@ -7,6 +7,7 @@ decoder that the caller gives, as a function from bytes to a list of pages of te
 from __future__ import annotations
 
 import io
+import mimetypes
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -16,13 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, file_extension, file_title, trim_ws
-from ..session import ship_package
+from ..session import saved, ship_package
 
 TEXT_EXTENSIONS = ("txt", "md")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_TYPES = mimetypes.MimeTypes()  # Python's own table, not the machine's
 PdfDecoder = Callable[[bytes], Sequence[Sequence[str]]]
 
 
+def _is_text(extension: str) -> bool:
+    """True for extensions of a text/* type, such as html, csv or css."""
+    return (_TYPES.guess_type(f"x.{extension}")[0] or "").startswith("text/")
+
+
 def docx_text(content: bytes) -> str:
     """Raw text of the body: tabs and line breaks kept, a blank line after each paragraph."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -52,8 +59,9 @@ def join_pages(pages: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """documents(doc_id, path, title, text) and errors(path, error) of the files under a path.
 
-    doc_id is a hash of the path. Files of other types, and files that can't be decoded, are
-    errors; with strict=True the first of them fails the job.
+    doc_id is a hash of the path. Files with text_extensions and of text/* types are text.
+    Files of other types, and files that can't be decoded, are errors; with strict=True the
+    first of them fails the job. Files are decoded once, into the shared folder, unless strict.
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -70,12 +78,12 @@ def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: S
                     elif ext == "pdf" and pdf is not None:
                         pages = [" ".join(" ".join(items).split()) for items in pdf(content)]
                         text = "\n\n".join(p for p in pages if p)
-                    elif ext in text_extensions:
+                    elif ext in text_extensions or _is_text(ext):
                         text = content.decode("utf-8", "replace").removeprefix("\ufeff")
                     elif ext == "pdf":
                         error = "PDF needs a decoder"
                     else:
-                        error = f"Unsupported file type: .{ext} (use PDF, DOCX, TXT or MD)"
+                        error = f"there is no reader for {ext or 'nameless'} files"
                 except Exception as e:  # noqa: BLE001  one bad file is reported, not fatal
                     error = f"{type(e).__name__}: {e}"
                 texts.append(text)
@@ -85,6 +93,8 @@ def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: S
     read = kinds.mapInArrow(decode, "path string, text string, error string")
     if strict:
         read = read.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("text")))
+    else:
+        read = saved(read, "files")
     docs = read.filter("text IS NOT NULL").select(F.xxhash64("path").alias("doc_id"), "path", file_title("path").alias("title"), "text")
     return docs, read.filter("error IS NOT NULL").select("path", "error")
 

@@ -78,14 +78,14 @@ def test_first_valid_of_three(spark):
     rows = [(1, 0, 1, "no"), (1, 0, 2, reply(GOOD)), (1, 0, 3, reply()), (1, 1, 1, "no"), (1, 1, 2, "no"), (1, 1, 3, "no"), (1, 1, 4, reply(GOOD)), (2, 0, 1, reply())]
     got = outcomes_of_replies(spark.createDataFrame(rows, "doc_id int, chunk_index int, attempt int, reply string"))
     by = {(r["doc_id"], r["chunk_index"]): r for r in got.collect()}
-    assert [(by[k]["ok"], by[k]["error"], None if by[k]["propositions"] is None else len(by[k]["propositions"])) for k in ((1, 0), (1, 1), (2, 0))] == [(True, None, 1), (False, "no valid JSON after 3 attempts", None), (True, None, 0)]
+    assert [(by[k]["ok"], by[k]["error"], None if by[k]["propositions"] is None else len(by[k]["propositions"])) for k in ((1, 0), (1, 1), (2, 0))] == [(True, None, 1), (False, "no usable reply in 3 tries", None), (True, None, 0)]
 
 
 def test_prompt(spark):
     rows = spark.createDataFrame([(1, "T", ["A", "B"]), (2, "", []), (3, None, ["A"])], "i int, title string, prior array<string>")
     got = {r["i"]: r["p"] for r in rows.select("i", X.user_prompt(F.lit("chunk"), F.col("title"), F.col("prior")).alias("p")).collect()}
     assert got == {i: X.user_prompt_text("chunk", t, p) for i, t, p in ((1, "T", ["A", "B"]), (2, "", []), (3, None, ["A"]))}
-    assert got[1].startswith("Document: T\n\n") and "A, B" in got[1] and got[2].count("\n\n") == 1
+    assert got[1].startswith("From the document: T\n\n") and "A, B" in got[1] and got[2].count("\n\n") == 1
 
 
 def test_strict_schema():
@@ -136,7 +136,7 @@ def test_chat_retries_with_the_failed_reply():
     assert roles == ["system", "user", "assistant", "user"] and sent[1][2]["messages"][2]["content"] == "nope"
     assert sent[0][2]["temperature"] == 0 and sent[0][2]["model"] == "m" and sent[0][1]["Authorization"] == "Bearer key"
     engine, _, _ = chat([answer("a"), answer("b"), answer("c")])
-    with pytest.raises(ValueError, match="after 3 attempts: c"):
+    with pytest.raises(ValueError, match="in 3 tries; the last one begins 'c'"):
         engine.extract("text", E.ChunkContext(4))
 
 
@@ -148,7 +148,7 @@ def test_chat_waits_and_gives_up():
             chat([E.HttpReply(status, "")])[0].extract("t", E.ChunkContext(0))
     with pytest.raises(E.FatalEngineError, match="429"):
         chat([E.HttpReply(429, "")] * 4)[0].extract("t", E.ChunkContext(0))
-    with pytest.raises(RuntimeError, match="error 500"):
+    with pytest.raises(RuntimeError, match="status 500"):
         chat([E.HttpReply(500, "down")])[0].extract("t", E.ChunkContext(0))
 
 
@@ -213,7 +213,7 @@ def test_replay_and_rule_engines(spark):
     engine = E.ReplayEngine({0: ["bad", reply(GOOD)], 1: [ValueError("down")]})
     chunks = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, "z")], "doc_id long, chunk_index int, text string")
     got = {r["chunk_index"]: (r["ok"], r["error"]) for r in extract_chunks(chunks, engine).collect()}
-    assert got[0] == (True, None) and got[1] == (False, "down") and got[2][1].startswith("chunk 2: no valid JSON after 3")
+    assert got[0] == (True, None) and got[1] == (False, "down") and got[2][1].startswith("no usable reply for chunk 2 in 3 tries")
     long = " ".join(f"w{k}" for k in range(40))
     every = E.RuleEngine().extract(f"{long}. One two three! Four five. And the last one", E.ChunkContext(0))
     assert [(p["text"], p["subject"]["name"], p["object"]["name"]) for p in every] == [(f"{long}.", "w0", "w39"), ("One two three!", "One", "three"), ("And the last one", "And", "one")]
