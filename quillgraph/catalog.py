@@ -7,6 +7,9 @@ engine replies from customers, texts from documents, surface variants from parts
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,10 @@ from .functions.text import file_title, norm_key, sanitize_title, slug_title, xm
 from .operators import chunking, extraction, graph, guard, inspect, resolution
 from .operators.components import components
 from .plans.engines import RuleEngine
-from .plans.pipeline import outcomes_of_replies, run_pipeline
+from .plans.pipeline import outcomes_of_replies, run_pipeline, suggest_titles
 from .session import saved, scratch
 from .sinks import export, persist
-from .sources.ingest import join_pages
+from .sources.ingest import join_pages, pasted, read_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,17 +89,46 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_document_sentences(laid_out(spark, sf_dir))
 
 
-@query()
+def _chunk_parts(target: int, overlap: int) -> str:
+    """From blocks: sentence folds of oversized ones, pieces, packing, and chunks with their overlap, as ck(doc_id, chunk_index, text)."""
+    size, lead = target * 4, overlap * 4
+    trim = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+    slices = f"list_transform(range(0, {{0}}), lambda k: {trim.format(f'substr({{1}}, CAST(k * {size} + 1 AS BIGINT), {size})')})"
+    over = "ceil(length({0}) / 4.0) > " + str(target)
+    return rf"""
+big AS MATERIALIZED (SELECT doc_id, block_index, CASE WHEN len(ss) > 0 THEN ss ELSE [block] END AS ss FROM (SELECT doc_id, block_index, block, regexp_extract_all(block, '[^.!?]+[.!?]+["'')\]]*\s*|[^.!?]+$') AS ss FROM blocks WHERE {over.format("block")})),
+fold AS (SELECT doc_id, block_index, 0 AS i, '' AS held, CAST([] AS VARCHAR[]) AS em FROM big
+  UNION ALL SELECT doc_id, block_index, i, substr(h, CAST(n * {size} + 1 AS BIGINT)), list_concat(ended, {slices.format("n", "h")}) FROM
+  (SELECT *, CASE WHEN length(h) > {size} THEN (length(h) - 1) // {size} ELSE 0 END AS n FROM
+  (SELECT f.doc_id, f.block_index, f.i + 1 AS i, CASE WHEN held <> '' AND {over.format("held || ss[f.i + 1]")} THEN [{trim.format("held")}] ELSE CAST([] AS VARCHAR[]) END AS ended,
+    CASE WHEN held <> '' AND {over.format("held || ss[f.i + 1]")} THEN ss[f.i + 1] ELSE held || ss[f.i + 1] END AS h FROM fold f JOIN big b ON b.doc_id = f.doc_id AND b.block_index = f.block_index WHERE f.i < len(ss)))),
+raw AS (SELECT doc_id, block_index, i, unnest(range(1, len(em) + 1)) AS k, unnest(em) AS piece FROM fold
+  UNION ALL SELECT f.doc_id, f.block_index, f.i + 1, 0, {trim.format("held")} FROM fold f JOIN big b ON b.doc_id = f.doc_id AND b.block_index = f.block_index WHERE f.i = len(ss) AND {trim.format("held")} <> ''
+  UNION ALL SELECT doc_id, block_index, 0, 0, block FROM blocks WHERE NOT ({over.format("block")})),
+pcs AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, i, k) AS p, piece, CAST(ceil(length(piece) / 4.0) AS BIGINT) AS t FROM raw),
+pk AS (SELECT doc_id, p, t AS total, 0 AS c FROM pcs WHERE p = 1
+  UNION ALL SELECT pk.doc_id, q.p, CASE WHEN total > 0 AND total + t > {target} THEN t ELSE total + t END, CASE WHEN total > 0 AND total + t > {target} THEN c + 1 ELSE c END FROM pk JOIN pcs q ON q.doc_id = pk.doc_id AND q.p = pk.p + 1),
+body AS MATERIALIZED (SELECT pk.doc_id, c, string_agg(piece, chr(10) || chr(10) ORDER BY pk.p) AS body FROM pk JOIN pcs ON pcs.doc_id = pk.doc_id AND pcs.p = pk.p GROUP BY pk.doc_id, c),
+ck AS (SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, body AS text FROM body WHERE c = 0
+  UNION ALL SELECT b.doc_id, CAST(b.c AS INTEGER), CASE WHEN {overlap} > 0 AND l <> '' THEN l || chr(10) || chr(10) || body ELSE body END FROM
+  (SELECT doc_id, chunk_index, CASE WHEN length(text) <= {lead} THEN text ELSE regexp_replace(right(text, {lead}), '^(?s:.*?)[.!?]\s+', '') END AS l FROM ck) x JOIN body b ON b.doc_id = x.doc_id AND b.c = x.chunk_index + 1)"""
+
+
+def _chunk_sql(target: int, overlap: int) -> str:
+    return f"WITH RECURSIVE {_BLOCKS}, {_chunk_parts(target, overlap)} SELECT doc_id, chunk_index, text, CAST(ceil(length(text) / 4.0) AS INTEGER) AS token_estimate FROM ck"
+
+
+@query(_chunk_sql(900, 120))
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(laid_out(spark, sf_dir))
 
 
-@query()
+@query(_chunk_sql(100, 20))
 def chunks_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20)
 
 
-@query()
+@query(_chunk_sql(100, 20))
 def chunks_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20, native=True)
 
@@ -119,6 +151,87 @@ def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_pages(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.array("role", "text").alias("items")))
 
 
+_NATION_FILES = "CASE n_nationkey % 6 WHEN 0 THEN 'txt' WHEN 1 THEN 'MD' WHEN 2 THEN 'docx' WHEN 3 THEN 'html' WHEN 4 THEN 'pdf' ELSE 'bin' END"
+
+
+def _docx(*paragraphs: str) -> bytes:
+    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query(
+    f"""WITH f AS (SELECT n_nationkey, n_name, {_NATION_FILES} AS ext FROM nation) SELECT n_name || '.' || n_nationkey AS title, CASE lower(ext) WHEN 'docx' THEN n_name || chr(10) || chr(10) || 'né' || chr(10) || chr(10) WHEN 'pdf' THEN NULL WHEN 'bin' THEN NULL ELSE n_name || ' né' END AS text,
+CASE ext WHEN 'pdf' THEN 'PDF needs a decoder' WHEN 'bin' THEN 'there is no reader for bin files' END AS error FROM f"""
+)
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a nation, of six types, written to the shared folder and read from there."""
+    folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.expr(_NATION_FILES).alias("ext")).collect():  # 25
+        content = _docx(r["n_name"], "né") if r["ext"] == "docx" else f"{r['n_name']} né".encode()
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['n_name']}.{r['n_nationkey']}.{r['ext']}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(content))
+        out.close()
+    docs, errors = read_files(spark, folder)
+    return docs.select("title", "text", F.lit(None).cast("string").alias("error")).union(errors.select(file_title("path"), F.lit(None), "error"))
+
+
+_PASTE = "CASE turn % 4 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN NULL ELSE text END"
+
+
+@query(f"SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 4 > 1 THEN {_PASTE} END AS text, CASE WHEN turn % 4 < 2 THEN 'the text is blank' END AS error FROM conversations")
+def pasted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.expr(_PASTE).alias("text"))
+    docs, errors = pasted(given)
+    return docs.select("doc_id", "text", F.lit(None).cast("string").alias("error")).union(errors.select("doc_id", F.lit(None), "error"))
+
+
+_TITLES = "CASE doc_id % 3 WHEN 0 THEN 'Given ' || doc_id WHEN 1 THEN '' END"
+
+
+@query(
+    rf"""WITH li AS (SELECT doc_id, {_TITLES} AS given, array_to_string(regexp_extract_all(substr(text, 1, 4000), '\S+')[1:8], ' ') AS line FROM documents)
+SELECT doc_id, CASE WHEN given <> '' THEN given ELSE nullif(regexp_replace(substr(regexp_replace(line, '^["''“”‘’#*\s]+|["''“”‘’.!*\s]+$', '', 'g'), 1, 80), '^\s+|\s+$', '', 'g'), '') END AS title FROM li"""
+)
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that were given, else the engine's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_TITLES).alias("title"), "text")
+    return suggest_titles(docs, RuleEngine())
+
+
+_PROMPTED = ("CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN '' END AS title", "CASE WHEN turn % 2 = 0 THEN array(role, 'conversation ' || conv_id) ELSE array() END AS prior")
+
+
+@query(
+    """SELECT conv_id, turn, concat_ws(chr(10) || chr(10), CASE WHEN turn % 3 = 0 THEN 'From the document: ' || role END, CASE WHEN turn % 2 = 0 THEN 'Known from earlier passages: ' || role || ', conversation ' || conv_id END,
+'The passage:', text) AS prompt FROM conversations"""
+)
+def user_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", *_PROMPTED)
+    return rows.select("conv_id", "turn", extraction.user_prompt(F.col("text"), F.col("title"), F.col("prior")).alias("prompt"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('', 'propositions', 'propositions', false), ('.propositions[]', 'id,object,predicate,subject,text', 'id,object,predicate,subject,text', false),
+('.propositions[].subject', 'name,type', 'name,type', false), ('.propositions[].object', 'name,type', 'name,type', false)) AS v(path, properties, required, further)"""
+)
+def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object of the strict output schema: its properties, those required, and whether others are allowed."""
+    rows, todo = [], [("", extraction.strict_schema(extraction.EXTRACTION_SCHEMA))]
+    while todo:
+        path, node = todo.pop()
+        if node["type"] == "object":
+            rows.append((path, ",".join(sorted(node["properties"])), ",".join(sorted(node["required"])), node["additionalProperties"]))
+            todo += [(f"{path}.{name}", x) for name, x in node["properties"].items()]
+        elif node["type"] == "array":
+            todo.append((f"{path}[]", node["items"]))
+    return spark.createDataFrame(rows, "path string, properties string, required string, further boolean")
+
+
 @query(r"SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]+$', '') AS title FROM pages")
 def file_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", file_title("url").alias("title"))
@@ -235,8 +348,8 @@ _PROPS = """
 SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 0 AS chunk_index, CAST(c_custkey AS INTEGER) AS pos, 'p1' AS local_id, c_name AS s_name, 'person' AS s_type, 'is located in' AS predicate, n_name AS o_name, 'location' AS o_type
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 UNION ALL SELECT CAST(n_regionkey AS BIGINT), 1, n_nationkey, 'p2', n_name, 'location', 'is part of', r_name, 'location' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(2 + k % 14 AS INTEGER), CAST(k * 8 + l AS INTEGER), 'p' || l, s_name, 'organization', 'supplies', p_name, 'artifact'
-FROM (SELECT l_orderkey AS k, l_linenumber AS l, min(l_suppkey) AS s, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber) t
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(2 + k % 14 AS INTEGER), CAST(k * 64 + l AS INTEGER), 'p' || l, s_name, 'organization', 'supplies', p_name, 'artifact'
+FROM (SELECT l_orderkey AS k, l_suppkey AS s, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l FROM {lineitem}) t
 JOIN {supplier} ON s_suppkey = s JOIN {part} ON p_partkey = p JOIN {nation} ON s_nationkey = n_nationkey"""
 _TABLES = ("customer", "nation", "region", "lineitem", "supplier", "part")
 _KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^(the|a|an)\s+', ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -249,21 +362,26 @@ def mapped_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "pos", "local_id", text.alias("text"), mention("s").alias("subject"), "predicate", mention("o").alias("object"), F.lit(None).cast("double").alias("confidence"))
 
 
-_GRAPH = f"""
-props AS MATERIALIZED (SELECT *, s_name || ' ' || predicate || ' ' || o_name || '.' AS text, (CAST(chunk_index AS BIGINT) << 32) + pos AS ord, 'c' || chunk_index || '-' || local_id || '-' || pos AS gid FROM ({_PROPS.format(**{t: t for t in _TABLES})})),
+def _graph_parts(props: str) -> str:
+    """The graph of propositions by exact merge: props, ment, keyed, ents, sup, edg, deg and nod."""
+    return f"""
+props AS MATERIALIZED (SELECT *, (CAST(chunk_index AS BIGINT) << 32) + pos AS ord, 'c' || chunk_index || '-' || local_id || '-' || pos AS gid FROM ({props})),
 ment AS (SELECT doc_id, (CAST(chunk_index AS BIGINT) << 32) + pos * 2 AS seq, chunk_index, s_name AS name, s_type AS type FROM props UNION ALL SELECT doc_id, (CAST(chunk_index AS BIGINT) << 32) + pos * 2 + 1, chunk_index, o_name, o_type FROM props),
 keyed AS (SELECT *, {_KEY.format("name")} AS key FROM ment),
-ents AS (SELECT *, 'n' || (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1) AS id FROM (SELECT doc_id, key, type, min(seq) AS first_seq, arg_min(name, seq) AS label, count(*) AS mentions, list_sort(list(DISTINCT chunk_index)) AS source_chunks FROM keyed GROUP BY doc_id, key, type)),
+ents AS (SELECT *, 'n' || (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1) AS id FROM (SELECT doc_id, key, type, min(seq) AS first_seq, arg_min(name, seq) AS label, count(*) AS mentions, list_sort(list(DISTINCT chunk_index)) AS source_chunks FROM keyed WHERE key <> '' GROUP BY doc_id, key, type)),
 sup AS (SELECT p.*, s.id AS source, t.id AS target FROM props p JOIN ents s ON s.doc_id = p.doc_id AND s.key = {_KEY.format("s_name")} AND s.type = s_type JOIN ents t ON t.doc_id = p.doc_id AND t.key = {_KEY.format("o_name")} AND t.type = o_type),
 edg AS MATERIALIZED (SELECT *, 'e' || (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1) AS id FROM (SELECT doc_id, source, target, predicate AS label, min(ord) AS first, count(*) AS weight, list(gid ORDER BY ord) AS propositions FROM sup GROUP BY doc_id, source, target, predicate)),
 deg AS (SELECT doc_id, id, count(*) AS degree FROM (SELECT doc_id, source AS id FROM edg UNION ALL SELECT doc_id, target FROM edg) GROUP BY doc_id, id),
-nod AS MATERIALIZED (SELECT e.*, coalesce(degree, 0) AS degree, mentions / 1000.0 AS rank, CAST(substr(e.id, 2) AS BIGINT) AS num FROM ents e LEFT JOIN deg d ON d.doc_id = e.doc_id AND d.id = e.id)"""
+nod AS MATERIALIZED (SELECT e.*, coalesce(degree, 0) AS degree, 0.0 AS rank, CAST(substr(e.id, 2) AS BIGINT) AS num FROM ents e LEFT JOIN deg d ON d.doc_id = e.doc_id AND d.id = e.id)"""
+
+
+_GRAPH = _graph_parts(f"SELECT *, s_name || ' ' || predicate || ' ' || o_name || '.' AS text FROM ({_PROPS.format(**{t: t for t in _TABLES})})")
 
 
 def mapped_graph(spark: SparkSession, sf_dir: str) -> graph.KnowledgeGraph:
-    """Exact merge only; a thousandth of the mentions stands in for the rank, which has a query of its own."""
+    """Exact merge only and ranks of 0, for queries that read none; ranked_graph has them."""
     g = graph.assemble_graph(mapped_propositions(spark, sf_dir), fuzzy=False, rank=False)
-    g.nodes = saved(g.nodes.withColumn("rank", F.col("mentions") / 1000.0), "mapped-nodes")
+    g.nodes = saved(g.nodes, "mapped-nodes")
     return g
 
 
@@ -297,7 +415,8 @@ def proposition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.proposition_records(mapped_propositions(spark, sf_dir))
 
 
-def _rank_sql(rounds: int) -> str:
+def _rank_parts(rounds: int) -> str:
+    """PageRank, unrolled, as r0, r1, ... over nod and edg."""
     parts = [
         "flat AS (SELECT doc_id, source, target, CAST(sum(weight) AS DOUBLE) AS w FROM edg GROUP BY ALL)",
         "tot AS (SELECT doc_id, source, sum(w) AS t FROM flat GROUP BY ALL)",
@@ -310,7 +429,22 @@ def _rank_sql(rounds: int) -> str:
 LEFT JOIN (SELECT r.doc_id, target AS id, sum(rank * share) AS got FROM r{k - 1} r JOIN shr ON shr.doc_id = r.doc_id AND shr.source = r.id GROUP BY ALL) g ON g.doc_id = r.doc_id AND g.id = r.id
 JOIN (SELECT doc_id, sum(CASE WHEN loose THEN rank ELSE 0 END) AS spread FROM r{k - 1} GROUP BY doc_id) s ON s.doc_id = r.doc_id)"""
         )
-    return f"WITH {_GRAPH}, " + ", ".join(parts) + f" SELECT doc_id, id, round(rank, 8) AS rank FROM r{rounds}"
+    return ", ".join(parts)
+
+
+def _rank_sql(rounds: int) -> str:
+    return f"WITH {_GRAPH}, {_rank_parts(rounds)} SELECT doc_id, id, round(rank, 8) AS rank FROM r{rounds}"
+
+
+_RANKED = f"{_GRAPH}, {_rank_parts(8)}, rnod AS MATERIALIZED (SELECT nod.* EXCLUDE (rank), round(r8.rank, 8) AS rank FROM nod JOIN r8 ON r8.doc_id = nod.doc_id AND r8.id = nod.id)"
+
+
+def ranked_graph(spark: SparkSession, sf_dir: str) -> graph.KnowledgeGraph:
+    """The mapped graph with PageRank of 8 rounds, to 8 places."""
+    g = mapped_graph(spark, sf_dir)
+    ranks = graph.pagerank(g.nodes, g.edges, rounds=8, exact_rounds=True).withColumn("rank", F.round("rank", 8))
+    g.nodes = saved(g.nodes.drop("rank").join(ranks, ["doc_id", "id"]), "ranked-nodes")
+    return g
 
 
 @query(_rank_sql(8))
@@ -350,6 +484,10 @@ _MENTIONS = f"SELECT CAST(p_size % 5 AS BIGINT) AS doc_id, CAST(p_partkey AS BIG
 _KEYED = f"mentions AS ({_MENTIONS} FROM part), keyed AS (SELECT *, {_KEY.format('name')} AS key FROM mentions)"
 
 
+_NAMED_TWICE = f"""SELECT CAST(p_size % 5 AS BIGINT) AS doc_id, CAST(p_partkey * 2 + side AS BIGINT) AS seq, CAST(p_partkey % 16 AS INTEGER) AS chunk_index,
+CASE WHEN side = 0 THEN {_VARIANT} ELSE replace(p_name, ' ', '') || 's' END AS name, CASE WHEN p_partkey % 10 < 7 THEN 'artifact' ELSE 'concept' END AS type FROM (SELECT *, 0 AS side FROM part UNION ALL SELECT *, 1 FROM part)"""
+
+
 def variant_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{_MENTIONS} FROM {{part}}", part=table(spark, sf_dir, "part"))
 
@@ -385,6 +523,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "id", "label", "type", F.array_join("aliases", "|").alias("aliases"), "mentions", _joined("source_chunks"))
 
 
+def named_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of parts by a variant of their name, and after it by its plural in one word, in five documents."""
+    return spark.sql(_NAMED_TWICE.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names, and as plurals in one word, in one document."""
     rows = spark.sql("SELECT p_partkey, p_name AS w FROM {part} UNION ALL SELECT p_partkey, replace(p_name, ' ', '') || 's' FROM {part}", part=table(spark, sf_dir, "part"))
@@ -392,9 +535,8 @@ def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("w").agg(F.min(F.col("p_partkey") * 2 + F.when(F.endswith("w", F.lit("s")), 1).otherwise(0)).alias("first_seq")).select(F.lit(0).cast("long").alias("doc_id"), "first_seq", F.col("w").alias("key"), F.lit("artifact").alias("type"))
 
 
-_JW = """
-words AS MATERIALIZED (SELECT w AS key, min(p_partkey * 2 + CASE WHEN ends_with(w, 's') THEN 1 ELSE 0 END) AS seq FROM (SELECT p_partkey, p_name AS w FROM part UNION ALL SELECT p_partkey, replace(p_name, ' ', '') || 's' FROM part) GROUP BY w),
-prs AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b, a.key AS x, b.key AS y, length(a.key) AS lx, length(b.key) AS ly, greatest(0, greatest(length(a.key), length(b.key)) // 2 - 1) AS win FROM words a JOIN words b ON a.seq < b.seq),
+# Similarities of the pairs prs(a, b, x, y, lx, ly, win), character by character, as sim.
+_JARO_WINKLER = """
 st AS (SELECT a, b, 0 AS i, CAST([] AS INTEGER[]) AS mi, CAST([] AS INTEGER[]) AS us FROM prs
   UNION ALL SELECT q.a, q.b, q.i, CASE WHEN q.j IS NULL THEN q.mi ELSE list_append(q.mi, q.i) END, CASE WHEN q.j IS NULL THEN q.us ELSE list_append(q.us, q.j) END FROM (
     SELECT s.a, s.b, s.i + 1 AS i, s.mi, s.us, list_filter(range(CAST(greatest(1, s.i + 1 - win) AS BIGINT), CAST(least(ly, s.i + 1 + win) + 1 AS BIGINT)), lambda j: substr(y, j, 1) = substr(x, s.i + 1, 1) AND NOT list_contains(s.us, CAST(j AS INTEGER)))[1] AS j
@@ -404,6 +546,10 @@ tra AS (SELECT *, len(list_filter(range(1, m + 1), lambda k: substr(x, mi[k], 1)
 jar AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE (m / lx + m / ly + (m - tr / 2) / m) / 3 END AS jaro FROM tra),
 sim AS MATERIALIZED (SELECT a, b, x AS key_a, y AS key_b, jaro + pre * 0.1 * (1 - jaro) AS similarity FROM jar)"""
 
+_JW = """
+words AS MATERIALIZED (SELECT w AS key, min(p_partkey * 2 + CASE WHEN ends_with(w, 's') THEN 1 ELSE 0 END) AS seq FROM (SELECT p_partkey, p_name AS w FROM part UNION ALL SELECT p_partkey, replace(p_name, ' ', '') || 's' FROM part) GROUP BY w),
+prs AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b, a.key AS x, b.key AS y, length(a.key) AS lx, length(b.key) AS ly, greatest(0, greatest(length(a.key), length(b.key)) // 2 - 1) AS win FROM words a JOIN words b ON a.seq < b.seq),""" + _JARO_WINKLER
+
 
 @query(f"WITH RECURSIVE {_JW} SELECT a, b, key_a, key_b, round(similarity, 8) AS similarity FROM sim WHERE similarity >= 0.92")
 def jw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,6 +565,36 @@ def jw_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(pairs, by=["doc_id"]).select("node", "component")
 
 
+_FUZZY = f"""keyed AS (SELECT *, {_KEY.format('name')} AS key FROM ({_NAMED_TWICE})),
+cl AS MATERIALIZED (SELECT doc_id, key, type, min(seq) AS first_seq FROM keyed WHERE key <> '' GROUP BY ALL),
+fo AS MATERIALIZED (SELECT doc_id, key, type, name AS form, count(*) AS n, min(seq) AS form_seq FROM keyed WHERE key <> '' GROUP BY ALL),
+near AS MATERIALIZED (SELECT a.doc_id, a.first_seq AS a, b.first_seq AS b, a.key AS x, b.key AS y FROM cl a JOIN cl b ON a.doc_id = b.doc_id AND a.type = b.type AND a.first_seq < b.first_seq),
+prs AS MATERIALIZED (SELECT x AS a, y AS b, x, y, length(x) AS lx, length(y) AS ly, greatest(0, greatest(length(x), length(y)) // 2 - 1) AS win FROM (SELECT DISTINCT x, y FROM near)),{_JARO_WINKLER},
+lk AS MATERIALIZED (SELECT near.doc_id, near.a, near.b FROM near JOIN sim ON sim.a = x AND sim.b = y WHERE similarity >= 0.92),
+bo AS MATERIALIZED (SELECT * FROM lk UNION SELECT doc_id, b, a FROM lk),
+re AS (SELECT doc_id, first_seq AS node, first_seq AS other FROM cl UNION SELECT re.doc_id, re.node, bo.b FROM re JOIN bo ON bo.doc_id = re.doc_id AND bo.a = re.other),
+co AS MATERIALIZED (SELECT doc_id, node AS first_seq, min(other) AS entity_seq FROM re GROUP BY ALL),
+num AS (SELECT doc_id, entity_seq, 'n' || (row_number() OVER (PARTITION BY doc_id ORDER BY entity_seq) - 1) AS id FROM (SELECT DISTINCT doc_id, entity_seq FROM co)),
+all_forms AS (SELECT fo.*, cl.first_seq, co.entity_seq FROM fo JOIN cl USING (doc_id, key, type) JOIN co ON co.doc_id = cl.doc_id AND co.first_seq = cl.first_seq),
+lab AS (SELECT *, first_value(form) OVER (PARTITION BY doc_id, entity_seq ORDER BY n DESC, length(form) DESC, first_seq, form_seq) AS label FROM all_forms),
+ag AS (SELECT doc_id, entity_seq, type, label, coalesce(string_agg(form, '|' ORDER BY first_seq, form_seq, form) FILTER (WHERE form <> label), '') AS aliases, CAST(sum(n) AS BIGINT) AS mentions FROM lab GROUP BY ALL),
+so AS (SELECT co.doc_id, entity_seq, array_to_string(list_sort(list(DISTINCT chunk_index)), ',') AS source_chunks FROM keyed JOIN cl USING (doc_id, key, type) JOIN co ON co.doc_id = cl.doc_id AND co.first_seq = cl.first_seq GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_FUZZY} SELECT doc_id, id, label, type, aliases, mentions, source_chunks FROM ag JOIN num USING (doc_id, entity_seq) JOIN so USING (doc_id, entity_seq)")
+def entities_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities after the exact and the fuzzy merge, at the operator's own threshold."""
+    found = resolution.resolve_entities(named_twice(spark, sf_dir)).entities
+    return found.select("doc_id", "id", "label", "type", F.array_join("aliases", "|").alias("aliases"), "mentions", _joined("source_chunks"))
+
+
+@query(f"WITH RECURSIVE {_FUZZY} SELECT seq, name, id FROM keyed JOIN cl USING (doc_id, key, type) JOIN co ON co.doc_id = cl.doc_id AND co.first_seq = cl.first_seq JOIN num ON num.doc_id = co.doc_id AND num.entity_seq = co.entity_seq")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity that each mention resolves to."""
+    named = named_twice(spark, sf_dir)
+    return resolution.resolve_entities(named).ids_for(named).select("seq", "name", "id")
+
+
 _COSINE = "prs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
 
 
@@ -439,6 +615,30 @@ def cosine_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(resolution.cosine_pairs(_vector_clusters(spark, sf_dir), threshold=0.35), by=["doc_id"]).select("node", "component")
 
 
+@query(f"WITH {_COSINE} SELECT a, b, round(similarity, 6) AS similarity FROM prs WHERE similarity >= 0.25 AND similarity < 0.35")
+def borderline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that just miss a threshold, here one that the table's vectors reach."""
+    return resolution.borderline_pairs(_vector_clusters(spark, sf_dir), low=0.25, threshold=0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+m AS (SELECT label AS doc_id, vec_id AS seq, CAST(vec_id % 3 AS INTEGER) AS chunk_index, 'vector ' || vec_id // 2 AS key, e FROM u),
+cl AS (SELECT doc_id, key, min(seq) AS first_seq, arg_min(e, seq) AS e, count(*) AS mentions FROM m GROUP BY doc_id, key),
+v AS (SELECT key, arg_min(e, seq) AS e FROM m GROUP BY key),
+c AS MATERIALIZED (SELECT doc_id, key, first_seq, mentions, v.e FROM cl JOIN v USING (key)),
+lk AS MATERIALIZED (SELECT a.doc_id, a.first_seq AS a, b.first_seq AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.first_seq <> b.first_seq AND list_dot_product(a.e, b.e) >= 0.35),
+re AS (SELECT doc_id, first_seq AS node, first_seq AS other FROM c UNION SELECT re.doc_id, re.node, lk.b FROM re JOIN lk ON lk.doc_id = re.doc_id AND lk.a = re.other),
+co AS (SELECT doc_id, node, min(other) AS entity FROM re GROUP BY doc_id, node)
+SELECT co.doc_id, CAST(entity AS BIGINT) AS first_seq, CAST(sum(mentions) AS BIGINT) AS mentions FROM co JOIN c ON c.doc_id = co.doc_id AND c.first_seq = co.node GROUP BY co.doc_id, entity"""
+)
+def entities_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities merged by the cosine of their names' vectors: every two vectors share a name, each label is a document."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("seq"), (F.col("vec_id") % 3).cast("int").alias("chunk_index"), F.concat(F.lit("vector "), F.floor(F.col("vec_id") / 2).cast("string")).alias("name"), F.lit("other").alias("type"), "embedding")
+    vectors = rows.groupBy(F.col("name").alias("key")).agg(F.min_by("embedding", "seq").cast("array<double>").alias("embedding"))
+    return resolution.resolve_entities(rows.drop("embedding"), vectors=vectors, cosine_threshold=0.35).entities.select("doc_id", "first_seq", "mentions")
+
+
 # -- graph queries -------------------------------------------------------------------
 
 _SEEDS = "seeds AS (SELECT doc_id, id AS seed FROM nod WHERE type = 'location')"
@@ -474,10 +674,10 @@ def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_GRAPH} SELECT doc_id, id, label, type || ' · ' || mentions || ' mention' || CASE WHEN mentions = 1 THEN '' ELSE 's' END || ' · degree ' || degree || ' · rank ' || printf('%.4f', CAST(rank AS DOUBLE)) AS header, '' AS also, array_to_string(source_chunks, ', ') AS chunks FROM nod"""
+    f"""WITH {_RANKED} SELECT doc_id, id, label, type || ' · ' || mentions || ' mention' || CASE WHEN mentions = 1 THEN '' ELSE 's' END || ' · degree ' || degree || ' · rank ' || printf('%.4f', CAST(rank AS DOUBLE)) AS header, '' AS also, array_to_string(source_chunks, ', ') AS chunks FROM rnod"""
 )
 def node_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.node_header(mapped_graph(spark, sf_dir))
+    return inspect.node_header(ranked_graph(spark, sf_dir))
 
 
 @query(
@@ -524,7 +724,7 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- exports -------------------------------------------------------------------------
 
-_CANVAS = f"""WITH {_GRAPH}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, num) - 1 AS ord FROM nod)
+_CANVAS = f"""WITH {_RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, num) - 1 AS ord FROM rnod)
 SELECT doc_id, id, CAST(ord AS INTEGER) AS ord, '**' || label || '**' || chr(10) || '_' || type || ' · ' || {_LINES} || '_' AS text,
 CAST(floor(340 * sqrt(ord + 0.5) * cos(ord * pi() * (3 - sqrt(5))) + 0.5) AS BIGINT) AS x, CAST(floor(340 * sqrt(ord + 0.5) * sin(ord * pi() * (3 - sqrt(5))) + 0.5) AS BIGINT) AS y,
 CAST(least(360, greatest(200, 120 + length(label) * 8)) AS INTEGER) AS width, CAST(60 + least(60, greatest(0, (mentions - 1) * 6)) AS INTEGER) AS height, {_COLOR} AS color FROM o"""
@@ -532,33 +732,24 @@ CAST(least(360, greatest(200, 120 + length(label) * 8)) AS INTEGER) AS width, CA
 
 @query(_CANVAS)
 def canvas_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.canvas_nodes(mapped_graph(spark, sf_dir).nodes)
+    return export.canvas_nodes(ranked_graph(spark, sf_dir).nodes)
 
 
 _NAMES = rf"""nm AS (SELECT *, CASE WHEN k > 1 THEN base || ' (' || k || ')' ELSE base END AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(base) ORDER BY num) AS k FROM
 (SELECT doc_id, id, num, label, coalesce(nullif(trim(regexp_replace(regexp_replace(label, '[\\/:*?"<>|#^\[\]]', ' ', 'g'), '\s+', ' ', 'g')), ''), 'untitled') AS base FROM nod)))"""
 
 
-def _cut_labels(g: graph.KnowledgeGraph) -> graph.KnowledgeGraph:
-    """Labels cut to ten characters, so that names collide."""
-    g.nodes = g.nodes.withColumn("label", F.substring("label", 1, 10))
-    return g
-
-
-_CUT = _GRAPH.replace("nod AS MATERIALIZED (SELECT e.*,", "nod AS MATERIALIZED (SELECT e.* REPLACE (left(label, 10) AS label),")
-
-
-@query(f"WITH {_CUT}, {_NAMES} SELECT doc_id, id, name FROM nm")
+@query(f"WITH {_GRAPH}, {_NAMES} SELECT doc_id, id, name FROM nm")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.unique_names(_cut_labels(mapped_graph(spark, sf_dir)).nodes)
+    return export.unique_names(mapped_graph(spark, sf_dir).nodes)
 
 
 @query(
-    f"""WITH {_CUT}, {_NAMES} SELECT e.doc_id, e.source AS id, CAST(substr(e.id, 2) AS BIGINT) AS ord, '- ' || e.label || ' ' || CASE WHEN m.label = m.name THEN '[[' || m.name || ']]' ELSE '[[' || m.name || '|' || m.label || ']]' END AS line
+    f"""WITH {_GRAPH}, {_NAMES} SELECT e.doc_id, e.source AS id, CAST(substr(e.id, 2) AS BIGINT) AS ord, '- ' || e.label || ' ' || CASE WHEN m.label = m.name THEN '[[' || m.name || ']]' ELSE '[[' || m.name || '|' || m.label || ']]' END AS line
 FROM edg e JOIN nm m ON m.doc_id = e.doc_id AND m.id = e.target"""
 )
 def vault_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _cut_labels(mapped_graph(spark, sf_dir))
+    g = mapped_graph(spark, sf_dir)
     return export.vault_relations(g, export.unique_names(g.nodes))
 
 
@@ -570,24 +761,24 @@ def vault_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(by_place, ["doc_id", "id", "e", "k"]).select("doc_id", "id", "gid", "line")
 
 
-_NOTES = f"""WITH {_CUT}, {_NAMES},
+_NOTES = f"""WITH {_RANKED}, {_NAMES},
 rel AS (SELECT e.doc_id, e.source AS id, string_agg('- ' || e.label || ' ' || CASE WHEN m.label = m.name THEN '[[' || m.name || ']]' ELSE '[[' || m.name || '|' || m.label || ']]' END, chr(10) ORDER BY CAST(substr(e.id, 2) AS BIGINT)) AS t FROM edg e JOIN nm m ON m.doc_id = e.doc_id AND m.id = e.target GROUP BY ALL),
 cla AS (SELECT s.doc_id, s.source AS id, string_agg('- ' || text, chr(10) ORDER BY CAST(substr(e.id, 2) AS BIGINT), ord) AS t FROM sup s JOIN edg e ON e.doc_id = s.doc_id AND e.source = s.source AND e.target = s.target AND e.label = s.predicate GROUP BY ALL)
 SELECT n.doc_id, n.id, m.name || '.md' AS path, '---' || chr(10) || CASE WHEN n.label <> m.name THEN 'aliases:' || chr(10) || '  - "' || n.label || '"' || chr(10) ELSE '' END || 'type: ' || type || chr(10) || 'mentions: ' || mentions || chr(10) || 'degree: ' || degree || chr(10) || 'rank: ' || regexp_replace(regexp_replace(printf('%.15f', CAST(rank AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || chr(10) || '---' || chr(10) || chr(10) || '# ' || n.label || chr(10) || chr(10) || '> Type: ' || type || ' · Mentions: ' || mentions || ' · Degree: ' || degree || chr(10)
 || coalesce(chr(10) || '## Relationships' || chr(10) || chr(10) || rel.t, '') || chr(10) || coalesce(chr(10) || '## Supporting claims' || chr(10) || chr(10) || cla.t, '') || chr(10) AS content
-FROM nod n JOIN nm m ON m.doc_id = n.doc_id AND m.id = n.id LEFT JOIN rel ON rel.doc_id = n.doc_id AND rel.id = n.id LEFT JOIN cla ON cla.doc_id = n.doc_id AND cla.id = n.id"""
+FROM rnod n JOIN nm m ON m.doc_id = n.doc_id AND m.id = n.id LEFT JOIN rel ON rel.doc_id = n.doc_id AND rel.id = n.id LEFT JOIN cla ON cla.doc_id = n.doc_id AND cla.id = n.id"""
 
 
 @query(_NOTES)
 def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.vault_notes(_cut_labels(mapped_graph(spark, sf_dir)))
+    return export.vault_notes(ranked_graph(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_GRAPH} SELECT doc_id, num AS ord, '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '      <data key="type">' || type || '</data>' || chr(10) || '      <data key="mentions">' || mentions || '</data>' || chr(10) || '      <data key="rank">' || regexp_replace(regexp_replace(printf('%.15f', CAST(rank AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '</data>' || chr(10) || '    </node>' AS xml FROM nod"""
+    f"""WITH {_RANKED} SELECT doc_id, num AS ord, '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '      <data key="type">' || type || '</data>' || chr(10) || '      <data key="mentions">' || mentions || '</data>' || chr(10) || '      <data key="rank">' || regexp_replace(regexp_replace(printf('%.15f', CAST(rank AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '</data>' || chr(10) || '    </node>' AS xml FROM rnod"""
 )
 def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.graphml_nodes(mapped_graph(spark, sf_dir).nodes)
+    return export.graphml_nodes(ranked_graph(spark, sf_dir).nodes)
 
 
 @query(
@@ -614,7 +805,7 @@ FROM edg e JOIN dr s ON s.doc_id = e.doc_id AND s.id = e.source JOIN dr t ON t.d
 )
 def svg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = mapped_graph(spark, sf_dir)
-    drawn = export.svg_nodes(g.nodes, inspect.circular_layout(g.nodes))
+    drawn = saved(export.svg_nodes(g.nodes, inspect.circular_layout(g.nodes)), "drawn-nodes")
     rows = export.svg_edges(g.edges, drawn)
     return rows.select("doc_id", "ord", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], F.round(F.col("width").cast("double"), 6).alias("width"), "label")
 
@@ -631,6 +822,51 @@ def saved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.edges.select("doc_id", F.concat(F.lit("→"), "source", F.lit(" "), "label", F.lit(" "), "target").alias("edge"), "weight")
 
 
+@query(f"WITH {_GRAPH} SELECT 'kept' AS graph_id, 'untitled' AS title, (SELECT count(*) FROM nod) AS node_count, (SELECT count(*) FROM edg) AS edge_count")
+def stored_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of a store in which one of two graphs was deleted."""
+    g, store = mapped_graph(spark, sf_dir), f"{scratch(spark)}/graphs-{uuid.uuid4().hex}"
+    for name in ("dropped", "kept"):
+        persist.save_graph(g, store, graph_id=name)
+    persist.delete_graph(spark, store, "dropped")
+    return persist.list_graphs(spark, store).select("graph_id", "title", "node_count", "edge_count")
+
+
+@query(f"WITH {_GRAPH} SELECT doc_id, 'vertex' AS part, id, label, type AS more, mentions AS n FROM nod UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target, weight FROM edg")
+def property_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, edges_ = graph.property_graph(mapped_graph(spark, sf_dir))
+    rows = vertices.select("doc_id", F.lit("vertex").alias("part"), "id", "label", F.col("entity_type").alias("more"), F.col("mentions").alias("n"))
+    return rows.union(edges_.select("doc_id", F.lit("edge"), "id", "label", F.concat("src", F.lit(" "), "dst"), "weight"))
+
+
+@query(
+    f"""WITH {_RANKED} SELECT doc_id, 'node' AS part, id, label, type || ' ' || mentions || ' ' || degree || ' ' || array_to_string(source_chunks, ',') AS more, rank FROM rnod
+UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target || ' ' || weight || ' ' || array_to_string(propositions, ','), NULL FROM edg
+UNION ALL SELECT doc_id, 'proposition', gid, text, CAST(chunk_index AS VARCHAR), NULL FROM props UNION ALL SELECT DISTINCT doc_id, 'file', 'quillgraph.graph', '1', NULL, NULL FROM props"""
+)
+def portable_json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the portable JSON of each document says, read back from its text."""
+    ddl = """format string, version int, nodes array<struct<id:string,label:string,type:string,mentions:long,degree:long,rank:double,sourceChunks:array<string>>>,
+        edges array<struct<id:string,source:string,target:string,label:string,weight:string,propositions:array<string>>>, propositions array<struct<id:string,text:string,sourceChunk:string>>"""
+    read = saved(export.portable_json(ranked_graph(spark, sf_dir)).select("doc_id", F.from_json("text", ddl).alias("j")), "portable-json")
+    none = F.lit(None).cast("double")
+    n, e, c = (read.select("doc_id", F.inline(f"j.{x}")) for x in ("nodes", "edges", "propositions"))
+    rows = n.select("doc_id", F.lit("node").alias("part"), "id", "label", F.concat_ws(" ", "type", "mentions", "degree", F.array_join("sourceChunks", ",")).alias("more"), "rank")
+    rows = rows.union(e.select("doc_id", F.lit("edge"), "id", "label", F.concat_ws(" ", "source", "target", "weight", F.array_join("propositions", ",")), none))
+    rows = rows.union(c.select("doc_id", F.lit("proposition"), "id", "text", "sourceChunk", none))
+    return rows.union(read.select("doc_id", F.lit("file"), "j.format", F.col("j.version").cast("string"), F.lit(None).cast("string"), none))
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, 'node' AS part, id, label, type || ' ' || mentions AS more, rank FROM rnod UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target || ' ' || weight, NULL FROM edg")
+def cytoscape_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of each document's Cytoscape JSON, read back from its text."""
+    ddl = "elements struct<nodes:array<struct<data:struct<id:string,label:string,type:string,mentions:string,rank:double>>>,edges:array<struct<data:struct<id:string,source:string,target:string,label:string,weight:string>>>>"
+    read = saved(export.cytoscape_json(ranked_graph(spark, sf_dir)).select("doc_id", F.from_json("text", ddl).alias("j")), "cytoscape-json")
+    n, e = (read.select("doc_id", F.inline(f"j.elements.{x}")).select("doc_id", "data.*") for x in ("nodes", "edges"))
+    rows = n.select("doc_id", F.lit("node").alias("part"), "id", "label", F.concat_ws(" ", "type", "mentions").alias("more"), "rank")
+    return rows.union(e.select("doc_id", F.lit("edge"), "id", "label", F.concat_ws(" ", "source", "target", "weight"), F.lit(None).cast("double")))
+
+
 # -- the whole run -----------------------------------------------------------------------
 
 
@@ -641,6 +877,34 @@ def rule_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.edges.select("doc_id", "id", "source", "target", "label", "weight")
 
 
+_RULE_PROPS = r"""SELECT doc_id, chunk_index, pos, 'p' || (pos + 1) AS local_id, w[1] AS s_name, 'concept' AS s_type, array_to_string(w[2:-2], ' ') AS predicate, w[-1] AS o_name, 'concept' AS o_type,
+trim(regexp_replace(s, '\s+', ' ', 'g')) AS text FROM ru"""
+_RULE_RUN = rf"""{_BLOCKS}, {_chunk_parts(900, 120)},
+se AS (SELECT doc_id, chunk_index, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT doc_id, chunk_index, regexp_extract_all(text, '[^.!?]+[.!?]?') AS ss FROM ck)),
+wo AS (SELECT *, regexp_extract_all(rtrim(s, '.!?'), '[^\s,;:()"“”]+') AS w FROM se),
+ru AS MATERIALIZED (SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY i) - 1 AS INTEGER) AS pos, s, w FROM wo WHERE len(w) >= 3),
+{_graph_parts(_RULE_PROPS)}"""
+
+
+@query(f"WITH RECURSIVE {_RULE_RUN} SELECT doc_id, id, source, target, label, weight FROM edg")
+def rule_graph_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without fuzzy merges, which SQL can follow from the texts on."""
+    g = run_pipeline(laid_out(spark, sf_dir), RuleEngine(), rank=False, fuzzy=False, created_at="2000-01-01T00:00:00.000Z")
+    return g.edges.select("doc_id", "id", "source", "target", "label", "weight")
+
+
+@query(
+    rf"""WITH RECURSIVE {_BLOCKS}, {_chunk_parts(900, 120)},
+li AS (SELECT doc_id, text, array_to_string(regexp_extract_all(substr(text, 1, 4000), '\S+')[1:8], ' ') AS line FROM t),
+ti AS (SELECT doc_id, text, nullif(regexp_replace(substr(regexp_replace(line, '^["''“”‘’#*\s]+|["''“”‘’.!*\s]+$', '', 'g'), 1, 80), '^\s+|\s+$', '', 'g'), '') AS title FROM li)
+SELECT ti.doc_id, title, '2000-01-01T00:00:00.000Z' AS created_at, 'rule' AS engine, 'first-last' AS model, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count, CAST(ceil(length(text) / 4.0) AS INTEGER) AS token_estimate
+FROM ti LEFT JOIN (SELECT doc_id, count(*) AS n FROM ck GROUP BY doc_id) x ON x.doc_id = ti.doc_id"""
+)
+def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, engine, chunk count and token estimate of each document of a run."""
+    return run_pipeline(laid_out(spark, sf_dir), RuleEngine(), rank=False, fuzzy=False, created_at="2000-01-01T00:00:00.000Z").meta
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the documents' knowledge graphs, heaviest first."""
     return rule_graph(spark, sf_dir).orderBy(F.desc("weight"), "doc_id", F.substring("id", 2, 20).cast("long"))
