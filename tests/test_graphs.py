@@ -75,6 +75,29 @@ def test_length_filter_loses_no_pair(spark):
         assert got == {(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if plain_jaro_winkler(keys[i], keys[j]) >= t}
 
 
+def test_pairs_of_many_tiles(spark, monkeypatch):
+    """Pieces of three clusters find the pairs that one piece finds, each once, and bounds hold."""
+    r = random.Random(12)
+    keys = sorted({"".join(r.choice("abcdé日😀") for _ in range(r.randrange(1, 8))) for _ in range(60)})
+    bounds = R.jaro_winkler_bounds(keys)
+    assert all(R.jaro_winkler(a, b) <= bounds[i, j] + 1e-12 for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j)
+    vectors = np.random.RandomState(1).randn(60, 3)
+    rows = [(d, k, r.choice(["x", "y"]), i * 10 + d, (vectors[i] / np.linalg.norm(vectors[i])).tolist()) for d in (1, 2) for i, k in enumerate(keys)]
+    clusters = spark.createDataFrame(rows, "doc_id long, key string, type string, first_seq long, embedding array<double>")
+    found = lambda: [sorted((x["doc_id"], x["a"], x["b"], round(x["similarity"], 9)) for x in f(clusters, threshold=0.8).collect()) for f in (R.jaro_winkler_pairs, R.cosine_pairs)]
+    whole = found()
+    want = [[], []]
+    for p, q in itertools.combinations(sorted(rows, key=lambda x: x[3]), 2):
+        if p[0] == q[0] and p[2] == q[2]:
+            for out, v in zip(want, (plain_jaro_winkler(R._utf16(p[1]), R._utf16(q[1])), float(np.dot(p[4], q[4]))), strict=True):
+                if v >= 0.8:
+                    out.append((p[0], p[3], q[3], round(v, 9)))
+    assert whole == [sorted(x) for x in want]
+    monkeypatch.setattr(R, "TILE", 3)
+    assert found() == whole
+    assert [f(clusters.limit(0)).collect() for f in (R.jaro_winkler_pairs, R.cosine_pairs)] == [[], []]
+
+
 def test_exact_merge_types_and_order(spark):
     found = R.resolve_entities(mentions(spark, ("The Engine", "artifact", 0), ("Ada", "person", 0), ("engine", "artifact", 1), ("engine", "artifact", 2), ("Engine", "concept", 2), ("...", "other", 2)))
     assert entities(found) == [("n0", "engine", "artifact", ["The Engine"], 3, [0, 1, 2]), ("n1", "Ada", "person", [], 1, [0]), ("n2", "Engine", "concept", [], 1, [2])]
