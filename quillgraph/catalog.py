@@ -380,9 +380,7 @@ _GRAPH = _graph_parts(f"SELECT *, s_name || ' ' || predicate || ' ' || o_name ||
 
 def mapped_graph(spark: SparkSession, sf_dir: str) -> graph.KnowledgeGraph:
     """Exact merge only and ranks of 0, for queries that read none; ranked_graph has them."""
-    g = graph.assemble_graph(mapped_propositions(spark, sf_dir), fuzzy=False, rank=False)
-    g.nodes = saved(g.nodes, "mapped-nodes")
-    return g
+    return graph.assemble_graph(mapped_propositions(spark, sf_dir), fuzzy=False, rank=False)
 
 
 def _joined(column: str) -> F.Column:

@@ -57,10 +57,13 @@ def build_edges(propositions: DataFrame, resolution: Resolution) -> DataFrame:
     return edges.select("doc_id", F.concat(F.lit("e"), F.col("number").cast("string")).alias("id"), "source", "target", "label", "weight", F.col("support.gid").alias("propositions"))
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("doc_id", F.explode(F.array("source", "target")).alias("id")).groupBy("doc_id", "id").agg(F.count("*").alias("degree"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, id, degree): in- plus outgoing edges; a self-loop counts twice."""
-    ends = edges.select("doc_id", F.explode(F.array("source", "target")).alias("id")).groupBy("doc_id", "id").agg(F.count("*").alias("degree"))
-    return nodes.select("doc_id", "id").join(ends, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return nodes.select("doc_id", "id").join(_ends(edges), ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def rank_arrays(n: int, source: np.ndarray, target: np.ndarray, weight: np.ndarray, *, damping: float, tolerance: float, rounds: int, exact_rounds: bool) -> np.ndarray:
@@ -150,11 +153,12 @@ def assemble_graph(propositions: DataFrame, meta: DataFrame | None = None, *, ve
     """The graph of each document's propositions; without propositions all relations are empty."""
     propositions = saved(propositions, "propositions")
     resolution = resolve_entities(mentions_of(propositions), vectors=vectors, **resolution_options)
-    resolution = Resolution(saved(resolution.entities, "entities"), resolution.id_map, saved(resolution.form_map, "form-ids"))
     edges = saved(build_edges(propositions, resolution), "edges")
-    nodes = resolution.entities.join(degrees(resolution.entities, edges), ["doc_id", "id"])
-    ranks = pagerank(resolution.entities, edges) if rank else resolution.entities.select("doc_id", "id", F.lit(0.0).alias("rank"))
-    nodes = nodes.join(ranks, ["doc_id", "id"]).select("doc_id", "id", "label", "type", "aliases", "mentions", "degree", "rank", "source_chunks")
+    # stored only where ranks read them too
+    entities = saved(resolution.entities, "entities") if rank else resolution.entities
+    nodes = entities.join(_ends(edges), ["doc_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    nodes = nodes.join(pagerank(entities, edges), ["doc_id", "id"]) if rank else nodes.withColumn("rank", F.lit(0.0))
+    nodes = nodes.select("doc_id", "id", "label", "type", "aliases", "mentions", "degree", "rank", "source_chunks")
     return KnowledgeGraph(nodes, edges, proposition_records(propositions), meta)
 
 
