@@ -7,10 +7,13 @@ failure ends its document, and what was extracted still becomes a graph.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +29,20 @@ TITLE_CHARS = 4000
 _ITEM = "struct<pos:int,local_id:string,text:string,subject:struct<name:string,type:string>,predicate:string,object:struct<name:string,type:string>,confidence:double>"
 
 
-def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataFrame | None = None, carry: int = PRIOR_ENTITIES) -> DataFrame:
+def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataFrame | None = None, carry: int = PRIOR_ENTITIES, tried: Accumulator | None = None) -> DataFrame:
     """(doc_id, chunk_index, ok, error, fatal, propositions) of chunks(doc_id, chunk_index, text).
 
     titles(doc_id, title) are told to the engine. After a fatal failure the document's later
-    chunks are not tried. The longest unit of work is one document.
+    chunks are not tried. The longest unit of work is one document. `tried` counts chunks as
+    tasks finish, again where a task has to run again.
     """
     ship_package(chunks.sparkSession)
     told = chunks.select("doc_id", "chunk_index", "text")
     told = told.join(titles.select("doc_id", "title"), "doc_id", "left") if titles is not None else told.withColumn("title", F.lit(None).cast("string"))
     kind = told.schema["doc_id"].dataType.simpleString()
+    # engines are slow, their rows few: a number of partitions of our own keeps Spark from merging small ones
+    session = chunks.sparkSession
+    told = told.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism), "doc_id")
     mention = pa.struct([("name", pa.string()), ("type", pa.string())])
     item = pa.struct([("pos", pa.int32()), ("local_id", pa.string()), ("text", pa.string()), ("subject", mention), ("predicate", pa.string()), ("object", mention), ("confidence", pa.float64())])
 
@@ -49,6 +56,8 @@ def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataF
             for row in rows:
                 found, error, fatal = None, None, False
                 if not dead:
+                    if tried is not None:
+                        tried.add(1)
                     try:
                         found = engine.extract(row["text"], ChunkContext(row["chunk_index"], row["title"], list(seen)[-carry:] if carry else []))
                         for p in found:
@@ -111,6 +120,27 @@ def graph_meta(docs: DataFrame, chunks: DataFrame, titles: DataFrame, *, engine:
     )
 
 
+@contextlib.contextmanager
+def _told_of(counter: Accumulator, total: int, on_chunks: Callable[[int, int], None], seconds: float = 1.0) -> Iterator[None]:
+    """While inside, on_chunks hears of each new value of the counter, up to the total."""
+    over, heard = threading.Event(), 0
+
+    def watch() -> None:
+        nonlocal heard
+        while not over.wait(seconds):
+            if (now := min(counter.value, total)) > heard:
+                heard = now
+                on_chunks(now, total)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 def run_pipeline(
     docs: DataFrame,
     engine: ExtractionEngine,
@@ -125,14 +155,17 @@ def run_pipeline(
 ) -> KnowledgeGraph:
     """The graphs of docs(doc_id, text[, title]); reports holds `chunk_status` and `drops`.
 
-    on_stage is told each step, on_chunks the chunks tried (not those after a fatal failure) of all.
+    on_stage is told each step, on_chunks the chunks tried (not those after a fatal failure) of
+    all: while tasks finish, at most once a second, and with the exact number in the end.
     """
     if "title" not in docs.columns:
         docs = docs.withColumn("title", F.lit(None).cast("string"))
     on_stage("chunking")
     chunks = saved(chunk_documents(docs, target=target, overlap=overlap), "chunks")
     on_stage("extracting propositions")
-    outcomes = saved(extract_chunks(chunks, engine, titles=docs), "outcomes")
+    counter = docs.sparkSession.sparkContext.accumulator(0)
+    with _told_of(counter, chunks.count(), on_chunks):
+        outcomes = saved(extract_chunks(chunks, engine, titles=docs, tried=counter), "outcomes")
     status = chunk_status(outcomes)
     tried = status.agg(F.count("*").alias("n"), F.sum(F.when(F.col("state") != "skipped", 1).otherwise(0)).alias("done")).first()
     on_chunks(tried["done"] or 0, tried["n"])

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,7 +201,20 @@ def test_run(spark):
     assert {i: r["chunk_count"] for i, r in meta.items()} == {1: 2, 2: 1, 3: 0, 4: 1} and meta[2]["title"] == "Eve saw Bob" and meta[3]["title"] is None
     assert {r["doc_id"]: r["dropped_chunks"] for r in g.reports["drops"].collect()} == {1: [1], 2: [], 4: [0]}
     assert {(r["doc_id"], r["label"]) for r in g.nodes.collect()} == {(1, "s0"), (1, "o"), (2, "s0"), (2, "o")}
-    assert progress == [(4, 4)] and stages[-1] == "done"
+    assert progress[-1] == (4, 4) and all(a < b for a, b in zip(progress, progress[1:], strict=False)) and stages[-1] == "done"
+
+
+class Slow(E.RuleEngine):
+    def extract(self, chunk, context):
+        time.sleep(1.5)
+        return super().extract(chunk, context)
+
+
+def test_progress_while_chunks_are_tried(spark):
+    progress = []
+    docs = spark.createDataFrame([(k, f"Gulls follow boat {k}.") for k in range(6)], "doc_id long, text string")
+    run_pipeline(docs, Slow(), rank=False, fuzzy=False, on_chunks=lambda *a: progress.append(a))
+    assert progress[-1] == (6, 6) and len(progress) > 1 and 0 < progress[0][0] < 6
 
 
 def test_titles(spark):
