@@ -53,10 +53,14 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-sa-4-line": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"),
     "cc0-line": ("Dedicated to the public domain under CC0 1.0",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
-    "spdx-apache-2": ("SPDX-License-Identifier: Apache-2.0",),
-    "spdx-mit": ("SPDX-License-Identifier: MIT",),
-    "spdx-gpl-3": ("SPDX-License-Identifier: GPL-3.0-only",),
-    "spdx-gpl-3-later": ("SPDX-License-Identifier: GPL-3.0-or-later",),
+    "lgpl-later": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "lgpl-2-later": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",),
+    "agpl-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "zlib-as-is": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "bsl-line": ("Distributed under the Boost Software License, Version 1.0",),
+    "epl-2-line": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "ofl-line": ("This Font Software is licensed under the SIL Open Font License, Version 1.1",),
     "all-rights": ("All rights reserved",),
 }
 
@@ -85,12 +89,20 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("cc-by-4-line",)),
     ("CC0-1.0", ("cc0-line",)),
     ("Unlicense", ("unlicense",)),
-    ("Apache-2.0", ("spdx-apache-2",)),
-    ("MIT", ("spdx-mit",)),
-    ("GPL-3.0-only", ("spdx-gpl-3",)),
-    ("GPL-3.0-or-later", ("spdx-gpl-3-later",)),
+    ("LGPL-3.0-or-later", ("lgpl-later",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-later",)),
+    ("AGPL-3.0-or-later", ("agpl-later",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("bsl-line",)),
+    ("EPL-2.0", ("epl-2-line",)),
+    ("OFL-1.1", ("ofl-line",)),
 )
 
+# Licences that a file may name by an identifier line.
+SPDX = "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim X11 Zlib".split()
+SENTENCES |= {f"spdx-{name.lower()}": (f"SPDX-License-Identifier: {name}",) for name in SPDX}
+RULES += tuple((name, (f"spdx-{name.lower()}",)) for name in SPDX)
+
 _MARKS = re.compile(r"\n[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem\b)[ \t]?", re.IGNORECASE)
 # a stop before white space, but for "v. 2.0" and the like; a blank line, or a colon at the end of a line
 _END = re.compile(r"(?<=[.!?])(?:(?<!\b[vV]\.)(?<!\b[vV]er\.)(?<!\b[vV]ers\.)|(?!\s+\d))\s+|\n[ \t]*\n\s*|(?<=:)[ \t]*\n")
@@ -154,10 +166,13 @@ class Recogniser:
         found = [(k, name) for k, s in enumerate(sentences) for name in self.known(s)]
         free = [True] * len(found)
         matches = []
+        places: dict[str, list[int]] = {}
+        for a, (_, name) in enumerate(found):
+            places.setdefault(name, []).append(a)
         for licence, ids in self.rules if found else ():
-            for a in range(len(found) - len(ids) + 1):
+            for a in places.get(ids[0], ()):
                 run = range(a, a + len(ids))
-                if all(free[b] and found[b][1] == ids[b - a] for b in run) and all(found[b + 1][0] - found[b][0] <= 1 + self.gap for b in run[:-1]):
+                if run.stop <= len(found) and all(free[b] and found[b][1] == ids[b - a] for b in run) and all(found[b + 1][0] - found[b][0] <= 1 + self.gap for b in run[:-1]):
                     for b in run:
                         free[b] = False
                     matches.append((a, licence, found[a][0], found[run[-1]][0]))

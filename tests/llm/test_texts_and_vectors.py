@@ -60,6 +60,10 @@ def test_every_licence_of_a_sentence_of_lines():
     names = license_scan.SENTENCES["bsd-names"][0].replace("*", "Acme\nand Sons").replace("be used", "be\nused")
     assert scanner.scan(f"x\n{names}\ny\nAll rights reserved\nz")[1] == [(0, "bsd-names"), (0, "all-rights")]
     header = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    for name in license_scan.SPDX:
+        assert licences(f"# SPDX-License-Identifier: {name}\nimport x\n") == [name]
+    zlib_text = "This software is provided 'as-is', without any express or implied warranty. In no event. " + license_scan.SENTENCES["zlib-grant"][0] + ":\n1. x"
+    assert licences(zlib_text) == ["Zlib"]
     assert licences(header) == ["MPL-2.0"] and scanner.scan("See v. Then more.")[0] == 2
 
 
