@@ -115,7 +115,7 @@ class Phrases:
         sizes = np.diff(first)
         terms, words = np.unique(hashes, return_inverse=True)
         groups, owners = [], []
-        for length in range(1, window + 1):
+        for length in [*np.unique(sizes[(sizes > 0) & (sizes < window)]).tolist(), window]:
             if length < window:
                 texts_of = np.flatnonzero(sizes == length)
                 starts = first[:-1][texts_of]
