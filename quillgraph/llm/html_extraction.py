@@ -8,11 +8,12 @@ or more distinct contents have are covered, and a block whose every word is cove
 boilerplate. Blocks with words of their own stay whole. A content is what a page's blocks say,
 so a page served at several urls is one content and doesn't erase itself.
 
-The groups of a dealt host also learn which of their runs other groups have. Each sends the
-first bits of the hashes of its distinct runs, with the content that has each where it is
-one alone, to hash buckets, which answer with a bit for each, set where two contents have it;
-of these alone it then sends the whole hashes, and those answered with a set bit are covered
-as well. So how a host is dealt changes no result.
+The groups of a dealt host also learn which of their runs other groups have. A content that
+several groups hold counts in the first of them alone. Each group sends the first bits of the
+hashes of its distinct runs, with the number of contents that count for each (0, 1, or 2 for
+more), to hash buckets, which answer with a bit for each, set where two contents have it; of
+these alone it then sends the whole hashes, and those answered with a set bit are covered as
+well. So how a host is dealt changes no result.
 
 Structure then has the last word. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go, by element, role, class or id, however rare their
@@ -219,8 +220,8 @@ def covered_by(starts: np.ndarray, n: int, depth: int) -> np.ndarray:
 
 
 _PARSED = "page_id {kind}, url string, host string, part int, bits int, buckets int, texts binary, marks binary"
-_ASKED = "host string, bucket int, part int, blob binary, contents binary"
-_TOLD = "host string, part int, level int, bucket int, known binary"
+_ASKED = "host string, bucket int, part int, blob binary"
+_TOLD = "host string, part int, level int, bucket int, known binary"  # level 0: a content that counts elsewhere
 _ROW = "page_id {kind}, url string, text string, n_chars long, n_blocks int, n_repeated int"
 
 
@@ -236,18 +237,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(part[c] for c in names), texts, marks], names=[*names, "texts", "marks"])
 
 
+def _contents(texts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of what each page says."""
+    return np.array([int.from_bytes(blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+
+
+def _held(table: pa.Table) -> pa.Table:
+    """The distinct contents of a group of a dealt host."""
+    names = np.unique(_contents([zlib.decompress(b) for b in table["texts"].to_pylist()])) if table["bits"][0].as_py() is not None else np.zeros(0, np.uint64)
+    one = lambda c, kind: pa.array([table[c][0].as_py()] * len(names), kind)
+    return pa.table({"host": one("host", pa.string()), "part": one("part", pa.int32()), "known": pa.array([n.tobytes() for n in names], pa.binary())})
+
+
 class _Group:
     """The word stream of a group's pages, and its runs of depth words.
 
-    content numbers the distinct contents among the pages; names has a 64-bit hash of each.
+    content numbers the distinct contents; counts has 1 for each, or 0 where told says that it counts elsewhere.
     """
 
-    def __init__(self, table: pa.Table, depth: int):
+    def __init__(self, table: pa.Table, depth: int, told: pa.Table):
         self.depth = depth
         # blocks are never empty and have no line ends
         texts = [zlib.decompress(b) for b in table["texts"].to_pylist()]
-        digests = np.array([int.from_bytes(blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
-        self.names, number = np.unique(digests, return_inverse=True)
+        names, number = np.unique(_contents(texts), return_inverse=True)
+        elsewhere = [k for level, k in zip(told["level"].to_pylist(), told["known"].to_pylist(), strict=True) if level == 0]
+        self.counts = (~np.isin(names, np.frombuffer(b"".join(elsewhere), np.uint64))).astype(np.int64)
         self.texts = [t.decode().split("\n") if t else [] for t in texts]
         self.words = Words(pa.array([t for page in self.texts for t in page], pa.string()), separators=BLANK, lower=False)
         self.hashes = self.words.hashes()
@@ -261,28 +275,24 @@ class _Group:
         at = at[self.page[at] == self.page[at + self.depth - 1]]
         return values[at], at
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of runs, ascending, and the content that has each, counted from 1, or 0 where several have it."""
+    def distinct(self, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct first bits of the hashes of runs, ascending, and how many contents that count here have each, 2 for more."""
         values, at = self.runs()
-        return _owners(values, self.content[at].astype(np.uint32) + 1)
-
-
-def _owners(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, and the one owner of each, or 0 if there are several or one is 0 itself."""
-    order = np.lexsort((owner, values))
-    values, owner = values[order], owner[order]
-    heads = np.flatnonzero(np.append(len(values) > 0, values[1:] != values[:-1]))
-    tails = np.append(heads[1:], len(values)) - 1
-    if not len(values):
-        return values, owner
-    return values[heads], np.where(owner[heads] == owner[tails], owner[heads], 0).astype(owner.dtype)
+        if not len(values):
+            return values, np.zeros(0, np.uint8)
+        values, content = _coarse(values, bits), self.content[at]
+        order = np.lexsort((content, values))
+        values, content = values[order], content[order]
+        new = np.append(True, values[1:] != values[:-1])
+        once = new | np.append(True, content[1:] != content[:-1])  # a content counts once a value
+        return values[new], np.minimum(np.add.reduceat(np.where(once, self.counts[content], 0), np.flatnonzero(new)), 2).astype(np.uint8)
 
 
 def _coarse(values: np.ndarray, bits: int) -> np.ndarray:
     return values >> np.uint64(64 - bits)
 
 
-def _asked(table: pa.Table, values: np.ndarray, owner: np.ndarray, names: np.ndarray, bits: int) -> pa.Table:
+def _asked(table: pa.Table, values: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
     """A row for each bucket that gets some of the values, which are ascending and of so many bits."""
     n = table["buckets"][0].as_py()
     edges = np.array([(b << bits) // n for b in range(1, n)], np.uint64)
@@ -292,21 +302,18 @@ def _asked(table: pa.Table, values: np.ndarray, owner: np.ndarray, names: np.nda
         "host": pa.array([table["host"][0].as_py()] * len(full), pa.string()),
         "bucket": pa.array(full, pa.int32()),
         "part": pa.array([table["part"][0].as_py()] * len(full), pa.int32()),
-        "blob": pa.array([pack(values[cut[b] : cut[b + 1]], owner[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
-        "contents": pa.array([names.tobytes()] * len(full), pa.binary()),
+        "blob": pa.array([pack(values[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
     })
 
 
-_NOTHING = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("contents", pa.binary())]).empty_table()
+_NOTHING = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]).empty_table()
 
 
 def _coarse_asked(depth: int):
-    def run(table: pa.Table) -> pa.Table:
-        if (bits := table["bits"][0].as_py()) is None:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or (bits := left["bits"][0].as_py()) is None:
             return _NOTHING
-        group = _Group(table, depth)
-        values, owner = group.distinct()
-        return _asked(table, *_owners(_coarse(values, bits), owner), group.names, bits)
+        return _asked(left, *_Group(left, depth, right).distinct(bits), bits)
 
     return run
 
@@ -314,13 +321,10 @@ def _coarse_asked(depth: int):
 def _told(level: int):
     def run(table: pa.Table) -> pa.Table:
         """For each part: a bit for each value it sent, set where two contents of the host or more have it."""
-        got = [unpack(b.as_py(), "u8", "u4") for b in table["blob"]]
+        got = [unpack(b.as_py(), "u8", "u1") for b in table["blob"]]
         cuts = np.cumsum([len(g[0]) for g in got])[:-1]
-        # contents by their hashes over the whole host; 0 stays 0
-        names = [np.concatenate([np.zeros(1, np.uint64), np.frombuffer(b.as_py(), np.uint64)]) for b in table["contents"]]
-        values = np.concatenate([g[0] for g in got])
-        unique, owner = _owners(values, np.concatenate([n[g[1]] for n, g in zip(names, got, strict=True)]))
-        twice = np.split(owner[np.searchsorted(unique, values)] == 0, cuts)
+        _, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        twice = np.split((np.bincount(inverse, weights=np.concatenate([g[1] for g in got])) > 1)[inverse], cuts)
         known = pa.array([zlib.compress(np.packbits(t).tobytes()) + bytes([-len(t) % 8]) for t in twice], pa.binary())
         return pa.table({"host": table["host"], "part": table["part"], "level": pa.array([level] * len(got), pa.int32()), "bucket": table["bucket"], "known": known})
 
@@ -335,29 +339,28 @@ def _known(told: pa.Table, level: int) -> np.ndarray:
 
 
 def _candidates(group: _Group, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs that other contents of the host may have too, and their owners here."""
-    values, owner = group.distinct()
+    """The distinct runs that other contents of the host may have too, and their counts here."""
+    values, counts = group.distinct()
     coarse = _coarse(values, bits)
     may = _known(told, 1)[np.searchsorted(np.unique(coarse), coarse)]
-    return values[may], owner[may]
+    return values[may], counts[may]
 
 
 def _exact_asked(depth: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if (bits := left["bits"][0].as_py()) is None or not right.num_rows:
+        if not left.num_rows or (bits := left["bits"][0].as_py()) is None:
             return _NOTHING
-        group = _Group(left, depth)
-        return _asked(left, *_candidates(group, right, bits), group.names, 64)
+        return _asked(left, *_candidates(_Group(left, depth, right), right, bits), 64)
 
     return run
 
 
 def _extracted(depth: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        group = _Group(table, depth)
+        group = _Group(table, depth, told)
         covered = repeated_tokens(group.hashes, group.page, group.content, depth)
-        if told.num_rows:
-            known = _candidates(group, told, table["bits"][0].as_py())[0][_known(told, 2)]
+        if (bits := table["bits"][0].as_py()) is not None:
+            known = _candidates(group, told, bits)[0][_known(told, 2)]
             values, at = group.runs()
             covered |= covered_by(at[np.isin(values, known)], len(covered), depth)
         total = np.concatenate([[0], np.cumsum(covered)])
@@ -410,7 +413,11 @@ def extract_main_text(
     dealt = pages.join(hot, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int"))
     dealt = dealt.select("page_id", "url", "host", "part", "bits", "buckets", "html").mapInArrow(_parsed, _PARSED.format(kind=kind))
     groups = dealt.groupBy("host", "part")
-    first = groups.applyInArrow(_coarse_asked(min_tokens), _ASKED).groupBy("host", "bucket").applyInArrow(_told(1), _TOLD)
-    asked = groups.cogroup(first.groupBy("host", "part")).applyInArrow(_exact_asked(min_tokens), _ASKED)
+    # a content that several parts hold counts in the first
+    held = groups.applyInArrow(_held, "host string, part int, known binary")
+    homes = held.groupBy("host", "known").agg(F.min("part").alias("home"), F.count("*").alias("n")).filter("n > 1").select("host", "known", "home")
+    elsewhere = held.join(homes, ["host", "known"]).filter("part <> home").select("host", "part", F.lit(0).alias("level"), F.lit(0).alias("bucket"), "known")
+    first = groups.cogroup(elsewhere.groupBy("host", "part")).applyInArrow(_coarse_asked(min_tokens), _ASKED).groupBy("host", "bucket").applyInArrow(_told(1), _TOLD)
+    asked = groups.cogroup(elsewhere.union(first).groupBy("host", "part")).applyInArrow(_exact_asked(min_tokens), _ASKED)
     second = asked.groupBy("host", "bucket").applyInArrow(_told(2), _TOLD)
     return groups.cogroup(first.union(second).groupBy("host", "part")).applyInArrow(_extracted(min_tokens), _ROW.format(kind=kind))
