@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import hamming_topk, url_filters
 from .hamming_topk import nearest_by_hamming
 from .html_extraction import extract_main_text
+from .interval_join import click_sessions, relate_intervals, sale_intervals
 from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .ngram_jaccard import jaccard_components
@@ -134,3 +135,32 @@ def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_hamming_topk"] = hamming_topk.sql()
+
+
+@query
+def op11_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = sale_intervals(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"))
+    return relate_intervals(sales, click_sessions(table(spark, sf_dir, "clicks")))
+
+
+# crc32 of the bytes of an ASCII text: the table of its polynomial, then a fold over the bytes
+_CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY x) AS t FROM range(256) r(x))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({bytes}, lambda b: b::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+_CRC_DIGITS = _CRC.format(bytes="list_transform(string_split({0}, ''), lambda ch: ascii(ch))")
+
+ORACLE_SQL["op11_interval_join"] = f"""
+WITH {_CRC_TABLE},
+k AS (SELECT client_id, epoch_us(ts) AS us, coalesce(kind = 'error', false) AS err FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, us - lag(us) OVER (PARTITION BY client_id ORDER BY us) > 900000000 AS far FROM k),
+m AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY us) AS run FROM g),
+z AS (SELECT client_id, run, min(us) AS lo, max(us) AS hi FROM m GROUP BY client_id, run),
+c AS MATERIALIZED (SELECT z.client_id, lo // 21600000000 AS a, CASE WHEN bool_or(err) THEN 1099511627776 ELSE hi // 21600000000 END AS b, {_CRC_DIGITS.format("lo::VARCHAR")} AS crc
+  FROM z JOIN m ON m.client_id = z.client_id AND m.run = z.run AND m.us = z.hi, crc_table GROUP BY z.client_id, lo, hi, t),
+h AS (SELECT sale_id, max(epoch_us(shipped_at)) AS shipped FROM sale_lines GROUP BY sale_id),
+s AS (SELECT sales.sale_id, client_id, epoch_us(sold_at) // 21600000000 AS s, CASE WHEN status = 'open' THEN 1099511627776 ELSE greatest(epoch_us(sold_at), coalesce(shipped, epoch_us(sold_at))) // 21600000000 END AS e
+  FROM sales LEFT JOIN h ON h.sale_id = sales.sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT sale_id, crc, CASE WHEN s < a THEN CASE WHEN e < b THEN 'overlaps' WHEN e = b THEN 'finished_by' ELSE 'contains' END
+    WHEN s = a THEN CASE WHEN e < b THEN 'starts' WHEN e = b THEN 'equals' ELSE 'started_by' END
+    ELSE CASE WHEN e < b THEN 'during' WHEN e = b THEN 'finishes' ELSE 'overlapped_by' END END AS relation,
+  CASE WHEN e < 1099511627776 OR b < 1099511627776 THEN least(e, b) - greatest(s, a) + 1 END AS slots FROM s JOIN c ON c.client_id = s.client_id AND s <= b AND e >= a)
+SELECT sale_id, relation, count(*) AS n_pairs, sum(slots)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM p GROUP BY sale_id, relation"""
