@@ -16,6 +16,7 @@ from .license_scan import scan_licenses
 from .ngram_jaccard import jaccard_components
 from .positional_index import contamination
 from .sentencepiece_codec import encode_texts
+from .spelling_variants import spelling_variants
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .url_filters import filter_urls
@@ -164,3 +165,27 @@ p AS (SELECT sale_id, crc, CASE WHEN s < a THEN CASE WHEN e < b THEN 'overlaps'
     ELSE CASE WHEN e < b THEN 'during' WHEN e = b THEN 'finishes' ELSE 'overlapped_by' END END AS relation,
   CASE WHEN e < 1099511627776 OR b < 1099511627776 THEN least(e, b) - greatest(s, a) + 1 END AS slots FROM s JOIN c ON c.client_id = s.client_id AND s <= b AND e >= a)
 SELECT sale_id, relation, count(*) AS n_pairs, sum(slots)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM p GROUP BY sale_id, relation"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3)
+
+
+# bytes of a text without characters beyond U+00FF
+_LATIN_BYTES = "flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END))"
+
+ORACLE_SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS MATERIALIZED (SELECT coalesce(doc_id::VARCHAR, '') AS id, {_LOWER_SQL.replace("text", "run")} AS run, count(*) AS n FROM r GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, n, {_CRC.format(bytes=_LATIN_BYTES.format("id || ':' || run"))} AS h FROM d, crc_table),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN w b ON b.word = a.less UNION SELECT a.word, b.word FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word < b.word),
+q AS MATERIALIZED (SELECT a AS word, b AS other FROM p UNION SELECT b, a FROM p),
+o AS (SELECT q.word, other, w.n AS other_n, row_number() OVER (PARTITION BY q.word ORDER BY w.n DESC, encode(other)) AS place, count(*) OVER (PARTITION BY q.word) AS n_near FROM q JOIN w ON w.word = q.other),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN o ON o.word = w.word AND place = 1),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word"""
