@@ -176,7 +176,7 @@ def relate_intervals(sales: DataFrame, sessions: DataFrame, *, slot_us: int = SL
     cuts = saved(count(r, "n_sales").join(count(q, "n_sessions"), "client_id").select("client_id", "n_sales", "n_sessions", pieces("n_sales", unit_sales, "salts"), pieces("n_sessions", unit_sessions, "cuts")), "client-cuts")
     rows = int(cuts.agg(F.sum(F.col("n_sales") * F.col("cuts") + F.col("n_sessions") * F.col("salts"))).first()[0] or 0)
     blocks = max(1, -(-rows // block_rows))
-    cuts = cuts.select("client_id", "salts", "cuts")
+    cuts = cuts.select("client_id", "salts", "cuts").hint("merge")  # a row a client: never broadcast
     deal = lambda by, n: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = r.join(cuts, "client_id").withColumn("salt", deal(["sale_id", "lo", "hi"], "salts")).withColumn("cut", each("cuts")).withColumns({"is_sale": F.lit(True), "crc": F.lit(0).cast("long")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import hamming_topk, url_filters
 from .hamming_topk import nearest_by_hamming
+from .fingerprints import fingerprint_edits
 from .html_extraction import extract_main_text
 from .interval_join import click_sessions, relate_intervals, sale_intervals
 from .language_id import identify_languages
@@ -189,3 +190,8 @@ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN
 t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
 e AS (SELECT t.word, root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word"""
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
