@@ -20,11 +20,12 @@ from .functions.taxonomy import TYPE_COLOR
 from .functions.text import file_title, norm_key, sanitize_title, slug_title, xml_escape, yaml_string
 from .operators import chunking, extraction, graph, guard, inspect, resolution
 from .operators.components import components
-from .plans.engines import RuleEngine
+from .plans.engines import ChunkContext, FatalEngineError, RuleEngine
 from .plans.pipeline import outcomes_of_replies, run_pipeline, suggest_titles
 from .session import saved, scratch
 from .sinks import export, persist
 from .sources.ingest import join_pages, pasted, read_files
+from .streaming.carry import start_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -883,6 +884,50 @@ def cytoscape_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(e.select("doc_id", F.lit("edge"), "id", "label", F.concat_ws(" ", "source", "target", "weight"), F.lit(None).cast("double")))
 
 
+# -- streams -----------------------------------------------------------------------------
+
+
+class FailingEngine(RuleEngine):
+    """The rule engine, which fails on some lengths of text, on some for good."""
+
+    def extract(self, chunk: str, context: ChunkContext) -> list[dict]:
+        if len(chunk) % 29 == 17:
+            raise FatalEngineError(f"fatal {len(chunk)}")
+        if len(chunk) % 7 == 3:
+            raise ValueError(f"soft {len(chunk)}")
+        return super().extract(chunk, context)
+
+
+_TURN = "doc_id long, chunk_index int, text string"
+_CARRIED = r"""c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS chunk_index, text, length(text) AS l FROM conversations),
+k AS (SELECT *, min(chunk_index) FILTER (WHERE l % 29 = 17) OVER (PARTITION BY doc_id) AS cut FROM c),
+s AS (SELECT *, CASE WHEN chunk_index > cut THEN 'skipped' WHEN l % 29 = 17 OR l % 7 = 3 THEN 'dropped' ELSE 'ok' END AS state, CASE WHEN chunk_index > cut THEN NULL WHEN l % 29 = 17 THEN 'fatal ' || l WHEN l % 7 = 3 THEN 'soft ' || l END AS error FROM k),
+se AS (SELECT doc_id, chunk_index, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT doc_id, chunk_index, regexp_extract_all(text, '[^.!?]+[.!?]?') AS ss FROM s WHERE state = 'ok')),
+ru AS MATERIALIZED (SELECT doc_id, chunk_index, i, w FROM (SELECT *, regexp_extract_all(rtrim(s, '.!?'), '[^\s,;:()"“”]+') AS w FROM se) WHERE len(w) >= 3),
+seen AS (SELECT doc_id, name, min((chunk_index, i, side)) AS f FROM (SELECT doc_id, chunk_index, i, 0 AS side, w[1] AS name FROM ru UNION ALL SELECT doc_id, chunk_index, i, 1, w[-1] FROM ru) GROUP BY doc_id, name),
+cand AS (SELECT s.doc_id, s.chunk_index, name, f, row_number() OVER (PARTITION BY s.doc_id, s.chunk_index ORDER BY f DESC) AS back FROM s JOIN seen ON seen.doc_id = s.doc_id AND seen.f[1] < s.chunk_index)
+SELECT s.doc_id, s.chunk_index, state, error, CASE WHEN state <> 'skipped' THEN coalesce(p, '') END AS prior, CAST(CASE WHEN state = 'ok' THEN coalesce(n, 0) END AS INTEGER) AS n_propositions FROM s
+LEFT JOIN (SELECT doc_id, chunk_index, string_agg(name, ',' ORDER BY f) AS p FROM cand WHERE back <= 20 GROUP BY ALL) q ON q.doc_id = s.doc_id AND q.chunk_index = s.chunk_index
+LEFT JOIN (SELECT doc_id, chunk_index, count(*) AS n FROM ru GROUP BY ALL) m ON m.doc_id = s.doc_id AND m.chunk_index = s.chunk_index"""
+
+
+def arrive(turns: DataFrame, folder: str, half: int, *, files: int = 8) -> None:
+    """Half of the turns, dealt over files by a hash; every tenth turn comes in both halves."""
+    at = F.xxhash64("doc_id", "chunk_index")
+    (turns.filter((F.pmod(at, F.lit(2)) == half) | (F.pmod(at, F.lit(10)) == 0)).repartition(files, F.xxhash64("chunk_index", "doc_id")).write.mode("append").parquet(folder))
+
+
+@query(f"WITH {_CARRIED}")
+def streamed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose turns arrive shuffled, in two runs of a stream on one checkpoint: each turn's outcome, and the names it was told."""
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), "text")
+    for half in range(2):
+        arrive(turns, f"{at}/in", half)
+        start_extraction(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", FailingEngine(), schema=_TURN).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id", "chunk_index", "state", "error", F.array_join("prior_entities", ",").alias("prior"), F.when(F.col("state") == "ok", F.size("propositions")).alias("n_propositions"))
+
+
 # -- the whole run -----------------------------------------------------------------------
 
 
