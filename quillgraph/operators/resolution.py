@@ -10,59 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, utf16_length
 from ..session import saved, ship_package
-from .chunking import _utf16
 from .components import components
 from .numbering import numbered
+from .similarity import COSINE_THRESHOLD, JARO_WINKLER_THRESHOLD, cosine_pairs, jaro_winkler, jaro_winkler_pairs
 
-TILE = 256  # clusters of a piece
-COSINE_THRESHOLD = 0.83
-JARO_WINKLER_THRESHOLD = 0.92
-
-
-def jaro_winkler(a: str, b: str, at_least: float = 0.0) -> float:
-    """Jaro-Winkler similarity: half transpositions stay fractions, the prefix bonus has no gate.
-
-    Pairs that can't reach at_least give 0, as soon as too many characters went unmatched.
-    """
-    if a == b:
-        return 1.0
-    a, b = _utf16(a), _utf16(b)
-    if not a or not b:
-        return 0.0
-    prefix = 0
-    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
-        prefix += 1
-    jaro_needed = (at_least - 0.1 * prefix) / (1 - 0.1 * prefix)
-    misses_left = len(a) - (3 * jaro_needed - 1) / (1 / len(a) + 1 / len(b)) + 1e-9
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = bytearray(len(b))
-    left = []
-    for i, c in enumerate(a):
-        j = b.find(c, max(0, i - reach), i + reach + 1)
-        while j >= 0 and taken[j]:
-            j = b.find(c, j + 1, i + reach + 1)
-        if j >= 0:
-            taken[j] = 1
-            left.append(c)
-        else:
-            misses_left -= 1
-            if misses_left < 0:
-                return 0.0
-    m = len(left)
-    if not m:
-        return 0.0
-    right = [c for c, t in zip(b, taken, strict=True) if t]
-    moved = sum(x != y for x, y in zip(left, right, strict=True))
-    jaro = (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3
-    return jaro + prefix * 0.1 * (1 - jaro)
+__all__ = ["COSINE_THRESHOLD", "JARO_WINKLER_THRESHOLD", "cosine_pairs", "jaro_winkler", "jaro_winkler_pairs"]
 
 
 def mentions_of(propositions: DataFrame) -> DataFrame:
@@ -87,79 +45,6 @@ def surface_clusters(mentions: DataFrame) -> DataFrame:
     return clusters_of_forms(form_counts(mentions))
 
 
-def _tiled(clusters: DataFrame, value: str, similar: Callable[[list], np.ndarray], exact: Callable[[object, object], float] | None, threshold: float) -> DataFrame:
-    """(doc_id, type, a, b, key_a, key_b, similarity): pairs of clusters of one document and type at or above the threshold, the earlier first.
-
-    Clusters are dealt over pieces of about TILE, and each two pieces of a document and type
-    meet in a task of their own, whose size is bounded, as one matrix. similar gives the matrix
-    from the values; where it is but an upper bound, exact settles the pairs that reach the
-    threshold. Only similar pairs become rows.
-    """
-    ship_package(clusters.sparkSession)
-    kind = clusters.schema["doc_id"].dataType.simpleString()
-    pieces = clusters.groupBy("doc_id", "type").agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces")).filter(F.col("pieces") > 0)
-    placed = clusters.join(pieces, ["doc_id", "type"]).withColumn("piece", F.pmod(F.xxhash64("first_seq"), F.col("pieces")).cast("int"))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("pa", F.least("piece", "o")).withColumn("pb", F.greatest("piece", "o"))
-    columns = ["doc_id", "type", "pa", "pb", "piece", "first_seq", "key"]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("first_seq")
-        n, piece = table.num_rows, table["piece"].to_numpy()
-        values = table[value].to_pylist()
-        matrix = similar(values) if n > 1 else np.zeros((n, n))
-        hit = np.triu(matrix >= threshold - (1e-9 if exact else 0), 1)
-        if n and table["pa"][0] != table["pb"][0]:
-            hit &= piece[:, None] != piece
-        i, j = np.nonzero(hit)
-        score = matrix[i, j]
-        if exact:
-            score = np.array([exact(values[x], values[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.float64)
-            ok = score >= threshold
-            i, j, score = i[ok], j[ok], score[ok]
-        side = lambda c, at: table[c].take(pa.array(at, pa.int64()))
-        return pa.table({"doc_id": side("doc_id", i), "type": side("type", i), "a": side("first_seq", i), "b": side("first_seq", j), "key_a": side("key", i), "key_b": side("key", j), "similarity": pa.array(score)})
-
-    rows = dealt.select(*columns, *([value] if value not in columns else []))
-    return rows.groupBy("doc_id", "type", "pa", "pb").applyInArrow(run, f"doc_id {kind}, type string, a long, b long, key_a string, key_b string, similarity double")
-
-
-def jaro_winkler_bounds(keys: list[str]) -> np.ndarray:
-    """For each two keys a number that their similarity doesn't exceed: no transpositions, and as many matches as equal characters allow."""
-    keys = [_utf16(k) for k in keys]
-    size = np.array([len(k) for k in keys], np.float64)
-    owner = np.repeat(np.arange(len(keys)), size.astype(np.int64))
-    codes = np.array([ord(c) for k in keys for c in k], np.int64)
-    counts = np.zeros((len(keys), 64), np.int32)  # characters that share a slot only raise the bound
-    np.add.at(counts, (owner, codes % 64), 1)
-    matches = np.zeros((len(keys), len(keys)))
-    for column in counts.T[counts.any(0)]:
-        matches += np.minimum(column[:, None], column)
-    first = np.array([[ord(k[i]) if i < len(k) else -1 - r for i in range(4)] for r, k in enumerate(keys)], np.int64)
-    prefix = np.logical_and.accumulate(first[:, None] == first, axis=2).sum(2)
-    least = np.maximum(size, 1)
-    jaro = np.where(matches > 0, (matches / least[:, None] + matches / least + 1) / 3, 0)
-    return jaro + prefix * 0.1 * (1 - jaro)
-
-
-def jaro_winkler_pairs(clusters: DataFrame, *, threshold: float = JARO_WINKLER_THRESHOLD) -> DataFrame:
-    """(doc_id, type, a, b, key_a, key_b, similarity) of pairs at or above the threshold.
-
-    A bound from lengths, common characters and the common prefix rules out most pairs of a
-    tile at once.
-    """
-    return _tiled(clusters, "key", jaro_winkler_bounds, lambda x, y: jaro_winkler(x, y, threshold), threshold)
-
-
-def cosine_pairs(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) -> DataFrame:
-    """The same by the dot product of clusters' `embedding` column, whose vectors are of unit length and of one size."""
-
-    def similar(vectors: list) -> np.ndarray:
-        rows = np.array(vectors, np.float64)
-        return rows @ rows.T
-
-    return _tiled(clusters, "embedding", similar, None, threshold)
-
-
 def borderline_pairs(clusters: DataFrame, *, low: float = 0.78, threshold: float = COSINE_THRESHOLD) -> DataFrame:
     """Pairs that just miss the cosine threshold, for a closer look by other means; they are not merged."""
     return cosine_pairs(clusters, threshold=low).filter(F.col("similarity") < threshold)

@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from quillgraph.functions.taxonomy import PROPOSITIONS
 from quillgraph.operators import graph as G
 from quillgraph.operators import inspect as I
 from quillgraph.operators import resolution as R
+from quillgraph.operators import similarity as S
+from quillgraph.operators.chunking import _utf16
 from quillgraph.operators.components import components
 from quillgraph.operators.numbering import numbered
 from quillgraph.session import release, saved, saved_tables
@@ -66,21 +69,82 @@ def test_jaro_winkler():
             assert got == pytest.approx(want, abs=1e-12) if want >= t else got < t
 
 
-def test_length_filter_loses_no_pair(spark):
+def test_length_filter_loses_no_pair(spark, monkeypatch):
     r = random.Random(2)
     keys = sorted({"".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(80)})
     clusters = spark.createDataFrame([(1, k, "other", i, 1) for i, k in enumerate(keys)], "doc_id long, key string, type string, first_seq long, mentions long")
-    for t in (0.7, 0.92):
-        got = {(x["a"], x["b"]) for x in R.jaro_winkler_pairs(clusters, threshold=t).collect()}
-        assert got == {(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if plain_jaro_winkler(keys[i], keys[j]) >= t}
+    for small in (256, 1):
+        monkeypatch.setattr(S, "SMALL", small)
+        for t in (0.4, 0.7, 0.92):
+            got = sorted((x["a"], x["b"]) for x in R.jaro_winkler_pairs(clusters, threshold=t).collect())
+            assert got == [(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if plain_jaro_winkler(keys[i], keys[j]) >= t]
+
+
+def listed(keys, threshold, compared=None):
+    """Pairs of keys that the lists of their index entries bring together."""
+    rows = [(i, k, *e) for i, k in enumerate(keys) for e in S.index_entries(k, threshold)]
+    columns = list(zip(*rows, strict=True))
+    table = pa.table({"doc_id": [1] * len(rows), "type": ["x"] * len(rows), "first_seq": columns[0], "key": columns[1], "list": columns[2], "prefix": columns[3], "filed": columns[4], "pa": [0] * len(rows), "pb": [0] * len(rows), "piece": [0] * len(rows)})
+    i, j, _ = S.listed_pairs(table, threshold, compared)
+    seq = table["first_seq"].to_numpy()
+    return [tuple(sorted(p)) for p in zip(seq[i].tolist(), seq[j].tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.92, 0.97])
+def test_index_lists_hold_every_similar_pair_once(threshold):
+    r = random.Random(int(threshold * 100))
+    words = ["".join(r.choice("aeinorst") for _ in range(r.randrange(1, 6))) for _ in range(40)]
+    keys = {" ".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(150)}
+    for k in list(keys):  # and each with an edit or two
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(k))
+            k = k[:at] + r.choice(["", "e", "日", "😀", k[at:][::-1]]) + k[at + 1 :]
+            keys.add(k or "e")
+    keys = sorted(keys)
+    got = listed(keys, threshold)
+    want = {(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if plain_jaro_winkler(_utf16(keys[i]), _utf16(keys[j])) >= threshold}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_entries_are_linear_and_few_pairs_are_compared():
+    r = random.Random(3)
+    names = lambda n: sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(n)})
+    few, many = names(500), names(4000)
+    entries = lambda keys: sum(len(S.index_entries(k)) for k in keys) / len(keys)
+    assert abs(entries(few) - entries(many)) < 2 and entries(many) < 150  # they depend on a name's length alone
+    compared = []
+    listed(many, 0.92, compared)
+    assert sum(compared) < len(many) ** 2 / 2 / 5
+
+
+def test_vectors_are_sent_to_few_cells(spark, monkeypatch):
+    """Vectors in groups: most reach few cells but their own; the pairs are those of all pairs."""
+    monkeypatch.setattr(S, "PIECE", 40)
+    r = np.random.RandomState(4)
+    centres = r.randn(24, 32)
+    rows = np.array([centres[k % 24] + 0.05 * r.randn(32) * np.linalg.norm(centres[k % 24]) for k in range(960)])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    clusters = spark.createDataFrame([(None, "x", i, str(i), v.tolist()) for i, v in enumerate(rows)], "doc_id long, type string, first_seq long, key string, embedding array<double>")
+    got = sorted((x["a"], x["b"]) for x in R.cosine_pairs(clusters).collect())
+    i, j = np.nonzero(np.triu(rows @ rows.T >= 0.83, 1))
+    assert got == sorted(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > 15_000
+    _, large, sizes = S._split_blocks(clusters)
+    sent = S.cosine_cells(large, sizes, 0.83)
+    assert sent.filter("member").count() == 960 and sent.count() <= 2.5 * 960
+    wild = r.randn(700, 32)  # no structure: all pairs, still none lost or twice
+    wild /= np.linalg.norm(wild, axis=1)[:, None]
+    frame = spark.createDataFrame([(1, "x", i, str(i), v.tolist()) for i, v in enumerate(wild)], "doc_id long, type string, first_seq long, key string, embedding array<double>")
+    i, j = np.nonzero(np.triu(wild @ wild.T >= 0.35, 1))
+    assert sorted((x["a"], x["b"]) for x in R.cosine_pairs(frame, threshold=0.35).collect()) == sorted(zip(i.tolist(), j.tolist(), strict=True))
 
 
 def test_pairs_of_many_tiles(spark, monkeypatch):
-    """Pieces of three clusters find the pairs that one piece finds, each once, and bounds hold."""
+    """Lists and cells in pieces of three find the pairs that one matrix finds, each once, and bounds hold."""
     r = random.Random(12)
     keys = sorted({"".join(r.choice("abcdé日😀") for _ in range(r.randrange(1, 8))) for _ in range(60)})
-    bounds = R.jaro_winkler_bounds(keys)
-    assert all(R.jaro_winkler(a, b) <= bounds[i, j] + 1e-12 for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j)
+    every = np.array(list(itertools.combinations(range(len(keys)), 2)))
+    bounds = S._Names(keys, 0.9).bound(every[:, 0], every[:, 1])
+    assert all(R.jaro_winkler(keys[i], keys[j]) <= bound + 1e-12 for (i, j), bound in zip(every.tolist(), bounds.tolist(), strict=True))
     vectors = np.random.RandomState(1).randn(60, 3)
     rows = [(d, k, r.choice(["x", "y"]), i * 10 + d, (vectors[i] / np.linalg.norm(vectors[i])).tolist()) for d in (1, 2) for i, k in enumerate(keys)]
     clusters = spark.createDataFrame(rows, "doc_id long, key string, type string, first_seq long, embedding array<double>")
@@ -89,11 +153,12 @@ def test_pairs_of_many_tiles(spark, monkeypatch):
     want = [[], []]
     for p, q in itertools.combinations(sorted(rows, key=lambda x: x[3]), 2):
         if p[0] == q[0] and p[2] == q[2]:
-            for out, v in zip(want, (plain_jaro_winkler(R._utf16(p[1]), R._utf16(q[1])), float(np.dot(p[4], q[4]))), strict=True):
+            for out, v in zip(want, (plain_jaro_winkler(_utf16(p[1]), _utf16(q[1])), float(np.dot(p[4], q[4]))), strict=True):
                 if v >= 0.8:
                     out.append((p[0], p[3], q[3], round(v, 9)))
     assert whole == [sorted(x) for x in want]
-    monkeypatch.setattr(R, "TILE", 3)
+    for name in ("SMALL", "PIECE", "PIVOTS"):
+        monkeypatch.setattr(S, name, 3)
     assert found() == whole
     assert [f(clusters.limit(0)).collect() for f in (R.jaro_winkler_pairs, R.cosine_pairs)] == [[], []]
 
