@@ -23,7 +23,7 @@ from .operators.components import components
 from .plans.engines import ChunkContext, FatalEngineError, RuleEngine
 from .plans.pipeline import outcomes_of_replies, run_pipeline, suggest_titles
 from .session import saved, scratch
-from .sinks import export, persist
+from .sinks import export, files, persist
 from .sources.ingest import join_pages, pasted, read_files
 from .streaming.carry import start_extraction
 
@@ -832,7 +832,7 @@ def svg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def saved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a graph that was saved, listed and loaded again."""
-    store = f"{scratch(spark)}/graphs"
+    store = f"{scratch(spark)}/graphs-{uuid.uuid4().hex}"
     graph_id = persist.save_graph(mapped_graph(spark, sf_dir), store)
     assert persist.list_graphs(spark, store).filter(F.col("graph_id") == graph_id).count() == 1
     loaded = persist.load_graph(spark, store, graph_id)
@@ -849,6 +849,22 @@ def stored_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persist.list_graphs(spark, store).select("graph_id", "title", "node_count", "edge_count")
 
 
+@query(
+    f"""WITH {_GRAPH} SELECT 1 AS number, label, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM edg GROUP BY label UNION ALL SELECT 2, label, count(*), CAST(sum(weight) AS BIGINT) FROM edg WHERE label = 'supplies' GROUP BY label
+UNION ALL SELECT 3, 'listed', count(*), NULL FROM edg UNION ALL SELECT 3, 'listed', count(*), NULL FROM edg WHERE label = 'supplies'"""
+)
+def graph_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a version that a reader holds while the next is saved over it, of the next, and what the store lists of both."""
+    g, store = mapped_graph(spark, sf_dir), f"{scratch(spark)}/graphs-{uuid.uuid4().hex}"
+    graph_id = persist.save_graph(g, store)
+    held = persist.load_graph(spark, store, graph_id)
+    persist.save_graph(graph.KnowledgeGraph(held.nodes, held.edges.filter("label = 'supplies'"), held.propositions, None), store, graph_id=graph_id)
+    versions = persist.list_versions(spark, store, graph_id)
+    now = persist.load_graph(spark, store, graph_id)
+    rows = [x.edges.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select(F.lit(k).alias("number"), "label", "n", "weight") for k, x in enumerate((held, now), 1)]
+    return rows[0].union(rows[1]).union(versions.select(F.lit(3), F.lit("listed"), "edge_count", F.lit(None).cast("long")))
+
+
 @query(f"WITH {_GRAPH} SELECT doc_id, 'vertex' AS part, id, label, type AS more, mentions AS n FROM nod UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target, weight FROM edg")
 def property_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, edges_ = graph.property_graph(mapped_graph(spark, sf_dir))
@@ -862,26 +878,48 @@ UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target || ' ' || we
 UNION ALL SELECT doc_id, 'proposition', gid, text, CAST(chunk_index AS VARCHAR), NULL FROM props UNION ALL SELECT DISTINCT doc_id, 'file', 'quillgraph.graph', '1', NULL, NULL FROM props"""
 )
 def portable_json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the portable JSON of each document says, read back from its text."""
-    ddl = """format string, version int, nodes array<struct<id:string,label:string,type:string,mentions:long,degree:long,rank:double,sourceChunks:array<string>>>,
-        edges array<struct<id:string,source:string,target:string,label:string,weight:string,propositions:array<string>>>, propositions array<struct<id:string,text:string,sourceChunk:string>>"""
-    read = saved(export.portable_json(ranked_graph(spark, sf_dir)).select("doc_id", F.from_json("text", ddl).alias("j")), "portable-json")
+    """What the portable JSON file of each document says, read back a line at a time."""
+    at = f"{scratch(spark)}/portable-{uuid.uuid4().hex}"
+    files.write_graph_files(ranked_graph(spark, sf_dir), "portable-json", at)
+    lines = saved(files.read_elements(spark, at, "portable-json").withColumn("doc_id", F.substring("name", len("graph-") + 1, 20).cast("long")), "portable-lines")
+    ddl = """format string, version int, id string, label string, type string, mentions long, degree long, rank double, sourceChunks array<string>,
+        source string, target string, weight string, propositions array<string>, text string, sourceChunk string"""
+    j = lines.filter("line LIKE '{\"id\":%'").select("doc_id", F.from_json("line", ddl).alias("j")).select("doc_id", "j.*")
     none = F.lit(None).cast("double")
-    n, e, c = (read.select("doc_id", F.inline(f"j.{x}")) for x in ("nodes", "edges", "propositions"))
+    n, e, c = (j.filter(f"{x} IS NOT NULL") for x in ("type", "source", "text"))
     rows = n.select("doc_id", F.lit("node").alias("part"), "id", "label", F.concat_ws(" ", "type", "mentions", "degree", F.array_join("sourceChunks", ",")).alias("more"), "rank")
     rows = rows.union(e.select("doc_id", F.lit("edge"), "id", "label", F.concat_ws(" ", "source", "target", "weight", F.array_join("propositions", ",")), none))
     rows = rows.union(c.select("doc_id", F.lit("proposition"), "id", "text", "sourceChunk", none))
-    return rows.union(read.select("doc_id", F.lit("file"), "j.format", F.col("j.version").cast("string"), F.lit(None).cast("string"), none))
+    opening = r'"format":"([^"]*)","version":(\d+)'
+    first = lines.filter("line LIKE '{\"format\":%'")
+    return rows.union(first.select("doc_id", F.lit("file"), F.regexp_extract("line", opening, 1), F.regexp_extract("line", opening, 2), F.lit(None).cast("string"), none))
 
 
 @query(f"WITH {_RANKED} SELECT doc_id, 'node' AS part, id, label, type || ' ' || mentions AS more, rank FROM rnod UNION ALL SELECT doc_id, 'edge', id, label, source || ' ' || target || ' ' || weight, NULL FROM edg")
 def cytoscape_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The elements of each document's Cytoscape JSON, read back from its text."""
-    ddl = "elements struct<nodes:array<struct<data:struct<id:string,label:string,type:string,mentions:string,rank:double>>>,edges:array<struct<data:struct<id:string,source:string,target:string,label:string,weight:string>>>>"
-    read = saved(export.cytoscape_json(ranked_graph(spark, sf_dir)).select("doc_id", F.from_json("text", ddl).alias("j")), "cytoscape-json")
-    n, e = (read.select("doc_id", F.inline(f"j.elements.{x}")).select("doc_id", "data.*") for x in ("nodes", "edges"))
-    rows = n.select("doc_id", F.lit("node").alias("part"), "id", "label", F.concat_ws(" ", "type", "mentions").alias("more"), "rank")
-    return rows.union(e.select("doc_id", F.lit("edge"), "id", "label", F.concat_ws(" ", "source", "target", "weight"), F.lit(None).cast("double")))
+    """The elements of each document's Cytoscape JSON file, read back a line at a time."""
+    at = f"{scratch(spark)}/cytoscape-{uuid.uuid4().hex}"
+    files.write_graph_files(ranked_graph(spark, sf_dir), "cytoscape", at)
+    ddl = "data struct<id:string,label:string,type:string,mentions:string,rank:double,source:string,target:string,weight:string>"
+    lines = files.read_elements(spark, at, "cytoscape").filter("line LIKE '{\"data\":%'")
+    rows = lines.select(F.substring("name", len("graph-") + 1, 20).cast("long").alias("doc_id"), F.from_json("line", ddl).alias("j")).select("doc_id", "j.data.*")
+    node, edge = F.col("source").isNull(), F.col("source").isNotNull()
+    more = F.when(node, F.concat_ws(" ", "type", "mentions")).otherwise(F.concat_ws(" ", "source", "target", "weight"))
+    return rows.select("doc_id", F.when(edge, "edge").otherwise("node").alias("part"), "id", "label", more.alias("more"), "rank")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT doc_id, count(*) FILTER (WHERE k = 1) AS n_nodes, count(*) FILTER (WHERE k = 2) AS n_edges, CAST(sum(m) AS BIGINT) AS mentions, CAST(sum(w) AS BIGINT) AS weight
+FROM (SELECT doc_id, 1 AS k, mentions AS m, 0 AS w FROM nod UNION ALL SELECT doc_id, 2, 0, weight FROM edg) GROUP BY doc_id"""
+)
+def graphml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of each document's GraphML file, counted in the file."""
+    at = f"{scratch(spark)}/graphml-{uuid.uuid4().hex}"
+    files.write_graph_files(mapped_graph(spark, sf_dir), "graphml", at)
+    lines = files.read_elements(spark, at, "graphml").withColumn("doc_id", F.substring("name", len("graph-") + 1, 20).cast("long"))
+    number = lambda key: F.sum(F.regexp_extract("line", f'<data key="{key}">(\\d+)<', 1).try_cast("long"))
+    count = lambda start: F.sum(F.col("line").startswith(start).cast("long"))
+    return lines.groupBy("doc_id").agg(count("    <node ").alias("n_nodes"), count("    <edge ").alias("n_edges"), number("mentions").alias("mentions"), number("weight").alias("weight"))
 
 
 # -- streams -----------------------------------------------------------------------------

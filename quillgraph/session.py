@@ -42,6 +42,14 @@ def ship_package(spark: SparkSession) -> None:
     context._quillgraph_shipped = True
 
 
+def found_by_the_driver(spark: SparkSession) -> None:
+    """Let Python processes that Spark starts beside the driver (for stateful processors and data sources) find this package, as what is shipped doesn't reach those."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def scratch(spark: SparkSession) -> str:
     """Folder every executor can reach, from spark.checkpoint.dir.
 

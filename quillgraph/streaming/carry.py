@@ -7,7 +7,6 @@ chunks of a document may arrive in any micro-batch and any order, and more than
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -17,19 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.extraction import PRIOR_ENTITIES
 from ..plans.engines import ChunkContext, ExtractionEngine, FatalEngineError
 from ..plans.pipeline import _ITEM
-from ..session import ship_package
+from ..session import found_by_the_driver, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _found_by_the_driver(spark: SparkSession) -> None:
-    """Spark asks a Python process beside the driver for a processor's state; what is shipped doesn't reach that one."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-
-
 class CarriedExtraction(StatefulProcessor):
     """Takes the chunks of one document in the order of their numbers, as far as they have come."""
 
@@ -105,7 +96,7 @@ def extract_stream(chunks: DataFrame, engine: ExtractionEngine, *, carry: int =
     let go after that chunk. Rows without a doc_id or number are ignored.
     """
     ship_package(chunks.sparkSession)
-    _found_by_the_driver(chunks.sparkSession)
+    found_by_the_driver(chunks.sparkSession)
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the only store with lists and maps
     given = {"title": F.lit(None).cast("string"), "last": F.lit(False)}
     rows = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"), *[(F.col(c) if c in chunks.columns else d).alias(c) for c, d in given.items()])

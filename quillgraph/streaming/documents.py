@@ -24,7 +24,7 @@ def stream_chunks(docs: DataFrame, *, target: int = TARGET_TOKENS, overlap: int
 
 
 def stream_graphs(docs: DataFrame, engine: ExtractionEngine, store: str, checkpoint: str, **options) -> StreamingQuery:
-    """Save the graphs of each micro-batch under the batch's own id: a batch that runs again replaces its save."""
+    """Save the graphs of each micro-batch under the batch's own id: a batch that runs again saves the next version of it."""
 
     def save(batch: DataFrame, number: int) -> None:
         save_graph(run_pipeline(batch, engine, **options), store, graph_id=f"batch-{number}")
