@@ -1,7 +1,7 @@
 """HTML extraction: repeated runs of a host's pages, by suffix array, with the page's own structure.
 
 Pages are cut into blocks of text and grouped by host; a host of many pages is dealt over
-groups of about `group_pages`, so no task holds an unbounded host. The words of a group's
+groups of about `group_pages` or `group_bytes`, so no task holds an unbounded host. The words of a group's
 blocks, page after page, form one token stream. A suffix array of the stream, ordered to a
 depth of `min_tokens` by prefix doubling, puts equal runs next to each other; runs that two
 or more distinct contents have are covered, and a block whose every word is covered is
@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -49,52 +50,67 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 DROPPED = frozenset("aside button datalist dialog footer form head header menu nav noscript object search select template".split())
 CONTENT = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-# names of boilerplate on their own, and those that also stand for it as the first or last part of a longer name
-DROPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-DROPPED_PARTS = frozenset("ad ads advert adverts advertisement advertising breadcrumbs comments cookie cookies footer navbar navigation newsletter sidebar sponsored".split())
+# What parts of a class or id say of an element.
+# boilerplate wherever it stands in a name, or as the beginning of a part of it
+BOILERPLATE = frozenset("ad ads adv breadcrumb breadcrumbs consent cookie cookies disqus footer gdpr menu menus nav navbar navs newsletter pagination popup popups promo promos respond share shares sharing sidebar sidebars signup social sponsor subscribe toolbar".split())
+BEGINNINGS = ("advert", "comment", "navig", "newsletter", "sharebar", "sponsored", "subscri")
+# boilerplate but for names that speak of the article or its parts: site-header and page-notice, not entry-header
+PERHAPS = frozenset("banner header masthead modal notice notices notification notifications related skip widget widgets".split())
+OF_ARTICLES = frozenset("article board body caption chapter content copy entry figure hero image main paragraph photo post section story table text title work works".split())
+# what turns a name into a label of a subject, or into the state of another element
+LABELS = frozenset("cat category commentary format market policy price science security study tag theme topic type".split())
+STATES = frozenset("free has have hide hides no non not show shows with without".split())
+GROUP_BYTES = 16 << 20
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-# Parts of a class or id that tell of another element's presence, absence or display.
-STATES = frozenset("free has have hide hides no non not show shows with without".split())
-_NAME_PART = re.compile(r"[a-z]+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
 
+def _name_says(value: str) -> str | None:
+    """What a class or id says that its element is: "comments", "other" boilerplate, or nothing.
 
-def _names_dropped(value: str) -> bool:
-    """True if a class token or an id is a listed word, or starts or ends with one that is clear: ad-slot, page_footer, not no-sidebar or topic-social."""
+    Names are read part by part: comment-list, siteHeader and ad_slot_2 are boilerplate;
+    no-sidebar, topic-social, entry-header and commentary aren't.
+    """
+    said = None
     for token in value.split():
-        parts = _NAME_PART.findall(token)
-        if len(parts) == 1 and parts[0] in DROPPED_NAMES or parts and not DROPPED_PARTS.isdisjoint((parts[0], parts[-1])) and STATES.isdisjoint(parts):
-            return True
-    return False
+        parts = {p.lower() for p in _NAME_PART.findall(token)}
+        if not parts or not STATES.isdisjoint(parts) or not LABELS.isdisjoint(parts):
+            continue
+        if any(p.startswith("comment") for p in parts) or not parts.isdisjoint(("disqus", "respond")):
+            return "comments"
+        if not BOILERPLATE.isdisjoint(parts) or any(p.startswith(BEGINNINGS) for p in parts) or not PERHAPS.isdisjoint(parts) and OF_ARTICLES.isdisjoint(parts):
+            said = "other"
+    return said
 
 
 def _drops(name: str, attrs: str) -> int:
-    """2 if the element goes, 1 if it goes by its class or id alone, else 0."""
+    """4 if the element goes, 2 if it goes as comments by its class or id alone, 1 if as other boilerplate, else 0."""
     if name in DROPPED:
-        return 2
+        return 4
     if not attrs or not attrs.strip(" /\n\t\r"):
         return 0
     named = 0
     for key, a, b, c in _ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
+        key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            # camelCase does not survive lower-casing
-            if name not in ("html", "body") and _names_dropped(value):
-                named = 1
-        elif key == "role" and value.strip() in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return 2
+            if name not in ("html", "body") and (said := _name_says(value)):
+                named = max(named, 2 if said == "comments" else 1)
+        elif key == "role" and value.strip().lower() in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return 4
     return named
 
 
 def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str, bool, bool]]:
     """(text, dropped by structure, inside the article) of each block with text, in page order.
 
-    No class or id drops an article or main element, unless it is inside another. keep_around:
-    nor what is around one, which is so where the page would have no article left otherwise.
+    No class or id drops an article or main element, unless it is inside another or names
+    comments. keep_around: nor what is around one, or one of comments, which is so where the
+    page would have no article left otherwise. Time is linear in the page, whatever it holds.
     """
     out: list[tuple[str, bool, bool]] = []
     if not page:
@@ -102,7 +118,9 @@ def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str,
     stack: list[tuple[str, int, bool]] = []  # name, drops, article
     kept: list[str] = []
     lost: list[str] = []
-    dropping = inside = 0
+    blocks_at: list[int] = []  # places in the stack of elements that are blocks
+    opened: Counter[str] = Counter()
+    dropping = inside = named = 0
     was_inside = missed = False
 
     def flush() -> None:
@@ -117,11 +135,15 @@ def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str,
                 parts.clear()
 
     def close(to: int) -> None:
-        nonlocal dropping, inside
+        nonlocal dropping, inside, named
         while len(stack) > to:
-            _, d, c = stack.pop()
+            name, d, c = stack.pop()
+            opened[name] -= 1
             dropping -= d > 0
+            named -= 0 < d < 4
             inside -= c
+        while blocks_at and blocks_at[-1] >= to:
+            blocks_at.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -142,10 +164,11 @@ def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str,
         elif name == "br":
             (lost if dropping else kept).append(" ")
         if m["close"] or m["close2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             continue
         if name in RAW:  # its content is not text of the page
             tail = re.compile(rf"</{re.escape(name)}\s*/?>", re.IGNORECASE).search(page, at)
@@ -156,23 +179,24 @@ def page_blocks(page: str | None, keep_around: bool = False) -> list[tuple[str,
         if block:
             # an open paragraph, list item or cell ends where its like (or any block, for p) begins
             ends = ("p",) if name not in ("li", "dd", "dt", "td", "th", "tr", "option") else ("p", name, *(("dd", "dt") if name in ("dd", "dt") else ()), *(("td", "th") if name in ("td", "th", "tr") else ()))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if blocks_at and stack[blocks_at[-1]][0] in ends:
+                close(blocks_at[-1])
         attrs = m["attrs"] or m["attrs2"] or ""
         d, c = _drops(name, attrs), name in CONTENT
         if c:
-            if d == 1 and not inside:
+            if d == 1 and not inside or d == 2 and keep_around:
                 d = 0
-            if keep_around:
-                dropping -= sum(x[1] == 1 for x in stack)
-                stack = [(x[0], x[1] & 2, x[2]) for x in stack]
-            missed |= dropping > 0
+            if keep_around and named:
+                dropping -= named
+                named = 0
+                stack = [(x[0], x[1] & 4, x[2]) for x in stack]
+            missed |= dropping > 0 or d == 2
+        if block:
+            blocks_at.append(len(stack))
+        opened[name] += 1
         stack.append((name, d, c and not dropping and not d))
         dropping += d > 0
+        named += 0 < d < 4
         inside += stack[-1][2]
     flush()
     if missed and not keep_around and not any(b[2] and not b[1] for b in out):
@@ -381,6 +405,7 @@ def extract_main_text(
     pages: DataFrame,
     *,
     group_pages: int = GROUP_PAGES,
+    group_bytes: int = GROUP_BYTES,
     min_tokens: int = MIN_TOKENS,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
@@ -392,18 +417,19 @@ def extract_main_text(
     Null or empty html has no text. Null urls, and urls without a host, form a host of their
     own. Pages of one host that say the same are one content: they don't make each other
     boilerplate. The key may be null or repeat; other columns are ignored; an empty table
-    gives an empty result. group_pages and bucket_bytes (of html, whose run
-    hashes one task compares; up to 16 times that on the largest hosts) change no result.
+    gives an empty result. group_pages and group_bytes (of html, beyond twice which a host is
+    dealt) and bucket_bytes (of html, whose run hashes one task compares; up to 16 times that
+    on the largest hosts) change no result.
     """
     ship_package(pages.sparkSession)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
     pages = pages.withColumn("host", host)
-    counts = pages.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).filter(F.col("n") > 2 * group_pages)
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).filter((F.col("n") > 2 * group_pages) | (F.col("b") > 2 * group_bytes))
     hot = counts.select(
         "host",
-        F.ceil(F.col("n") / group_pages).cast("int").alias("parts"),
+        F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes)).cast("int").alias("parts"),
         F.greatest(F.lit(1), F.ceil(F.col("b") / F.greatest(F.lit(bucket_bytes), F.least(F.lit(16 * bucket_bytes), F.col("b") / 64)))).cast("int").alias("buckets"),
         # bits that tell most of the host's runs apart
         F.least(F.lit(60), F.greatest(F.lit(16), F.ceil(F.log2(F.col("b") + 1)) + 3)).cast("int").alias("bits"),

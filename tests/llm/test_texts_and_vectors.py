@@ -441,6 +441,58 @@ def test_repeated_tokens_by_brute_force():
         assert html_extraction.repeated_tokens(np.array(tokens, np.uint64), np.array(page), np.array(content), depth).tolist() == want
 
 
+NOT_TEXT = "comment-list post-comment commentlist comments-area CommentBox site-header siteHeader main-nav main-menu navbar-top share-buttons post-share social-links subscribe-form newsletter-box gdpr-notice cookieBanner breadcrumb_trail page-footer left-sidebar ad-slot adsbygoogle-ad advert_2 sponsored-links related-posts promo modal-popup pagination".split()
+TEXT = "no-sidebar topic-social entry-header article-title post-content story-body commentary has-ads category-menu security-notice lead body-copy figure-caption market-share headline address readmore adapter shared-history".split()
+
+
+def test_html_names_inside_an_article_and_outside():
+    text = lambda page: [t for t, dropped, _ in html_extraction.page_blocks(page) if not dropped]
+    for attribute in ("class", "id"):
+        for name in NOT_TEXT:
+            assert text(f"<article><h1>A</h1><div {attribute}='x {name}'><p>gone</p> too</div><p>b</p></article>") == ["A", "b"], name
+            assert text(f"<div><div {attribute}='{name}'>gone</div><div>a</div></div>") == ["a"], name
+        for name in TEXT:
+            assert text(f"<article><h1>A</h1><div {attribute}='{name}'><p>stays</p></div></article>") == ["A", "stays"], name
+    plain = "<div class='site-header'>My Site</div><div id='main-nav'><a>Home</a> <a>About</a></div><div class='text'>The text.</div><div class='comment-list'><div>Nice post!</div></div>"
+    assert text(plain) == ["The text."]
+
+
+def test_html_articles_of_comments():
+    main = lambda page: [t for t, dropped, inside in html_extraction.page_blocks(page) if inside and not dropped]
+    comment = "<article class='comment'><p>First!</p></article>"
+    assert main(f"<article><p>a</p></article>{comment}{comment}") == main(f"{comment}<article><p>a</p></article>") == ["a"]
+    assert main(f"<article><p>a</p><section class='post-comments'>{comment}</section></article>") == ["a"]
+    assert main(f"<div>{comment}</div>") == ["First!"]  # the page has no other
+    assert main("<article class='comment'><p>a</p></article><main><p>b</p></main>") == ["b"]
+
+
+@pytest.mark.parametrize("piece", ["<!a", "<?a", "<a ", "<a '", '<a "x>', "<b>", "</i>", "<b></i>", "<p", "<div><b>", "<li><i>", "&amp", "<script>", "<!--", "<article class=comment>"])
+def test_html_of_hostile_pages_takes_linear_time(piece):
+    page = "<p>a</p>" + piece * (300_000 // len(piece))
+    began = time.process_time()
+    html_extraction.page_blocks(page)
+    html_extraction.page_blocks("<b>" * 60_000 + "<p>a</p>" * 20_000 + "</i>" * 60_000)
+    assert time.process_time() - began < 8
+
+
+def test_html_marks_planted_in_the_given_pages(spark, sf_dir, tmp_path):
+    """The given pages with comments, shares and headers put into their articles give the same text."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    r = random.Random(9)
+    extra = lambda: f"<div class='{r.choice(NOT_TEXT)}'><p>planted {r.random()}</p><ul><li>more</li></ul></div>"
+    marked = [(p["page_id"], p["url"], re.sub("</p>(?=.*</article>)", lambda m: m[0] + (extra() if r.random() < 0.3 else ""), p["html"] or "").replace("</article>", f"</article><article class='comment'>{extra()}Hm.</article>")) for p in pages]
+    spark.createDataFrame(marked, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    text = lambda folder: {x["page_id"]: x["text"] for x in queries.op9_html_extraction(spark, folder).collect()}
+    assert "planted" in str(marked) and text(str(tmp_path)) == text(sf_dir)
+
+
+def test_html_hosts_are_dealt_by_bytes(spark):
+    menu = "<p>" + " ".join(f"m{k}" for k in range(12)) + "</p>"
+    pages = html_pages(spark, [("http://h/x", f"{menu}<p>{' '.join(f'w{k}x{j}' for j in range(400))}</p>") for k in range(30)])
+    one, many = (sorted(map(tuple, html_extraction.extract_main_text(pages, **how).collect())) for how in ({}, {"group_bytes": 4000}))
+    assert one == many and all("m0" not in row[2] for row in one)
+
+
 def test_html_query_by_brute_force_without_articles(spark, sf_dir, tmp_path):
     """The given pages with their article marks, menus and adverts as plain divisions: runs of 8 words of two contents of the host decide."""
     import html
