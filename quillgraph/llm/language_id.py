@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,24 +182,31 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, max_labels: int = 1000, **options) -> ByteCnn:
+def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, budget_chars: int = 64_000_000, **options) -> ByteCnn:
     """Train on a sample of the labelled documents outside the held-out part.
 
-    per_label     at most so many documents of a label, those of the smallest id hashes below
-                  a threshold set from the label's count over all documents
+    per_label     about so many documents of a label, those of the smallest id hashes below a
+                  threshold set from the label's count over all documents; at most twice as many
     sample_chars  at most so many leading characters of each (of the sample only)
-    max_labels    more distinct labels are an error: no language is left out silently
+    budget_chars  characters of the sample of all labels, about: of very many labels each has fewer
+                  documents, and at last fewer characters, but none is left out
+
+    Equal rows count once in the sample; of an id that very many rows share, those of the
+    smallest text hashes are taken. The driver holds the sample and a row for each label.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().limit(max_labels + 1).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return train([], [], **options)
-    if len(counts) > max_labels:
-        raise ValueError(f"lang has more than max_labels={max_labels} values")
+    per_label = max(1, min(per_label, budget_chars // (sample_chars * len(counts))))
+    sample_chars = max(1, min(sample_chars, budget_chars // len(counts)))
     space = 1 << 30
-    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, int(space * per_label / r["count"]) + 1))])
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(space, int(space * per_label / r["count"]) + 1)) for r in counts], "lang string, threshold long")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(space))
-    rows = usable.filter(place < limit[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).limit(2 * per_label * len(counts)).collect()
+    rows = usable.join(limits, "lang").filter(place < F.col("threshold"))
+    rows = rows.select("doc_id", "lang", place.alias("place"), F.xxhash64("text").alias("tie"), F.substring("text", 1, sample_chars).alias("text")).distinct()
+    order = Window.partitionBy("lang").orderBy("place", "tie", "text")
+    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * per_label).select("doc_id", "lang", "text").collect()
     rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]) for r in rows))
     return train([r[3] for r in rows], [r[2] for r in rows], **options)
 
@@ -245,6 +252,10 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.4, model: ByteCnn |
     ship_package(docs.sparkSession)
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(learn, **options) if model is None else model)
-    names = [n if n not in docs.columns else f"{n}_" for n in ("predicted language", "predicted language score")]
+    names: list[str] = []
+    for name in ("predicted language", "predicted language score"):
+        while name.lower() in {c.lower() for c in [*docs.columns, *names]}:  # Spark tells no case apart
+            name += "_"
+        names.append(name)
     out = tagged(docs, sent, label=names[0], score=names[1])
     return out.filter((F.col(f"`{names[0]}`") != UNKNOWN) & (F.col(f"`{names[1]}`") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

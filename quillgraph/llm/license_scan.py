@@ -13,7 +13,9 @@ begins a line.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-WILD_WORDS = 40  # that a `*` stands for at most
-
-# Licence sentences by identifier. `*` stands for any words, one at least and WILD_WORDS at most.
+# Licence sentences by identifier. `*` stands for any words, one at least.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "apache-2-line": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0"),
     "apache-2-head": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',),
@@ -113,49 +113,113 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
+_SPDX_HEAD = "spdx-license-identifier:"
+_SPDX_NAMES = {name.lower(): f"spdx-{name.lower()}" for name in SPDX}
+# names from before licences told "only" from "or later"
+_SPDX_NAMES |= {name.lower().removesuffix(end) + sign: f"spdx-{name.lower()}" for name in SPDX for end, sign in (("-only", ""), ("-or-later", "+")) if name.lower().endswith(end)}
+
+
+def spdx_names(line: str) -> list[str]:
+    """Identifiers of the licences in an SPDX line, joined by OR or AND, with exceptions by WITH; none if it is no such line or names others."""
+    line = line.strip()
+    rest = line[len(_SPDX_HEAD) :].removesuffix("-->").rstrip("*/. \t") if line.lower().startswith(_SPDX_HEAD) else ""
+    words = rest.replace("(", " ").replace(")", " ").split()
+    out, want = [], "name"
+    for word in words:
+        operator = word.upper() in ("OR", "AND", "WITH")
+        if operator != (want == "operator"):
+            return []
+        if want == "name":
+            if word.lower() not in _SPDX_NAMES:
+                return []
+            out.append(_SPDX_NAMES[word.lower()])
+        want = "exception" if word.upper() == "WITH" else "name" if operator else "operator"
+    return out if want == "operator" else []
+
+
+class _Places:
+    """A text of words and where its lines end, with the next place of a part remembered: places only move on."""
+
+    def __init__(self, text: str, ends: set[int]):
+        self.text, self.ends = text, ends
+        self.found: dict[tuple[str, bool], tuple[int, int]] = {}
+
+    def next(self, part: str, at: int, to_end: bool) -> int:
+        """The first end, at or after `at`, of the part as whole words; to_end: at which a line ends too. -1 if there is none."""
+        since, place = self.found.get((part, to_end), (0, 0))
+        if since and since <= at and (place < 0 or at + len(part) <= place):
+            return place
+        since, key = at, f" {part}"
+        place = self.text.find(key, at - 1)
+        while place >= 0 and not self._fits(place + len(key), to_end):
+            place = self.text.find(key, place + 1)
+        place = place + len(key) if place >= 0 else -1
+        self.found[part, to_end] = since, place
+        return place
+
+    def _fits(self, end: int, to_end: bool) -> bool:
+        return end in self.ends if to_end else end == len(self.text) or self.text[end] == " "
+
+    def match(self, parts: list[str], at: int) -> int:
+        """Where a sentence that begins at `at` and fills whole lines ends, given what stands between its `*`; -1 if it doesn't begin there."""
+        if not self.text.startswith(parts[0], at):
+            return -1
+        end = at + len(parts[0])
+        if len(parts) == 1:
+            return end if end in self.ends else -1
+        if not self._fits(end, False):
+            return -1
+        for k, part in enumerate(parts[1:], 2):
+            word = self.text.find(" ", end + 1)  # one word at least stands for the `*`
+            if not part:
+                return min((e for e in self.ends if e > end + 1), default=-1)
+            if word < 0 or (end := self.next(part, word + 1, k == len(parts))) < 0:
+                return -1
+        return end
+
+
 class Recogniser:
     def __init__(self, sentences: dict[str, Sequence[str]], rules: Sequence[tuple[str, Sequence[str]]], gap: int):
         self.rules, self.gap = rules, gap
         self.exact: dict[str, str] = {}
-        self.open: list[tuple[str, re.Pattern]] = []
-        for name, texts in sentences.items():
-            for t in map(normalise, texts):
-                if "*" in t:
-                    self.open.append((name, re.compile(" ".join(rf"[a-z0-9]+(?: [a-z0-9]+){{0,{WILD_WORDS - 1}}}" if p == "*" else re.escape(p) for p in t.split()))))
-                else:
-                    self.exact[t] = name
-        # by first word and longest first: known sentences as whole lines of a text
-        self.lines: dict[str, list[tuple[str, re.Pattern]]] = {}
+        # by first word and longest first
+        self.lines: dict[str, list[tuple[str, list[str]]]] = {}
         for t, name in sorted(((t, name) for name, texts in sentences.items() for t in map(normalise, texts)), key=lambda x: -len(x[0])):
-            words = [rf"[a-z0-9]+(?:[ \n][a-z0-9]+){{0,{WILD_WORDS - 1}}}?" if w == "*" else re.escape(w) for w in t.split()]
-            self.lines.setdefault(t.split()[0], []).append((name, re.compile(r"[ \n]".join(words) + r"(?=\n|\Z)")))
+            self.lines.setdefault(t.split()[0], []).append((name, [p.strip() for p in t.split("*")]))
+            if "*" not in t:
+                self.exact[t] = name
+        self.open = {word: wild for word, known in self.lines.items() if (wild := [x for x in known if len(x[1]) > 1])}
 
     def known(self, sentence: str) -> list[str]:
         """Identifier of a sentence; if it isn't known, those of its runs of lines that are, in order and without overlap."""
-        lines = [" ".join(normalise(x).replace("*", "").split()) for x in sentence.split("\n")]
-        lines = [x for x in lines if x]
+        raw = [(" ".join(normalise(x).replace("*", "").split()), x) for x in sentence.split("\n")]
+        raw = [x for x in raw if x[0]]
+        lines = [x[0] for x in raw]
         if got := self._look(" ".join(lines)):
             return [got]
         if len(lines) < 2:
-            return []
-        text, out, at = "\n".join(lines), [], 0
-        while at < len(text):
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            for name, pattern in self.lines.get(text[at:end].split(" ", 1)[0], ()):
-                if m := pattern.match(text, at):
+            return spdx_names(raw[0][1]) if lines and lines[0].startswith("spdx ") else []
+        text, out, at, k = " ".join(lines), [], 0, 0
+        starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+        places = _Places(text, {x - 1 for x in starts[1:]})
+        while k < len(lines):
+            at, end = starts[k], -1
+            for name, parts in self.lines.get(lines[k].split(" ", 1)[0], ()):
+                if (end := places.match(parts, at)) >= 0:
                     out.append(name)
-                    end = m.end()
                     break
-            at = end + 1
+            if end < 0 and lines[k].startswith("spdx "):
+                out += spdx_names(raw[k][1])
+            k = k + 1 if end < 0 else bisect_left(starts, end + 1)
         return out
 
     def _look(self, clean: str) -> str | None:
-        if clean.split(" ", 1)[0] not in self.lines:
+        first = clean.split(" ", 1)[0]
+        if first not in self.lines:
             return None
         if got := self.exact.get(clean):
             return got
-        return next((name for name, p in self.open if p.fullmatch(clean)), None)
+        return next((name for name, parts in self.open.get(first, ()) if _Places(clean, {len(clean)}).match(parts, 0) >= 0), None)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int]]]:
         """Sentences, the known ones in them by place, and (licence, first place, last place) of the matches in text order."""

@@ -98,7 +98,7 @@ def brute_scan(text, sentences, rules, gap):
         if not pattern:
             return not words
         if pattern[0] == "*":
-            return any(fits(words[n:], pattern[1:]) for n in range(1, min(len(words), 40) + 1))
+            return any(fits(words[n:], pattern[1:]) for n in range(1, len(words) + 1))
         return bool(words) and words[0] == pattern[0] and fits(words[1:], pattern[1:])
 
     found = []
@@ -134,7 +134,7 @@ def test_license_query_by_brute_force(spark, sf_dir, tmp_path):
     for _ in range(60):
         parts = []
         for _ in range(r.randrange(1, 7)):
-            t = r.choice(lines).replace("*", r.choice(["Acme", "the Foo\nand Bar Org", "x"]))
+            t = r.choice(lines).replace("*", r.choice(["Acme", "the Foo\nand Bar Org", "x", " ".join(["holder"] * 60), "Acme nor the names\nof its", "\n".join(["of many"] * 30)]))
             if r.random() < 0.4:
                 t = "\n".join(filter(None, (t[: t.find(" ", len(t) // 2)], t[t.find(" ", len(t) // 2) + 1 :]))) if " " in t else t
             parts.append(t + r.choice([". ", ".\n", "\n", "\n\n", ":\n", ".\n// ", " more\n", "\nother words\n"]))
@@ -148,7 +148,22 @@ def test_license_query_by_brute_force(spark, sf_dir, tmp_path):
         assert (x["n_sentences"], x["sentence_ids"], [m["license"] for m in x["matches"]]) == want, texts_by[x["doc_id"]][:500]
 
 
-@pytest.mark.parametrize("unit", ["word ", "released under this\n", "neither the name of the\n", "x", "// ", "\n", " ", " \n", "All rights reserved\n"])
+def test_license_wildcards_and_expressions():
+    scanner = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, 2)
+    licences = lambda text: [m[0] for m in scanner.scan(text)[2]]
+    for n in (1, 40, 41, 5000):  # a holder of any length
+        names = license_scan.SENTENCES["bsd-names"][0].replace("*", "word " * n)
+        assert scanner.known(names) == scanner.known(f"x\n{names}") == scanner.known(f"{names}\ny") == ["bsd-names"]
+    assert scanner.known(license_scan.SENTENCES["bsd-names"][0].replace(" *", "")) == []
+    two = license_scan.Recogniser({"a": ["one * two * three"], "b": ["four *"]}, [], 0)
+    assert [two.known(t) for t in ("one x two y z three", "one two three", "one x two three", "u\none x two\ny\nthree\nv", "four", "u\nfour x\ny", "one a two b three four")] == [["a"], [], [], ["a"], [], ["b"], []]
+    spdx = "SPDX-License-Identifier: "
+    assert licences(f"// {spdx}MIT OR Apache-2.0\nint x;") == licences(f"# {spdx}(MIT AND Apache-2.0)") == ["MIT", "Apache-2.0"]
+    assert licences(f"/* {spdx}GPL-2.0 */") == ["GPL-2.0-only"] and licences(f"{spdx}GPL-2.0+ WITH Classpath-exception-2.0") == ["GPL-2.0-or-later"]
+    assert licences(f"{spdx}MIT more") == licences(f"{spdx}Unheard-1.0") == licences(f"{spdx}MIT OR") == licences(spdx) == []
+
+
+@pytest.mark.parametrize("unit", ["SPDX-License-Identifier: MIT OR\n", "neither the name of x nor the names of its\n", "word ", "released under this\n", "neither the name of the\n", "x", "// ", "\n", " ", " \n", "All rights reserved\n"])
 def test_license_scan_of_a_long_text_without_stops(unit):
     scanner = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, 2)
     began = time.process_time()
@@ -628,9 +643,26 @@ def test_language_query_by_plain_loops(spark, sf_dir):
         assert [(a, round(b, 6)) for a, b in zip(labels, scores, strict=True)] == [(a, round(b, 6)) for a, b in (plain_score(net, v) for v in values)]
 
 
-def test_too_many_labels_are_an_error(spark):
-    with pytest.raises(ValueError, match="max_labels"):
-        language_id.fit(frame(spark, [(i, "some text", f"l{i % 5}") for i in range(40)]), max_labels=4)
+def test_many_labels_and_ids_of_many_rows(spark):
+    many = frame(spark, [(i, f"words of {i % 1203} and some more", f"l{i % 1203}") for i in range(3000)])
+    assert len(language_id.fit(many, steps=1).labels) == 1203  # none is left out, however many there are
+    taught = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "train", lambda texts, labels, **_: taught.append((texts, labels)))
+        language_id.fit(many, budget_chars=1203 * 10)
+        again = frame(spark, [(7, f"text {i % 500}", "a") for i in range(3000)] + [(8, "one", "b")] * 100)  # an id of very many rows
+        for _ in range(2):
+            language_id.fit(again.repartition(7), per_label=20)
+    assert max(map(len, taught[0][0])) == 10 and set(taught[0][1]) == {f"l{i}" for i in range(1203)}
+    assert taught[1] == taught[2] and taught[1][1].count("a") == 40 and taught[1][1].count("b") == 1
+
+
+def test_language_stage_with_clashing_names(spark):
+    rows = [(i, "the words of a text in plain English", "en", "a", "b") for i in range(60)] + [(99, None, "en", "a", "b")]
+    names = ["Predicted Language", "PREDICTED language_"]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, `{names[0]}` string, `{names[1]}` string")
+    kept = language_id.keep_identified(docs, steps=20)
+    assert kept.columns == docs.columns and kept.count() == 60
 
 
 # -- pipeline ---------------------------------------------------------------------------------
