@@ -1,7 +1,7 @@
 """Ingest: files and tables of text to documents(doc_id, path, title, text).
 
-Workers decode text, DOCX from its zip, and PDF by `pdf.pdf_pages` or another function from
-bytes to a list of pages of text items.
+Workers decode text, DOCX from its zip, and PDF by a function that the caller has, from bytes
+to a list of pages of text items.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, file_extension, file_title, trim_ws
 from ..session import saved, ship_package
-from .pdf import pdf_pages
 
 TEXT_EXTENSIONS = ("txt", "md")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -57,7 +56,7 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.array_join("p.t", "\n\n").alias("text"))
 
 
-def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = pdf_pages, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """documents(doc_id, path, title, text) and errors(path, error) of the files under a path.
 
     doc_id is a hash of the path. Files with text_extensions and of text/* types are text.

@@ -52,6 +52,20 @@ def test_guardrail(spark):
 # -- chunking ------------------------------------------------------------------------
 
 
+def blocks(text):
+    return [t[s:e] for t, s, e in chunking.block_spans(text.replace("\r\n", "\n"))]
+
+
+def pieces_of(block, limit):
+    return [t[s:e] for t, s, e in chunking.piece_spans((block, 0, len(block)), limit)]
+
+
+def test_cuts_and_packing():
+    assert chunking.greedy_cuts([3, 5, 9, 30, 31], 6) == [5, 9, 15, 21, 27, 31]
+    assert chunking.packed([4, 4, 9, 0, 1, 0], 9) == [(0, 2), (2, 4), (4, 6)] and chunking.packed([], 5) == []
+    assert chunking.overlap_start("One. Two. Three", 2) == 10 and chunking.overlap_start("short", 9) == 0
+
+
 def test_one_short_text_is_one_chunk():
     assert chunking.chunk_text("One paragraph. Two sentences.") == [(0, "One paragraph. Two sentences.", 8)]
 
@@ -77,15 +91,15 @@ def test_a_block_without_breaks_is_cut_at_sentences():
 
 
 def test_raw_slices_and_lost_leading_stops():
-    pieces = chunking.split_sentences("y" * 100 + ". tail", 10)
+    pieces = pieces_of("y" * 100 + ". tail", 10)
     assert [len(p) for p in pieces] == [40, 40, 21, 4] or "".join(pieces).replace(" ", "") == "y" * 100 + ".tail"
-    assert chunking.split_sentences("...abc. def", 1) == ["abc.", "def"]
-    assert chunking.split_sentences("!!!", 1) == ["!!!"]
+    assert pieces_of("...abc. def", 1) == ["abc.", "def"]
+    assert pieces_of("!!!", 1) == ["!!!"]
 
 
 def test_blocks():
-    assert chunking.split_blocks("a\r\n\r\nb\n# H\ntext\n \n\n c\n#no\n###### six\n") == ["a", "b", "# H\ntext", "c\n#no", "###### six"]
-    assert chunking.split_blocks("") == [] and chunking.chunk_text("  \n\n ") == []
+    assert blocks("a\r\n\r\nb\n# H\ntext\n \n\n c\n#no\n###### six\n") == ["a", "b", "# H\ntext", "c\n#no", "###### six"]
+    assert blocks("") == [] and chunking.chunk_text("  \n\n ") == []
 
 
 def test_astral_characters_count_twice():
