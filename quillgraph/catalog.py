@@ -20,7 +20,8 @@ from .functions.text import file_title, norm_key, sanitize_title, slug_title, xm
 from .operators import chunking, extraction, graph, guard, inspect, resolution
 from .operators.components import components
 from .plans.engines import ChunkContext, FatalEngineError, RuleEngine
-from .plans.pipeline import outcomes_of_replies, run_pipeline, suggest_titles
+from .plans.pipeline import extract_chunks, outcomes_of_replies, run_pipeline, suggest_titles
+from .plans.reply_log import LoggedEngine, read_log
 from .session import saved, scratch
 from .sinks import export, files, persist
 from .sources.ingest import join_pages, pasted, read_files
@@ -320,6 +321,60 @@ def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class StoredModel:
+    """A model whose replies stand in the passage itself, one an attempt; offline, it answers nothing."""
+
+    id = model = "stored"
+
+    def __init__(self, offline: bool = False):
+        self.offline = offline
+
+    def availability(self) -> str:
+        return "ready"
+
+    def init(self) -> None: ...
+
+    def dispose(self) -> None: ...
+
+    def ask(self, talk: list[dict]) -> str:
+        if self.offline:
+            raise FatalEngineError("offline")
+        return talk[1]["content"].split(extraction._TASK, 1)[1].split(chr(31))[(len(talk) - 2) // 2]
+
+
+def logged_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Outcomes of all passages from a model that is offline, after a run that logged its replies; and the log."""
+    folder = f"{scratch(spark)}/replies-{uuid.uuid4().hex}"
+    by_attempt = F.array_sort(F.collect_list(F.struct("attempt", "reply")))
+    passages = replies(spark, sf_dir).groupBy("doc_id", "chunk_index").agg(F.array_join(by_attempt["reply"], chr(31)).alias("text"))
+    passages = saved(passages, "passages")
+    saved(extract_chunks(passages, LoggedEngine(StoredModel(), folder)), "first-run")
+    return saved(extract_chunks(passages, LoggedEngine(StoredModel(offline=True), folder)), "second-run"), folder
+
+
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID}{_FIRST}
+SELECT g.doc_id, g.chunk_index, pos, local_id, text, s_name, s_type, predicate, o_name, o_type, confidence FROM g JOIN a ON g.doc_id = a.doc_id AND g.chunk_index = a.chunk_index AND g.attempt = a.attempt"""
+)
+def logged_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propositions of a run that asked no model, as all replies were logged by the run before."""
+    rows = extraction.proposition_rows(logged_run(spark, sf_dir)[0])
+    return rows.select(
+        "doc_id", "chunk_index", "pos", "local_id", "text", F.col("subject.name").alias("s_name"), F.col("subject.type").alias("s_type"), "predicate", F.col("object.name").alias("o_name"), F.col("object.type").alias("o_type"), "confidence"
+    )
+
+
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID}{_FIRST}
+SELECT v.doc_id, v.chunk_index, v.attempt, ps IS NOT NULL AS usable FROM v JOIN a ON a.doc_id = v.doc_id AND a.chunk_index = v.chunk_index AND v.attempt <= coalesce(a.attempt, 3)"""
+)
+def logged_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log holds after two runs: each attempt that had to be made, once."""
+    log = read_log(spark, logged_run(spark, sf_dir)[1])
+    parsed = extraction.parse_replies(log.select(F.col("document").cast("long").alias("doc_id"), "chunk_index", "attempt", "reply"))
+    return parsed.select("doc_id", "chunk_index", "attempt", F.col("propositions").isNotNull().alias("usable"))
+
+
 # Chunk states with failures by key: the engine failed for good at every 29th customer.
 _OUTCOMES = """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS INTEGER) AS chunk_index, c_custkey % 7 <> 3 AND c_custkey % 29 <> 17 AS ok,
 CASE WHEN c_custkey % 29 = 17 THEN 'fatal ' || c_custkey WHEN c_custkey % 7 = 3 THEN 'soft ' || c_custkey END AS error, c_custkey % 29 = 17 AS fatal"""

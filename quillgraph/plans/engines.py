@@ -33,6 +33,7 @@ class ChunkContext:
     index: int
     title: str | None = None
     prior_entities: list[str] = field(default_factory=list)
+    document: str | None = None
 
 
 class ExtractionEngine(Protocol):
@@ -210,7 +211,7 @@ class ChatEngine:
 
     def dispose(self) -> None: ...
 
-    def _ask(self, messages: list[dict], constrained: bool = True) -> str:
+    def ask(self, messages: list[dict], constrained: bool = True) -> str:
         waits = 0
         while True:
             with_schema = constrained and self.schema_accepted
@@ -237,10 +238,10 @@ class ChatEngine:
                 return (choices[0].get("message") or {}).get("content") or ""
 
     def extract(self, chunk: str, context: ChunkContext) -> list[dict]:
-        return extract_with_retries(self._ask, chunk, context)
+        return extract_with_retries(self.ask, chunk, context)
 
     def suggest_title(self, excerpt: str) -> str:
-        return self._ask([{"role": "user", "content": f"{TITLE_PROMPT}\n\n{excerpt}"}], constrained=False)
+        return self.ask([{"role": "user", "content": f"{TITLE_PROMPT}\n\n{excerpt}"}], constrained=False)
 
 
 ENGINES: dict[str, Callable[..., ExtractionEngine]] = {"rule": RuleEngine, "replay": ReplayEngine, "chat": ChatEngine}

@@ -51,6 +51,7 @@ def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataF
         seen: dict[str, None] = {}
         out: dict[str, list] = {"chunk_index": [], "ok": [], "error": [], "fatal": [], "propositions": []}
         dead = False
+        document = str(table["doc_id"][0].as_py()) if table.num_rows else None
         engine.init()
         try:
             for row in rows:
@@ -59,7 +60,7 @@ def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataF
                     if tried is not None:
                         tried.add(1)
                     try:
-                        found = engine.extract(row["text"], ChunkContext(row["chunk_index"], row["title"], list(seen)[-carry:] if carry else []))
+                        found = engine.extract(row["text"], ChunkContext(row["chunk_index"], row["title"], list(seen)[-carry:] if carry else [], document))
                         for p in found:
                             seen.setdefault(p["subject"]["name"])
                             seen.setdefault(p["object"]["name"])

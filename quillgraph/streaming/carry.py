@@ -60,7 +60,7 @@ class CarriedExtraction(StatefulProcessor):
             if not dead:
                 prior = list(seen)[-self.carry :] if self.carry else []
                 try:
-                    found = self.engine.extract(text, ChunkContext(at, title, prior))
+                    found = self.engine.extract(text, ChunkContext(at, title, prior, str(key[0])))
                     state = "ok"
                     for p in found:
                         seen.setdefault(p["subject"]["name"])
