@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import sql
 from .functions.taxonomy import TYPE_COLOR
 from .functions.text import file_title, norm_key, sanitize_title, slug_title, xml_escape, yaml_string
 from .operators import chunking, extraction, graph, guard, inspect, resolution
@@ -130,6 +131,13 @@ def chunks_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20)
 
 
+@query(_chunk_sql(100, 20))
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Spark SQL, by a table function for each text."""
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk_text(d.text, 100, 20) c", docs=laid_out(spark, sf_dir))
+
+
 @query(_chunk_sql(100, 20))
 def chunks_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(laid_out(spark, sf_dir), target=100, overlap=20, native=True)
@@ -321,6 +329,22 @@ def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID}{_FIRST}
+SELECT g.doc_id, g.chunk_index, pos, local_id, text, s_name, s_type, predicate, o_name, o_type, confidence FROM g JOIN a ON g.doc_id = a.doc_id AND g.chunk_index = a.chunk_index AND g.attempt = a.attempt"""
+)
+def sql_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Spark SQL, by a table function for each reply."""
+    sql.register(spark)
+    return spark.sql(
+        """WITH p AS (SELECT r.doc_id, r.chunk_index, r.attempt, p.* FROM {replies} r, LATERAL parse_reply(r.reply) p WHERE r.attempt <= 3),
+        f AS (SELECT doc_id, chunk_index, min(attempt) AS attempt FROM p GROUP BY doc_id, chunk_index)
+        SELECT p.doc_id, p.chunk_index, pos, local_id, text, subject.name AS s_name, subject.type AS s_type, predicate, object.name AS o_name, object.type AS o_type, confidence
+        FROM p JOIN f ON f.doc_id = p.doc_id AND f.chunk_index = p.chunk_index AND f.attempt = p.attempt WHERE pos IS NOT NULL""",
+        replies=replies(spark, sf_dir),
+    )
+
+
 class StoredModel:
     """A model whose replies stand in the passage itself, one an attempt; offline, it answers nothing."""
 
