@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved, ship_package
+from ..session import saved, saved_in_buckets, ship_package
 from .numbering import numbered
 from .resolution import Resolution, mentions_of, resolve_entities
 
@@ -83,26 +83,33 @@ def rank_arrays(n: int, source: np.ndarray, target: np.ndarray, weight: np.ndarr
     return rank
 
 
+def _sent(rank: DataFrame, share: DataFrame) -> DataFrame:
+    """(doc_id, target, given): what each node gives along each edge."""
+    return rank.join(share.hint("merge"), ["doc_id", "id"]).select("doc_id", "target", (F.col("rank") * F.col("share")).alias("given"))
+
+
 def pagerank_rounds(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS, exact_rounds: bool = False, weighted: bool = True) -> DataFrame:
     """(doc_id, id, rank) by rounds of one join and one aggregation; the rank of nodes without an exit is spread evenly.
 
-    Every round ends in the shared folder. A document that has settled, by the rule of
-    rank_arrays, leaves the rounds with the ranks of that round, however long others go on.
+    Edges and ranks lie in buckets by document and node, so a round exchanges no edges and no
+    ranks, but only what each bucket sends to each node, summed up. Every round ends in the
+    shared folder. A document that has settled, by the rule of rank_arrays, leaves the rounds
+    with the ranks of that round, however long others go on.
     """
     weight = F.sum("weight") if weighted else F.count("*")
     flat = edges.groupBy("doc_id", "source", "target").agg(weight.cast("double").alias("w"))
     total = flat.groupBy("doc_id", "source").agg(F.sum("w").alias("t"))
-    share = saved(flat.join(total, ["doc_id", "source"]).select("doc_id", F.col("source").alias("id"), "target", (F.col("w") / F.col("t")).alias("share")), "rank-edges")
+    share = saved_in_buckets(flat.join(total, ["doc_id", "source"]).select("doc_id", F.col("source").alias("id"), "target", (F.col("w") / F.col("t")).alias("share")), "rank-edges", ["doc_id", "id"])
     counted = nodes.select("doc_id", "id").join(nodes.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
     leaves = counted.join(total.select("doc_id", F.col("source").alias("id"), F.lit(True).alias("exit")), ["doc_id", "id"], "left").withColumn("loose", F.col("exit").isNull()).drop("exit")
-    rank = saved(leaves.withColumn("rank", 1.0 / F.col("n")), "ranks")
+    rank = saved_in_buckets(leaves.withColumn("rank", 1.0 / F.col("n")), "ranks", ["doc_id", "id"])
     done: DataFrame | None = None
     for k in range(rounds):
-        sent = rank.join(share, ["doc_id", "id"]).groupBy("doc_id", F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        sent = _sent(rank, share).groupBy("doc_id", F.col("target").alias("id")).agg(F.sum("given").alias("got"))
         spread = rank.groupBy("doc_id").agg(F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0)).alias("spread"))
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("spread") / F.col("n"))
         step = rank.join(sent, ["doc_id", "id"], "left").join(spread, "doc_id").select("doc_id", "id", "n", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
-        step = saved(step, "ranks")
+        step = saved_in_buckets(step, "ranks", ["doc_id", "id"])
         rank = step.drop("moved")
         if exact_rounds or k + 1 == rounds:
             continue

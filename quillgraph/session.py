@@ -77,6 +77,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def saved_in_buckets(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """The same, in sorted buckets of the columns: joins and aggregations by them read the table without an exchange.
+
+    The table has a name in the catalog only while it is opened.
+    """
+    spark = df.sparkSession
+    token = uuid.uuid4().hex
+    path, table = f"{scratch(spark)}/{name}-{token}", f"quillgraph_{token}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task a bucket, so that each bucket is one sorted file
+    df.repartition(buckets, *by).write.option("compression", "zstd").option("path", path).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    saved_tables(spark).append(path)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolves it
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return out
+
+
 def saved_tables(spark: SparkSession) -> list[str]:
     """Paths of the tables that `saved` wrote in this application and `release` hasn't removed, oldest first."""
     context = spark.sparkContext

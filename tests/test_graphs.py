@@ -424,3 +424,16 @@ def test_saved_tables_go_when_released(spark):
     assert kept.count() == 3 and len(saved_tables(spark)) == since + 1
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(gone._quillgraph_path).count()
+
+
+def test_rounds_exchange_no_edges(spark):
+    """Edges and ranks in buckets meet where they lie."""
+    from quillgraph.session import saved_in_buckets
+
+    edges = spark.createDataFrame([(k % 3, f"n{k % 7}", f"n{k % 5}", 0.5) for k in range(60)], "doc_id long, id string, target string, share double")
+    ranks = spark.createDataFrame([(d, f"n{k}", 0.1) for d in range(3) for k in range(7)], "doc_id long, id string, rank double")
+    met = G._sent(saved_in_buckets(ranks, "ranks", ["doc_id", "id"]), saved_in_buckets(edges, "edges", ["doc_id", "id"]))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and met.count() == 60
+    assert "Exchange" in G._sent(ranks, edges)._jdf.queryExecution().executedPlan().toString()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quillgraph_")]
