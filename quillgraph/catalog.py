@@ -25,7 +25,7 @@ from .plans.pipeline import extract_chunks, outcomes_of_replies, run_pipeline, s
 from .plans.reply_log import LoggedEngine, read_log
 from .session import saved, scratch
 from .sinks import export, files, persist
-from .sources.ingest import join_pages, pasted, read_files
+from .sources.ingest import join_pages, pasted, read_files, stream_files
 from .streaming.carry import start_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,25 +172,43 @@ def _docx(*paragraphs: str) -> bytes:
     return out.getvalue()
 
 
-@query(
-    f"""WITH f AS (SELECT n_nationkey, n_name, {_NATION_FILES} AS ext FROM nation) SELECT n_name || '.' || n_nationkey AS title, CASE lower(ext) WHEN 'docx' THEN n_name || chr(10) || chr(10) || 'né' || chr(10) || chr(10) WHEN 'pdf' THEN NULL WHEN 'bin' THEN NULL ELSE n_name || ' né' END AS text,
+_INGESTED = f"""WITH f AS (SELECT n_nationkey, n_name, {_NATION_FILES} AS ext FROM nation) SELECT n_name || '.' || n_nationkey AS title, CASE lower(ext) WHEN 'docx' THEN n_name || chr(10) || chr(10) || 'né' || chr(10) || chr(10) WHEN 'pdf' THEN NULL WHEN 'bin' THEN NULL ELSE n_name || ' né' END AS text,
 CASE ext WHEN 'bin' THEN 'there is no reader for bin files' WHEN 'pdf' THEN 'PDF needs a decoder' END AS error FROM f"""
-)
-def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file a nation, of six types, written to the shared folder and read from there."""
-    folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+
+
+def nation_files(spark: SparkSession, sf_dir: str, folder: str, half: int | None = None) -> None:
+    """A file a nation, of six types, in the shared folder; half tells whether those of even or odd keys."""
     jvm = spark.sparkContext._jvm
     for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.expr(_NATION_FILES).alias("ext")).collect():  # 25
+        if half is not None and r["n_nationkey"] % 2 != half:
+            continue
         make = _docx if r["ext"] == "docx" else lambda *parts: " ".join(parts).encode()
-        content = make(r["n_name"], "né")
         at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['n_name']}.{r['n_nationkey']}.{r['ext']}")
         out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-        out.write(bytearray(content))
+        out.write(bytearray(make(r["n_name"], "né")))
         out.close()
+
+
+@query(_INGESTED)
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a nation, of six types, read from the shared folder."""
+    folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    nation_files(spark, sf_dir, folder)
     docs, errors = read_files(spark, folder)
     return docs.select("title", "text", F.lit(None).cast("string").alias("error")).union(errors.select(file_title("path"), F.lit(None), "error"))
 
 
+@query(_INGESTED)
+def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream: half of them before it starts, half before it is started again on its checkpoint."""
+    at = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    for half in range(2):
+        nation_files(spark, sf_dir, f"{at}/in", half)
+        stream = stream_files(spark, f"{at}/in", files_per_trigger=5).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("title", "text", "error")
+
+
 _PASTE = "CASE turn % 4 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN NULL ELSE text END"
 
 

@@ -13,7 +13,7 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import Accumulator
+from pyspark import Accumulator, AccumulatorParam, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +29,36 @@ TITLE_CHARS = 4000
 _ITEM = "struct<pos:int,local_id:string,text:string,subject:struct<name:string,type:string>,predicate:string,object:struct<name:string,type:string>,confidence:double>"
 
 
+class ChunksTried(AccumulatorParam):
+    """Chunks tried by partition. A partition that runs again, after a failure or a lost executor, counts once."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:
+        for partition, n in value2.items():
+            value1[partition] = max(n, value1.get(partition, 0))
+        return value1
+
+
+_tried: dict[tuple, int] = {}  # in a worker: of the task at hand
+
+
+def _count_tried(tried: Accumulator) -> None:
+    context = TaskContext.get()
+    task = (context.stageId(), context.partitionId(), context.taskAttemptId())
+    n = _tried.get(task, 0) + 1
+    _tried.clear()
+    _tried[task] = n
+    tried.add({context.partitionId(): n})
+
+
 def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataFrame | None = None, carry: int = PRIOR_ENTITIES, tried: Accumulator | None = None) -> DataFrame:
     """(doc_id, chunk_index, ok, error, fatal, propositions) of chunks(doc_id, chunk_index, text).
 
     titles(doc_id, title) are told to the engine. After a fatal failure the document's later
-    chunks are not tried. The longest unit of work is one document. `tried` counts chunks as
-    tasks finish, again where a task has to run again.
+    chunks are not tried. The longest unit of work is one document. `tried`, of ChunksTried,
+    counts chunks as tasks finish.
     """
     ship_package(chunks.sparkSession)
     told = chunks.select("doc_id", "chunk_index", "text")
@@ -58,7 +82,7 @@ def extract_chunks(chunks: DataFrame, engine: ExtractionEngine, *, titles: DataF
                 found, error, fatal = None, None, False
                 if not dead:
                     if tried is not None:
-                        tried.add(1)
+                        _count_tried(tried)
                     try:
                         found = engine.extract(row["text"], ChunkContext(row["chunk_index"], row["title"], list(seen)[-carry:] if carry else [], document))
                         for p in found:
@@ -129,7 +153,7 @@ def _told_of(counter: Accumulator, total: int, on_chunks: Callable[[int, int], N
     def watch() -> None:
         nonlocal heard
         while not over.wait(seconds):
-            if (now := min(counter.value, total)) > heard:
+            if (now := sum(counter.value.values())) > heard:
                 heard = now
                 on_chunks(now, total)
 
@@ -164,7 +188,7 @@ def run_pipeline(
     on_stage("chunking")
     chunks = saved(chunk_documents(docs, target=target, overlap=overlap), "chunks")
     on_stage("extracting propositions")
-    counter = docs.sparkSession.sparkContext.accumulator(0)
+    counter = docs.sparkSession.sparkContext.accumulator({}, ChunksTried())
     with _told_of(counter, chunks.count(), on_chunks):
         outcomes = saved(extract_chunks(chunks, engine, titles=docs, tried=counter), "outcomes")
     status = chunk_status(outcomes)

@@ -56,16 +56,9 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.array_join("p.t", "\n\n").alias("text"))
 
 
-def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """documents(doc_id, path, title, text) and errors(path, error) of the files under a path.
-
-    doc_id is a hash of the path. Files with text_extensions and of text/* types are text.
-    Files of other types, and files that can't be decoded, are errors; with strict=True the
-    first of them fails the job. Files are decoded once, into the shared folder, unless strict.
-    """
-    ship_package(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    kinds = files.withColumn("ext", file_extension("path"))
+def _decoded(files: DataFrame, text_extensions: Sequence[str], pdf: PdfDecoder | None) -> DataFrame:
+    """(path, text, error) of files(path, content), decoded where they are read."""
+    kinds = files.select("path", "content").withColumn("ext", file_extension("path"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +83,19 @@ def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: S
                 errors.append(error)
             yield pa.record_batch([batch["path"], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
 
-    read = kinds.mapInArrow(decode, "path string, text string, error string")
+    return kinds.mapInArrow(decode, "path string, text string, error string")
+
+
+def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """documents(doc_id, path, title, text) and errors(path, error) of the files under a path.
+
+    doc_id is a hash of the path. Files with text_extensions and of text/* types are text.
+    Files of other types, and files that can't be decoded, are errors; with strict=True the
+    first of them fails the job. Files are decoded once, into the shared folder, unless strict.
+    """
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = _decoded(files, text_extensions, pdf)
     if strict:
         read = read.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("text")))
     else:
@@ -99,6 +104,19 @@ def read_files(spark: SparkSession, path: str | list[str], *, text_extensions: S
     return docs, read.filter("error IS NOT NULL").select("path", "error")
 
 
+def stream_files(spark: SparkSession, path: str, *, text_extensions: Sequence[str] = TEXT_EXTENSIONS, pdf: PdfDecoder | None = None, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of (doc_id, path, title, text, error): each file under a folder once, as it arrives, decoded where it is read.
+
+    A file that can't be decoded is a row with its error and no text. What was taken is kept
+    in the checkpoint of the query that reads the stream; a file that is changed under its old name
+    is not taken again.
+    """
+    ship_package(spark)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    read = _decoded(files, text_extensions, pdf)
+    return read.select(F.xxhash64("path").alias("doc_id"), "path", file_title("path").alias("title"), "text", "error")
+
+
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """documents of plain text files alone, decoded in the JVM."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -5,7 +5,8 @@ import random
 from quillgraph.catalog import FailingEngine
 from quillgraph.operators.extraction import chunk_status
 from quillgraph.plans.engines import RuleEngine
-from quillgraph.plans.pipeline import extract_chunks
+from quillgraph.plans.pipeline import ChunksTried, extract_chunks
+from quillgraph.sources.ingest import stream_files
 from quillgraph.streaming.carry import start_extraction
 
 CHUNKS = "doc_id long, chunk_index int, text string, title string, last boolean"
@@ -55,3 +56,29 @@ def test_names_are_carried_over_a_restart(spark, tmp_path):
     assert told(third) == {0: [], 1: ["a", "b", "c", "d"], 2: ["b", "c", "d", "e", "f"]}
     assert told(fourth) == {**told(third), 3: ["d", "e", "f", "g", "h"], 4: []}  # after the last chunk names are let go
     assert {r["chunk_index"]: len(r["propositions"]) for r in fourth} == {0: 2, 1: 2, 2: 1, 3: 1, 4: 0}
+
+
+def test_files_arrive_once_and_errors_are_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def drain():
+        stream_files(spark, str(folder), files_per_trigger=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["title"], r["text"], r["error"] and r["error"].split(":")[0]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for name, content in (("a.txt", b"one"), ("b.md", b""), ("c.docx", b"broken"), ("d.bin", b"x")):
+        (folder / name).write_bytes(content)
+    first = drain()
+    assert first == [("a", "one", None), ("b", "", None), ("c", None, "BadZipFile"), ("d", None, "there is no reader for bin files")]
+    (folder / "sub").mkdir()
+    (folder / "sub" / "e.txt").write_bytes("é".encode())
+    assert drain() == sorted([*first, ("e", "é", None)])  # nothing is taken twice
+    assert drain() == sorted([*first, ("e", "é", None)])
+
+
+def test_chunks_tried_count_once_where_a_partition_runs_again():
+    count = ChunksTried()
+    seen = count.zero({})
+    for told in ({0: 1}, {0: 2}, {1: 1}, {0: 1}, {0: 2}, {0: 3}):  # partition 0 runs twice
+        seen = count.addInPlace(seen, told)
+    assert seen == {0: 3, 1: 1}
