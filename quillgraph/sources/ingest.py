@@ -109,7 +109,7 @@ def stream_files(spark: SparkSession, path: str, *, text_extensions: Sequence[st
 
     A file that can't be decoded is a row with its error and no text. What was taken is kept
     in the checkpoint of the query that reads the stream; a file that is changed under its old name
-    is not taken again.
+    is not taken again. Spark passes over files without a byte.
     """
     ship_package(spark)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
