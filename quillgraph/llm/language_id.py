@@ -182,6 +182,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+BROADCAST_LABELS = 100_000
+
+
 def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, budget_chars: int = 64_000_000, **options) -> ByteCnn:
     """Train on a sample of the labelled documents outside the held-out part.
 
@@ -203,6 +206,8 @@ def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, budg
     space = 1 << 30
     limits = docs.sparkSession.createDataFrame([(r["lang"], min(space, int(space * per_label / r["count"]) + 1)) for r in counts], "lang string, threshold long")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(space))
+    if len(counts) <= BROADCAST_LABELS:  # a row of some bytes a label; else texts would be shuffled
+        limits = F.broadcast(limits)
     rows = usable.join(limits, "lang").filter(place < F.col("threshold"))
     rows = rows.select("doc_id", "lang", place.alias("place"), F.xxhash64("text").alias("tie"), F.substring("text", 1, sample_chars).alias("text")).distinct()
     order = Window.partitionBy("lang").orderBy("place", "tie", "text")
