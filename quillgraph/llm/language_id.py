@@ -204,7 +204,7 @@ def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, budg
     per_label = max(1, min(per_label, budget_chars // (sample_chars * len(counts))))
     sample_chars = max(1, min(sample_chars, budget_chars // len(counts)))
     space = 1 << 30
-    limits = docs.sparkSession.createDataFrame([(r["lang"], min(space, int(space * per_label / r["count"]) + 1)) for r in counts], "lang string, threshold long")
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(space, int(space * max(per_label, 30) / r["count"]) + 1)) for r in counts], "lang string, threshold long")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(space))
     if len(counts) <= BROADCAST_LABELS:  # a row of some bytes a label; else texts would be shuffled
         limits = F.broadcast(limits)
