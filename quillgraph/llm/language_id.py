@@ -198,7 +198,7 @@ def fit(docs: DataFrame, *, per_label: int = 800, sample_chars: int = 4000, budg
     smallest text hashes are taken. The driver holds the sample and a row for each label.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().collect()
+    counts = usable.groupBy("lang").agg(F.countDistinct(F.struct("doc_id")).alias("count")).collect()  # of ids, as they are what is chosen
     if not counts:
         return train([], [], **options)
     per_label = max(1, min(per_label, budget_chars // (sample_chars * len(counts))))

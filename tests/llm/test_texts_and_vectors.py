@@ -647,11 +647,11 @@ def test_many_labels_and_ids_of_many_rows(spark):
     many = frame(spark, [(i, f"words of {i % 1203} and some more", f"l{i % 1203}") for i in range(3000)])
     want = {f"l{i % 1203}" for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2}
     assert set(language_id.fit(many, steps=1).labels) == want and len(want) > 1100  # none is left out, however many there are
-    taught = []
+    taught, ids = [], [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(language_id, "train", lambda texts, labels, **_: taught.append((texts, labels)))
         language_id.fit(many, budget_chars=1203 * 10)
-        again = frame(spark, [(7, f"text {i % 500}", "a") for i in range(3000)] + [(8, "one", "b")] * 100)  # an id of very many rows
+        again = frame(spark, [(ids[0], f"text {i % 500}", "a") for i in range(3000)] + [(ids[1], "one", "b")] * 100)  # an id of very many rows
         for _ in range(2):
             language_id.fit(again.repartition(7), per_label=20)
     assert max(map(len, taught[0][0])) == 10 and set(taught[0][1]) == want
