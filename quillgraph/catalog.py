@@ -748,6 +748,44 @@ def entities_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.resolve_entities(rows.drop("embedding"), vectors=vectors, cosine_threshold=0.35).entities.select("doc_id", "first_seq", "mentions")
 
 
+@query(
+    f"""WITH RECURSIVE m AS (SELECT label AS doc_id, vec_id AS seq, 'vector ' || vec_id // 2 AS key, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+cl AS (SELECT doc_id, key, min(seq) AS first_seq, count(*) AS mentions FROM m GROUP BY doc_id, key),
+v AS (SELECT key, arg_min(e, seq) AS e FROM m WHERE doc_id % 2 = 0 GROUP BY key),
+c AS MATERIALIZED (SELECT cl.*, v.e, bool_and(v.e IS NOT NULL) OVER (PARTITION BY doc_id) AS vectors FROM cl LEFT JOIN v ON v.key = cl.key),
+near AS MATERIALIZED (SELECT a.doc_id, a.first_seq AS a, b.first_seq AS b, a.key AS x, b.key AS y FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.first_seq < b.first_seq AND NOT a.vectors),
+prs AS MATERIALIZED (SELECT x AS a, y AS b, x, y, length(x) AS lx, length(y) AS ly, greatest(0, greatest(length(x), length(y)) // 2 - 1) AS win FROM (SELECT DISTINCT x, y FROM near)),{_JARO_WINKLER},
+hit AS (SELECT near.doc_id, near.a, near.b FROM near JOIN sim ON sim.a = x AND sim.b = y WHERE similarity >= 0.97
+  UNION ALL SELECT a.doc_id, a.first_seq, b.first_seq FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.first_seq < b.first_seq AND a.vectors AND list_dot_product(a.e, b.e) >= 0.35),
+lk AS MATERIALIZED (SELECT * FROM hit UNION SELECT doc_id, b, a FROM hit),
+re AS (SELECT doc_id, first_seq AS node, first_seq AS other FROM c UNION SELECT re.doc_id, re.node, lk.b FROM re JOIN lk ON lk.doc_id = re.doc_id AND lk.a = re.other),
+co AS (SELECT doc_id, node, min(other) AS entity FROM re GROUP BY doc_id, node)
+SELECT co.doc_id, CAST(entity AS BIGINT) AS first_seq, CAST(sum(mentions) AS BIGINT) AS mentions FROM co JOIN c ON c.doc_id = co.doc_id AND c.first_seq = co.node GROUP BY co.doc_id, entity"""
+)
+def entities_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose names all have vectors merge by cosine, the others by their text."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("seq"), F.lit(0).alias("chunk_index"), F.concat(F.lit("vector "), F.floor(F.col("vec_id") / 2).cast("string")).alias("name"), F.lit("other").alias("type"), "embedding")
+    vectors = rows.filter("doc_id % 2 = 0").groupBy(F.col("name").alias("key")).agg(F.min_by("embedding", "seq").cast("array<double>").alias("embedding"))
+    found = resolution.resolve_entities(rows.drop("embedding"), vectors=vectors, cosine_threshold=0.35, jaro_winkler_threshold=0.97)
+    return found.entities.select("doc_id", "first_seq", "mentions")
+
+
+# Every customer lives in a nation, and knows itself: an edge from a node to itself.
+_LOOPS = "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 0 AS chunk_index, CAST(c_custkey * 2 + k AS INTEGER) AS pos, 'p' || k AS local_id, c_name AS s_name, 'person' AS s_type, CASE WHEN k = 0 THEN 'knows' ELSE 'lives in' END AS predicate, CASE WHEN k = 0 THEN c_name ELSE n_name END AS o_name, CASE WHEN k = 0 THEN 'person' ELSE 'location' END AS o_type FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t"
+_LOOP_GRAPH = _graph_parts(f"SELECT *, s_name || ' ' || predicate || ' ' || o_name || '.' AS text FROM ({_LOOPS.format(customer='customer', nation='nation')})")
+
+
+@query(f"WITH {_LOOP_GRAPH} SELECT n.doc_id, n.id, n.label, n.degree, coalesce(l, 0) AS loops FROM nod n LEFT JOIN (SELECT doc_id, source, count(*) AS l FROM edg WHERE source = target GROUP BY ALL) x ON x.doc_id = n.doc_id AND x.source = n.id")
+def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a graph in which every customer points at itself: such an edge counts twice in the degree."""
+    rows = spark.sql(_LOOPS, **{t: table(spark, sf_dir, t) for t in ("customer", "nation")})
+    mention = lambda e: F.struct(F.col(f"{e}_name").alias("name"), F.col(f"{e}_type").alias("type"))
+    given = rows.select("doc_id", "chunk_index", "pos", "local_id", F.concat("s_name", F.lit(" "), "predicate", F.lit(" "), "o_name", F.lit(".")).alias("text"), mention("s").alias("subject"), "predicate", mention("o").alias("object"), F.lit(None).cast("double").alias("confidence"))
+    g = graph.assemble_graph(given, fuzzy=False, rank=False)
+    loops = g.edges.filter("source = target").groupBy("doc_id", F.col("source").alias("id")).agg(F.count("*").alias("loops"))
+    return g.nodes.join(loops, ["doc_id", "id"], "left").select("doc_id", "id", "label", "degree", F.coalesce("loops", F.lit(0)).alias("loops"))
+
+
 # -- graph queries -------------------------------------------------------------------
 
 _SEEDS = "seeds AS (SELECT doc_id, id AS seed FROM nod WHERE type = 'location')"
