@@ -244,23 +244,6 @@ def user_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", extraction.user_prompt(F.col("text"), F.col("title"), F.col("prior")).alias("prompt"))
 
 
-@query(
-    """SELECT * FROM (VALUES ('', 'propositions', 'propositions', false), ('.propositions[]', 'id,object,predicate,subject,text', 'id,object,predicate,subject,text', false),
-('.propositions[].subject', 'name,type', 'name,type', false), ('.propositions[].object', 'name,type', 'name,type', false)) AS v(path, properties, required, further)"""
-)
-def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each object of the strict output schema: its properties, those required, and whether others are allowed."""
-    rows, todo = [], [("", extraction.strict_schema(extraction.EXTRACTION_SCHEMA))]
-    while todo:
-        path, node = todo.pop()
-        if node["type"] == "object":
-            rows.append((path, ",".join(sorted(node["properties"])), ",".join(sorted(node["required"])), node["additionalProperties"]))
-            todo += [(f"{path}.{name}", x) for name, x in node["properties"].items()]
-        elif node["type"] == "array":
-            todo.append((f"{path}[]", node["items"]))
-    return spark.createDataFrame(rows, "path string, properties string, required string, further boolean")
-
-
 @query(r"SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]+$', '') AS title FROM pages")
 def file_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", file_title("url").alias("title"))
@@ -328,6 +311,44 @@ def parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "chunk_index", "attempt", F.col("propositions").isNotNull().alias("usable"), F.when(F.col("propositions").isNotNull(), F.size("propositions")).alias("kept"))
 
 
+def _schema_objects() -> list[tuple[str, list[str], list[str], bool]]:
+    """(path, properties, required, whether others are allowed) of each object of the strict output schema."""
+    rows, todo = [], [("", extraction.strict_schema(extraction.EXTRACTION_SCHEMA))]
+    while todo:
+        path, node = todo.pop()
+        if node["type"] == "object":
+            rows.append((path, sorted(node["properties"]), sorted(node["required"]), node["additionalProperties"]))
+            todo += [(f"{path}.{name}", x) for name, x in node["properties"].items()]
+        elif node["type"] == "array":
+            todo.append((f"{path}[]", node["items"]))
+    return rows
+
+
+@query(
+    f"""WITH {_REPLIES_SQL}, {_VALID},
+ob AS (SELECT '' AS path, cand AS o FROM v WHERE cand IS NOT NULL AND json_valid(cand) AND json_type(cand) = 'OBJECT'
+  UNION ALL SELECT '.propositions[]', p FROM e WHERE json_type(p) = 'OBJECT'
+  UNION ALL SELECT '.propositions[].subject', json_extract(p, '$.subject') FROM e WHERE json_type(p, '$.subject') = 'OBJECT' UNION ALL SELECT '.propositions[].object', json_extract(p, '$.object') FROM e WHERE json_type(p, '$.object') = 'OBJECT'),
+sc AS (SELECT * FROM (VALUES ('', ['propositions']), ('.propositions[]', ['id', 'object', 'predicate', 'subject', 'text']), ('.propositions[].subject', ['name', 'type']), ('.propositions[].object', ['name', 'type'])) AS t(path, names))
+SELECT sc.path, array_to_string(names, ',') AS properties, array_to_string(names, ',') AS required, false AS further, count(*) AS objects,
+count(*) FILTER (WHERE len(list_filter(names, lambda n: NOT list_contains(json_keys(o), n))) > 0) AS lacking, count(*) FILTER (WHERE len(list_filter(json_keys(o), lambda k: NOT list_contains(names, k))) > 0) AS exceeding
+FROM sc JOIN ob ON ob.path = sc.path GROUP BY sc.path, names"""
+)
+def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object of the strict output schema, and how many objects of the replies there are at its path, lack what it requires, or have more."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    whole = saved(replies(spark, sf_dir).select("reply"), "replies").select(extraction.strict_json(extraction.candidate_json(F.col("reply"))).alias("v"))
+    item = whole.select(F.explode(F.try_variant_get("v", "$.propositions", "array<variant>")).alias("v"))
+    part = lambda name: item.select(F.lit(f".propositions[].{name}").alias("path"), F.try_variant_get("v", f"$.{name}", "variant").alias("v"))
+    objects = whole.select(F.lit("").alias("path"), "v").union(item.select(F.lit(".propositions[]"), "v")).union(part("subject")).union(part("object"))
+    keyed = objects.filter(F.schema_of_variant("v").startswith("OBJECT")).select("path", F.json_object_keys(F.to_json("v")).alias("k"))
+    schema = spark.createDataFrame(_schema_objects(), "path string, properties array<string>, required array<string>, further boolean")
+    both = keyed.join(schema, "path").groupBy("path", "properties", "required", "further")
+    some = lambda a, b: F.sum((F.size(F.array_except(a, b)) > 0).cast("long"))
+    counted = both.agg(F.count("*").alias("objects"), some("required", "k").alias("lacking"), some("k", "properties").alias("exceeding"))
+    return counted.withColumns({c: F.array_join(c, ",") for c in ("properties", "required")})
+
+
 _FIRST = """, a AS (SELECT doc_id, chunk_index, CAST(count(*) AS INTEGER) AS attempts, CAST(min(attempt) FILTER (WHERE ps IS NOT NULL) AS INTEGER) AS attempt FROM v WHERE attempt <= 3 GROUP BY ALL)"""
 
 
