@@ -234,3 +234,14 @@ def test_replay_and_rule_engines(spark):
     assert [p["local_id"] for p in E.RuleEngine(max_words=12).extract(f"{long}. One two three", E.ChunkContext(0))] == ["p1"]
     (p,) = E.RuleEngine().extract("Ada wrote the first notes. Yes.", E.ChunkContext(0))
     assert (p["subject"]["name"], p["predicate"], p["object"]["name"]) == ("Ada", "wrote the first", "notes")
+
+
+def test_replies_are_parsed_once_on_all_cores(spark, sf_dir):
+    from quillgraph import catalog
+
+    rows = catalog.replies(spark, sf_dir)
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # the table is one split
+    plan = X.parse_replies(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1
+    plan = catalog.strict_objects(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1
