@@ -45,4 +45,4 @@ def register(spark: SparkSession) -> None:
     """Make chunk_text and parse_reply known to the session's SQL."""
     ship_package(spark)
     for name, f, ddl in (("chunk_text", ChunkText, CHUNKS), ("parse_reply", ParseReply, PARSED)):
-        spark.udtf.register(name, udtf(f, returnType=ddl, useArrow=True))
+        spark.udtf.register(name, udtf(f, returnType=ddl, useArrow=False))

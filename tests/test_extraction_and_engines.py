@@ -245,3 +245,11 @@ def test_replies_are_parsed_once_on_all_cores(spark, sf_dir):
     assert plan.lower().count("parsejson(") == 1
     plan = catalog.strict_objects(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parsejson(") == 1
+
+
+def test_table_functions_make_no_arrow_batch_a_row(spark):
+    from quillgraph.functions import sql
+
+    sql.register(spark)
+    plan = spark.sql("SELECT p.* FROM VALUES ('{\"propositions\":[]}') r(reply), LATERAL parse_reply(r.reply) p")
+    assert "ArrowEval" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 1
