@@ -1,15 +1,17 @@
 """Ingest: files and tables of text to documents(doc_id, path, title, text).
 
 Workers decode text, DOCX from its zip, and PDF by a function that the caller has, from bytes
-to a list of pages of text items.
+to a list of pages of text items; simple_pdf_pages is one for the plainest files.
 """
 
 from __future__ import annotations
 
 import io
 import mimetypes
+import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -48,6 +50,36 @@ def docx_text(content: bytes) -> str:
     return "".join(f"{p}\n\n" for p in paragraphs)
 
 
+_PDF_OBJECT = re.compile(rb"(?s)(?<!\d)(\d+) 0 obj\s*(<<.*?)endobj")
+_PDF_SHOWN = re.compile(rb"\(([^()\\]*)\)\s*Tj")
+_PDF_OTHER = re.compile(rb"(?<!\w)(?:Tj|TJ|Do|EI)(?!\w)|[)>\]\d]\s*['\"]")  # all else that shows something
+
+
+def simple_pdf_pages(content: bytes) -> list[list[str]]:
+    """Pages of a simple PDF, each as its shown strings: one content a page, plain or deflated, pages in a flat list, strings in Windows-1252.
+
+    Any other file is an error, never part of its text; it needs a decoder of the caller's.
+    """
+    objects = {int(m[1]): m[2] for m in _PDF_OBJECT.finditer(content)}
+    kids = [re.search(rb"/Kids\s*\[([\d R]*)\]", o) for o in objects.values() if b"/Type /Pages" in o]
+    if len(kids) != 1 or kids[0] is None:
+        raise ValueError("this is no PDF file with a flat list of pages")
+    pages = []
+    for page in re.findall(rb"(\d+) 0 R", kids[0][1]):
+        at = re.search(rb"/Contents (\d+) 0 R", objects[int(page)])
+        head, found, data = objects[int(at[1])].partition(b"stream\n") if at else (b"", b"", b"")
+        filters = re.findall(rb"/Filter\s*(\S+)", head)
+        if not found or filters not in ([], [b"/FlateDecode"]):
+            raise ValueError("a page of this PDF file has no single content that is plain or deflated")
+        data = data.rpartition(b"\nendstream")[0]
+        data = zlib.decompress(data) if filters else data
+        shown = _PDF_SHOWN.findall(data)
+        if _PDF_OTHER.search(_PDF_SHOWN.sub(b"", data)):
+            raise ValueError("a page of this PDF file shows more than plain strings")
+        pages.append([s.decode("cp1252") for s in shown])
+    return pages
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text) from pages(doc_id, page, items array<string>): items joined by blanks, white space collapsed, empty pages out, a blank line between."""
     text = trim_ws(collapse_ws(F.array_join("items", " ")))

@@ -42,6 +42,16 @@ def test_files(spark, tmp_path):
     assert {r["title"] for r in ingest.read_texts(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.b.MD")]).collect()} == {"a", "b.b"}
 
 
+def test_simple_pdf_files(spark, sf_dir):
+    made = catalog._pdf("one text", "", "né")
+    assert ingest.simple_pdf_pages(made) == [["one text"], [""], ["né"]]
+    for bad in (b"hello", made.replace(b"/FlateDecode", b"/LZWDecode"), made.replace(b"/Contents", b"/Content_"), catalog._pdf("a) Tj [(b) 3 (c)] TJ (d"), catalog._pdf(r"a\\050")):
+        with pytest.raises(ValueError):
+            ingest.simple_pdf_pages(bad)
+    rows = catalog.ingested_files(spark, sf_dir).collect()
+    assert len(rows) == 25 and not any("PDF" in (r["error"] or "") for r in rows)
+
+
 def test_pasted_text(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "  "), (3, None)], "doc_id long, text string")
     docs, errors = ingest.pasted(rows)
