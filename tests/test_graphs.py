@@ -448,3 +448,10 @@ def test_far_canvas_nodes_equal_sql(spark):
     at = "CAST(floor(340 * sqrt(ord + 0.5) * {}(ord * pi() * (3 - sqrt(5))) + 0.5) AS BIGINT)"
     sql = f"SELECT ord, {at.format('cos')}, {at.format('sin')} FROM (SELECT range AS ord FROM range({n}))"
     assert duckdb.sql(f"SELECT count(*) FROM ({sql} EXCEPT SELECT * FROM got)").fetchall() == [(0,)]
+
+
+def test_forms_are_normalised_once(spark):
+    counted = R.form_counts(mentions(spark, ("The A", "x", 0), ("the a", "x", 1), ("The A", "x", 1), ("The A", "x", 1), ("!", "x", 2)))
+    assert sorted((r["key"], r["form"], r["n"], r["form_seq"], sorted(r["chunks"])) for r in counted.collect()) == [("a", "The A", 3, 0, [0, 1]), ("a", "the a", 1, 1, [1])]
+    above, below = counted._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)
+    assert "regexp_replace" in above and "regexp_replace" not in below and "collect_set" not in below.split("Aggregate", 1)[1]
