@@ -140,9 +140,9 @@ def resolve_entities(
     in_order = F.struct("first_seq", "form_seq", "form")
     by_entity = placed_forms.groupBy("doc_id", "id", "type", "entity_seq").agg(
         F.min_by("form", rank).alias("label"),
-        F.array_sort(F.collect_list(in_order)).alias("forms"),
+        F.sort_array(F.collect_list(in_order)).alias("forms"),
         F.sum("n").alias("mentions"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("source_chunks"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("source_chunks"),
     )
     entities = by_entity.select(
         "doc_id",
