@@ -1,7 +1,10 @@
 """Steps that took too long on large tables: what they must no longer do, with the same results."""
 
+import pyarrow as pa
+from quillgraph import catalog
 from quillgraph.operators.graph import KnowledgeGraph
 from quillgraph.sinks import export as X
+from quillgraph.sinks import files
 
 
 def _plan(df) -> str:
@@ -21,3 +24,13 @@ def test_lists_of_notes_are_sorted_without_a_lambda(spark):
     at = [text.index(f"- r{k} [[") for k in range(12)] + [text.index(f"- claim {k}\n") for k in (0, 2, 1, *range(3, 12))]
     assert at == sorted(at)
     assert "array_sort(" not in _plan(notes) and "SortAggregate" not in _plan(X.vault_claims(graph))
+
+
+def test_lines_are_parsed_once_and_written_by_runs(spark, sf_dir):
+    parts = catalog.portable_json_parts(spark, sf_dir)
+    assert {r["part"] for r in parts.select("part").distinct().collect()} == {"node", "edge", "proposition", "file"}
+    assert "from_json" not in _plan(parts)  # stored as parsed
+    rows = [("a", 1, ",", "x"), ("a", 1, ",", "y"), ("a", 2, ";", "z"), ("b", 2, ";", "v"), ("b", 2, ";", "w")]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("name", "section", "glue", "text"), map(list, zip(*rows, strict=True)), strict=True)))
+    assert list(files._runs(batch)) == [("a", 1, ",", ["x", "y"]), ("a", 2, ";", ["z"]), ("b", 2, ";", ["v", "w"])]
+    assert list(files._runs(batch[:0])) == []
