@@ -756,7 +756,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 re AS (SELECT a AS node, a AS other FROM lk UNION SELECT re.node, lk.b FROM re JOIN lk ON lk.a = re.other) SELECT node, min(other) AS component FROM re GROUP BY node"""
 )
 def cosine_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(resolution.cosine_pairs(_vector_clusters(spark, sf_dir), threshold=0.35), by=["doc_id"]).select("node", "component")
+    return components(resolution.cosine_links(_vector_clusters(spark, sf_dir), threshold=0.35), by=["doc_id"]).select("node", "component")
 
 
 @query(f"WITH {_COSINE} SELECT a, b, round(similarity, 6) AS similarity FROM prs WHERE similarity >= 0.25 AND similarity < 0.35")

@@ -11,16 +11,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, utf16_length
 from ..session import saved, ship_package
 from .components import components
 from .numbering import numbered
-from .similarity import COSINE_THRESHOLD, JARO_WINKLER_THRESHOLD, cosine_pairs, jaro_winkler, jaro_winkler_pairs
+from .similarity import COSINE_THRESHOLD, JARO_WINKLER_THRESHOLD, cosine_links, cosine_pairs, jaro_winkler, jaro_winkler_pairs
 
-__all__ = ["COSINE_THRESHOLD", "JARO_WINKLER_THRESHOLD", "cosine_pairs", "jaro_winkler", "jaro_winkler_pairs"]
+__all__ = ["COSINE_THRESHOLD", "JARO_WINKLER_THRESHOLD", "cosine_links", "cosine_pairs", "jaro_winkler", "jaro_winkler_pairs"]
 
 
 def mentions_of(propositions: DataFrame) -> DataFrame:
@@ -95,14 +95,15 @@ class Resolution:
 
 
 def fuzzy_links(clusters: DataFrame, vectors: DataFrame | None, *, cosine_threshold: float, jaro_winkler_threshold: float) -> DataFrame:
-    """(doc_id, a, b). With vectors(key, embedding), documents whose every cluster has one compare by cosine; the rest by Jaro-Winkler."""
+    """(doc_id, a, b): pairs by which clusters hang together. With vectors(key, embedding), documents whose every cluster has one compare by cosine; the rest by Jaro-Winkler."""
     if vectors is None:
         return jaro_winkler_pairs(clusters, threshold=jaro_winkler_threshold).select("doc_id", "a", "b")
-    have = clusters.join(vectors.select("key", "embedding").dropDuplicates(["key"]), "key", "left")
-    all_there = F.min(F.col("embedding").isNotNull()).over(Window.partitionBy("doc_id"))
-    have = have.withColumn("_all", all_there)
-    by_vector = cosine_pairs(have.filter("_all"), threshold=cosine_threshold)
-    by_text = jaro_winkler_pairs(have.filter("NOT _all"), threshold=jaro_winkler_threshold)
+    have = saved(clusters.join(vectors.select("key", "embedding").dropDuplicates(["key"]), "key", "left"), "clusters-with-vectors")
+    # documents by a join, as a window would hold all vectors of one in one task
+    lacking = have.filter("embedding IS NULL").select("doc_id").distinct()
+    of = lambda how: have.alias("h").join(lacking.alias("l"), F.col("h.doc_id").eqNullSafe(F.col("l.doc_id")), how)
+    by_vector = cosine_links(of("left_anti"), threshold=cosine_threshold)
+    by_text = jaro_winkler_pairs(of("left_semi"), threshold=jaro_winkler_threshold)
     return by_vector.select("doc_id", "a", "b").union(by_text.select("doc_id", "a", "b"))
 
 

@@ -8,7 +8,8 @@ one task. In large ones only clusters meet that an index brings together:
   under combinations of those, and pairs come from the lists.
 * vectors lie in cells around pivots. A vector that is near one of another cell is no farther
   from that cell's pivot than the cell's radius and the threshold's angle together, and is sent
-  only to the cells that it can reach.
+  only to the cells that it can reach. Where vectors have no structure that spares little, and
+  a block is cut into large tiles instead, of which each two meet.
 
 Lists and cells of many members are cut into pieces of which each two meet, so every task has
 a bound. No pair at or above the threshold is lost, and each is found once.
@@ -37,6 +38,8 @@ PIECE = 2048  # members of a list or a cell before it is cut
 TOGETHER = 2  # characters that two names must share of their rarest
 PIVOTS = 512  # pivots at most: with their vectors they go to every worker
 AT_ONCE = 1 << 18
+DOTS_AT_ONCE = 1 << 20
+TILE = 4  # pieces a tile
 
 
 # -- Jaro-Winkler ------------------------------------------------------------------------------
@@ -248,22 +251,24 @@ def _buckets(n: int, rows: int) -> int:
     return max(1, -(-n // rows))
 
 
-def _in_small_blocks(small: DataFrame, columns: list[str], n: int, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def _in_small_blocks(small: DataFrame, columns: list[str], n: int, compare: Callable) -> DataFrame:
     kind = small.schema["doc_id"].dataType.simpleString()
     dealt = small.select(*columns, F.pmod(F.xxhash64("doc_id", "type"), F.lit(_buckets(n, BUCKET_ROWS))).cast("int").alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(compare, _PAIRS.format(kind))
 
 
-def _cut(entries: DataFrame, by: list[str], member: str) -> DataFrame:
-    """entries with pa, pb and piece: groups of `by` with over PIECE rows are dealt over pieces, of which each two meet in a group of their own."""
-    crowded = saved(entries.groupBy(*by).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).filter("pieces > 1"), "crowded")
+def _cut(entries: DataFrame, by: list[str], member: str, tiles: int = 1) -> tuple[DataFrame, int]:
+    """entries with pa, pb and piece, and how many rows more they are: groups of `by` with over tiles * PIECE rows are dealt over pieces, of which each two meet in a group of their own."""
+    crowded = saved(entries.groupBy(*by).agg(F.count("*").alias("members")).withColumn("pieces", F.ceil(F.col("members") / (tiles * PIECE)).cast("int")).filter("pieces > 1"), "crowded")
     whole = {"pa": F.lit(0), "pb": F.lit(0), "piece": F.lit(0)}
-    if crowded.isEmpty():
-        return entries.withColumns(whole)
+    more = crowded.agg(F.sum(F.col("members") * (F.col("pieces") - 1))).first()[0]
+    if more is None:
+        return entries.withColumns(whole), 0
+    crowded = crowded.drop("members")
     few = entries.join(crowded, by, "left_anti").withColumns(whole)
     many = entries.join(crowded, by).withColumn("piece", F.pmod(F.xxhash64(member), F.col("pieces")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     many = many.withColumns({"pa": F.least("piece", "o"), "pb": F.greatest("piece", "o")})
-    return few.unionByName(many.select(*few.columns))
+    return few.unionByName(many.select(*few.columns)), int(more)
 
 
 def jaro_winkler_pairs(clusters: DataFrame, *, threshold: float = JARO_WINKLER_THRESHOLD) -> DataFrame:
@@ -297,7 +302,7 @@ def jaro_winkler_pairs(clusters: DataFrame, *, threshold: float = JARO_WINKLER_T
                 yield pa.record_batch([*(part[c].take(at) for c in columns), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.bool_())], names=[*columns, "list", "prefix", "filed"])
 
     filed = large.mapInArrow(entries, f"doc_id {kind}, type string, first_seq long, key string, list long, prefix int, filed boolean")
-    dealt = _cut(filed.withColumn("place", F.xxhash64("doc_id", "type", "list")), ["place"], "first_seq")
+    dealt, _ = _cut(filed.withColumn("place", F.xxhash64("doc_id", "type", "list")), ["place"], "first_seq")
     most = int(large.agg(F.count("*")).first()[0])
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "pa", "pb"), F.lit(_buckets(64 * most, 4 * BUCKET_ROWS))).cast("int"))
 
@@ -347,24 +352,55 @@ def _far_apart(rows: np.ndarray, n: int) -> np.ndarray:
     return rows[taken]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as rows, without a Python object for each number."""
+    if column.null_count:
+        raise ValueError("a vector is missing")
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def cosine_cells(large: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+def _reached(angles: np.ndarray, own: np.ndarray, near: np.ndarray, far: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells, of lower number than their own, vectors may have a near one in; near and far bound the angles of a cell's members, infinite for empty cells."""
+    lower = np.arange(angles.shape[1]) < own[:, None]
+    # a member of that cell is nearer to its pivot than to ours
+    return lower & (angles <= far + reach) & (angles >= near - reach) & (angles <= angles[np.arange(len(own)), own][:, None] + 2 * reach)
+
+
+def _reach(threshold: float) -> float:
+    return math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+
+def _pivots(large: DataFrame, sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of smallest hash, and those of them that are pivots: far apart from each other, one in four."""
+    n = int(sizes.agg(F.sum("block_size")).first()[0])
+    most = min(PIVOTS, max(2, n // PIECE))
+    chosen = large.orderBy(F.xxhash64("key", "first_seq"), "first_seq").limit(4 * most).select("embedding").collect()
+    vectors = np.array([r["embedding"] for r in chosen], np.float64)
+    return vectors, _far_apart(vectors, most)
+
+
+def _cells_spare(vectors: np.ndarray, pivots: np.ndarray, threshold: float) -> bool:
+    """Whether vectors like these would be sent to under half of the cells of lower number. Either way pairs are exact."""
+    angles = _angles(vectors, pivots)
+    own, mine = angles.argmin(1), angles.min(1)
+    near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    np.minimum.at(near, own, mine)
+    np.maximum.at(far, own, mine)
+    return 2 * _reached(angles, own, near, far, _reach(threshold)).sum() < own.sum()
+
+
+def cosine_cells(large: DataFrame, sizes: DataFrame, threshold: float, pivots: np.ndarray | None = None) -> DataFrame:
     """large with `cell` and `home`: each vector in the cell of its nearest pivot, and in those of lower number that hold a vector it may be near.
 
     Pivots are at most PIVOTS vectors, far apart from each other, of four times as many, those
     of smallest hash, whatever the input: the driver and every worker hold no more. Cells are
     kept apart by document and type; their radii are exact.
     """
-    n = int(sizes.agg(F.sum("block_size")).first()[0])
-    most = min(PIVOTS, max(2, n // PIECE))
-    chosen = large.orderBy(F.xxhash64("key", "first_seq"), "first_seq").limit(4 * most).select("embedding").collect()
-    pivots = _far_apart(np.array([r["embedding"] for r in chosen], np.float64), most)
+    pivots = _pivots(large, sizes)[1] if pivots is None else pivots
     kind = large.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, type string, first_seq long, key string, embedding array<double>"
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    reach = _reach(threshold)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,14 +419,14 @@ def cosine_cells(large: DataFrame, sizes: DataFrame, threshold: float) -> DataFr
             if not batch.num_rows:
                 continue
             angles, own = _angles(_matrix(batch["embedding"]), pivots), batch["home"].to_numpy()
-            mine = angles[np.arange(len(own)), own]
             can = np.zeros(angles.shape, bool)
-            for r, rings_ in enumerate(batch["rings"].to_pylist()):
-                cell, near, far = (np.array([x[c] for x in rings_]) for c in ("home", "near", "far"))
-                lower = cell < own[r]
-                a = angles[r, cell]
-                # a member of that cell is nearer to its pivot than to ours
-                can[r, cell] = lower & (a <= far + reach) & (a >= near - reach) & (a <= mine[r] + 2 * reach)
+            order, ends = _blocks_of(pa.Table.from_batches([batch.select(["doc_id", "type"])]))
+            for start in np.unique(ends, return_index=True)[1].tolist():  # rows of a block share its rings
+                at = order[start : int(ends[start])]
+                near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+                for x in batch["rings"][int(at[0])].as_py():
+                    near[x["home"]], far[x["home"]] = x["near"], x["far"]
+                can[at] = _reached(angles[at], own[at], near, far, reach)
             can[np.arange(len(own)), own] = True
             i, cell = np.nonzero(can)
             at = pa.array(i)
@@ -399,55 +435,109 @@ def cosine_cells(large: DataFrame, sizes: DataFrame, threshold: float) -> DataFr
     return met.mapInArrow(send, f"{fields}, cell int, member boolean")
 
 
-def cosine_pairs(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) -> DataFrame:
-    """The same by the dot product of clusters' `embedding` column, whose vectors are of unit length and of one size.
+def _near(rows: np.ndarray, others: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, dot product) at or above the threshold, in batches of bounded size; of one set, each pair once."""
+    for k in range(0, len(rows), step := max(1, DOTS_AT_ONCE // max(1, len(others)))):
+        first = k if same else 0
+        dots = rows[k : k + step] @ others[first:].T
+        i, j = np.nonzero(dots >= threshold)
+        score, i, j = dots[i, j], i + k, j + first
+        if same:
+            i, j, score = (x[keep] for keep in (i < j,) for x in (i, j, score))
+        yield i, j, score
 
-    A vector of a large block is sent to at most as many cells as there are pivots. How many
-    it can reach depends on the threshold: few where names' vectors gather in groups, all of
-    lower number where vectors have no structure, whose pairs are then all compared.
-    """
+
+class _Linked:
+    """Which of n rows hang together, by pairs that come in batches: each has the label of the least."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+
+def _cosine(clusters: DataFrame, threshold: float, linking: bool) -> DataFrame:
     ship_package(clusters.sparkSession)
     kind = clusters.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "type", "first_seq", "key", "embedding"]
     clusters = clusters.select(*columns[:4], F.col("embedding").cast("array<double>").alias("embedding"))
     small, large, sizes = _split_blocks(clusters)
 
-    def products(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        for k in range(0, len(rows), step := max(1, (1 << 22) // max(1, len(others)))):
-            dots = rows[k : k + step] @ others.T
-            i, j = np.nonzero(dots >= threshold)
-            out.append((i + k, j, dots[i, j]))
-        return tuple(_concat(out))
-
-    def whole(table: pa.Table) -> pa.Table:
+    def told(table: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Pairs as they are found, or what links the same rows."""
+        linked = _Linked(table.num_rows)
+        for i, j, score in found:
+            if linking:
+                linked.add(i, j)
+            elif len(i):
+                yield from _pairs(table, i, j, score).combine_chunks().to_batches(1 << 16)
+        i = np.flatnonzero(linked.label != np.arange(table.num_rows))
+        yield from _pairs(table, linked.label[i], i, np.zeros(len(i))).combine_chunks().to_batches(1 << 16)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         order, ends = _blocks_of(table)
         vectors = _matrix(table["embedding"])
-        found = []
-        for start in np.unique(ends, return_index=True)[1].tolist():
-            at = order[start : int(ends[start])]
-            i, j, score = products(vectors[at], vectors[at])
-            keep = i < j
-            found.append((at[i[keep]], at[j[keep]], score[keep]))
-        return _pairs(table, *_concat(found))
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for start in np.unique(ends, return_index=True)[1].tolist():
+                at = order[start : int(ends[start])]
+                for i, j, score in _near(vectors[at], vectors[at], threshold, True):
+                    yield at[i], at[j], score
+
+        yield from told(table, found())
 
     pairs = _in_small_blocks(small, columns, clusters.count(), whole)
     if sizes.isEmpty():
         return pairs
-    sent = _cut(cosine_cells(large, sizes, threshold).withColumn("place", F.xxhash64("doc_id", "type", "cell")), ["place"], "first_seq")
-
-    def in_cell(table: pa.Table) -> pa.Table:
-        vectors = _matrix(table["embedding"]) if table.num_rows else np.zeros((0, 1))
+    vectors, pivots = _pivots(large, sizes)
+    if _cells_spare(vectors, pivots, threshold):
+        sent, _ = _cut(cosine_cells(large, sizes, threshold, pivots).withColumn("place", F.xxhash64("doc_id", "type", "cell")), ["place"], "first_seq")
+    else:
+        tiles = large.withColumns({"cell": F.lit(0), "member": F.lit(True), "place": F.xxhash64("doc_id", "type")})
+        sent, _ = _cut(tiles, ["place"], "first_seq", TILE)
+
+    def in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        vectors = _matrix(table["embedding"])
         cell, member, piece, first, second = (table[c].to_numpy(zero_copy_only=False) for c in ("cell", "member", "piece", "pa", "pb"))
         order, ends = _blocks_of(table, cell)  # one group, but for places that share a hash
-        found = []
-        for start in np.unique(ends, return_index=True)[1].tolist():
-            at = order[start : int(ends[start])]
-            x, y = (at[piece[at] == first[at[0]]], at[piece[at] == second[at[0]]]) if first[at[0]] != second[at[0]] else (at, at)
-            i, j, score = products(vectors[x], vectors[y])
-            i, j = x[i], y[j]
-            keep = (member[i] | member[j]) & ((first[i] != second[i]) | (i < j))
-            found.append((i[keep], j[keep], score[keep]))
-        return _pairs(table, *_concat(found))
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for start in np.unique(ends, return_index=True)[1].tolist():
+                at = order[start : int(ends[start])]
+                same = first[at[0]] == second[at[0]]
+                x, y = (at, at) if same else (at[piece[at] == first[at[0]]], at[piece[at] == second[at[0]]])
+                for i, j, score in _near(vectors[x], vectors[y], threshold, same):
+                    i, j = x[i], y[j]
+                    keep = member[i] | member[j]
+                    yield i[keep], j[keep], score[keep]
+
+        yield from told(table, found())
 
     return pairs.union(sent.groupBy("place", "pa", "pb").applyInArrow(in_cell, _PAIRS.format(kind)))
+
+
+def cosine_pairs(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) -> DataFrame:
+    """The same by the dot product of clusters' `embedding` column, whose vectors are of unit length and of one size.
+
+    A vector of a large block is sent to the cells that it can reach: few where names' vectors
+    gather in groups. Where a sample says that it would be sent to most, as vectors have no
+    structure, each is sent once a tile of its block, and all pairs are compared.
+    """
+    return _cosine(clusters, threshold, False)
+
+
+def cosine_links(clusters: DataFrame, *, threshold: float = COSINE_THRESHOLD) -> DataFrame:
+    """(doc_id, type, a, b): fewer pairs, by which the same clusters hang together as by cosine_pairs; they need not be similar themselves.
+
+    Each two tiles, or each cell, tell at most one link a member.
+    """
+    return _cosine(clusters, threshold, True).select("doc_id", "type", "a", "b")

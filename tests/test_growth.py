@@ -1,7 +1,10 @@
 """Steps that took too long on large tables: what they must no longer do, with the same results."""
 
+import numpy as np
 import pyarrow as pa
 from quillgraph import catalog
+from quillgraph.operators import similarity as S
+from quillgraph.operators.components import components
 from quillgraph.operators.graph import KnowledgeGraph
 from quillgraph.sinks import export as X
 from quillgraph.sinks import files
@@ -34,3 +37,32 @@ def test_lines_are_parsed_once_and_written_by_runs(spark, sf_dir):
     batch = pa.RecordBatch.from_pydict(dict(zip(("name", "section", "glue", "text"), map(list, zip(*rows, strict=True)), strict=True)))
     assert list(files._runs(batch)) == [("a", 1, ",", ["x", "y"]), ("a", 2, ";", ["z"]), ("b", 2, ";", ["v", "w"])]
     assert list(files._runs(batch[:0])) == []
+
+
+def test_vectors_without_structure_go_to_tiles(spark, monkeypatch):
+    """Cells are left where they spare little; links join what pairs join, by fewer rows."""
+    monkeypatch.setattr(S, "PIECE", 25)
+    r = np.random.RandomState(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    frame = lambda x: spark.createDataFrame([(None, "x", i, str(i), v.tolist()) for i, v in enumerate(x)], "doc_id long, type string, first_seq long, key string, embedding array<double>")
+    wild, near = unit(r.randn(600, 16)), unit(r.randn(6, 16)[np.arange(600) % 6] + 0.05 * r.randn(600, 16))
+    for rows, threshold, spare in ((wild, 0.6, False), (near, 0.9, True)):
+        clusters = frame(rows)
+        _, large, sizes = S._split_blocks(clusters)
+        assert S._cells_spare(*S._pivots(large, sizes), threshold) == spare
+        i, j = np.nonzero(np.triu(rows @ rows.T >= threshold, 1))
+        pairs = S.cosine_pairs(clusters, threshold=threshold)
+        links = S.cosine_links(clusters, threshold=threshold)
+        assert sorted((x["a"], x["b"]) for x in pairs.collect()) == sorted(zip(i.tolist(), j.tolist(), strict=True))
+        assert all(x["a"] < x["b"] for x in links.collect()) and links.count() < len(i)
+        both = [sorted((x["node"], x["component"]) for x in components(e.withColumn("doc_id", e["type"]), by=["doc_id"]).collect()) for e in (pairs, links)]
+        assert both[0] == both[1] and both[0]
+
+
+def test_vectors_are_read_without_objects():
+    column = pa.chunked_array([pa.array([[9.0, 9.0], [1.0, 2.0]]).slice(1), pa.array([[3.0, 4.0]])])
+    assert S._matrix(column).tolist() == [[1, 2], [3, 4]] and S._matrix(column.chunk(0)).tolist() == [[1, 2]] and len(S._matrix(column.slice(0, 0))) == 0
+    linked = S._Linked(6)
+    linked.add(np.array([4, 2, 1]), np.array([5, 4, 3]))
+    linked.add(np.array([5]), np.array([0]))
+    assert linked.label.tolist() == [0, 1, 0, 1, 0, 0]
