@@ -36,6 +36,7 @@ SMALL = 256  # clusters of a block that is compared whole
 BUCKET_ROWS = 1 << 14  # rows of small blocks, or of lists, a task
 PIECE = 2048  # members of a list or a cell before it is cut
 TOGETHER = 2  # characters that two names must share of their rarest
+ALL_TOGETHER = 6  # the same where all must be shared, so that one list holds them
 PIVOTS = 512  # pivots at most: with their vectors they go to every worker
 AT_ONCE = 1 << 18
 DOTS_AT_ONCE = 1 << 20
@@ -119,7 +120,8 @@ def _probes(threshold: float, prefix: int, n: int) -> tuple[tuple[int, int], ...
 def _filed_by(threshold: float, prefix: int, n: int) -> tuple[int, int]:
     """(together, characters) that a name of length n is filed by, for partners as long or longer."""
     need = least_common(threshold, prefix, n, n)
-    k = min(TOGETHER, max(0, need - prefix))
+    # names of one template differ in few characters, and would all meet in lists of two common ones
+    k = min(ALL_TOGETHER if need == n else TOGETHER, max(0, need - prefix))
     return k, n - need + k
 
 
@@ -302,9 +304,9 @@ def jaro_winkler_pairs(clusters: DataFrame, *, threshold: float = JARO_WINKLER_T
                 yield pa.record_batch([*(part[c].take(at) for c in columns), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.bool_())], names=[*columns, "list", "prefix", "filed"])
 
     filed = large.mapInArrow(entries, f"doc_id {kind}, type string, first_seq long, key string, list long, prefix int, filed boolean")
-    dealt, _ = _cut(filed.withColumn("place", F.xxhash64("doc_id", "type", "list")), ["place"], "first_seq")
+    dealt, more = _cut(filed.withColumn("place", F.xxhash64("doc_id", "type", "list")), ["place"], "first_seq")
     most = int(large.agg(F.count("*")).first()[0])
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "pa", "pb"), F.lit(_buckets(64 * most, 4 * BUCKET_ROWS))).cast("int"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "pa", "pb"), F.lit(_buckets(64 * most + more, 4 * BUCKET_ROWS))).cast("int"))
 
     def in_lists(table: pa.Table) -> pa.Table:
         return _pairs(table, *listed_pairs(table, threshold))

@@ -1,5 +1,7 @@
 """Steps that took too long on large tables: what they must no longer do, with the same results."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from quillgraph import catalog
@@ -66,3 +68,13 @@ def test_vectors_are_read_without_objects():
     linked.add(np.array([4, 2, 1]), np.array([5, 4, 3]))
     linked.add(np.array([5]), np.array([0]))
     assert linked.label.tolist() == [0, 1, 0, 1, 0, 0]
+
+
+def test_names_of_one_template_meet_in_short_lists():
+    names = [f"vector {i}" for i in range(10_000, 13_000)]
+    filed, looked_up = Counter(), Counter()
+    for name in names:
+        for signature, _, is_filed in S.index_entries(name, 0.97):
+            (filed if is_filed else looked_up)[signature] += 1
+    assert sum(n * looked_up[k] for k, n in filed.items()) < len(names) ** 2 / 10
+    assert sum(filed.values()) + sum(looked_up.values()) < 80 * len(names)
