@@ -78,3 +78,13 @@ def test_names_of_one_template_meet_in_short_lists():
             (filed if is_filed else looked_up)[signature] += 1
     assert sum(n * looked_up[k] for k, n in filed.items()) < len(names) ** 2 / 10
     assert sum(filed.values()) + sum(looked_up.values()) < 80 * len(names)
+
+
+def test_names_are_indexed_by_many_tasks(spark, monkeypatch):
+    """Names are short, so Spark would merge all their partitions into one."""
+    monkeypatch.setattr(S, "SMALL", 3)
+    rows = [(1, f"{chr(97 + i % 26)}{i:04d}", "x", i) for i in range(400)] + [(2, "one", "x", 1), (2, "ones", "x", 2)]
+    pairs = S.jaro_winkler_pairs(spark.createDataFrame(rows, "doc_id long, key string, type string, first_seq long"), threshold=0.93)
+    found = {(r["doc_id"], r["a"], r["b"]) for r in pairs.collect()}
+    assert (2, 1, 2) in found and len(found) == pairs.count()
+    assert "REPARTITION_BY_NUM" in _plan(pairs)
