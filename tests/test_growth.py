@@ -4,10 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from quillgraph import catalog
+from quillgraph.operators import graph as G
 from quillgraph.operators import similarity as S
 from quillgraph.operators.components import components
 from quillgraph.operators.graph import KnowledgeGraph
+from quillgraph.session import saved_tables
 from quillgraph.sinks import export as X
 from quillgraph.sinks import files
 
@@ -88,3 +91,40 @@ def test_names_are_indexed_by_many_tasks(spark, monkeypatch):
     found = {(r["doc_id"], r["a"], r["b"]) for r in pairs.collect()}
     assert (2, 1, 2) in found and len(found) == pairs.count()
     assert "REPARTITION_BY_NUM" in _plan(pairs)
+
+
+def _rank_tables(spark) -> int:
+    return sum("/ranks-" in path for path in saved_tables(spark))
+
+
+def test_nodes_that_no_edge_enters_take_no_rounds(spark, monkeypatch):
+    """A large graph of which edges enter a small part goes to a worker, with the ranks of the whole; lone nodes, loops and both tolerances too."""
+    r = np.random.RandomState(5)
+    pairs = sorted({(f"s{r.randint(300)}", f"t{r.randint(9)}") for _ in range(900)} | {("t0", "t1"), ("t1", "t2"), ("t2", "t0"), ("t3", "t3"), ("s1", "s1"), ("s2", "s3")})
+    edges = spark.createDataFrame([(1, a, b, 1 + (len(a) + int(b[1:])) % 3) for a, b in pairs] + [(2, "a", "b", 1)], "doc_id long, source string, target string, weight long")
+    nodes = spark.createDataFrame([(1, x) for x in sorted({x for p in pairs for x in p} | {"alone", "lone"})] + [(2, "a"), (2, "b")], "doc_id long, id string")
+    ranks = lambda df: {(x["doc_id"], x["id"]): x["rank"] for x in df.collect()}
+    for options in ({}, {"tolerance": 1e-12}, {"rounds": 3, "exact_rounds": True}, {"weighted": False}):
+        whole = ranks(G.pagerank(nodes, edges, **options))
+        with monkeypatch.context() as m:
+            m.setattr(G, "pagerank_rounds", None)  # not needed
+            assert ranks(G.pagerank(nodes, edges, local_edges=40, **options)) == pytest.approx(whole, abs=1e-12)
+    far = {"rounds": 3, "exact_rounds": True}
+    assert ranks(G.pagerank(nodes, edges, local_edges=4, **far)) == pytest.approx(ranks(G.pagerank(nodes, edges, **far)), abs=1e-12)
+
+
+def test_rounds_over_pieces_and_blocks(spark, monkeypatch):
+    """Ranks in many pieces and edges in many blocks; a round's table goes when the next is there."""
+    monkeypatch.setattr(G, "BLOCK_EDGES", 40)
+    r = np.random.RandomState(6)
+    pairs = sorted({(int(a), int(b)) for a, b in r.randint(0, 300, (900, 2))})
+    edges = spark.createDataFrame([(1, f"n{a}", f"n{b}", 1 + a % 3) for a, b in pairs], "doc_id long, source string, target string, weight long")
+    nodes = spark.createDataFrame([(1, f"n{k}") for k in range(310)], "doc_id long, id string")
+    before = _rank_tables(spark)
+    got = {x["id"]: x["rank"] for x in G.pagerank_rounds(nodes, edges).collect()}
+    assert got == pytest.approx({x["id"]: x["rank"] for x in G.pagerank(nodes, edges).collect()}, abs=1e-12)
+    assert _rank_tables(spark) - before <= 1
+    target = np.array([3, 1 << G.PIECE_BITS, 3, (1 << G.PIECE_BITS) + 5])
+    block = G._packed(pa.table({"doc_id": [1] * 4, "id": [0] * 4, "source": [0, 1, 1, 1], "target": target, "share": [0.5, 0.25, 1.0, 0.75]})).append_column("rank", G._blob(np.array([2.0, 4.0])))
+    found = [(b["id"][0].as_py(), *(G._of_blob(b, c, 0, k).tolist() for c, k in (("at", np.int32), ("given", float)))) for b in G._giving(block.to_batches())]
+    assert found == [(0, [3], [5.0]), (1, [0, 5], [1.0, 3.0])]
