@@ -357,7 +357,8 @@ def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = items.select(F.inline(F.array(at("", first), at(".propositions[]", F.col("item")), part("subject"), part("object"))))
     keyed = objects.filter(F.schema_of_variant("v").startswith("OBJECT")).select("path", F.json_object_keys(F.to_json("v")).alias("k"))
     schema = spark.createDataFrame(_schema_objects(), "path string, properties array<string>, required array<string>, further boolean")
-    both = keyed.join(schema, "path").groupBy("path", "properties", "required", "further")
+    # broadcast by name: by its table's size, Spark takes the side of the replies for the small one
+    both = keyed.join(F.broadcast(schema), "path").groupBy("path", "properties", "required", "further")
     some = lambda a, b: F.sum((F.size(F.array_except(a, b)) > 0).cast("long"))
     counted = both.agg(F.count("*").alias("objects"), some("required", "k").alias("lacking"), some("k", "properties").alias("exceeding"))
     return counted.withColumns({c: F.array_join(c, ",") for c in ("properties", "required")})

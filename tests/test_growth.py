@@ -1,5 +1,6 @@
 """Steps that took too long on large tables: what they must no longer do, with the same results."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -128,3 +129,11 @@ def test_rounds_over_pieces_and_blocks(spark, monkeypatch):
     block = G._packed(pa.table({"doc_id": [1] * 4, "id": [0] * 4, "source": [0, 1, 1, 1], "target": target, "share": [0.5, 0.25, 1.0, 0.75]})).append_column("rank", G._blob(np.array([2.0, 4.0])))
     found = [(b["id"][0].as_py(), *(G._of_blob(b, c, 0, k).tolist() for c, k in (("at", np.int32), ("given", float)))) for b in G._giving(block.to_batches())]
     assert found == [(0, [3], [5.0]), (1, [0, 5], [1.0, 3.0])]
+
+
+def test_the_schema_is_broadcast_not_the_replies(spark, sf_dir):
+    """Whatever side Spark takes for small by its table's size: the driver must not gather the objects of all replies."""
+    counted = catalog.strict_objects(spark, sf_dir)
+    assert counted.count() == 4
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*rightHint=\(strategy=broadcast\)", plan)
