@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.extraction import PRIOR_ENTITIES
 from ..plans.engines import ChunkContext, ExtractionEngine, FatalEngineError
-from ..plans.pipeline import _ITEM
+from ..plans.pipeline import _ITEM, NamesSeen
 from ..session import found_by_the_driver, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,8 +42,7 @@ class CarriedExtraction(StatefulProcessor):
         for row in rows:
             if row["chunk_index"] >= at:  # else it was dealt with before
                 came.setdefault(row["chunk_index"], (row["text"], row["title"], row["last"]))
-        seen: dict[str, None] | None = None
-        old = 0
+        seen: NamesSeen | None = None
         out = []
         while at in came or (waiting and self.early.containsKey((at,))):
             if waiting and self.early.containsKey((at,)):
@@ -54,17 +53,14 @@ class CarriedExtraction(StatefulProcessor):
             else:
                 text, title, last = came.pop(at)
             if seen is None:
-                seen = dict.fromkeys(r[0] for r in self.names.get()) if self.names.exists() else {}
-                old = len(seen)
+                seen = NamesSeen(self.carry, (r[0] for r in self.names.get()) if self.names.exists() else ())
             state, error, found, prior = "skipped", None, None, None
             if not dead:
-                prior = list(seen)[-self.carry :] if self.carry else []
+                prior = list(seen.last)
                 try:
                     found = self.engine.extract(text, ChunkContext(at, title, prior, str(key[0])))
                     state = "ok"
-                    for p in found:
-                        seen.setdefault(p["subject"]["name"])
-                        seen.setdefault(p["object"]["name"])
+                    seen.add_ends(found)
                 except FatalEngineError as e:
                     state, error, dead = "dropped", str(e), True
                 except Exception as e:  # noqa: BLE001  a chunk that fails is dropped and reported
@@ -75,13 +71,13 @@ class CarriedExtraction(StatefulProcessor):
             at += 1
             if last:  # nothing follows: only the number stays, so that repeats are still known
                 self.names.clear()
-                seen, old = {}, 0
+                seen = NamesSeen(self.carry)
         for number, chunk in came.items():
             if not (waiting and self.early.containsKey((number,))):
                 self.early.updateValue((number,), chunk)
                 waiting += 1
-        if seen is not None and len(seen) > old:
-            self.names.appendList([(name,) for name in list(seen)[old:]])
+        if seen is not None and seen.new:
+            self.names.appendList([(name,) for name in seen.new])
         self.head.update((at, waiting, dead))
         yield from out
 

@@ -13,6 +13,7 @@ from quillgraph.operators import similarity as S
 from quillgraph.operators.components import components
 from quillgraph.operators.graph import KnowledgeGraph
 from quillgraph.operators.resolution import mentions_of
+from quillgraph.plans.pipeline import NamesSeen
 from quillgraph.session import saved_tables
 from quillgraph.sinks import export as X
 from quillgraph.sinks import files
@@ -157,3 +158,19 @@ def test_places_of_large_tables(spark, sf_dir, tmp_path):
     assert [r["gid"] for r in G.with_global_ids(given).orderBy("ord").collect()] == [f"c{c}-p-{p}" for _, c, p, *_ in rows]
     with pytest.raises(Exception, match="no place for chunk 0, proposition 68719476736"):
         mentions_of(given.withColumn("pos", F.lit(1 << 36))).filter("chunk_index = 0").collect()
+
+
+def test_names_told_cost_no_copy_of_all():
+    """The last names by first sight, as a slice of all would have them, kept as they come."""
+    r = np.random.RandomState(2)
+    for carry in (0, 1, 20):
+        seen, plain = NamesSeen(carry, ["a", "b", "a"]), {"a": None, "b": None}
+        assert seen.new == []
+        for _ in range(50):
+            found = [{"subject": {"name": f"n{r.randint(40)}"}, "object": {"name": f"n{r.randint(40)}"}} for _ in range(2)]
+            seen.add_ends(found)
+            for p in found:
+                plain.setdefault(p["subject"]["name"])
+                plain.setdefault(p["object"]["name"])
+            assert list(seen.last) == (list(plain)[-carry:] if carry else [])
+        assert seen.new == list(plain)[2:] and len(seen.last) <= carry
