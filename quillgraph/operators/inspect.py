@@ -65,7 +65,7 @@ def edge_detail(graph: KnowledgeGraph) -> DataFrame:
         graph.edges.select("doc_id", "id", F.posexplode("propositions").alias("k", "pid"))
         .join(text, ["doc_id", "pid"])
         .groupBy("doc_id", "id")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "claim"))).alias("c"))
+        .agg(F.sort_array(F.collect_list(F.struct("k", "claim"))).alias("c"))
     )
     labels = graph.nodes.select("doc_id", F.col("id").alias("nid"), F.col("label").alias("nlabel"))
     source = labels.select("doc_id", F.col("nid").alias("source"), F.col("nlabel").alias("source_label"))

@@ -13,8 +13,9 @@ from quillgraph.operators import similarity as S
 from quillgraph.operators.components import components
 from quillgraph.operators.graph import KnowledgeGraph
 from quillgraph.operators.resolution import mentions_of
-from quillgraph.plans.pipeline import NamesSeen
-from quillgraph.session import saved_tables
+from quillgraph.plans.engines import RuleEngine
+from quillgraph.plans.pipeline import NamesSeen, run_pipeline
+from quillgraph.session import CLEANUP, saved, saved_tables, shuffles_go
 from quillgraph.sinks import export as X
 from quillgraph.sinks import files
 
@@ -174,3 +175,22 @@ def test_names_told_cost_no_copy_of_all():
                 plain.setdefault(p["object"]["name"])
             assert list(seen.last) == (list(plain)[-carry:] if carry else [])
         assert seen.new == list(plain)[2:] and len(seen.last) <= carry
+
+
+def test_a_run_keeps_no_tables_or_shuffles_that_are_used_up(spark):
+    """Chunks and outcomes hold the texts again: they go once propositions are stored, and shuffles once a table is written."""
+    docs = spark.createDataFrame([(d, f"Alpha {d} likes beta. Gamma knows delta {d}.", None) for d in range(20)] + [(20, None, "t")], "doc_id long, text string, title string")
+    before = set(saved_tables(spark))
+    graph = run_pipeline(docs, RuleEngine(), rank=False, fuzzy=False)
+    left = {path.split("/")[-1].rsplit("-", 1)[0] for path in set(saved_tables(spark)) - before}
+    assert {"propositions", "chunk-status", "edges"} <= left and not left & {"chunks", "outcomes"}
+    assert sorted((r["doc_id"], r["chunk_count"]) for r in graph.meta.collect()) == [*((d, 1) for d in range(20)), (20, 0)]
+    assert graph.propositions.count() == 40 and graph.edges.count() == 40 and graph.reports["chunk_status"].count() == 20
+    held = spark.conf.get(CLEANUP)
+    with shuffles_go(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP) == held
+    tracked = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    n = tracked()
+    saved(docs.groupBy("doc_id").count(), "counts")
+    assert tracked() <= n
