@@ -183,7 +183,7 @@ def test_a_run_keeps_no_tables_or_shuffles_that_are_used_up(spark):
     before = set(saved_tables(spark))
     graph = run_pipeline(docs, RuleEngine(), rank=False, fuzzy=False)
     left = {path.split("/")[-1].rsplit("-", 1)[0] for path in set(saved_tables(spark)) - before}
-    assert {"propositions", "chunk-status", "edges"} <= left and not left & {"chunks", "outcomes"}
+    assert {"propositions", "chunk-status", "edges"} <= left and not left & {"chunks", "outcomes", "edge-ends", "edge-places"}
     assert sorted((r["doc_id"], r["chunk_count"]) for r in graph.meta.collect()) == [*((d, 1) for d in range(20)), (20, 0)]
     assert graph.propositions.count() == 40 and graph.edges.count() == 40 and graph.reports["chunk_status"].count() == 20
     held = spark.conf.get(CLEANUP)
